@@ -4,17 +4,22 @@ Each token becomes a piece: its bytes as printable characters, scored by its
 negative rank, so that sentencepiece merges in the order of the ranks. Nothing is
 trained and nothing normalised. Texts are cut by the tokenizer's pattern, each
 match is encoded by itself, and ids are decoded by the inverse of the mapping.
+
+Regular expression engines differ in the characters that they know as letters and
+numbers. So the classes of the pattern are written out, as the tokenizer's library
+has them.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import cache
 from hashlib import sha256
 
 import numpy as np
-import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
@@ -38,6 +43,35 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(other)) for b in range(256)]
 
 
+@cache
+def members(kind: str) -> str:
+    """The characters of a class as tiktoken knows it, as ranges for a set."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    ranges: list[list[int]] = []
+    for c in map(ord, probe.decode(probe.encode_ordinary(every))):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@cache
+def written_out(pattern: str) -> re.Pattern:
+    r"""The pattern with its classes \p{..} and \s, in and out of sets, and \S, out of sets, as ranges."""
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        if part == "[" and not inside or part == "]" and inside:
+            inside = not inside
+        if part.startswith("\\p{") or part == "\\s":
+            part = members(part) if inside else f"[{members(part)}]"
+        elif part == "\\S" and not inside:
+            part = rf"[^{members(chr(92) + 's')}]"
+        out.append(part)
+    return re.compile("".join(out))
+
+
 def model_bytes(ranks: dict[bytes, int]) -> bytes:
     """A serialised sentencepiece BPE model whose piece k + 1 is the token of the k-th lowest rank."""
     char = byte_characters()
@@ -61,7 +95,7 @@ class Codec(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.split = ranks, written_out(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.rank = np.array([0, *sorted(ranks.values())], "<u4")
         self.token = {rank: token for token, rank in ranks.items()}

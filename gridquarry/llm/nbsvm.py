@@ -1,7 +1,8 @@
 """Quality classifier: Naive Bayes features in a linear support vector machine.
 
-Features are indicators of n-grams in the whole text: words, pairs of words and
-triples of bytes, hashed into a space of fixed size, so the model is bounded.
+Features are indicators of n-grams in the whole text: words, pairs of words,
+triples of bytes, and runs of one word or line, hashed into a space of fixed size,
+so the model is bounded; one more indicator tells the order of size of the text.
 Each is scaled by the log-ratio of its class counts; dual coordinate descent fits
 the hinge loss, and a sigmoid fitted on rows left out turns margins into scores.
 Training takes a bounded sample of labelled rows; scoring takes every row.
@@ -34,7 +35,11 @@ def features(text: str | None) -> np.ndarray:
     ids = np.fromiter((distinct.setdefault(w, len(distinct)) for w in words), np.int64, len(words))
     h = np.fromiter(map(xxh3_64_intdigest, distinct, repeat(1)), np.uint64)
     shift = np.uint64(64 - BITS)
-    some = [h >> shift]
+    lines = [x for x in b.split(b"\n") if x.strip()]
+    form = [b"\n size", b"%d" % len(words).bit_length()], [b"\n lines", b"%d" % (10 * len(set(lines)) // len(lines))]
+    again = np.flatnonzero(np.diff(ids) == 0)
+    form += tuple([b"\n again", b"%d" % k] for k in range(min(len(again), 4)))
+    some = [h >> shift, np.array([xxh3_64_intdigest(b" ".join(x), 2) for x in form], np.uint64) >> shift]
     if len(ids) > 1:
         pairs = np.unique(ids[:-1] * len(distinct) + ids[1:])
         some.append((h[pairs // len(distinct)] * np.uint64(0x9E3779B97F4A7C15) + (h[pairs % len(distinct)] ^ np.uint64(0x5851F42D4C957F2D))) * np.uint64(0xD6E8FEB86659FD93) >> shift)

@@ -131,8 +131,8 @@ def describe(text: str, start: int, kind: int, end: int) -> list[float]:
     ]
 
 
-def written(rng: random.Random) -> tuple[str, int, int]:
-    """A text around one span, the span's kind and whether it is personal data."""
+def written(rng: random.Random) -> tuple[str, tuple[int, int], int, bool]:
+    """A text, the span in it, the span's kind and whether it is personal data."""
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice(["the", "ra", "on", "le", "mi", "st", "er", "an", "to", "ve", "in"]) for _ in range(rng.randint(1, 4)))
     kind, true = rng.randrange(4), rng.random() < 0.5
@@ -165,8 +165,8 @@ def written(rng: random.Random) -> tuple[str, int, int]:
     lead = rng.choice(hint) if rng.random() < (0.6 if true else 0.15) else rng.choice(wrong) if not true and rng.random() < 0.6 else word()
     if kind == 3 and true and rng.random() < 0.8 and not span.startswith(("(", "+")):
         lead = rng.choice(hint)
-    text = f"{' '.join(word() for _ in range(3))} {lead} {span}{rng.choice([' ', '. ', ', '])}{word()} {word()}"
-    return text, kind, int(true)
+    text = f"{' '.join(word() for _ in range(3))} {lead} "
+    return text + span + f"{rng.choice([' ', '. ', ', '])}{word()} {word()}", (len(text), len(text) + len(span)), kind, true
 
 
 class Trees:
@@ -218,11 +218,10 @@ def trained(rows: int = 4000, seed: int = 7) -> tuple[Trees, tuple[float, ...]]:
     """The trees, and for each kind the least score at which held-out precision reaches ``PRECISION``."""
     rng, x, y = random.Random(seed), [], []
     while len(x) < rows:
-        text, kind, true = written(rng)
+        text, (first, last), kind, true = written(rng)
         for start, k, end in candidates(text):
-            if k == kind:
-                x.append(describe(text, start, k, end))
-                y.append(true)
+            x.append(describe(text, start, k, end))
+            y.append(true and k == kind and 10 * (min(end, last) - max(start, first)) >= 9 * max(end - start, last - first))
     x, y = np.array(x, float), np.array(y, float)
     held = np.arange(len(x)) % 4 == 0
     trees = Trees(x[~held], y[~held])

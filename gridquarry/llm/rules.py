@@ -1,7 +1,7 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (+1), bad (-1) or abstains (0). The votes of all documents
-are counted by pattern: at most 3 ** 8 counts, however many documents there are.
+are counted by pattern: at most 3 ** 9 counts, however many documents there are.
 Expectation-maximisation over these counts estimates the share of good documents
 and, for each rule, how often it votes good on either kind; a document stays when
 the posterior probability that it is good reaches one half.
@@ -9,6 +9,8 @@ the posterior probability that it is good reaches one half.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ from ._shared import ROW, SPACE, cut, map_rows, numbered, utf8
 SYMBOLS = b"#*$%&|<>"
 UPPER, LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
 MARKS = b"!?"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
+RUNS = re.compile(b"[" + re.escape(SYMBOLS) + b"]+").findall
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_marked")
 
 
 def _without(b: bytes, some: bytes) -> int:
@@ -51,7 +54,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     lines = [x for x in b.split(b"\n") if x.translate(None, SPACE)]
     return (
         len(words), len(text or "") - _without(b, SPACE), _without(b, SYMBOLS), len(lines) - len(set(lines)), repeated_words(words),
-        len(lines), _without(b, UPPER), _without(b, LETTERS), _without(b, MARKS),
+        len(lines), _without(b, UPPER), _without(b, LETTERS), _without(b, MARKS), len(RUNS(b)),
     )
 
 
@@ -68,6 +71,7 @@ def votes() -> dict[str, Column]:
         "length": F.when(c["n_words"] < 10, -1).when(c["n_words"] >= 50, 1).otherwise(0),
         "word_length": F.when((length < 2) | (length > 14), -1).when((length >= 3) & (length <= 10), 1).otherwise(0),
         "symbols": between(c["n_symbols"] / words, 0.2, 0.05),
+        "marked": between(c["n_marked"] / words, 0.2, 0.05),
         "lines": between(c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1.0)), 0.4, 0.2),
         "repeats": between(c["n_repeat_words"] / words, 0.5, 0.25),
         "capitals": F.when(c["n_letters"] == 0, 0).otherwise(between(c["n_upper"] / F.greatest(c["n_letters"], F.lit(1.0)), 0.5, 0.2)),
@@ -76,19 +80,24 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
+#: Shares of good votes expected of good and of bad documents, and their weight beside the documents'.
+EXPECTED, STRENGTH = (0.98, 0.6), 0.2
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray]:
     """(prior log-odds of good, log-likelihood ratio of each rule's bad and good vote).
 
     patterns: votes, one row each; counts: documents with them. It starts from
-    "no rule objects", and each rate has a pseudocount on either side.
+    "no rule objects"; each rate is drawn a little to what is expected of a rule.
     """
     good = np.where((patterns < 0).any(1), 0.05, 0.95)
     plus, minus = patterns > 0, patterns < 0
     for _ in range(rounds):
         rate, prior = [], (counts @ good + 1) / (counts.sum() + 2)
-        for p in (good, 1 - good):
+        for p, share in zip((good, 1 - good), EXPECTED, strict=True):
             w = counts * p
-            rate.append((w @ plus + 1) / (w @ (plus | minus) + 2))
+            weight = STRENGTH * w.sum() + 1
+            rate.append((w @ plus + share * weight) / (w @ (plus | minus) + weight))
         ratio = np.log(np.stack([(1 - rate[0]) / (1 - rate[1]), rate[0] / rate[1]]))
         ratio = np.stack([np.minimum(ratio[0], 0), np.maximum(ratio[1], 0)])  # a good vote never speaks against a document
         odds = np.log(prior / (1 - prior)) + minus @ ratio[0] + plus @ ratio[1]
@@ -110,7 +119,7 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     kind = f"{ROW} long, id {docs.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS)
     rows = cut(map_rows(docs, kind, lambda c: [c[0], c[1], *(map(list, zip(*map(measure, c[2]), strict=True)) if c[2] else [[]] * len(COUNTS))]))
     rules = votes()
-    seen = rows.groupBy(*(v.alias(k) for k, v in rules.items())).count().collect()  # 3 ** 8 rows at most
+    seen = rows.groupBy(*(v.alias(k) for k, v in rules.items())).count().collect()  # 3 ** 9 rows at most
     if seen:
         prior, ratio = fit(np.array([r[:-1] for r in seen]), np.array([r[-1] for r in seen], float))
         odds = sum((F.when(v < 0, F.lit(float(ratio[0, k]))).when(v > 0, F.lit(float(ratio[1, k]))).otherwise(0.0) for k, v in enumerate(rules.values())), F.lit(prior))

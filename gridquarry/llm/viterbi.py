@@ -1,7 +1,7 @@
 """Token counts by count-only Viterbi over a unigram vocabulary.
 
-The pieces and scores of a sentencepiece vocabulary are read as a unigram model.
-An Aho-Corasick automaton enumerates the pieces that end at each character; for
+The pieces and scores of a sentencepiece vocabulary are read as a unigram model;
+scores that only mark a piece as last resort become the next below the others. An Aho-Corasick automaton enumerates the pieces that end at each character; for
 each character the best score of a segmentation up to it and its number of pieces
 are kept, nothing else. As in the tokenizer, of equally good segmentations the
 one whose last piece is longest wins, a character that is no piece counts as the
@@ -27,6 +27,22 @@ from ._shared import ROW, map_rows, numbered
 MARK, UNKNOWN_PENALTY, REMEMBERED = "▁", 10.0, 300_000
 
 
+#: Scores below are marks, not scores.
+SENTINEL = -1e8
+
+
+def unigram_model(serialised: bytes) -> pb.ModelProto:
+    """The vocabulary as a unigram model."""
+    model = pb.ModelProto()
+    model.ParseFromString(serialised)
+    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    lowest = min((p.score for p in model.pieces if p.score > SENTINEL), default=0.0)
+    for p in model.pieces:
+        if p.score <= SENTINEL:
+            p.score = lowest - 1
+    return model
+
+
 class Counter(dict):
     """Maps a word to its number of pieces."""
 
@@ -81,10 +97,8 @@ def segmented(automaton: ahocorasick.Automaton, word: str, unknown: float, fallb
 
 @cache
 def counter(path: str) -> Counter:
-    model = pb.ModelProto()
     with open(path, "rb") as f:
-        model.ParseFromString(f.read())
-    return Counter(model)
+        return Counter(unigram_model(f.read()))
 
 
 def token_counts(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,0 +1,194 @@
+import random
+import re
+from collections import Counter
+from hashlib import sha256
+
+import numpy as np
+import pytest
+
+from gridquarry.llm import nbsvm, pii, rules, template
+
+from .conftest import random_text
+
+KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def plain_spans(text):
+    out = []
+    for k, (name, pattern) in enumerate(KINDS):
+        for m in re.finditer(pattern, text):
+            d = [int(c) for c in m[0] if c.isdigit()]
+            odd = [sum(divmod(2 * x, 10)) for x in d[-2::-2]]
+            ok = {"email": True, "ip": name == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(odd)) % 10 == 0, "phone": 9 <= len(d) <= 15}[name]
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_are_the_patterns():
+    rng = random.Random(6)
+    parts = ["a.b@c.de", "@", "x@y", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "0000000000000000", "+1 (555) 010-9999", "+49 30 1234567", ".", "-", " ", "é", "é", "a@b.c@d.e", "%+", "1", "12", "  ", "+", "(", ")", "@c.d", "1.2.3.4.5.6.7.8", "٣"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "a@" * 100_000, "+1" * 100_000, "1 " * 100_000, "a.b@" * 50_000):
+        pii.found_spans(text)
+
+
+def test_pii_query(frame, corpus):
+    rows = corpus + [(7000, "é mail bo@x.org, 10.0.0.1 and 4111 1111 1111 1111 or +1 (555) 010-9999.", None, None, 0)]
+    got = pii.personal_data(frame(rows), redact=True).drop("__row").collect()
+    want = Counter()
+    for i, t, *_ in rows:
+        base = plain_spans(t or "")
+        n = Counter(k for _, k, _ in base)
+        want[(i, n[0], n[1], n[2], n[3], sha256(pii.joined(base).encode()).hexdigest())] += 1
+    assert Counter(tuple(r)[:6] for r in got) == want
+    r = next(r for r in got if r["doc_id"] == 7000)
+    assert r["spans"] == "email:7:15,ip:17:25,card:30:49,phone:53:70"
+    assert r["redacted_text"] == "é mail [EMAIL], [IP] and [CARD] or [PHONE]."
+    assert pii.personal_data(frame([])).count() == 0
+
+
+def test_trees_find_other_notations_and_leave_prose():
+    for text, kind in [
+        ("please write to jane.doe [at] example [dot] org today", "email"), ("host 192[.]168[.]0[.]17 is down", "ip"),
+        ("credit card 4111.1111.1111.1111 expires", "card"), ("call (030) 555-0199 after six", "phone"), ("tel. 555-123-4567 is mine", "phone"),
+    ]:
+        base, spans = pii.found_spans(text)
+        assert not base and [pii.KINDS[k] for _, k, _ in spans] == [kind], text
+    for text in ["we met at noon. dot by dot", "version 1.2.3 of 12/24/2019", "pages 1990-2024", "the ISBN 978-3-1614-8410-0 is", "look at the end. it is over", "4111.1111.1111.1112 no card", "a total of 1 234 567 rows"]:
+        assert pii.found_spans(text) == ([], []), text
+
+
+def test_trees_on_rows_left_out():
+    rng, right, hits, wrong = random.Random(99), 0, 0, 0
+    for _ in range(1500):
+        text, _, _, true = pii.written(rng)
+        found = bool(pii.found_spans(text)[1])
+        right += true and found
+        hits += true
+        wrong += found and not true
+    assert right / hits > 0.75 and wrong / (right + wrong) < 0.05
+
+
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(x in lines[:k] for k, x in enumerate(lines)), len(covered)
+
+
+def test_rule_counts(frame, corpus):
+    got = rules.judged(frame(corpus)).collect()
+    assert Counter(tuple(r)[1:7] for r in got) == Counter((i, *plain_counts(t)) for i, t, *_ in corpus)
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
+    assert rules.judged(frame([])).count() == 0
+
+
+def test_repeated_words_of_large_vocabularies():
+    rng = random.Random(1)
+    for n in (3, 5, 50):
+        for _ in range(200):
+            words = [rng.choice("abcdefg"[: rng.randint(1, 7)]) for _ in range(n)]
+            assert rules.repeated_words([w.encode() for w in words]) == plain_counts(" ".join(words))[4]
+
+
+def test_rules_keep_prose_and_drop_junk(frame):
+    rng = random.Random(5)
+    prose = [(k, random_text(rng, 120).lower(), None, None, 0) for k in range(80)]
+    junk = [(100 + k, " ".join(w + rng.choice(["%%%", "###", "$$$"]) for w in random_text(rng, 120).split()), None, None, 0) for k in range(8)]
+    junk += [(200 + k, " ".join(w.upper() + "!!" for w in random_text(rng, 120).split()), None, None, 0) for k in range(8)]
+    kept = {r["doc_id"] for r in rules.judged(frame(prose + junk)).collect() if r["kept"]}
+    assert kept == set(range(80))
+
+
+def test_classifier(frame, spark):
+    import zlib
+
+    rng, rows, labels = random.Random(7), [], []
+    for k in range(400):
+        good = k % 3 != 0
+        text = random_text(rng, rng.randint(5, 60))
+        rows.append((k, text if good else " ".join(w + "%%%" for w in text.split()), None, None, 0))
+        labels.append((k, int(good) if k % 10 else None))
+    rows += [(None, "x", None, None, 0), (500, None, None, None, 0), (501, "", None, None, 0), rows[3]]
+    table = spark.createDataFrame(labels + [(3, 1)], "doc_id long, quality int")
+    got = nbsvm.scored(frame(rows), table).collect()
+    assert len(got) == len(rows)
+    wrong = 0
+    for r in got:
+        i = r["doc_id"]
+        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+        wrong += i is not None and i < 400 and r["held_out"] and r["predicted"] != (i % 3 != 0)
+    assert wrong <= 2
+    # held-out labels change nothing
+    flipped = spark.createDataFrame([(i, 1 - q if q is not None and zlib.crc32(str(i).encode()) % 3 == 1 else q) for i, q in [*labels, (3, 1)]], "doc_id long, quality int")
+    assert Counter(tuple(r) for r in nbsvm.scored(frame(rows), flipped).collect()) == Counter(tuple(r) for r in got)
+    assert nbsvm.scored(frame([]), table).count() == 0
+    assert nbsvm.scored(frame(rows), table.where("false")).count() == len(rows)
+
+
+def test_dual_descent_reaches_the_optimum():
+    rng = np.random.default_rng(0)
+    rows = [np.sort(rng.choice(40, 8, replace=False)).astype(np.int32) for _ in range(60)]
+    y = (np.array([r.sum() for r in rows]) > 150).astype(int)
+    ratio = nbsvm.log_ratios(rows, y)
+    w = nbsvm.descend(rows, y, ratio)
+    s = np.where(y == 1, 1.0, -1.0)
+    c = nbsvm.COST * 0.5 / np.array([(y == k).mean() for k in (0, 1)])[y]
+    objective = lambda w: w @ w / 2 + (c * np.maximum(0, 1 - s * nbsvm.margins(rows, w, ratio))).sum()
+    best = objective(w)
+    for _ in range(300):
+        assert objective(w + rng.normal(0, 0.02, len(w)) * (rng.random(len(w)) < 0.01)) > best * 0.995
+
+
+PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- c --><div class="ad">Buy</div><article><h1>Head &amp; tail</h1><p><b>First.<br><p>Second  line\n here&nbsp;too.</p>{}</article><footer>&copy; x</footer></body></html>'
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (None, ""), ("", ""), ("plain &lt;text&gt;", "plain <text>"), (PAGE.replace("{}", ""), "Head & tail First. Second line here too."),
+        (PAGE.replace("{}", '<div id="comments"><p>Nice!</p></div><aside>See also</aside><form><input><p>Sign</p></form>'), "Head & tail First. Second line here too."),
+        ("<p>a<p>b<ul><li>c<li>d</ul>e", "a b c d e"), ("<div>a <b>b</b><i>c</i></div>", "a bc"), ("<p>x &amp y &#65;&#x42; &unknown; z", "x & y AB &unknown; z"),
+        ("<body><header>Site</header><main><h1>M</h1><p>t</p></main><div role=contentinfo>f</div>", "M t"), ("<p>unclosed <a href='x>y'>link</a", "unclosed link"),
+        ("<article><header><h1>Own</h1></header><p>1 < 2 and 3 > 2</p></article>", "Own 1 < 2 and 3 > 2"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"), ("<script>x", ""), ("a<!-- open", "a"), ("<div class=cookie-notice>We</div><p>t</p>", "t"),
+    ],
+)
+def test_main_text(source, text):
+    assert template.main_text(source) == text
+
+
+def test_deep_and_long_pages():
+    assert template.main_text("<div>" * 50_000 + "x") == "x"
+    assert len(template.main_text("<p>" + "word " * 200_000 + "</p>").split()) == 200_000
+    template.main_text("<" * 50_000 + "a=" * 50_000)
+
+
+def test_templates_are_counted_per_host(spark):
+    rows = []
+    for k in range(12):
+        box = "<div><span>Our site since 1999</span></div>"
+        rows.append((k, f"http://a.example/{k}", f"<html><body>{box}<div><p>Story {k} of the day</p></div></body></html>"))
+        rows.append((100 + k, "http://b.example/same", "<html><body><div><p>The same story</p></div></body></html>"))
+    rows += [(200, "http://c.example/", f"<html><body>{box}<p>Else</p></body></html>"), (None, None, None), (201, "no host", "<p>t</p>"), rows[0]]
+    got = template.extracted(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")).drop("__row").collect()
+    want = Counter()
+    for i, url, source in rows:
+        text = "" if source is None else f"Story {i} of the day" if i is not None and i < 100 else "The same story" if i < 200 else "Our site since 1999 Else" if i == 200 else "t"
+        want[i, url, text, len(text)] += 1
+    assert Counter(tuple(r) for r in got) == want
+    assert template.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
