@@ -24,6 +24,9 @@ LEAST_PAGES, LEAST_SHARE = 4, 0.1
 #: The same inside the element that holds the article.
 INNER_PAGES, INNER_SHARE = 20, 0.5
 
+#: Hashes of all hosts' templates that are broadcast; more are joined.
+BROADCAST = 1_000_000
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video map nav aside footer form button select textarea input menu dialog fieldset title datalist".split())
@@ -202,10 +205,11 @@ def subtrees(source: str | None) -> tuple[list[int], list[int]]:
     return sorted(outer), sorted(inner - outer)
 
 
-def main_text(source: str | None, template=frozenset()) -> str:
-    """The page's main text, without the subtrees whose hashes are given."""
+def main_text(source: str | None, outer=frozenset(), inner=frozenset()) -> str:
+    """The page's main text, without the subtrees whose hashes are given, those of ``inner`` if the page marks its article, else those of ``outer``."""
     root = parse(source or "")
     article = _holds(root)
+    template = inner if article else outer
     if template:
         hashed(root, article)
     return " ".join(texts(article or [root], template, bool(article)))
@@ -224,27 +228,27 @@ def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: s
     rows = rows.withColumn("host", host)
 
     def parts(columns):
-        number, hosts, sources = columns
+        hosts, sources = columns
         found = [subtrees(s) for s in sources]
-        return [number, hosts, [xxh3_64_intdigest((s or "").encode("utf-8", "surrogatepass")) >> 1 for s in sources], [f[0] for f in found], [f[1] for f in found]]
-
-    trees = cut(map_rows(rows.select(ROW, "host", "html"), f"{ROW} long, host string, page long, outer array<long>, inner array<long>", parts))
-    each = trees.select(ROW, "host", "page", F.explode(F.concat(F.transform("outer", lambda x: F.struct(x.alias("hash"), F.lit(False).alias("inner"))), F.transform("inner", lambda x: F.struct(x.alias("hash"), F.lit(True).alias("inner"))))).alias("part"))
-    each = each.select(ROW, "host", "page", "part.hash", "part.inner")
-    # copies of a page are counted once, before the pages of a hash
-    pages_of = trees.groupBy("host", "page").agg(F.min(ROW).alias(ROW))
-    many = pages_of.groupBy("host").agg(F.count("*").alias("pages"))
-    first = each.join(pages_of.select(ROW), ROW, "left_semi")
-    counts = first.groupBy("host", "hash", "inner").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+        return [hosts, [xxh3_64_intdigest((s or "").encode("utf-8", "surrogatepass")) >> 1 for s in sources], [f[0] for f in found], [f[1] for f in found]]
+
+    trees = map_rows(rows.select("host", "html"), "host string, page long, outer array<long>, inner array<long>", parts)
+    trees = cut(trees.groupBy("host", "page").agg(F.first("outer").alias("outer"), F.first("inner").alias("inner")))  # copies of a page are one
+    many = trees.groupBy("host").agg(F.count("*").alias("pages"))
+    part = lambda name, inner: F.transform(name, lambda x: F.struct(x.alias("hash"), F.lit(inner).alias("inner")))
+    each = trees.select("host", F.explode(F.concat(part("outer", False), part("inner", True))).alias("part")).select("host", "part.hash", "part.inner")
+    counts = each.groupBy("host", "hash", "inner").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
     often = F.when(F.col("inner"), (F.col("n") >= INNER_PAGES) & (F.col("n") >= INNER_SHARE * F.col("pages"))).otherwise(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    template = counts.join(many, "host").where(often).select("host", "hash", "inner")
-    found = each.join(template, ["host", "hash", "inner"]).groupBy(ROW).agg(F.collect_list("hash").alias("template"))
-    rows = rows.join(found, ROW, "left").select(ROW, "id", "url", "html", "template")
+    # of a host, at most a few times as many as a page has subtrees, since each is on a tenth of its pages
+    lists = counts.join(many, "host").where(often).groupBy("host").agg(*(F.collect_list(F.when(F.col("inner") == k, F.col("hash"))).alias(name) for name, k in (("outer", False), ("inner", True))))
+    lists = cut(lists)
+    held = lists.agg(F.sum(F.size("outer") + F.size("inner") + 8)).first()[0] or 0
+    rows = rows.join(F.broadcast(lists) if held <= BROADCAST else lists, "host", "left").select(ROW, "id", "url", "html", "outer", "inner")
     kind = f"{ROW} long, id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def read(columns):
-        number, ids, urls, sources, templates = columns
-        out = [main_text(s, frozenset(t or ())) for s, t in zip(sources, templates, strict=True)]
+        number, ids, urls, sources, outer, inner = columns
+        out = [main_text(s, frozenset(o or ()), frozenset(i or ())) for s, o, i in zip(sources, outer, inner, strict=True)]
         return [number, ids, urls, out, [len(t) for t in out]]
 
     return map_rows(rows, kind, read).withColumnRenamed("id", id).withColumnRenamed("url", url)
