@@ -1,0 +1 @@
+"""A Spark engine for gridded time series and forecast verification."""
