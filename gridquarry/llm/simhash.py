@@ -95,7 +95,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     linked = nodes.join(roots, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("best").alias("least"))
     whole = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
-    nodes = nodes.join(whole, "fp", "left").select("fp", F.coalesce("least", "best").alias("best"))
+    # dealt anew, so that the last join shuffles both sides and rows of one fingerprint can be split
+    nodes = nodes.join(whole, "fp", "left").select("fp", F.coalesce("least", "best").alias("best")).hint("rebalance")
     return prints.join(nodes, "fp").select(
         ROW, F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("best.id").alias("component_id"), (F.col("best.row") == F.col(ROW)).alias("stays"),
