@@ -36,9 +36,9 @@ def features(text: str | None) -> np.ndarray:
     h = np.fromiter(map(xxh3_64_intdigest, distinct, repeat(1)), np.uint64)
     shift = np.uint64(64 - BITS)
     lines = [x for x in b.split(b"\n") if x.strip()]
-    form = [b"\n size", b"%d" % len(words).bit_length()], [b"\n lines", b"%d" % (10 * len(set(lines)) // len(lines))]
-    again = np.flatnonzero(np.diff(ids) == 0)
-    form += tuple([b"\n again", b"%d" % k] for k in range(min(len(again), 4)))
+    again = int(np.count_nonzero(np.diff(ids) == 0))
+    form = [b"\n size", b"%d" % len(words).bit_length()], [b"\n lines", b"%d" % (10 * len(set(lines)) // len(lines))], [b"\n again", b"%d" % (10 * again // len(ids))]
+    form += tuple([b"\n runs", b"%d" % k] for k in range(again.bit_length()))
     some = [h >> shift, np.array([xxh3_64_intdigest(b" ".join(x), 2) for x in form], np.uint64) >> shift]
     if len(ids) > 1:
         pairs = np.unique(ids[:-1] * len(distinct) + ids[1:])
