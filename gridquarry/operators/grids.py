@@ -129,9 +129,9 @@ def bilinear(points: DataFrame, grid: DataFrame, spacing: float, lat: str = "lat
     rows = points.withColumns({"__y": F.floor(fy), "__x": F.floor(fx), "__a": fy - F.floor(fy), "__b": fx - F.floor(fx)})
     a, b = F.col("__a"), F.col("__b")
     corners = F.array(*(
-        F.struct((F.col("__y") + dy).alias("i"), F.pmod(F.col("__x") + dx, F.lit(around)).alias("j"), ((a if dy else 1 - a) * (b if dx else 1 - b)).alias("k"))
+        F.struct((F.col("__y") + dy).alias("i"), F.pmod(F.col("__x") + dx, F.lit(around)).alias("j"), ((a if dy else 1 - a) * (b if dx else 1 - b)).alias("__k"))
         for dy in (0, 1) for dx in (0, 1)
     ))
-    each = rows.select(*points.columns, F.inline(corners)).where("k > 0")
-    got = each.join(grid, ["i", "j"], "left").groupBy(*points.columns).agg(F.sum(F.col("k") * F.col(value)).alias("got"), F.count_if(F.col(value).isNull()).alias("__none"))
+    each = rows.select(*points.columns, F.inline(corners)).where("__k > 0")
+    got = each.join(grid, ["i", "j"], "left").groupBy(*points.columns).agg(F.sum(F.col("__k") * F.col(value)).alias("got"), F.count_if(F.col(value).isNull()).alias("__none"))
     return got.select(*points.columns, F.when(F.col("__none") == 0, F.col("got")).alias("got"))

@@ -48,9 +48,10 @@ def floored_std(df: DataFrame, column: str, std: str, minimum: Column, share: fl
 
 
 def quantized(value: Column, mean: Column, std: Column) -> Column:
-    """Standard deviations in counts, rounded half to even and clipped, as a 16-bit integer."""
+    """Standard deviations in counts, rounded half to even and clipped, as a 16-bit integer; null and NaN give null."""
     most = COUNTS_PER_STD * CLIP_STD
-    return F.least(F.greatest(F.rint((value - mean) / std * COUNTS_PER_STD), F.lit(-float(most))), F.lit(float(most))).cast("short")
+    counts = F.least(F.greatest(F.rint((value - mean) / std * COUNTS_PER_STD), F.lit(-float(most))), F.lit(float(most))).cast("short")
+    return F.when(value.isNotNull() & ~F.isnan(value), counts)
 
 
 def unquantized(q: Column, mean: Column, std: Column) -> Column:

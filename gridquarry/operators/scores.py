@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Sea water density and heat capacity.
 RHO0, CP = 1025.0, 3990.0
@@ -73,7 +74,7 @@ def spread_skill(df: DataFrame, by: list[str], w: str = "w") -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erf(z: pd.Series) -> pd.Series:
     """The error function; Spark has none."""
     return z.map(math.erf, na_action="ignore").astype("float64")
