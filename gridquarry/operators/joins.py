@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, name: str, block: Column | None = None) -> DataFrame:
     """``left`` with the latest ``value`` of ``right`` whose ``at`` is not after its own; null if none.
 
     Both are stacked and sorted by group, then the last value is carried on: one shuffle, no range join.
+    With ``block`` (an expression of ``at`` that never falls as ``at`` grows, such as its month) a task sorts
+    one block of one group only, and the last value of each block is carried to the next: for hot groups.
     """
+    if block is not None:
+        return _as_of_blocks(left, right, by, at, value, name, block)
     columns = [c for c in left.columns if c not in (*by, at)]
     l = left.select(*by, at, F.struct(*columns, F.lit(1).alias("__l")).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))  # noqa: E741
     r = right.select(*by, at, F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"), F.lit(0).alias("__side"))
@@ -22,6 +26,17 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str,
     return rows.where("__side = 1").select(*by, at, *(F.col(f"__row.{c}").alias(c) for c in columns), F.col("__last.__v").alias(name))
 
 
+def _as_of_blocks(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, name: str, block: Column) -> DataFrame:
+    l, r = left.withColumn("__block", block), right.withColumn("__block", block)  # noqa: E741
+    inside = as_of(l, r.withColumn("__v", F.struct(F.col(value).alias("v"))), [*by, "__block"], at, "__v", "__in")
+    lasts = r.groupBy(*by, "__block").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(at)).alias("__v"))
+    marks = l.select(*by, "__block").distinct().withColumn("__v", F.lit(None).cast(lasts.schema["__v"].dataType)).unionByName(lasts)
+    marks = marks.groupBy(*by, "__block").agg(F.max("__v").alias("__v"))  # one row a block: the sums below are small
+    w = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(*by, "__block", F.last("__v", True).over(w).alias("__before"))
+    return inside.join(carried, [*by, "__block"], "left").select(*left.columns, F.coalesce("__in", "__before")["v"].alias(name))
+
+
 def within_radius(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """(a, b, distance) of the points (id, x, y) within ``radius``: b is dealt to the squares around its own, a joins by square."""
     def square(c: str) -> Column:

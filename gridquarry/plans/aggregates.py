@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import moments as mom
+from ..operators.selection import at_rank
 from .registry import query
 from .scores import tidy
 from .tables import CELLS, DAILY, FIELDS, IMAGE, SAMPLES, cells, daily, fields, image, samples, table
@@ -237,14 +238,13 @@ def front_medians(spark, sf):
 @query("g01_best_median_worst", f"""WITH {SAMPLES}, s AS (SELECT start, sqrt(avg(pow(pred-truth, 2)))/sqrt(avg(pow(x0-truth, 2))) AS skill FROM samples GROUP BY start HAVING avg(pow(x0-truth, 2)) > 0), r AS (SELECT *, row_number() OVER (ORDER BY skill, start) AS r, count(*) OVER () AS n FROM s)
     SELECT CASE r WHEN 1 THEN 'best' WHEN n THEN 'worst' ELSE 'median' END AS which, start, round(skill, 6) AS skill FROM r WHERE r IN (1, n//2 + 1, n)""")
 def best_median_worst(spark, sf):
-    """The samples ranked first, in the middle and last by skill; counts below each skill, no global window."""
+    """The samples ranked first, in the middle and last by skill."""
     e, p = F.col("pred") - F.col("truth"), F.col("x0") - F.col("truth")
     s = samples(spark, sf).groupBy("start").agg(F.sqrt(F.avg(e * e)).alias("e"), F.sqrt(F.avg(p * p)).alias("p")).where("p > 0").select("start", (F.col("e") / F.col("p")).alias("skill"))
     n = s.count()
     if not n:
         return s.select(F.lit("").alias("which"), "start", "skill")
-    first = s.orderBy("skill", "start").limit(n // 2 + 1)
-    middle = first.orderBy(F.desc("skill"), F.desc("start")).limit(1)
+    middle = at_rank(s, "skill", "start", n // 2)
     ends = s.orderBy("skill", "start").limit(1), s.orderBy(F.desc("skill"), F.desc("start")).limit(1)
     rows = [x.select(F.lit(k).alias("which"), "start", "skill") for k, x in (("best", ends[0]), ("median", middle), ("worst", ends[1]))]
     return tidy(rows[0].union(rows[1]).union(rows[2]), 6)

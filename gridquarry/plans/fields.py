@@ -223,6 +223,16 @@ def calendar(spark, sf):
     return tidy(rows.select("day", F.sin(phys.phase(day)).alias("sin_doy"), F.cos(phys.phase(day)).alias("cos_doy"), phys.insolation(day, F.col("lat")).alias("insolation")), 8, insolation=5)
 
 
+@query("q03_sql_functions", f"WITH {DENSITY} SELECT col, k, round({SIGMA}, 6) AS sigma, round(CASE WHEN t > 10 THEN t ELSE 1 END, 6) AS std, round({phys.RADIUS_KM}*radians(0.08)*cos(radians(k*10)), 6) AS km FROM rho")
+def sql_functions(spark, sf):
+    """Functions registered by name, used in SQL."""
+    from ..functions.registry import register
+
+    register(spark)
+    rows = density(spark, sf).select("col", "k", F.expr("sigma2(t, s)").alias("sigma"), F.expr("safe_std(CASE WHEN t > 10 THEN t ELSE 0D END)").alias("std"), F.expr("cell_km(CAST(k * 10 AS DOUBLE), 0.08D)").alias("km"))
+    return tidy(rows, 6)
+
+
 @query("i03_cell_size", f"SELECT n_nationkey AS key, round({phys.RADIUS_KM}*radians(0.04)*cos(radians(n_nationkey*3.0 - 36)), 8) AS km FROM nation")
 def cell_size(spark, sf):
     return tidy(table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), phys.cell_km(F.col("n_nationkey") * 3.0 - 36).alias("km")), 8)

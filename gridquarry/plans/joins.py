@@ -111,6 +111,16 @@ def as_of(spark, sf):
     return ops.as_of(left, right, ["user_id"], "ts", "epoch", "epoch").select("event_id", "user_id", "epoch")
 
 
+@query("d13_as_of_blocks", """WITH e AS (SELECT event_type, ts, event_id AS epoch FROM events WHERE user_id % 7 = 0), t AS (SELECT event_type, ts, event_id FROM events WHERE user_id % 7 = 1)
+    SELECT t.event_id, t.event_type, e.epoch FROM t ASOF LEFT JOIN e ON t.event_type = e.event_type AND t.ts >= e.ts""")
+def as_of_blocks(spark, sf):
+    """The same for groups too large for one task: by day, carried from day to day."""
+    events = table(spark, sf, "events").select("event_type", "ts", "event_id", "user_id")
+    left = events.where("user_id % 7 = 1").select("event_type", "ts", "event_id")
+    right = events.where("user_id % 7 = 0").select("event_type", "ts", F.col("event_id").alias("epoch"))
+    return ops.as_of(left, right, ["event_type"], "ts", "epoch", "epoch", F.to_date("ts")).select("event_id", "event_type", "epoch")
+
+
 @query("d14_climatology", "WITH c AS (SELECT month(o_orderdate) AS m, avg(o_totalprice) AS mean FROM orders WHERE year(o_orderdate) < 1999 GROUP BY ALL) SELECT o_orderkey AS key, round(o_totalprice - mean, 4) AS anomaly FROM orders JOIN c ON m = month(o_orderdate) WHERE year(o_orderdate) >= 1999")
 def climatology(spark, sf):
     """Anomalies from the training years' mean of the month."""

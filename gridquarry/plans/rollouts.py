@@ -102,6 +102,16 @@ def scorecard(spark, sf):
     return tidy(ops.scorecard(stats, card(), F.col("start") >= 100), 6)
 
 
+@query("q02_diagnostic_series", f"WITH {SAMPLES}, s AS (SELECT start % 200 AS start, lead, sqrt(sum(w*pow(pred-truth,2))/sum(w)) AS rmse, sqrt(sum(w*pow(x0-truth,2))/sum(w)) AS rmse_pers, max(abs(pred)) AS xp, max(abs(truth)) AS xt FROM samples GROUP BY ALL) SELECT lead, round(quantile_cont(rmse/nullif(rmse_pers, 0), 0.5), 6) AS error_ratio, round(quantile_cont(xp/nullif(xt, 0), 0.5), 6) AS largest_ratio FROM s GROUP BY lead")
+def diagnostic_series(spark, sf):
+    """Diagnostics chosen by name from their registry."""
+    rows = samples(spark, sf).withColumn("start", F.col("start") % 200)
+    stats = ops.statistics(rows, ["start", "lead"], ops.registry())
+    chosen = {d.name: d for d in card() if d.name in ("error_ratio", "largest_ratio")}
+    each = stats.select("lead", *(d.series.alias(n) for n, d in chosen.items()))
+    return tidy(each.groupBy("lead").agg(*(F.expr(f"percentile({n}, 0.5)").alias(n) for n in chosen)), 6)
+
+
 @query("q04_functional_table", f"WITH {SAMPLES}, f AS (SELECT * FROM (VALUES ('total', 'A', 1.0), ('contrast', 'A', 1.0), ('contrast', 'N', -1.0), ('half', 'R', 0.5)) t(name, field, k)) SELECT name, lead, round(sum(k*w*truth)/1e6, 6) AS value FROM samples JOIN f USING (field) GROUP BY ALL")
 def functional_table(spark, sf):
     """Any linear functional, from a table of weights."""

@@ -97,6 +97,93 @@ def metrics(spark, sf):
     return runs, rows
 
 
+@query("a06_bottom_depths", f"WITH {IMAGE} SELECT count(*) AS cells, round(sum(coalesce(v, 0)), 1) AS total FROM image WHERE y < 5")
+def bottom_depths(spark, sf):
+    """Depths written as big-endian records, one file a row of the image, and read again; invalid is 0."""
+    import numpy as np
+    import pandas as pd
+
+    from ..sources.binary import FILL, decoded, record_words
+
+    words, folder = record_words((1, 40)), shared(spark)
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        line = np.zeros(words, ">f4")
+        line[p["x"].to_numpy()] = p["v"].fillna(2 * FILL).to_numpy()
+        return pd.DataFrame({"path": [f"depth_{p['y'].iloc[0]}"], "content": [line.tobytes()]})
+
+    image(spark, sf).where("y < 5").groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
+    rows = decoded(spark.read.parquet(folder), (1, 40), ["depth"])
+    return tidy(rows.agg(F.count("*").alias("cells"), F.sum(F.coalesce("value", F.lit(0.0))).alias("total")), 1)
+
+
+@query("a07_mean_archive", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(v, 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) WHERE y < 3 GROUP BY ALL")
+def mean_archive(spark, sf):
+    """Archives of two records each, told apart by name."""
+    import numpy as np
+    import pandas as pd
+
+    from ..sources.binary import decoded, record_words
+
+    words, folder = record_words((1, 40)), shared(spark)
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        lines = np.zeros((2, words), ">f4")
+        lines[:, p["x"].to_numpy()] = np.outer([1, 2], p["v"].fillna(0).to_numpy())
+        return pd.DataFrame({"path": [str(p["y"].iloc[0])], "content": [lines.tobytes()]})
+
+    image(spark, sf).where("y < 3").groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
+    rows = decoded(spark.read.parquet(folder), (1, 40), ["thickness", "surface"])
+    return tidy(rows.groupBy("name", F.col("path").cast("long").alias("y")).agg(F.count("*").alias("records"), F.sum("value").alias("total")), 1)
+
+
+SYSTEM = """
+name = "stand-in"
+root = "/archive"
+free = true
+[products]
+means = "F/*.a"
+increments = "P/*.a"
+forcing = "O/*.a"
+"""
+
+
+@query("a01_products", "SELECT product, n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'means' WHEN 'O' THEN 'forcing' END AS product, count(*) AS n FROM orders GROUP BY ALL) WHERE product IS NOT NULL")
+def products(spark, sf):
+    """Files of each product of a system; a free run has none of assimilation."""
+    from ..sources.config import System
+
+    system = System.from_toml(SYSTEM)
+    kinds = F.create_map(*(F.lit(x) for product in system.products for x in (system.glob(product).split("/")[2], product)))
+    rows = table(spark, sf, "orders").select(F.try_element_at(kinds, F.col("o_orderstatus")).alias("product"))
+    return rows.where("product IS NOT NULL").groupBy("product").agg(F.count("*").alias("n"))
+
+
+@query("c10_chosen_years", f"WITH {SAMPLES} SELECT year(o_orderdate)::INT AS y, l_linenumber AS level, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE year(o_orderdate) IN (1996, 1998, 1999, 2000) AND l_linenumber IN (2, 5) GROUP BY ALL")
+def chosen_years(spark, sf):
+    """Years and levels given as text."""
+    from ..sources.config import parse_levels, parse_years
+
+    years, levels = parse_years("1996,1998-2000"), parse_levels("5,2", list(range(1, 8)))
+    orders = table(spark, sf, "orders").where(F.year("o_orderdate").isin(years)).select("o_orderkey", F.year("o_orderdate").alias("y"))
+    lines = table(spark, sf, "lineitem").where(F.col("l_linenumber").isin([int(x) for x in levels])).select("l_orderkey", F.col("l_linenumber").alias("level"))
+    return lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("y", "level").agg(F.count("*").alias("n"))
+
+
+@query("a13_file_of_year", "SELECT o_orderkey AS key, CASE WHEN year(o_orderdate) < 1998 THEN 'old/' ELSE 'new/' END || year(o_orderdate) || CASE WHEN year(o_orderdate) < 1998 THEN '.tar' ELSE '.zip' END AS path FROM orders")
+def file_of_year(spark, sf):
+    """Archive names, which differ by era."""
+    y = F.year("o_orderdate")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.concat(F.when(y < 1998, "old/").otherwise("new/"), y.cast("string"), F.when(y < 1998, ".tar").otherwise(".zip")).alias("path"))
+
+
+@query("a14_rows_of_year", "SELECT month(o_orderdate)::INT AS month, count(*) AS n FROM orders WHERE year(o_orderdate) = 1999 GROUP BY ALL")
+def rows_of_year(spark, sf):
+    """One year of a pack, by a range of days that prunes what is read."""
+    rows = table(spark, sf, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1999-01-01' AND o_orderdate < TIMESTAMP_NTZ '2000-01-01'")
+    return rows.groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
+
+
 @query("a15_stage_histories", f"WITH {RUNS} SELECT name, list(value ORDER BY step) AS values FROM runs JOIN metrics USING (run_uuid) WHERE key = 'loss' GROUP BY name")
 def stage_histories(spark, sf):
     return met.histories(*metrics(spark, sf), "loss")
@@ -169,6 +256,21 @@ def stacked(spark, sf):
     return tidy(rows.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.count("change").alias("n_diff"), F.stddev_pop("change").alias("scale")), 6)
 
 
+@query("b03_packed_rows", f"WITH {DAILY} SELECT cell, count(*) AS n, round(sum(value), 6) AS total FROM daily WHERE feature = 'view' GROUP BY cell")
+def packed_rows(spark, sf):
+    """A copy committed whole: its files appear when the write succeeds."""
+    folder = shared(spark)
+    daily(spark, sf).where("feature = 'view'").repartition("day").write.partitionBy("day").parquet(folder)
+    return tidy(spark.read.parquet(folder).groupBy("cell").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 6)
+
+
+@query("b05_finished_pack", f"WITH {DAILY}, s AS (SELECT feature, count(*) AS n, avg(value) AS mean, CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1 END AS std FROM daily WHERE day <= DATE '2024-01-20' GROUP BY feature) SELECT feature, n, round(mean, 6) AS mean, round(std, 6) AS std FROM s")
+def finished_pack(spark, sf):
+    """A pack with its plan, rows and, written last, its training statistics."""
+    pack = packs.Pack(spark, shared(spark)).build(daily(spark, sf), {"table": "events"}).finish(["cell", "feature"], "2024-01-20")
+    return tidy(pack.statistics().select("feature", "n", "mean", "std"), 6)
+
+
 @query("b08_overlaid_features", f"WITH {DAILY}, d AS (SELECT day, cell, avg(value) AS base FROM daily WHERE feature = 'view' GROUP BY ALL), m AS (SELECT day, cell, avg(value) - 273.15 AS more FROM daily WHERE feature = 'error' GROUP BY ALL) SELECT day, cell, round(base, 6) AS base, round(more, 6) AS more FROM d JOIN m USING (day, cell)")
 def overlaid(spark, sf):
     """Base features beside new ones, Kelvin made Celsius."""
@@ -177,6 +279,16 @@ def overlaid(spark, sf):
     return tidy(packs.overlaid(base, more.withColumn("more", F.col("more") - 273.15), ["day", "cell"]), 6)
 
 
+@query("b09_appended_blocks", "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS block, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def appended_blocks(spark, sf):
+    """Six-hour means appended month half by month half."""
+    folder = shared(spark)
+    for some in ("ts < TIMESTAMP_NTZ '2024-01-16'", "ts >= TIMESTAMP_NTZ '2024-01-16'"):
+        rows = table(spark, sf, "events").where(some).groupBy(F.window("ts", "6 hours")["start"].cast("timestamp_ntz").alias("block")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+        rows.write.mode("append").parquet(folder)
+    return tidy(spark.read.parquet(folder), 6)
+
+
 @query("b10_rollout_parts", f"WITH {SAMPLES} SELECT start, lead, round(sum(pred), 4) AS pred FROM samples WHERE start % 50 = 0 GROUP BY ALL")
 def rollout_parts(spark, sf):
     """Parts appended in two batches of starts and again: starts that are there are skipped."""
@@ -207,6 +319,19 @@ def markdown_rows(spark, sf):
     return reports.markdown(rows)
 
 
+@query("b14_report_leads", f"WITH {SAMPLES} SELECT lead, '| ' || lead || ' | ' || count(*) || ' | ' || count_if(pred > 50000) || ' |' AS line FROM samples WHERE lead IN (1, 4, 7) GROUP BY lead")
+def report_leads(spark, sf):
+    """A report's lines at the chosen leads."""
+    rows = samples(spark, sf).where("lead IN (1, 4, 7)").groupBy("lead").agg(F.count("*").alias("n"), F.count_if(F.col("pred") > 50000).alias("high"))
+    return rows.select("lead", reports.line(["lead", "n", "high"]).alias("line"))
+
+
+@query("s01_figure_tables", f"WITH {SAMPLES} SELECT field, CAST(floor(pred/10000) AS INT) AS bin, count(*) AS n, round(avg(truth), 4) AS truth FROM samples GROUP BY ALL")
+def figure_tables(spark, sf):
+    """The table behind a figure; nothing is drawn."""
+    return tidy(samples(spark, sf).groupBy("field", F.floor(F.col("pred") / 10000).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("truth").alias("truth")))
+
+
 @query("b15_grid_roundtrip", f"WITH {IMAGE} SELECT count(*) AS cells, count(v) AS ocean, round(sum(v), 4) AS total FROM image")
 def grid_roundtrip(spark, sf):
     """A static grid written and read again."""

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Records are padded to so many 32-bit words; values from here on are fills.
 PAD, FILL = 4096, 1e29
@@ -22,6 +23,11 @@ def read_records(spark: SparkSession, pattern: str, shape: tuple[int, int], name
 
     Only every ``stride``-th row and column is kept. A file is the unit of work, so files should be of archive size.
     """
+    return decoded(spark.read.format("binaryFile").load(pattern).select("path", "content"), shape, names, stride)
+
+
+def decoded(files: DataFrame, shape: tuple[int, int], names: list[str], stride: int = 1) -> DataFrame:
+    """The same of files (path, content) already read."""
     words = record_words(shape)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,15 +40,11 @@ def read_records(spark: SparkSession, pattern: str, shape: tuple[int, int], name
                     v = np.frombuffer(content, ">f4", shape[0] * shape[1], 4 * words * k).reshape(shape)[::stride, ::stride].ravel().astype(float)
                     yield pd.DataFrame({"path": path, "name": name, "y": y, "x": x, "value": np.where(np.abs(v) < FILL, v, np.nan)})
 
-    rows = spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, "path string, name string, y long, x long, value double")
-    from pyspark.sql import functions as F
-
+    rows = files.mapInPandas(run, "path string, name string, y long, x long, value double")
     return rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def read_depths(spark: SparkSession, path: str, shape: tuple[int, int]) -> DataFrame:
     """(y, x, depth) of a bottom depth record; invalid is 0."""
-    from pyspark.sql import functions as F
-
     rows = read_records(spark, path, shape, ["depth"])
     return rows.select("y", "x", F.coalesce("value", F.lit(0.0)).alias("depth"))

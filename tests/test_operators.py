@@ -439,3 +439,26 @@ def test_scorecard_orders_by_departure_then_name(spark):
 def test_json_is_sorted(spark):
     got = spark.range(1).select(F.to_json(F.struct(F.lit(1).alias("a"), F.lit(2).alias("b"))).alias("j")).first()[0]
     assert json.loads(got) == {"a": 1, "b": 2} and datetime(2024, 1, 1)
+
+
+# selection and blocks
+
+
+def test_row_at_a_rank_without_a_global_sort(spark):
+    from gridquarry.operators.selection import at_rank
+
+    rng = random.Random(4)
+    for rows in ([(rng.random(), k) for k in range(500)], [(1.0, k) for k in range(200)], [(float(rng.randint(0, 3)), k) for k in range(300)], [(2.0, 1)], []):
+        df = spark.createDataFrame(rows, "v double, k int")
+        for rank in {0, len(rows) // 2, max(0, len(rows) - 1)}:
+            want = sorted(rows)[rank : rank + 1]
+            assert [tuple(r) for r in at_rank(df, "v", "k", rank, few=20).collect()] == want
+        assert at_rank(df, "v", "k", len(rows)).count() == 0
+
+
+def test_as_of_by_blocks_is_as_of(spark):
+    rng = random.Random(7)
+    left = spark.createDataFrame([(rng.randint(1, 2), rng.randint(0, 99), k) for k in range(150)], "k int, t int, id int")
+    right = spark.createDataFrame([(rng.randint(1, 2), t, None if t % 5 == 0 else t * 10) for t in rng.sample(range(100), 25)], "k int, t int, v int")
+    whole = values(joins.as_of(left, right, ["k"], "t", "v", "got"), "k", "t", "id", "got")
+    assert whole == values(joins.as_of(left, right, ["k"], "t", "v", "got", F.floor(F.col("t") / 7)), "k", "t", "id", "got")
