@@ -14,6 +14,12 @@ def cells(rows: int) -> int:
     return min(MOST_CELLS, 1 + rows // CELL_ROWS)
 
 
+def dealt(id: Column, row: Column, n: int) -> Column:
+    """The cell, of n, of a row: by a digest of its id, or of its number where it has none."""
+    name = F.coalesce(id.cast("string"), F.concat(F.lit("row "), row.cast("string")))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % n
+
+
 def positions(df: DataFrame, by: list[str], cell: list[str], order: list[Column], name: str) -> DataFrame:
     """``df`` with each row's place, from 0, among the rows with its ``by``, in the order of ``cell`` and ``order``.
 

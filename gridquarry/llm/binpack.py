@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from ._positions import cells, positions
+from ._positions import cells, dealt, positions
 from ._shared import ROW, cut, numbered
 
 
@@ -113,22 +113,22 @@ def sharded(docs: DataFrame, shards: int | None = 16, capacity: int | None = Non
     size: UTF-8 bytes of the text plus 1. With ``shards``, all their sizes come
     near the mean, but for a shard that a single larger group overfills; with
     ``capacity`` instead, as few shards are opened as best fit needs, and a group
-    larger than it gets one of its own. Null texts have size 1 and are a group
-    apart from empty ones. Slots are gapless; ids may be null or repeat. An
+    larger than it gets one of its own. Null texts count as
+    empty: size 1, one group. Slots are gapless; ids may be null or repeat. An
     empty table gives no rows; other columns are not read.
     """
     t = F.col("text")
     rows = numbered(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select(
         ROW, "id", (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("crc"), F.coalesce(F.unhex(F.sha2(t, 256)), F.lit(b"")).alias("key"),
+        F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("crc"), F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256)).alias("key"),
     )
     rows = cut(rows)
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("whole"), F.count("*").alias("members")))
     sizes = groups.groupBy("whole").agg(F.count("*").alias("n"), F.sum("members").alias("rows")).collect()  # fewer than sqrt(2 T)
     n, found = sum(r["rows"] for r in sizes), [(r["whole"], r["n"]) for r in sizes]
     plan = docs.sparkSession.createDataFrame(pack(found, capacity or level(found, shards), None if capacity else shards), "whole long, first long, last long, shard int")
-    groups = positions(groups.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells(n)))), ["whole"], ["cell"], [F.col("key")], "at")
+    groups = positions(groups.withColumn("cell", F.conv(F.substring(F.hex("key"), 1, 8), 16, 10).cast("long") % cells(n)), ["whole"], ["cell"], [F.col("key")], "at")
     where = groups.join(plan, "whole").where("at BETWEEN first AND last").select("key", "shard")
-    placed = rows.join(where, "key").withColumn("cell", F.pmod(F.xxhash64(ROW), F.lit(cells(n))))
+    placed = rows.join(where, "key").withColumn("cell", dealt(F.col("id"), F.col(ROW), cells(n)))
     placed = positions(cut(placed), ["shard"], ["cell"], [F.col("id").asc_nulls_last(), F.col(ROW)], "slot")
     return placed.select(ROW, F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "shard", "slot")

@@ -9,11 +9,12 @@ document of the target.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from ._positions import cells, positions
+from ._positions import cells, dealt, positions
 from ._shared import ROW, cut, numbered
 
 WEIGHTS, MOST, WORD = (5, 2, 1), 3, r"[^\x20\x09-\x0D]+"
@@ -34,6 +35,11 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
     return out
 
 
+def offset(seed: int, source: str | None) -> float:
+    """A number in [0, 1) for a source, the same for the same seed."""
+    return int(md5(f"{seed}:{source}".encode() if source is not None else str(seed).encode()).hexdigest()[:13], 16) / 2**52
+
+
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
     """For each row of ``docs``: its row number, id, size in words, source_size, target, copies and taken.
 
@@ -49,13 +55,12 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     rows = cut(rows.select(ROW, "id", "source", size.alias("size")))
     found = sorted(rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
     goals = targets([r[1] for r in found], [weights[k % len(weights)] for k in range(len(found))], most)
-    offset = [xxh64_intdigest(repr((seed, r[0]))) / 2**64 for r in found]
-    plan = [(k, r[0], r[1], goal, goal / r[1] if r[1] else 0.0, u) for k, (r, goal, u) in enumerate(zip(found, goals, offset, strict=True))]
+    plan = [(k, r[0], r[1], goal, goal / r[1] if r[1] else 0.0, offset(seed, r[0])) for k, (r, goal) in enumerate(zip(found, goals, strict=True))]
     plan = docs.sparkSession.createDataFrame(plan, "sid int, name string, source_size long, target double, each double, offset double")
     # strata of sizes within a sixteenth, each dealt into cells by id
     bits = F.length(F.bin("size")).cast("int")
     stratum = F.when(F.col("size") < 32, F.col("size")).otherwise(bits * 16 + F.expr("shiftright(size, CAST(length(bin(size)) AS INT) - 5) & 15"))
-    cell = F.pmod(F.xxhash64("id", ROW), F.lit(cells(sum(r[2] for r in found))))
+    cell = dealt(F.col("id"), F.col(ROW), cells(sum(r[2] for r in found)))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).withColumns({"stratum": stratum, "cell": cell})
     rows = positions(rows, ["sid"], ["stratum", "cell"], [F.col("size"), F.col("id").asc_nulls_last(), F.col(ROW)], "at")
     copies = (F.floor((F.col("at") + 1) * F.col("each") + F.col("offset")) - F.floor(F.col("at") * F.col("each") + F.col("offset"))).cast("long")

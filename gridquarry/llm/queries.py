@@ -70,6 +70,42 @@ QUERIES = {
 
 #: The others have no SQL: fingerprints, tokenizers, trees, packing, pages and models are tested against plain code in tests/llm.
 ORACLE_SQL = {
+    "op5_sharding": r"""
+        WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+        d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size, least(4096, 1 + count(*) OVER () // 8192) AS cells FROM documents),
+        g AS (SELECT sha256(text) AS key, any_value(cells) AS cells, CAST(sum(size) AS BIGINT) AS whole FROM d GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (ORDER BY whole DESC, CAST('0x' || substr(key, 1, 8) AS BIGINT) % cells, key) AS i, CAST(sum(whole) OVER () AS BIGINT) AS total, CAST(coalesce(sum(whole) OVER (ORDER BY whole DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS above,
+                     row_number() OVER (ORDER BY whole DESC, key) AS n FROM g),
+        -- the capacity at which the shards are equally full, but for those that one group overfills
+        c AS (SELECT CAST(ceil((total - above) / (17 - n)) AS BIGINT) AS capacity FROM o WHERE n <= 16 AND (n = 16 OR whole * (17 - n) <= total - above) ORDER BY n LIMIT 1),
+        p AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS key, CAST(-1 AS BIGINT) AS shard, [capacity FOR k IN range(0, 16)] AS rooms FROM c
+              UNION ALL
+              SELECT o.i, o.key, b.shard, list_transform(range(0, 16), lambda k: p.rooms[k + 1] - CASE WHEN k = b.shard THEN o.whole ELSE 0 END)
+              FROM p JOIN o ON o.i = p.i + 1,
+              LATERAL (SELECT coalesce(list_min(list_filter(list_transform(range(0, 16), lambda k: CASE WHEN p.rooms[k + 1] >= o.whole THEN struct_pack(r := p.rooms[k + 1], k := k) END), lambda x: x IS NOT NULL)).k,
+                                       list_max(list_transform(range(0, 16), lambda k: struct_pack(r := p.rooms[k + 1], k := k))).k) AS shard) b)
+        SELECT doc_id, size,
+               xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32,
+               'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % cells, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM d JOIN p ON sha256(text) = p.key, tab
+    """,
+    "op6_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, ([5.0, 2.0, 1.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
+        -- sources by when they reach three times their size: as long as each is above it, it stops there
+        c AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+                     sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
+        f AS (SELECT *, bool_and(remaining * weight / weights > 3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS full_ FROM c),
+        t AS (SELECT *, CAST(CASE WHEN full_ THEN 3 * source_size ELSE CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (full_) OVER (), 0) AS DOUBLE) * weight / sum(weight) FILTER (NOT full_) OVER () END AS DOUBLE) AS target FROM f),
+        e AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each,
+                     CAST('0x' || substr(md5(CASE WHEN source IS NULL THEN '0' ELSE '0:' || source END), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM t),
+        x AS (SELECT *, length(bin(size)) AS bits, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % least(4096, 1 + count(*) OVER () // 8192) AS cell FROM d),
+        r AS (SELECT x.*, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN size < 32 THEN size ELSE bits * 16 + ((size >> (bits - 5)) & 15) END, cell, size, doc_id NULLS LAST) - 1 AS place FROM x)
+        SELECT doc_id, size, source_size, target, CAST(floor((place + 1) * each + u) - floor(place * each + u) AS BIGINT) * size AS taken
+        FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source
+    """,
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
         SELECT doc_id,

@@ -1,13 +1,12 @@
 import base64
 import itertools
 import math
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import duckdb
 import numpy as np
 import pytest
 import tiktoken
-from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from gridquarry.llm import mixing, rules, simhash
@@ -117,7 +116,7 @@ def plain_pipeline(rows):
     total = [sum(size[i] for i, (_, x) in docs.items() if x == s) for s in sources]
     out = []
     for s, whole, goal in zip(sources, total, mixing.targets(total, [(5, 2, 1)[k % 3] for k in range(len(sources))]), strict=True):
-        offset, each = xxh64_intdigest(repr((0, s))) / 2**64, goal / whole
+        offset, each = int(md5(f"0:{s}".encode()).hexdigest()[:13], 16) / 2**52, goal / whole
         for k, i in enumerate(sorted((i for i in docs if docs[i][1] == s), key=lambda i: (size[i], i))):
             out += [i] * (math.floor((k + 1) * each + offset) - math.floor(k * each + offset))
     with open(MULTI_RANKS, "rb") as f:
