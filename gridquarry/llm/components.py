@@ -24,8 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         last = seen
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
+        # rebalanced, so that the join shuffles both of its sides and Spark can split a hub
+        least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m")).hint("rebalance")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())

@@ -92,10 +92,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW).alias("row")))
     nodes = prints.groupBy("fp").agg(first.alias("best"))
     roots = cut(components(links(nodes.select("fp"))))
+    # what is rebalanced is shuffled again by the join that takes it, so both of its sides are, and Spark can split hot keys
     linked = nodes.join(roots, F.col("fp") == F.col("node"))
-    least = linked.groupBy("root").agg(F.min("best").alias("least"))
+    least = linked.groupBy("root").agg(F.min("best").alias("least")).hint("rebalance")
     whole = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
-    # dealt anew, so that the last join shuffles both sides and rows of one fingerprint can be split
     nodes = nodes.join(whole, "fp", "left").select("fp", F.coalesce("least", "best").alias("best")).hint("rebalance")
     return prints.join(nodes, "fp").select(
         ROW, F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
