@@ -234,7 +234,7 @@ def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: s
 
     trees = map_rows(rows.select("host", "html"), "host string, page long, outer array<long>, inner array<long>", parts)
     trees = cut(trees.groupBy("host", "page").agg(F.first("outer").alias("outer"), F.first("inner").alias("inner")))  # copies of a page are one
-    many = trees.groupBy("host").agg(F.count("*").alias("pages"))
+    many = trees.groupBy("host").agg(F.count("*").alias("pages")).hint("rebalance")  # so that the join shuffles both sides and can split a host
     part = lambda name, inner: F.transform(name, lambda x: F.struct(x.alias("hash"), F.lit(inner).alias("inner")))
     each = trees.select("host", F.explode(F.concat(part("outer", False), part("inner", True))).alias("part")).select("host", "part.hash", "part.inner")
     counts = each.groupBy("host", "hash", "inner").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
