@@ -9,7 +9,7 @@ from ..operators import moments as mom
 from ..operators.selection import at_rank
 from .registry import query
 from .scores import tidy
-from .tables import CELLS, DAILY, FIELDS, IMAGE, SAMPLES, cells, daily, fields, image, samples, table
+from .tables import CELLS, DAILY, FIELDS, IMAGE, SAMPLES, TRUTH, cells, daily, fields, image, samples, table
 
 
 @query("e01_mass_weighted_mean", """WITH p AS (SELECT l_partkey % 200 AS cell, l_linenumber AS k, sum(l_quantity*l_discount*1.00031729137::DOUBLE) AS w, sum(l_quantity*l_discount*1.00031729137::DOUBLE*l_extendedprice*0.99983172619::DOUBLE) AS wx, sum(l_quantity) AS n FROM lineitem GROUP BY ALL),
@@ -24,10 +24,10 @@ def mass_weighted_mean(spark, sf):
     return tidy(rows.select("cell", "k", F.round("thickness", 6).alias("thickness"), from_above(F.col("x"), F.col("thickness") < 0.03, ["cell"], "k").alias("x")), thickness=6)
 
 
-@query("e02_block_means", "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS block, event_type AS feature, count(*) AS n, round(avg(value), 6) AS mean, round(avg(abs(value - 5)), 6) AS mean_abs FROM events GROUP BY ALL")
+@query("e02_block_means", f"SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS block, event_type AS feature, count(*) AS n, round(avg(value)*{TRUTH}, 6) AS mean, round(avg(abs(value - 5))*{TRUTH}, 6) AS mean_abs FROM events GROUP BY ALL")
 def block_means(spark, sf):
     """Six-hour means."""
-    rows = table(spark, sf, "events").groupBy(F.window("ts", "6 hours").alias("w"), F.col("event_type").alias("feature")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(F.abs(F.col("value") - 5)).alias("mean_abs"))
+    rows = table(spark, sf, "events").groupBy(F.window("ts", "6 hours").alias("w"), F.col("event_type").alias("feature")).agg(F.count("*").alias("n"), (F.avg("value") * TRUTH).alias("mean"), (F.avg(F.abs(F.col("value") - 5)) * TRUTH).alias("mean_abs"))
     return tidy(rows.select(F.col("w.start").cast("timestamp_ntz").alias("block"), "feature", "n", "mean", "mean_abs"), 6)
 
 

@@ -8,7 +8,7 @@ from ..streaming import incremental as ops
 from .registry import query
 from .scores import tidy
 from .sources import shared
-from .tables import table
+from .tables import TRUTH, table
 
 
 def events(spark, sf):
@@ -30,16 +30,16 @@ def append_only(spark, sf):
 OPEN = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
-@query("p02_tumbling_windows", f"SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL) WHERE start + INTERVAL 6 HOUR <= {OPEN}")
+@query("p02_tumbling_windows", f"SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n, round(avg(value)*{TRUTH}, 6) AS mean FROM events GROUP BY ALL) WHERE start + INTERVAL 6 HOUR <= {OPEN}")
 def tumbling(spark, sf):
     rows = ops.run_once(ops.window_means(events(spark, sf), "ts", "value", ["event_type"], "6 hours", "1 hour"), shared(spark))
-    return tidy(rows.withColumn("start", F.col("start").cast("timestamp_ntz")), 6)
+    return tidy(rows.withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.col("mean") * TRUTH}), 6)
 
 
-@query("p03_complete_days", f"SELECT * FROM (SELECT CAST(ts AS DATE) AS day, count(DISTINCT hour(ts))::INT AS hours, round(CASE WHEN count(DISTINCT hour(ts)) = 24 THEN avg(value) END, 6) AS mean FROM events GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= {OPEN}")
+@query("p03_complete_days", f"SELECT * FROM (SELECT CAST(ts AS DATE) AS day, count(DISTINCT hour(ts))::INT AS hours, round(CASE WHEN count(DISTINCT hour(ts)) = 24 THEN avg(value)*{TRUTH} END, 6) AS mean FROM events GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= {OPEN}")
 def complete_days(spark, sf):
     rows = ops.run_once(ops.complete_days(events(spark, sf), "ts", "value", "1 hour"), shared(spark))
-    return tidy(rows, 6)
+    return tidy(rows.withColumn("mean", F.col("mean") * TRUTH), 6)
 
 
 @query("p05_stateful_streaks")
