@@ -154,15 +154,21 @@ def band_slope(spark, sf):
     return tidy(s.select("label", (F.col("fy") / F.col("ff")).alias("slope"), (F.col("yy") / F.col("ff")).alias("ratio"), (F.col("fy") / F.sqrt(F.col("ff") * F.col("yy"))).alias("corr")), 6)
 
 
-@query("e27_bootstrap_slope")
+#: Cumulative probabilities of a Poisson count of mean 1.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+
+
+@query("e27_bootstrap_slope", f"""WITH {SAMPLES}, r AS (SELECT field, start % 500 AS start, sum(pred*pred) AS ff, sum(pred*truth) AS fy FROM samples GROUP BY ALL),
+    e AS (SELECT *, CAST('0x' || substr(md5(start || ':' || draw), 1, 8) AS BIGINT)/4294967296.0 AS u FROM r, range(1, 201) d(draw)),
+    s AS (SELECT field, draw, sum(n*fy)/sum(n*ff) AS slope FROM (SELECT *, {" + ".join(f"CASE WHEN u >= {p!r} THEN 1 ELSE 0 END" for p in POISSON)} AS n FROM e) GROUP BY ALL)
+    SELECT field, round(quantile_cont(slope, 0.05), 6) AS low, round(quantile_cont(slope, 0.95), 6) AS high FROM s GROUP BY field""")
 def bootstrap_slope(spark, sf):
     """Quantiles of the pooled slope over resampled starts: each start counts a hashed, Poisson-distributed number of times in each draw, so no draw gathers the rows."""
     draws = 200
     rows = samples(spark, sf).groupBy("field", (F.col("start") % 500).alias("start")).agg(F.sum(F.col("pred") * F.col("pred")).alias("ff"), F.sum(F.col("pred") * F.col("truth")).alias("fy"))
     each = rows.select("field", "start", "ff", "fy", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.pmod(F.xxhash64("start", "draw"), F.lit(1 << 30)) / float(1 << 30)
-    bounds = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    n = sum(((u >= b).cast("int") for b in bounds), F.lit(0))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("start").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    n = sum(((u >= b).cast("int") for b in POISSON), F.lit(0))
     s = each.withColumn("n", n).groupBy("field", "draw").agg((F.sum(F.col("n") * F.col("fy")) / F.sum(F.col("n") * F.col("ff"))).alias("slope"))
     q = s.groupBy("field").agg(F.expr("percentile(slope, array(0.05, 0.95))").alias("q"))
     return tidy(q.select("field", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")), 6)

@@ -334,7 +334,12 @@ def alias_share(spark, sf):
     return tidy(spec.alias_share(fields(spark, sf), "id long", (8, 8), 2), 5)
 
 
-@query("k04_adjusted_excess")
+EXCESS = CELLS + """, s AS (SELECT id, y, x, h/0.1 AS t, 0.7*v[64 - y*8 - x]/0.1 AS p FROM cells JOIN fields USING (id)),
+    f AS (SELECT id, ky, kx, sum(p*cos(2*pi()*(ky*y + kx*x)/8)) AS pr, sum(p*sin(2*pi()*(ky*y + kx*x)/8)) AS pi_, sum(t*cos(2*pi()*(ky*y + kx*x)/8)) AS tr, sum(t*sin(2*pi()*(ky*y + kx*x)/8)) AS ti FROM s, range(0, 8) a(ky), range(0, 8) b(kx) GROUP BY ALL),
+    r AS (SELECT id, round_even(sqrt(pow(CASE WHEN ky > 3 THEN ky - 8 ELSE ky END, 2) + pow(CASE WHEN kx > 4 THEN kx - 8 ELSE kx END, 2)), 0) AS ring, sum(pr*pr + pi_*pi_)/64 AS px, sum(tr*tr + ti*ti)/64 AS py, sum(pr*tr + pi_*ti)/64 AS c FROM f GROUP BY ALL)"""
+
+
+@query("k04_adjusted_excess", f"WITH {EXCESS} SELECT id, round(sum(2*(greatest(px, py) - sqrt(px*py + 1e-12))*(1 - c/sqrt(px*py + 1e-12)))/64, 6) AS excess FROM r GROUP BY id")
 def adjusted_excess(spark, sf):
     """The excess of each field's forecast by its own mirror image."""
     rows = fields(spark, sf).withColumn("p", F.transform("v", lambda x: 0.7 * x)).withColumn("p", F.reverse("p"))

@@ -191,7 +191,10 @@ def lagged_forcing(spark, sf):
     return tidy(rows.where("forcing IS NOT NULL").select("cell", "feature", "day", "forcing"), 6)
 
 
-@query("f14_tracked_maximum")
+@query("f14_tracked_maximum", f"""WITH RECURSIVE {DAILY}, m AS (SELECT cell // 50 AS region, datediff('day', DATE '2024-01-01', day) AS d, cell FROM daily WHERE feature = 'view' AND value > 5),
+    t AS (SELECT region, s.step, 15::BIGINT AS d, min(cell) AS cell FROM m, (VALUES (-1), (1)) s(step) WHERE d = 15 GROUP BY ALL
+      UNION ALL SELECT t.region, t.step, t.d + t.step, n.cell FROM t, LATERAL (SELECT (SELECT arg_min(m.cell, struct_pack(a := abs(m.cell - t.cell), c := m.cell)) FROM m WHERE m.region = t.region AND m.d = t.d + t.step) AS cell) n WHERE abs(n.cell - t.cell) <= 6)
+    SELECT DISTINCT region, d AS day, cell FROM t""")
 def tracked(spark, sf):
     """A maximum followed day by day to the nearest within a radius, back and forth from an event."""
     from .topology import tracks

@@ -42,11 +42,14 @@ def complete_days(spark, sf):
     return tidy(rows.withColumn("mean", F.col("mean") * TRUTH), 6)
 
 
-@query("p05_stateful_streaks")
+@query("p05_stateful_streaks", f"""WITH e AS (SELECT user_id, ts, value > 3 AS high, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    h AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY ts) AS island FROM e WHERE high), r AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, max(i) < any_value(n) AS ended FROM h GROUP BY user_id, island)
+    SELECT user_id, first, last, n FROM r WHERE ended OR last + INTERVAL 1 DAY < {OPEN}""")
 def streaks(spark, sf):
     """Runs of high values of each user, kept in state between batches."""
     rows = events(spark, sf).withColumn("high", F.col("value") > 3)
-    return ops.run_once(ops.streaks(rows, "user_id", "ts", "high", "1 hour"), shared(spark))
+    rows = ops.run_once(ops.streaks(rows, "user_id", "ts", "high", "1 hour"), shared(spark))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 
 @query("p06_order_free_writes", "SELECT event_id % 16 AS part, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
