@@ -79,7 +79,15 @@ def maxima(spark, sf):
     return tidy(mapped(fields(spark, sf), run, "id long, maxima long, highest double"), 8)
 
 
-@query("l01_persistence_pairs")
+#: From each maximum of either sign (s, m) the best level w to every cell, until one is higher, or earlier and as high, or on the rim.
+PAIRS = "RECURSIVE " + CELLS + """, g AS (SELECT id, s, y, x, y*8 + x AS c, s*h AS h FROM cells, (VALUES (1), (-1)) t(s)),
+    k AS (SELECT *, NOT coalesce(lag(h) OVER r >= h, false) AND NOT coalesce(lead(h) OVER r > h, false) AND NOT coalesce(lag(h) OVER d >= h, false) AND NOT coalesce(lead(h) OVER d > h, false) AS peak FROM g WINDOW r AS (PARTITION BY id, s, y ORDER BY x), d AS (PARTITION BY id, s, x ORDER BY y)),
+    w AS (SELECT id, s, c AS m, h AS hm, c, y, x, h AS w, y IN (0, 7) OR x IN (0, 7) AS ends FROM k WHERE peak
+      UNION SELECT g.id, g.s, w.m, w.hm, g.c, g.y, g.x, least(w.w, g.h), g.y IN (0, 7) OR g.x IN (0, 7) OR g.h > w.hm OR (g.h = w.hm AND g.c < w.m) FROM w JOIN g ON g.id = w.id AND g.s = w.s AND abs(g.y - w.y) + abs(g.x - w.x) = 1 WHERE NOT w.ends),
+    p AS (SELECT id, s, m, any_value(hm) AS birth, max(w) FILTER (ends) AS death FROM w GROUP BY id, s, m)"""
+
+
+@query("l01_persistence_pairs", f"WITH {PAIRS} SELECT id, CASE s WHEN 1 THEN 'max' ELSE 'min' END AS kind, m AS cell, round(s*birth, 8) AS birth, round(s*death, 8) AS death FROM p WHERE birth > death")
 def pairs(spark, sf):
     def run(i, f):
         for kind, b, d, c in top.both_signs(f, open_edge=True):
@@ -97,7 +105,14 @@ def connection_levels(spark, sf):
     return tidy(mapped(fields(spark, sf).where("id < 8"), run, "id long, level double"), 8)
 
 
-@query("l06_neck_saddles")
+#: The best level w at which each cell connects to the seed strip's highest cell.
+NECKS = "RECURSIVE " + CELLS + """, g AS (SELECT id, y, x, y*8 + x AS c, h FROM cells), seed AS (SELECT id, arg_max(c, struct_pack(h := h, c := -c)) AS c FROM g WHERE y < 2 AND x BETWEEN 3 AND 5 GROUP BY id),
+    w AS (SELECT id, c, y, x, h AS w FROM g SEMI JOIN seed USING (id, c) UNION SELECT g.id, g.c, g.y, g.x, least(w.w, g.h) FROM w JOIN g ON g.id = w.id AND abs(g.y - w.y) + abs(g.x - w.x) = 1),
+    b AS (SELECT id, c, max(w) AS saddle FROM w GROUP BY id, c), k AS (SELECT *, NOT coalesce(lag(h) OVER r >= h, false) AND NOT coalesce(lead(h) OVER r > h, false) AND NOT coalesce(lag(h) OVER d >= h, false) AND NOT coalesce(lead(h) OVER d > h, false) AS peak FROM g WINDOW r AS (PARTITION BY id, y ORDER BY x), d AS (PARTITION BY id, x ORDER BY y)),
+    m AS (SELECT id, c, h, saddle FROM k JOIN b USING (id, c) WHERE peak), s AS (SELECT m.id, m.c, max(g.h) AS peak FROM m JOIN b o ON o.id = m.id AND o.saddle > m.saddle JOIN g ON g.id = o.id AND g.c = o.c GROUP BY ALL)"""
+
+
+@query("l06_neck_saddles", f"WITH {NECKS} SELECT m.id, m.c AS cell, round(m.h, 8) AS height, round(m.saddle, 8) AS saddle, round(greatest(0, least(m.h, coalesce(s.peak, m.saddle)) - m.saddle), 8) AS depth FROM m LEFT JOIN s ON s.id = m.id AND s.c = m.c")
 def necks(spark, sf):
     """Every maximum with its connection level to the seed, and the neck's depth."""
     seed = np.zeros((8, 8), bool)
