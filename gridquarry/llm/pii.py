@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 from hashlib import sha256
 
@@ -238,15 +239,18 @@ def trained(rows: int = 4000, seed: int = 7) -> tuple[Trees, tuple[float, ...]]:
 def found_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), each (start, kind, end)."""
     base = base_spans(text)
-    more = [c for c in candidates(text) if not any(c[0] < b[2] and b[0] < c[2] for b in base)] if len(base) < 64 else _apart(candidates(text), base)
+    more = _apart(candidates(text), base)
     if not more:
         return base, base
     trees, limits = trained()
     score = trees.score(np.array([describe(text, *c) for c in more], float))
-    taken: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int, int]] = []  # in order, apart from each other
     for i in np.argsort(-score, kind="stable"):
-        if score[i] >= limits[more[i][1]] and len(_apart([more[i]], sorted(taken))):
-            taken.append(more[i])
+        span = more[i]
+        if score[i] >= limits[span[1]]:
+            at = bisect_left(taken, (span[2],))  # those that begin before its end
+            if at == 0 or taken[at - 1][2] <= span[0]:
+                taken.insert(bisect_left(taken, span), span)
     return base, sorted(base + taken)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -54,10 +55,22 @@ class Node:
     hash: int = 0
 
 
+class Stack(list):
+    """The open elements, and how many there are of each tag, so that stray tags cost nothing however deep the page is."""
+
+    def __init__(self, nodes: list[Node]):
+        super().__init__(nodes)
+        self.open: Counter[str] = Counter()
+
+    def cut(self, k: int) -> None:
+        self.open.subtract(x.tag for x in self[k:])
+        del self[k:]
+
+
 def parse(source: str) -> Node:
     """A tree of elements and decoded texts; unclosed and stray tags are borne with as browsers do, roughly."""
     root = Node("#root")
-    stack, at, size = [root], 0, len(source)
+    stack, at, size = Stack([root]), 0, len(source)
     while at < size:
         m = TAG.search(source, at)
         if m is None:
@@ -72,9 +85,9 @@ def parse(source: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if stack.open[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    stack.cut(k)
                     break
                 if tag not in BLOCKS and stack[k].tag in INLINE_SCOPE:
                     break  # an inline end tag doesn't close blocks
@@ -100,14 +113,15 @@ def parse(source: str) -> Node:
                 node.children.append(html.unescape(source[at : end.start() if end else size]))
             at = end.end() if end else size
             continue
+        stack.open[tag] += 1
         stack.append(node)
     return root
 
 
-def _close(stack: list[Node], tags: set, stop) -> None:
-    for k in range(len(stack) - 1, 0, -1):
+def _close(stack: Stack, tags: set, stop) -> None:
+    for k in range(len(stack) - 1, 0, -1) if any(stack.open[t] for t in tags) else ():
         if stack[k].tag in tags:
-            del stack[k:]
+            stack.cut(k)
             return
         if stack[k].tag in stop:
             return
