@@ -120,7 +120,7 @@ def largest_anomaly(spark, sf):
     rows = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_returnflag").alias("feature"), "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"))
     stats = rows.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     d = F.abs(F.col("x") - F.col("mean"))
-    out = rows.join(F.broadcast(stats), "feature").groupBy("feature").agg(F.max(d / F.col("std")).alias("z"), F.max_by("l_orderkey", F.struct(d, -F.col("l_orderkey"), -F.col("l_linenumber"))).alias("key"))
+    out = rows.join(stats, "feature").groupBy("feature").agg(F.max(d / F.col("std")).alias("z"), F.max_by("l_orderkey", F.struct(d, -F.col("l_orderkey"), -F.col("l_linenumber"))).alias("key"))
     return tidy(out, 6)
 
 
@@ -352,7 +352,7 @@ STATS = "s AS (SELECT event_type AS feature, avg(value) AS mean, CASE WHEN stdde
 def quantized(spark, sf):
     """Values as 16-bit counts per standard deviation."""
     rows, stats = statistics(spark, sf)
-    q = rows.join(F.broadcast(stats), "feature").select("feature", mom.quantized(F.col("value"), F.col("mean"), F.col("std")).alias("q"))
+    q = rows.join(stats, "feature").select("feature", mom.quantized(F.col("value"), F.col("mean"), F.col("std")).alias("q"))
     return q.groupBy("feature").agg(F.count("*").alias("n"), F.sum("q").alias("total"), mom.at_clip(F.col("q")).alias("clipped"))
 
 
@@ -360,7 +360,7 @@ def quantized(spark, sf):
 def fixed_point(spark, sf):
     """16-bit values read back with the std that they were written with."""
     rows, stats = statistics(spark, sf)
-    q = rows.join(F.broadcast(stats), "feature").withColumn("q", mom.quantized(F.col("value"), F.col("mean"), F.col("std")))
+    q = rows.join(stats, "feature").withColumn("q", mom.quantized(F.col("value"), F.col("mean"), F.col("std")))
     back = mom.unquantized(F.col("q"), F.col("mean"), F.col("std"))
     return tidy(q.withColumn("back", back).groupBy("feature").agg(F.avg("back").alias("mean"), F.count_if(F.abs(F.col("back") - F.col("value")) > 0.01).alias("far")), 5)
 

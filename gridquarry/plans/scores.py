@@ -201,7 +201,7 @@ def thickness_weighted(spark, sf):
     rows = samples(spark, sf).withColumn("col", F.avg("w").over(Window.partitionBy("start")))
     std = rows.groupBy("field").agg(F.stddev_pop("truth").alias("std"))
     z = (F.col("pred") - F.col("truth")) / F.col("std")
-    return tidy(rows.join(F.broadcast(std), "field").groupBy("field").agg(F.avg(F.col("w") / F.col("col") * z * z).alias("loss")), 6)
+    return tidy(rows.join(std, "field").groupBy("field").agg(F.avg(F.col("w") / F.col("col") * z * z).alias("loss")), 6)
 
 
 @query("e33_verdict", f"WITH {SUMS}, r AS (SELECT sqrt(we2/w) AS rmse, sqrt(wp2/w) AS pers, {CORR} AS corr FROM sums) SELECT bool_and(coalesce(rmse < pers AND corr > 0, false)) AS passed, count(*) AS n, count_if(rmse < pers) AS better FROM r")
