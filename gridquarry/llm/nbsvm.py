@@ -130,10 +130,10 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     known = labels.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(~held).orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = docs.where("id IS NOT NULL").join(F.broadcast(known), "id")  # at most ``sample`` rows of two numbers
-    part = map_rows(chosen, "id long, label int, places array<int>", lambda c: [c[0], c[2], [features(t) for t in c[1]]])
+    part = map_rows(chosen, "id long, label int, places binary", lambda c: [c[0], c[2], [features(t).tobytes() for t in c[1]]])
     seen = {r["id"]: r for r in sorted(part.collect(), key=lambda r: (r["id"], r["places"]))}
     got = sorted(seen.values(), key=lambda r: xxh3_64_intdigest(str(r["id"])))
-    weights, offset = fit([np.array(r["places"], np.int32) for r in got], np.array([r["label"] for r in got], np.int64))
+    weights, offset = fit([np.frombuffer(r["places"], np.int32) for r in got], np.array([r["label"] for r in got], np.int64))
     model = docs.sparkSession.sparkContext.broadcast((weights, offset))  # of a fixed size: 2 floats for each place
 
     def rows(columns):
