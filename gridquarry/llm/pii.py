@@ -89,8 +89,8 @@ GENERATORS = (
     (3, re.compile(r"(?<![0-9A-Za-z+.,-])\(?0{0,2}[0-9]{1,4}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9A-Za-z])")),
     (3, re.compile(r"\+ ?\(?[0-9]{1,3}\)?(?:[ ./‐-―-]{0,2}\(?[0-9]{2,5}\)?){2,6}(?![0-9A-Za-z])")),
 )
-#: What every candidate of some generator holds; texts without any are not searched.
-TRIGGER = re.compile(r"[0-9](?:[^0-9A-Za-z,;:]{1,3}|\[dot\]| dot )[0-9]|(?:\.|dot)\W{0,2}[A-Za-z]", re.I)
+#: A piece of the first generator's own pattern, so every candidate of it holds one; texts without any are not searched by it.
+AT_LABEL_DOT = re.compile(rf"{AT} {{0,1}}[A-Za-z0-9-]{{1,63}} {{0,1}}{DOT}", re.I)
 HINTS = (
     re.compile(r"e-?mail|mail|contact|write|reach|kontakt|courriel|correo", re.I),
     re.compile(r"\bip\b|address|host|server|login|from|adresse", re.I),
@@ -102,12 +102,12 @@ AGAINST = re.compile(r"version|\bv\b|isbn|order|part|no\.|nr\.|date|on |page|sco
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) proposed by the generators; they may overlap."""
-    if "0" > max(text, default="") or not TRIGGER.search(text):
+    if "0" > max(text, default=""):  # each has a digit, an @ or a letter
         return []
     spans = set()
     lower = text.lower()
     for kind, pattern in GENERATORS:
-        if kind == 0 and not ("dot" in lower or "at)" in lower or "at]" in lower or "at}" in lower or "@ " in lower or " @" in lower):
+        if kind == 0 and not AT_LABEL_DOT.search(text):
             continue
         if kind == 1 and not ("[" in text or "(" in text or " dot " in lower):
             continue

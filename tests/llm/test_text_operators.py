@@ -58,6 +58,26 @@ def test_pii_query(frame, corpus):
     assert pii.personal_data(frame([])).count() == 0
 
 
+def test_gates_lose_no_candidate():
+    def ungated(text):
+        return sorted({(m.start(), kind, m.end()) for kind, pattern in pii.GENERATORS for m in pattern.finditer(text)})
+
+    for text, kind in [
+        ("joe.smith@example[.]com", 0), ("joe at example.com", 0), ("joe@example[.]com", 0), ("joe {AT} example {dot} com", 0), ("--@-(dot)--", 0),
+        ("host 192(dot)0(dot)2(dot)7 is down", 1), ("192 [.] 0 [.] 2 [.] 7", 1), ("192 (dot) 0 (dot) 2 (dot) 7", 1), ("1 DOT 2 DOT 3 DOT 4", 1),
+    ]:
+        assert kind in {k for _, k, _ in ungated(text)}, text
+        assert pii.candidates(text) == ungated(text), text
+    rng = random.Random(8)
+    parts = ["joe", "x", "-", "@", " @ ", " at ", "(at)", "[AT]", "{at}", "at", ".", "[.]", "(.)", " dot ", "(dot)", "[dot]", "{dot}", "dot", "com", "é", "ſ", " ", "7", "192", "4111", "+", "(", ")", "/", "", "\n"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert pii.candidates(text) == ungated(text), text
+    for _ in range(3000):
+        text = pii.written(rng)[0]
+        assert pii.candidates(text) == ungated(text), text
+
+
 def test_trees_find_other_notations_and_leave_prose():
     for text, kind in [
         ("please write to jane.doe [at] example [dot] org today", "email"), ("host 192[.]168[.]0[.]17 is down", "ip"),
