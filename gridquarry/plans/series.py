@@ -51,8 +51,8 @@ LOSSES = "losses AS (SELECT c_nationkey AS run, row_number() OVER (PARTITION BY
 
 
 def losses(spark, sf):
-    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("run"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("step"), (1.1 + (F.col("c_acctbal") % 100) / 1000).alias("loss"))
-    return rows.where("step <= 40")
+    """Whole runs. The SQL sees 40 steps of each, which gives the same rows where every verdict falls within them."""
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("run"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("step"), (1.1 + (F.col("c_acctbal") % 100) / 1000).alias("loss"))
 
 
 @query("f05_collapse", f"""WITH {LOSSES}, m AS (SELECT run, step, avg(loss) OVER w AS ma FROM l WINDOW w AS (PARTITION BY run ORDER BY step ROWS 4 PRECEDING)), b AS (SELECT *, lag(ma, 5) OVER (PARTITION BY run ORDER BY step) AS before FROM m)
