@@ -105,6 +105,15 @@ def connection_levels(spark, sf):
     return tidy(mapped(fields(spark, sf).where("id < 8"), run, "id long, level double"), 8)
 
 
+@query("l05_connection_levels_all", f"""WITH RECURSIVE {CELLS}, g AS (SELECT id, y*8 + x AS c, y, x, h FROM cells), w AS (SELECT id, c, y, x, h AS w FROM g WHERE c = 0 UNION SELECT g.id, g.c, g.y, g.x, least(w.w, g.h) FROM w JOIN g ON g.id = w.id AND abs(g.y - w.y) + abs(g.x - w.x) = 1) SELECT id, round(max(w), 8) AS level FROM w WHERE c = 63 GROUP BY id""")
+def connection_levels_all(spark, sf):
+    """The same of all fields."""
+    def run(i, f):
+        yield i, top.connection_level(f, 0, 63)
+
+    return tidy(mapped(fields(spark, sf), run, "id long, level double"), 8)
+
+
 #: The best level w at which each cell connects to the seed strip's highest cell.
 NECKS = "RECURSIVE " + CELLS + """, g AS (SELECT id, y, x, y*8 + x AS c, h FROM cells), seed AS (SELECT id, arg_max(c, struct_pack(h := h, c := -c)) AS c FROM g WHERE y < 2 AND x BETWEEN 3 AND 5 GROUP BY id),
     w AS (SELECT id, c, y, x, h AS w FROM g SEMI JOIN seed USING (id, c) UNION SELECT g.id, g.c, g.y, g.x, least(w.w, g.h) FROM w JOIN g ON g.id = w.id AND abs(g.y - w.y) + abs(g.x - w.x) = 1),

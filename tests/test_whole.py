@@ -2,9 +2,14 @@
 
 import pandas as pd
 
+from gridquarry.operators import topology as top
 from gridquarry.plans import QUERIES
 
 
+def read(sf_dir, name):
+    return pd.read_parquet(f"{sf_dir}/{name}.parquet")
+
+
 def test_losses_after_the_fortieth_step_count(spark, tmp_path):
     parked = [99.0] * 3 + [-99.0] * 42 + [99.0] * 15
     falling = [(1.199 * 0.988 ** (min(step, 50) // 5) - 1.1) * 1000 for step in range(1, 61)]
@@ -16,3 +21,8 @@ def test_losses_after_the_fortieth_step_count(spark, tmp_path):
     assert got("f17_stage_verdicts")[0]["collapsed"]
     last = got("f07_plateau")[1]
     assert (last["stopped"], last["decays"], last["best"]) == (58, 12, round(1.199 * 0.988**10, 6))
+
+
+def test_every_field_has_a_connection_level(spark, sf_dir):
+    want = {r.vec_id: round(float(top.connection_level(r.embedding.astype(float).reshape(8, 8), 0, 63)), 8) for r in read(sf_dir, "embeddings").itertuples()}
+    assert dict(map(tuple, QUERIES["l05_connection_levels_all"](spark, sf_dir).select("id", "level").collect())) == want and len(want) > 8
