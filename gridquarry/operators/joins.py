@@ -50,6 +50,28 @@ def within_radius(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["sx", "sy"]).select("a", "b", d.alias("distance")).where(F.col("distance") <= radius)
 
 
+def nearest(a: DataFrame, b: DataFrame, k: int, radius: float) -> DataFrame:
+    """(a, b, distance) of the ``k`` nearest points (id, x, y) of b to each of a, all of b if fewer, ties to the lesser id.
+
+    Points with k within ``radius`` have theirs; for the others it doubles. Points without a finite place have none.
+    """
+    spark = a.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    placed = "abs(x) < double('infinity') AND abs(y) < double('infinity')"
+    b = b.where(placed).checkpoint()
+    k, out, left = min(k, b.count()), None, a.where(placed)
+    w = Window.partitionBy("a")
+    while True:
+        near = within_radius(left, b, radius).withColumns({"__k": F.row_number().over(w.orderBy("distance", "b")), "__n": F.count("*").over(w)})
+        found = near.where((F.col("__n") >= k) & (F.col("__k") <= k)).select("a", "b", "distance").checkpoint()
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("a").distinct(), "a", "left_anti").checkpoint()
+        if not k or left.isEmpty():
+            return out
+        radius *= 2
+
+
 def nearest_on_axis(df: DataFrame, value: str, axis: list[float], name: str) -> DataFrame:
     """``df`` with the index of the nearest entry of a short axis, ties to the first; the axis is a literal."""
     entries = F.array(*(F.struct(F.abs(F.col(value) - F.lit(float(a))).alias("d"), F.lit(k).alias("i")) for k, a in enumerate(axis)))

@@ -264,3 +264,14 @@ def nearest_neighbours(spark, sf):
     m = table(spark, sf, "customer").where("c_custkey < 221").select(F.col("c_custkey").alias("b"), ((F.col("c_custkey") % 13) * 3.0).alias("x"), (F.expr("c_custkey div 13") % 17 * 3.0).alias("y"))
     rows = within_radius(p, m, 6.0).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where("k <= 4")
     return tidy(rows.groupBy(F.col("a").alias("cell")).agg(F.count("*").alias("n"), F.sum("b").alias("neighbours"), F.max("distance").alias("farthest")), 6)
+
+
+@query("d08_nearest_neighbours_all", """WITH p AS (SELECT p_partkey AS a, (p_partkey % 40) + p_size/100.0 AS x, p_partkey // 40 + p_retailprice/10000 AS y FROM part), m AS (SELECT min(c_custkey) AS b, (c_custkey % 13)*3.0 AS x, (c_custkey // 13 % 17)*3.0 AS y FROM customer GROUP BY ALL),
+    d AS (SELECT a, b, sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) AS d FROM p, m), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d) SELECT a AS cell, count(*) AS n, sum(b)::BIGINT AS neighbours, round(max(d), 6) AS farthest FROM r WHERE k <= 4 GROUP BY a""")
+def nearest_neighbours_all(spark, sf):
+    """The same of every grid point, however far they lie; the mesh is the distinct coordinates of all customers."""
+    from ..operators.joins import nearest
+
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") % 40) + F.col("p_size") / 100.0).alias("x"), (F.expr("p_partkey div 40") + F.col("p_retailprice") / 10000).alias("y"))
+    m = table(spark, sf, "customer").groupBy(((F.col("c_custkey") % 13) * 3.0).alias("x"), (F.expr("c_custkey div 13") % 17 * 3.0).alias("y")).agg(F.min("c_custkey").alias("b"))
+    return tidy(nearest(p, m, 4, 6.0).groupBy(F.col("a").alias("cell")).agg(F.count("*").alias("n"), F.sum("b").alias("neighbours"), F.max("distance").alias("farthest")), 6)

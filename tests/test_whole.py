@@ -2,6 +2,7 @@
 
 import pandas as pd
 
+from gridquarry.operators import joins
 from gridquarry.operators import topology as top
 from gridquarry.plans import QUERIES
 
@@ -26,3 +27,23 @@ def test_losses_after_the_fortieth_step_count(spark, tmp_path):
 def test_every_field_has_a_connection_level(spark, sf_dir):
     want = {r.vec_id: round(float(top.connection_level(r.embedding.astype(float).reshape(8, 8), 0, 63)), 8) for r in read(sf_dir, "embeddings").itertuples()}
     assert dict(map(tuple, QUERIES["l05_connection_levels_all"](spark, sf_dir).select("id", "level").collect())) == want and len(want) > 8
+
+
+def test_far_points_have_their_nearest_too(spark):
+    a = {1: (0.0, 0.0), 2: (0.5, 300.0), 3: (-70.0, 2.0), 4: (3.0, 3.0), 5: (float("nan"), 1.0), 6: (float("inf"), 1.0), 7: (1.5, None)}
+    b = {k: (float(k % 5), float(k // 5)) for k in range(20)}
+    left, right = (spark.createDataFrame([(k, *v) for k, v in some.items()], f"{n} int, x double, y double") for n, some in (("a", a), ("b", b)))
+    for k in (4, 50):
+        want = {i: sorted((((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, (u, v) in b.items())[:k] for i, (x, y) in list(a.items())[:4]}
+        got = {i: [] for i in want}
+        for r in joins.nearest(left, right, k, 1.0).collect():
+            got[r["a"]].append((r["distance"], r["b"]))
+        assert {i: sorted(v) for i, v in got.items()} == want
+    assert joins.nearest(left, right.where("false"), 4, 1.0).count() == 0
+
+
+def test_every_cell_has_four_neighbours(spark, tmp_path):
+    pd.DataFrame({"p_partkey": [0, 100, 4000], "p_size": [1, 2, 3], "p_retailprice": [900.0, 950.0, 990.0]}).to_parquet(tmp_path / "part.parquet")
+    pd.DataFrame({"c_custkey": range(1000, 1300)}).to_parquet(tmp_path / "customer.parquet")
+    got = QUERIES["d08_nearest_neighbours_all"](spark, str(tmp_path)).collect()
+    assert sorted((r["cell"], r["n"]) for r in got) == [(0, 4), (100, 4), (4000, 4)]
