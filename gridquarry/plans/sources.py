@@ -319,6 +319,16 @@ def markdown_rows(spark, sf):
     return reports.markdown(rows)
 
 
+    return tidy(out.select("start", "lead", "pred"))
+
+
+@query("b10_rollout_parts_all", f"WITH {SAMPLES} SELECT start, lead, round(sum(pred), 4) AS pred FROM samples GROUP BY ALL")
+def rollout_parts_all(spark, sf):
+    """The same of every start, the even ones first."""
+    rows = samples(spark, sf).groupBy("start", "lead").agg(F.sum("pred").alias("pred"))
+    starts, folder = rows.select("start").distinct(), shared(spark)
+    for some in (starts.where("start % 2 = 0"), starts, starts):
+        out = packs.append_parts(spark, folder, rows, some, 7, "abc")
 @query("b14_report_leads", f"WITH {SAMPLES} SELECT lead, '| ' || lead || ' | ' || count(*) || ' | ' || count_if(pred > 50000) || ' |' AS line FROM samples WHERE lead IN (1, 4, 7) GROUP BY lead")
 def report_leads(spark, sf):
     """A report's lines at the chosen leads."""

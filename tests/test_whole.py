@@ -47,3 +47,10 @@ def test_every_cell_has_four_neighbours(spark, tmp_path):
     pd.DataFrame({"c_custkey": range(1000, 1300)}).to_parquet(tmp_path / "customer.parquet")
     got = QUERIES["d08_nearest_neighbours_all"](spark, str(tmp_path)).collect()
     assert sorted((r["cell"], r["n"]) for r in got) == [(0, 4), (100, 4), (4000, 4)]
+
+
+def test_every_start_is_written_as_parts(spark, sf_dir):
+    lines = read(sf_dir, "lineitem")
+    got = QUERIES["b10_rollout_parts_all"](spark, sf_dir)
+    assert got.count() == len(lines[["l_orderkey", "l_linenumber"]].drop_duplicates())
+    assert got.select("start").distinct().count() == lines["l_orderkey"].nunique()
