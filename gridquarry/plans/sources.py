@@ -98,7 +98,7 @@ def metrics(spark, sf):
 
 
 @query("a06_bottom_depths", f"WITH {IMAGE} SELECT count(*) AS cells, round(sum(coalesce(v, 0)), 1) AS total FROM image WHERE y < 5")
-def bottom_depths(spark, sf):
+def bottom_depths(spark, sf, some="y < 5"):
     """Depths written as big-endian records, one file a row of the image, and read again; invalid is 0."""
     import numpy as np
     import pandas as pd
@@ -112,13 +112,13 @@ def bottom_depths(spark, sf):
         line[p["x"].to_numpy()] = p["v"].fillna(2 * FILL).to_numpy()
         return pd.DataFrame({"path": [f"depth_{p['y'].iloc[0]}"], "content": [line.tobytes()]})
 
-    image(spark, sf).where("y < 5").groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
+    image(spark, sf).where(some).groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
     rows = decoded(spark.read.parquet(folder), (1, 40), ["depth"])
     return tidy(rows.agg(F.count("*").alias("cells"), F.sum(F.coalesce("value", F.lit(0.0))).alias("total")), 1)
 
 
 @query("a07_mean_archive", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(v, 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) WHERE y < 3 GROUP BY ALL")
-def mean_archive(spark, sf):
+def mean_archive(spark, sf, some="y < 3"):
     """Archives of two records each, told apart by name."""
     import numpy as np
     import pandas as pd
@@ -128,11 +128,17 @@ def mean_archive(spark, sf):
     words, folder = record_words((1, 40)), shared(spark)
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
+@query("a06_bottom_depths_all", f"WITH {IMAGE} SELECT count(*) AS cells, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)), 1) AS total FROM image")
+def bottom_depths_all(spark, sf):
+    """The same of every row; the records' 32 bits show in the total."""
+    return bottom_depths(spark, sf, "true")
+
+
         lines = np.zeros((2, words), ">f4")
         lines[:, p["x"].to_numpy()] = np.outer([1, 2], p["v"].fillna(0).to_numpy())
         return pd.DataFrame({"path": [str(p["y"].iloc[0])], "content": [lines.tobytes()]})
 
-    image(spark, sf).where("y < 3").groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
+    image(spark, sf).where(some).groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
     rows = decoded(spark.read.parquet(folder), (1, 40), ["thickness", "surface"])
     return tidy(rows.groupBy("name", F.col("path").cast("long").alias("y")).agg(F.count("*").alias("records"), F.sum("value").alias("total")), 1)
 
@@ -148,6 +154,12 @@ forcing = "O/*.a"
 """
 
 
+@query("a07_mean_archive_all", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) GROUP BY ALL")
+def mean_archive_all(spark, sf):
+    """The same of every row."""
+    return mean_archive(spark, sf, "true")
+
+
 @query("a01_products", "SELECT product, n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'means' WHEN 'O' THEN 'forcing' END AS product, count(*) AS n FROM orders GROUP BY ALL) WHERE product IS NOT NULL")
 def products(spark, sf):
     """Files of each product of a system; a free run has none of assimilation."""

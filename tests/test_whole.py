@@ -54,3 +54,11 @@ def test_every_start_is_written_as_parts(spark, sf_dir):
     got = QUERIES["b10_rollout_parts_all"](spark, sf_dir)
     assert got.count() == len(lines[["l_orderkey", "l_linenumber"]].drop_duplicates())
     assert got.select("start").distinct().count() == lines["l_orderkey"].nunique()
+
+
+def test_every_row_of_the_image_is_archived(spark, sf_dir):
+    part = read(sf_dir, "part")
+    rows = set(part["p_partkey"] // 40)
+    assert QUERIES["a06_bottom_depths_all"](spark, sf_dir).first()["cells"] == 40 * len(rows)
+    got = QUERIES["a07_mean_archive_all"](spark, sf_dir).collect()
+    assert {(r["name"], r["y"]) for r in got} == {(n, y) for n in ("thickness", "surface") for y in rows}
