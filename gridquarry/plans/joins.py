@@ -15,9 +15,11 @@ ROLES = {"start": ("F", -1), "applied": ("P", -1), "mean": ("O", 0), "end": ("F"
 FILES = "files AS (SELECT o_orderstatus AS product, CAST(o_orderdate AS DATE) AS day, min('/archive/' || o_orderstatus || '/' || o_orderkey) AS path FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL), spine AS (SELECT DISTINCT day FROM files)"
 CYCLES = FILES + ", roles AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{p}', {o})" for r, (p, o) in ROLES.items()) + ") t(role, product, shift)), cycles AS (SELECT s.day, role, path FROM spine s CROSS JOIN roles r LEFT JOIN files f ON f.product = r.product AND f.day = s.day + r.shift)"
 
+ALL_CYCLES = CYCLES.replace(" WHERE o_orderkey % 4 = 0", "")
 
-def cycles(spark, sf):
-    files = table(spark, sf, "orders").where("o_orderkey % 4 = 0").groupBy(F.col("o_orderstatus").alias("product"), F.to_date("o_orderdate").alias("day")).agg(F.min(F.concat(F.lit("/archive/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string"))).alias("path"))
+
+def cycles(spark, sf, some="o_orderkey % 4 = 0"):
+    files = table(spark, sf, "orders").where(some).groupBy(F.col("o_orderstatus").alias("product"), F.to_date("o_orderdate").alias("day")).agg(F.min(F.concat(F.lit("/archive/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string"))).alias("path"))
     return ops.at_offsets(files.select("day").distinct(), files, ROLES, "day")
 
 
@@ -27,9 +29,19 @@ def cycle_roles(spark, sf):
     return cycles(spark, sf)
 
 
+@query("d01_cycles_all", f"WITH {ALL_CYCLES} SELECT day, role, path FROM cycles")
+def cycle_roles_all(spark, sf):
+    return cycles(spark, sf, "true")
+
+
 @query("d02_missing_roles", f"WITH {CYCLES} SELECT role, count(*) AS missing, min(day) AS first FROM cycles WHERE path IS NULL GROUP BY role")
-def missing(spark, sf):
-    return cycles(spark, sf).where("path IS NULL").groupBy("role").agg(F.count("*").alias("missing"), F.min("day").alias("first"))
+def missing(spark, sf, some="o_orderkey % 4 = 0"):
+    return cycles(spark, sf, some).where("path IS NULL").groupBy("role").agg(F.count("*").alias("missing"), F.min("day").alias("first"))
+
+
+@query("d02_missing_roles_all", f"WITH {ALL_CYCLES} SELECT role, count(*) AS missing, min(day) AS first FROM cycles WHERE path IS NULL GROUP BY role")
+def missing_all(spark, sf):
+    return missing(spark, sf, "true")
 
 
 @query("d04_day_of_blocks", """WITH b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS block, event_type AS feature, avg(value) AS v FROM events GROUP BY ALL), t AS (SELECT DISTINCT date_trunc('day', block) + INTERVAL 18 HOUR AS t FROM b)
@@ -121,6 +133,16 @@ def as_of_blocks(spark, sf):
     return ops.as_of(left, right, ["event_type"], "ts", "epoch", "epoch", F.to_date("ts")).select("event_id", "event_type", "epoch")
 
 
+@query("d13_as_of_blocks_all", """WITH e AS (SELECT event_type, ts, event_id AS epoch FROM events WHERE user_id % 2 = 0 OR user_id IS NULL), t AS (SELECT event_type, ts, event_id FROM events WHERE user_id % 2 <> 0)
+    SELECT t.event_id, t.event_type, e.epoch FROM t ASOF LEFT JOIN e ON t.event_type = e.event_type AND t.ts >= e.ts""")
+def as_of_blocks_all(spark, sf):
+    """The same of all events: those of odd users against the others."""
+    events = table(spark, sf, "events").select("event_type", "ts", "event_id", "user_id")
+    left = events.where("user_id % 2 <> 0").select("event_type", "ts", "event_id")
+    right = events.where("user_id % 2 = 0 OR user_id IS NULL").select("event_type", "ts", F.col("event_id").alias("epoch"))
+    return ops.as_of(left, right, ["event_type"], "ts", "epoch", "epoch", F.to_date("ts")).select("event_id", "event_type", "epoch")
+
+
 @query("d14_climatology", "WITH c AS (SELECT month(o_orderdate) AS m, avg(o_totalprice) AS mean FROM orders WHERE year(o_orderdate) < 1999 GROUP BY ALL) SELECT o_orderkey AS key, round(o_totalprice - mean, 4) AS anomaly FROM orders JOIN c ON m = month(o_orderdate) WHERE year(o_orderdate) >= 1999")
 def climatology(spark, sf):
     """Anomalies from the training years' mean of the month."""

@@ -22,17 +22,23 @@ def shared(spark) -> str:
 
 
 NAMES = "files AS (SELECT o_orderstatus AS product, '/arch/' || o_orderstatus || '/a.' || strftime(o_orderdate, '%Y_%j') || '_18.' || (o_orderkey % 2) AS path, o_orderdate + INTERVAL 18 HOUR AS valid FROM orders WHERE o_orderkey % 5 = 0)"
+ALL_NAMES = NAMES.replace(" WHERE o_orderkey % 5 = 0", "")
 
 
-def names(spark, sf):
+def names(spark, sf, some="o_orderkey % 5 = 0"):
     path = F.concat(F.lit("/arch/"), "o_orderstatus", F.lit("/a."), F.date_format("o_orderdate", "yyyy_DDD"), F.lit("_18."), (F.col("o_orderkey") % 2).cast("string"))
-    return lists.with_valid_time(table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderstatus").alias("product"), path.alias("path")))
+    return lists.with_valid_time(table(spark, sf, "orders").where(some).select(F.col("o_orderstatus").alias("product"), path.alias("path")))
 
 
 @query("a02_catalog_index", f"WITH {NAMES} SELECT product, valid, min(path) AS path, count(DISTINCT path) AS n FROM files GROUP BY ALL")
-def catalog(spark, sf):
+def catalog(spark, sf, some="o_orderkey % 5 = 0"):
     """Files by product and the valid time in their names."""
-    return names(spark, sf).groupBy("product", "valid").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n"))
+    return names(spark, sf, some).groupBy("product", "valid").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n"))
+
+
+@query("a02_catalog_index_all", f"WITH {ALL_NAMES} SELECT product, valid, min(path) AS path, count(DISTINCT path) AS n FROM files GROUP BY ALL")
+def catalog_all(spark, sf):
+    return catalog(spark, sf, "true")
 
 
 @query("a02_clashes", f"WITH {NAMES} SELECT product, valid, count(DISTINCT path) AS n FROM files GROUP BY ALL HAVING count(DISTINCT path) > 1")
@@ -40,6 +46,11 @@ def clashes(spark, sf):
     return lists.clashes(names(spark, sf), ["product", "valid"])
 
 
+@query("a02_clashes_all", f"WITH {ALL_NAMES} SELECT product, valid, count(DISTINCT path) AS n FROM files GROUP BY ALL HAVING count(DISTINCT path) > 1")
+def clashes_all(spark, sf):
+    return lists.clashes(names(spark, sf, "true"), ["product", "valid"])
+
+
 @query("a04_inventory", "WITH d AS (SELECT DISTINCT o_orderstatus AS kind, CAST(o_orderdate AS DATE) AS day FROM orders), e AS (SELECT kind, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY kind) SELECT e.kind, CAST(year(e.day) AS INT) AS year, count(d.day) AS days, count_if(d.day IS NULL) AS missing FROM e LEFT JOIN d ON d.kind = e.kind AND d.day = e.day GROUP BY ALL")
 def inventory(spark, sf):
     return lists.inventory(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("kind"), F.to_date("o_orderdate").alias("day")), ["kind"])
@@ -117,6 +128,12 @@ def bottom_depths(spark, sf, some="y < 5"):
     return tidy(rows.agg(F.count("*").alias("cells"), F.sum(F.coalesce("value", F.lit(0.0))).alias("total")), 1)
 
 
+@query("a06_bottom_depths_all", f"WITH {IMAGE} SELECT count(*) AS cells, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)), 1) AS total FROM image")
+def bottom_depths_all(spark, sf):
+    """The same of every row; the records' 32 bits show in the total."""
+    return bottom_depths(spark, sf, "true")
+
+
 @query("a07_mean_archive", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(v, 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) WHERE y < 3 GROUP BY ALL")
 def mean_archive(spark, sf, some="y < 3"):
     """Archives of two records each, told apart by name."""
@@ -128,12 +145,6 @@ def mean_archive(spark, sf, some="y < 3"):
     words, folder = record_words((1, 40)), shared(spark)
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
-@query("a06_bottom_depths_all", f"WITH {IMAGE} SELECT count(*) AS cells, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)), 1) AS total FROM image")
-def bottom_depths_all(spark, sf):
-    """The same of every row; the records' 32 bits show in the total."""
-    return bottom_depths(spark, sf, "true")
-
-
         lines = np.zeros((2, words), ">f4")
         lines[:, p["x"].to_numpy()] = np.outer([1, 2], p["v"].fillna(0).to_numpy())
         return pd.DataFrame({"path": [str(p["y"].iloc[0])], "content": [lines.tobytes()]})
@@ -143,6 +154,12 @@ def bottom_depths_all(spark, sf):
     return tidy(rows.groupBy("name", F.col("path").cast("long").alias("y")).agg(F.count("*").alias("records"), F.sum("value").alias("total")), 1)
 
 
+@query("a07_mean_archive_all", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) GROUP BY ALL")
+def mean_archive_all(spark, sf):
+    """The same of every row."""
+    return mean_archive(spark, sf, "true")
+
+
 SYSTEM = """
 name = "stand-in"
 root = "/archive"
@@ -154,12 +171,6 @@ forcing = "O/*.a"
 """
 
 
-@query("a07_mean_archive_all", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) GROUP BY ALL")
-def mean_archive_all(spark, sf):
-    """The same of every row."""
-    return mean_archive(spark, sf, "true")
-
-
 @query("a01_products", "SELECT product, n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'means' WHEN 'O' THEN 'forcing' END AS product, count(*) AS n FROM orders GROUP BY ALL) WHERE product IS NOT NULL")
 def products(spark, sf):
     """Files of each product of a system; a free run has none of assimilation."""
@@ -311,6 +322,16 @@ def rollout_parts(spark, sf):
     return tidy(out.select("start", "lead", "pred"))
 
 
+@query("b10_rollout_parts_all", f"WITH {SAMPLES} SELECT start, lead, round(sum(pred), 4) AS pred FROM samples GROUP BY ALL")
+def rollout_parts_all(spark, sf):
+    """The same of every start, the even ones first."""
+    rows = samples(spark, sf).groupBy("start", "lead").agg(F.sum("pred").alias("pred"))
+    starts, folder = rows.select("start").distinct(), shared(spark)
+    for some in (starts.where("start % 2 = 0"), starts, starts):
+        out = packs.append_parts(spark, folder, rows, some, 7, "abc")
+    return tidy(out.select("start", "lead", "pred"))
+
+
 @query("b11_valid_days", "SELECT l_orderkey AS start, l_linenumber AS lead, CAST(o_orderdate AS DATE) + l_linenumber AS valid, o_orderdate < TIMESTAMP '1999-01-01' AS in_sample, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
 def valid_days(spark, sf):
     """(start, lead) rows with their valid day and whether the start was trained on."""
@@ -331,16 +352,6 @@ def markdown_rows(spark, sf):
     return reports.markdown(rows)
 
 
-    return tidy(out.select("start", "lead", "pred"))
-
-
-@query("b10_rollout_parts_all", f"WITH {SAMPLES} SELECT start, lead, round(sum(pred), 4) AS pred FROM samples GROUP BY ALL")
-def rollout_parts_all(spark, sf):
-    """The same of every start, the even ones first."""
-    rows = samples(spark, sf).groupBy("start", "lead").agg(F.sum("pred").alias("pred"))
-    starts, folder = rows.select("start").distinct(), shared(spark)
-    for some in (starts.where("start % 2 = 0"), starts, starts):
-        out = packs.append_parts(spark, folder, rows, some, 7, "abc")
 @query("b14_report_leads", f"WITH {SAMPLES} SELECT lead, '| ' || lead || ' | ' || count(*) || ' | ' || count_if(pred > 50000) || ' |' AS line FROM samples WHERE lead IN (1, 4, 7) GROUP BY lead")
 def report_leads(spark, sf):
     """A report's lines at the chosen leads."""

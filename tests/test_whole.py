@@ -62,3 +62,25 @@ def test_every_row_of_the_image_is_archived(spark, sf_dir):
     assert QUERIES["a06_bottom_depths_all"](spark, sf_dir).first()["cells"] == 40 * len(rows)
     got = QUERIES["a07_mean_archive_all"](spark, sf_dir).collect()
     assert {(r["name"], r["y"]) for r in got} == {(n, y) for n in ("thickness", "surface") for y in rows}
+
+
+def test_every_order_is_a_file(spark, sf_dir):
+    orders = read(sf_dir, "orders")
+    days = orders.groupby("o_orderstatus")["o_orderdate"].agg(lambda d: set(pd.to_datetime(d).dt.date))
+    every = set().union(*days)
+    have = {"start": ("F", -1), "applied": ("P", -1), "mean": ("O", 0), "end": ("F", 0), "observed": ("O", 1)}
+    want = {role: sum(d + pd.Timedelta(days=o) not in days[p] for d in every) for role, (p, o) in have.items()}
+    assert {r["role"]: r["missing"] for r in QUERIES["d02_missing_roles_all"](spark, sf_dir).collect()} == {k: n for k, n in want.items() if n}
+    assert QUERIES["d01_cycles_all"](spark, sf_dir).where("path IS NOT NULL").count() == sum(len(every) - n for n in want.values())
+    paths = set(zip(orders["o_orderstatus"], pd.to_datetime(orders["o_orderdate"]).dt.date, orders["o_orderkey"] % 2, strict=True))
+    assert sum(r["n"] for r in QUERIES["a02_catalog_index_all"](spark, sf_dir).collect()) == len(paths)
+    both = pd.Series([p[:2] for p in paths]).value_counts()
+    assert QUERIES["a02_clashes_all"](spark, sf_dir).count() == (both > 1).sum()
+
+
+def test_all_events_take_part_in_the_blocks(spark, sf_dir):
+    events = read(sf_dir, "events").sort_values("ts")
+    odd = events["user_id"] % 2 != 0
+    want = pd.merge_asof(events[odd], events.loc[~odd, ["event_type", "ts", "event_id"]].rename(columns={"event_id": "epoch"}), on="ts", by="event_type")
+    got = {r["event_id"]: r["epoch"] for r in QUERIES["d13_as_of_blocks_all"](spark, sf_dir).collect()}
+    assert got == {i: None if pd.isna(e) else int(e) for i, e in zip(want["event_id"], want["epoch"], strict=True)}
