@@ -38,7 +38,7 @@ def _as_of_blocks(left: DataFrame, right: DataFrame, by: list[str], at: str, val
 
 
 def within_radius(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """(a, b, distance) of the points (id, x, y) within ``radius``: b is dealt to the squares around its own, a joins by square."""
+    """(a, b, distance, dx, dy) of the points (id, x, y) within ``radius``, dx and dy from b to a: b is dealt to the squares around its own, a joins by square."""
     def square(c: str) -> Column:
         return F.floor(F.col(c) / radius)
 
@@ -46,12 +46,12 @@ def within_radius(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     around = F.sequence(F.lit(-1), F.lit(1))
     right = b.select("b", F.col("x").alias("bx"), F.col("y").alias("by"), square("x").alias("qx"), square("y").alias("qy"))
     right = right.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("b", "bx", "by", (F.col("qx") + F.col("dx")).alias("sx"), (F.col("qy") + F.col("dy")).alias("sy"))
-    d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return left.join(right, ["sx", "sy"]).select("a", "b", d.alias("distance")).where(F.col("distance") <= radius)
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    return left.join(right, ["sx", "sy"]).select("a", "b", F.sqrt(dx**2 + dy**2).alias("distance"), dx.alias("dx"), dy.alias("dy")).where(F.col("distance") <= radius)
 
 
 def nearest(a: DataFrame, b: DataFrame, k: int, radius: float) -> DataFrame:
-    """(a, b, distance) of the ``k`` nearest points (id, x, y) of b to each of a, all of b if fewer, ties to the lesser id.
+    """(a, b, distance, dx, dy) of the ``k`` nearest points (id, x, y) of b to each of a, all of b if fewer, ties to the lesser id.
 
     Points with k within ``radius`` have theirs; for the others it doubles. Points without a finite place have none.
     """
@@ -64,7 +64,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int, radius: float) -> DataFrame:
     w = Window.partitionBy("a")
     while True:
         near = within_radius(left, b, radius).withColumns({"__k": F.row_number().over(w.orderBy("distance", "b")), "__n": F.count("*").over(w)})
-        found = near.where((F.col("__n") >= k) & (F.col("__k") <= k)).select("a", "b", "distance").checkpoint()
+        found = near.where((F.col("__n") >= k) & (F.col("__k") <= k)).select("a", "b", "distance", "dx", "dy").checkpoint()
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("a").distinct(), "a", "left_anti").checkpoint()
         if not k or left.isEmpty():

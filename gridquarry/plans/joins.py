@@ -12,14 +12,12 @@ from .tables import DAILY, daily, table
 
 #: role: (product, offset in days). Two roles may share a product.
 ROLES = {"start": ("F", -1), "applied": ("P", -1), "mean": ("O", 0), "end": ("F", 0), "observed": ("O", 1)}
-FILES = "files AS (SELECT o_orderstatus AS product, CAST(o_orderdate AS DATE) AS day, min('/archive/' || o_orderstatus || '/' || o_orderkey) AS path FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL), spine AS (SELECT DISTINCT day FROM files)"
+FILES = "files AS (SELECT o_orderstatus AS product, CAST(o_orderdate AS DATE) AS day, min('/archive/' || o_orderstatus || '/' || o_orderkey) AS path FROM orders GROUP BY ALL), spine AS (SELECT DISTINCT day FROM files)"
 CYCLES = FILES + ", roles AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{p}', {o})" for r, (p, o) in ROLES.items()) + ") t(role, product, shift)), cycles AS (SELECT s.day, role, path FROM spine s CROSS JOIN roles r LEFT JOIN files f ON f.product = r.product AND f.day = s.day + r.shift)"
 
-ALL_CYCLES = CYCLES.replace(" WHERE o_orderkey % 4 = 0", "")
 
-
-def cycles(spark, sf, some="o_orderkey % 4 = 0"):
-    files = table(spark, sf, "orders").where(some).groupBy(F.col("o_orderstatus").alias("product"), F.to_date("o_orderdate").alias("day")).agg(F.min(F.concat(F.lit("/archive/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string"))).alias("path"))
+def cycles(spark, sf):
+    files = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("product"), F.to_date("o_orderdate").alias("day")).agg(F.min(F.concat(F.lit("/archive/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string"))).alias("path"))
     return ops.at_offsets(files.select("day").distinct(), files, ROLES, "day")
 
 
@@ -29,19 +27,9 @@ def cycle_roles(spark, sf):
     return cycles(spark, sf)
 
 
-@query("d01_cycles_all", f"WITH {ALL_CYCLES} SELECT day, role, path FROM cycles")
-def cycle_roles_all(spark, sf):
-    return cycles(spark, sf, "true")
-
-
 @query("d02_missing_roles", f"WITH {CYCLES} SELECT role, count(*) AS missing, min(day) AS first FROM cycles WHERE path IS NULL GROUP BY role")
-def missing(spark, sf, some="o_orderkey % 4 = 0"):
-    return cycles(spark, sf, some).where("path IS NULL").groupBy("role").agg(F.count("*").alias("missing"), F.min("day").alias("first"))
-
-
-@query("d02_missing_roles_all", f"WITH {ALL_CYCLES} SELECT role, count(*) AS missing, min(day) AS first FROM cycles WHERE path IS NULL GROUP BY role")
-def missing_all(spark, sf):
-    return missing(spark, sf, "true")
+def missing(spark, sf):
+    return cycles(spark, sf).where("path IS NULL").groupBy("role").agg(F.count("*").alias("missing"), F.min("day").alias("first"))
 
 
 @query("d04_day_of_blocks", """WITH b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS block, event_type AS feature, avg(value) AS v FROM events GROUP BY ALL), t AS (SELECT DISTINCT date_trunc('day', block) + INTERVAL 18 HOUR AS t FROM b)
@@ -81,7 +69,7 @@ def nearest_line(spark, sf):
     return tidy(table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("block")).agg(F.min_by("c_custkey", F.struct(d, F.col("c_custkey"))).alias("line"), F.min(d).alias("off")))
 
 
-@query("d09_start_set", """WITH r AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem), i AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS s, count(*) OVER () AS n FROM r), want AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 100 = 0)
+@query("d09_start_set", """WITH r AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem), i AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS s, count(*) OVER () AS n FROM r), want AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
     SELECT w.day, i.day IS NULL AS missing, CASE WHEN i.day IS NOT NULL THEN least(60, n - 2 - s) END AS horizon FROM want w LEFT JOIN i ON i.day = w.day""")
 def start_set(spark, sf):
     """Requested starts against the record's days: which are missing, and how far each can run."""
@@ -93,7 +81,7 @@ def start_set(spark, sf):
     before = years.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("one").orderBy("y").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(W.partitionBy("one")))
     at = record.withColumn("y", F.year("day")).withColumn("r", F.row_number().over(W.partitionBy("y").orderBy("day"))).join(before, "y")
     at = at.select("day", (F.col("before") + F.col("r") - 1).alias("s"), "all")
-    want = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select(F.to_date("o_orderdate").alias("day")).distinct()
+    want = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     return want.join(at, "day", "left").select("day", F.col("s").isNull().alias("missing"), F.when(F.col("s").isNotNull(), F.least(F.lit(60).cast("long"), F.col("all") - 2 - F.col("s"))).alias("horizon"))
 
 
@@ -123,20 +111,10 @@ def as_of(spark, sf):
     return ops.as_of(left, right, ["user_id"], "ts", "epoch", "epoch").select("event_id", "user_id", "epoch")
 
 
-@query("d13_as_of_blocks", """WITH e AS (SELECT event_type, ts, event_id AS epoch FROM events WHERE user_id % 7 = 0), t AS (SELECT event_type, ts, event_id FROM events WHERE user_id % 7 = 1)
+@query("d13_as_of_blocks", """WITH e AS (SELECT event_type, ts, event_id AS epoch FROM events WHERE user_id % 2 = 0 OR user_id IS NULL), t AS (SELECT event_type, ts, event_id FROM events WHERE user_id % 2 <> 0)
     SELECT t.event_id, t.event_type, e.epoch FROM t ASOF LEFT JOIN e ON t.event_type = e.event_type AND t.ts >= e.ts""")
 def as_of_blocks(spark, sf):
-    """The same for groups too large for one task: by day, carried from day to day."""
-    events = table(spark, sf, "events").select("event_type", "ts", "event_id", "user_id")
-    left = events.where("user_id % 7 = 1").select("event_type", "ts", "event_id")
-    right = events.where("user_id % 7 = 0").select("event_type", "ts", F.col("event_id").alias("epoch"))
-    return ops.as_of(left, right, ["event_type"], "ts", "epoch", "epoch", F.to_date("ts")).select("event_id", "event_type", "epoch")
-
-
-@query("d13_as_of_blocks_all", """WITH e AS (SELECT event_type, ts, event_id AS epoch FROM events WHERE user_id % 2 = 0 OR user_id IS NULL), t AS (SELECT event_type, ts, event_id FROM events WHERE user_id % 2 <> 0)
-    SELECT t.event_id, t.event_type, e.epoch FROM t ASOF LEFT JOIN e ON t.event_type = e.event_type AND t.ts >= e.ts""")
-def as_of_blocks_all(spark, sf):
-    """The same of all events: those of odd users against the others."""
+    """The same for groups too large for one task, by day and carried from day to day: all events of odd users against all others."""
     events = table(spark, sf, "events").select("event_type", "ts", "event_id", "user_id")
     left = events.where("user_id % 2 <> 0").select("event_type", "ts", "event_id")
     right = events.where("user_id % 2 = 0 OR user_id IS NULL").select("event_type", "ts", F.col("event_id").alias("epoch"))

@@ -21,24 +21,18 @@ def shared(spark) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-NAMES = "files AS (SELECT o_orderstatus AS product, '/arch/' || o_orderstatus || '/a.' || strftime(o_orderdate, '%Y_%j') || '_18.' || (o_orderkey % 2) AS path, o_orderdate + INTERVAL 18 HOUR AS valid FROM orders WHERE o_orderkey % 5 = 0)"
-ALL_NAMES = NAMES.replace(" WHERE o_orderkey % 5 = 0", "")
+NAMES = "files AS (SELECT o_orderstatus AS product, '/arch/' || o_orderstatus || '/a.' || strftime(o_orderdate, '%Y_%j') || '_18.' || (o_orderkey % 2) AS path, o_orderdate + INTERVAL 18 HOUR AS valid FROM orders)"
 
 
-def names(spark, sf, some="o_orderkey % 5 = 0"):
+def names(spark, sf):
     path = F.concat(F.lit("/arch/"), "o_orderstatus", F.lit("/a."), F.date_format("o_orderdate", "yyyy_DDD"), F.lit("_18."), (F.col("o_orderkey") % 2).cast("string"))
-    return lists.with_valid_time(table(spark, sf, "orders").where(some).select(F.col("o_orderstatus").alias("product"), path.alias("path")))
+    return lists.with_valid_time(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("product"), path.alias("path")))
 
 
 @query("a02_catalog_index", f"WITH {NAMES} SELECT product, valid, min(path) AS path, count(DISTINCT path) AS n FROM files GROUP BY ALL")
-def catalog(spark, sf, some="o_orderkey % 5 = 0"):
+def catalog(spark, sf):
     """Files by product and the valid time in their names."""
-    return names(spark, sf, some).groupBy("product", "valid").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n"))
-
-
-@query("a02_catalog_index_all", f"WITH {ALL_NAMES} SELECT product, valid, min(path) AS path, count(DISTINCT path) AS n FROM files GROUP BY ALL")
-def catalog_all(spark, sf):
-    return catalog(spark, sf, "true")
+    return names(spark, sf).groupBy("product", "valid").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n"))
 
 
 @query("a02_clashes", f"WITH {NAMES} SELECT product, valid, count(DISTINCT path) AS n FROM files GROUP BY ALL HAVING count(DISTINCT path) > 1")
@@ -46,11 +40,6 @@ def clashes(spark, sf):
     return lists.clashes(names(spark, sf), ["product", "valid"])
 
 
-@query("a02_clashes_all", f"WITH {ALL_NAMES} SELECT product, valid, count(DISTINCT path) AS n FROM files GROUP BY ALL HAVING count(DISTINCT path) > 1")
-def clashes_all(spark, sf):
-    return lists.clashes(names(spark, sf, "true"), ["product", "valid"])
-
-
 @query("a04_inventory", "WITH d AS (SELECT DISTINCT o_orderstatus AS kind, CAST(o_orderdate AS DATE) AS day FROM orders), e AS (SELECT kind, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY kind) SELECT e.kind, CAST(year(e.day) AS INT) AS year, count(d.day) AS days, count_if(d.day IS NULL) AS missing FROM e LEFT JOIN d ON d.kind = e.kind AND d.day = e.day GROUP BY ALL")
 def inventory(spark, sf):
     return lists.inventory(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("kind"), F.to_date("o_orderdate").alias("day")), ["kind"])
@@ -108,9 +97,9 @@ def metrics(spark, sf):
     return runs, rows
 
 
-@query("a06_bottom_depths", f"WITH {IMAGE} SELECT count(*) AS cells, round(sum(coalesce(v, 0)), 1) AS total FROM image WHERE y < 5")
-def bottom_depths(spark, sf, some="y < 5"):
-    """Depths written as big-endian records, one file a row of the image, and read again; invalid is 0."""
+@query("a06_bottom_depths", f"WITH {IMAGE} SELECT count(*) AS cells, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)), 1) AS total FROM image")
+def bottom_depths(spark, sf):
+    """Depths written as big-endian records, one file a row of the image, and read again; invalid is 0. The records' 32 bits show in the total."""
     import numpy as np
     import pandas as pd
 
@@ -123,19 +112,13 @@ def bottom_depths(spark, sf, some="y < 5"):
         line[p["x"].to_numpy()] = p["v"].fillna(2 * FILL).to_numpy()
         return pd.DataFrame({"path": [f"depth_{p['y'].iloc[0]}"], "content": [line.tobytes()]})
 
-    image(spark, sf).where(some).groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
+    image(spark, sf).groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
     rows = decoded(spark.read.parquet(folder), (1, 40), ["depth"])
     return tidy(rows.agg(F.count("*").alias("cells"), F.sum(F.coalesce("value", F.lit(0.0))).alias("total")), 1)
 
 
-@query("a06_bottom_depths_all", f"WITH {IMAGE} SELECT count(*) AS cells, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)), 1) AS total FROM image")
-def bottom_depths_all(spark, sf):
-    """The same of every row; the records' 32 bits show in the total."""
-    return bottom_depths(spark, sf, "true")
-
-
-@query("a07_mean_archive", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(v, 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) WHERE y < 3 GROUP BY ALL")
-def mean_archive(spark, sf, some="y < 3"):
+@query("a07_mean_archive", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) GROUP BY ALL")
+def mean_archive(spark, sf):
     """Archives of two records each, told apart by name."""
     import numpy as np
     import pandas as pd
@@ -149,17 +132,11 @@ def mean_archive(spark, sf, some="y < 3"):
         lines[:, p["x"].to_numpy()] = np.outer([1, 2], p["v"].fillna(0).to_numpy())
         return pd.DataFrame({"path": [str(p["y"].iloc[0])], "content": [lines.tobytes()]})
 
-    image(spark, sf).where(some).groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
+    image(spark, sf).groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
     rows = decoded(spark.read.parquet(folder), (1, 40), ["thickness", "surface"])
     return tidy(rows.groupBy("name", F.col("path").cast("long").alias("y")).agg(F.count("*").alias("records"), F.sum("value").alias("total")), 1)
 
 
-@query("a07_mean_archive_all", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) GROUP BY ALL")
-def mean_archive_all(spark, sf):
-    """The same of every row."""
-    return mean_archive(spark, sf, "true")
-
-
 SYSTEM = """
 name = "stand-in"
 root = "/archive"
@@ -312,19 +289,9 @@ def appended_blocks(spark, sf):
     return tidy(spark.read.parquet(folder), 6)
 
 
-@query("b10_rollout_parts", f"WITH {SAMPLES} SELECT start, lead, round(sum(pred), 4) AS pred FROM samples WHERE start % 50 = 0 GROUP BY ALL")
+@query("b10_rollout_parts", f"WITH {SAMPLES} SELECT start, lead, round(sum(pred), 4) AS pred FROM samples GROUP BY ALL")
 def rollout_parts(spark, sf):
-    """Parts appended in two batches of starts and again: starts that are there are skipped."""
-    rows = samples(spark, sf).where("start % 50 = 0").groupBy("start", "lead").agg(F.sum("pred").alias("pred"))
-    starts, folder = rows.select("start").distinct(), shared(spark)
-    for some in (starts.where("start % 100 = 0"), starts, starts):
-        out = packs.append_parts(spark, folder, rows, some, 7, "abc")
-    return tidy(out.select("start", "lead", "pred"))
-
-
-@query("b10_rollout_parts_all", f"WITH {SAMPLES} SELECT start, lead, round(sum(pred), 4) AS pred FROM samples GROUP BY ALL")
-def rollout_parts_all(spark, sf):
-    """The same of every start, the even ones first."""
+    """Parts appended in two batches of starts, the even ones first, and again: starts that are there are skipped."""
     rows = samples(spark, sf).groupBy("start", "lead").agg(F.sum("pred").alias("pred"))
     starts, folder = rows.select("start").distinct(), shared(spark)
     for some in (starts.where("start % 2 = 0"), starts, starts):

@@ -96,18 +96,9 @@ def pairs(spark, sf):
     return tidy(mapped(fields(spark, sf), run, "id long, kind string, cell long, birth double, death double"), 8)
 
 
-@query("l05_connection_levels", f"""WITH {FLOOD.replace(" WHERE h >= {t}", "")}, lv AS (SELECT DISTINCT id, h AS t FROM cells WHERE id < 8), w AS (SELECT lv.id, t, y*8 + x AS c, y, x FROM lv JOIN cells USING (id) WHERE h >= t), q AS (SELECT id, t, c, y, x FROM w WHERE c = 0 UNION SELECT w.id, w.t, w.c, w.y, w.x FROM q JOIN w ON w.id = q.id AND w.t = q.t AND abs(w.y - q.y) + abs(w.x - q.x) = 1) SELECT id, round(max(t), 8) AS level FROM q WHERE c = 63 GROUP BY id""")
+@query("l05_connection_levels", f"""WITH RECURSIVE {CELLS}, g AS (SELECT id, y*8 + x AS c, y, x, h FROM cells), w AS (SELECT id, c, y, x, h AS w FROM g WHERE c = 0 UNION SELECT g.id, g.c, g.y, g.x, least(w.w, g.h) FROM w JOIN g ON g.id = w.id AND abs(g.y - w.y) + abs(g.x - w.x) = 1) SELECT id, round(max(w), 8) AS level FROM w WHERE c = 63 GROUP BY id""")
 def connection_levels(spark, sf):
-    """The level at which two corners connect, of the first fields."""
-    def run(i, f):
-        yield i, top.connection_level(f, 0, 63)
-
-    return tidy(mapped(fields(spark, sf).where("id < 8"), run, "id long, level double"), 8)
-
-
-@query("l05_connection_levels_all", f"""WITH RECURSIVE {CELLS}, g AS (SELECT id, y*8 + x AS c, y, x, h FROM cells), w AS (SELECT id, c, y, x, h AS w FROM g WHERE c = 0 UNION SELECT g.id, g.c, g.y, g.x, least(w.w, g.h) FROM w JOIN g ON g.id = w.id AND abs(g.y - w.y) + abs(g.x - w.x) = 1) SELECT id, round(max(w), 8) AS level FROM w WHERE c = 63 GROUP BY id""")
-def connection_levels_all(spark, sf):
-    """The same of all fields."""
+    """The level at which two corners connect, of every field."""
     def run(i, f):
         yield i, top.connection_level(f, 0, 63)
 
@@ -135,42 +126,73 @@ def necks(spark, sf):
 
 
 RULE = top.Rule(level=0.02, least_depth=0.01, days=1, window=5)
-
-
-def series_detachments(spark, sf):
+SERIES = "CAST(label * 1000 + id div 100 AS INT) AS series"
+
+#: Pieces over the level and lobes of main pieces as parts with their cells (pc); the part of the next day that each
+#: part overlaps (nx); the path of each detachment (path), the start of its first long run of deep touches (fate); and,
+#: day by day, which detachments are none because they overlap a touch that did not count (taken).
+DETACHED = f"""RECURSIVE {CELLS}, g AS (SELECT id, y, x, y*8 + x AS c, h FROM cells),
+    s AS (SELECT id, CAST(label*1000 + id // 100 AS INT) AS series, row_number() OVER (PARTITION BY label*1000 + id // 100 ORDER BY id) - 1 AS day, count(*) OVER (PARTITION BY label*1000 + id // 100) AS days FROM fields),
+    seed AS (SELECT id, arg_max(c, struct_pack(h := h, c := -c)) AS c FROM g WHERE y < 2 AND x BETWEEN 3 AND 5 GROUP BY id),
+    fl AS (SELECT id, c, y, x, c AS root FROM g WHERE h >= {RULE.level} UNION SELECT g.id, g.c, g.y, g.x, fl.root FROM fl JOIN g ON g.id = fl.id AND g.h >= {RULE.level} AND abs(g.y - fl.y) + abs(g.x - fl.x) = 1),
+    piece AS (SELECT id, c, min(root) AS root FROM fl GROUP BY id, c), main AS (SELECT id, root FROM piece SEMI JOIN seed USING (id, c)),
+    w AS (SELECT id, c, y, x, h AS w FROM g SEMI JOIN seed USING (id, c) UNION SELECT g.id, g.c, g.y, g.x, least(w.w, g.h) FROM w JOIN g ON g.id = w.id AND abs(g.y - w.y) + abs(g.x - w.x) = 1),
+    lv AS (SELECT w.id, w.c, max(w) AS level FROM w JOIN piece p ON p.id = w.id AND p.c = w.c JOIN main m ON m.id = p.id AND m.root = p.root GROUP BY w.id, w.c),
+    lobe AS (SELECT g.id, g.c AS top, g.c, g.y, g.x, level, h > level AS open_ FROM g JOIN lv USING (id, c) UNION SELECT g.id, l.top, g.c, g.y, g.x, l.level, true FROM lobe l JOIN g ON l.open_ AND g.id = l.id AND g.h > l.level AND abs(g.y - l.y) + abs(g.x - l.x) = 1),
+    pc AS (SELECT id, 'piece' AS kind, root AS part, c FROM piece UNION ALL SELECT id, 'lobe', top, c FROM lobe),
+    sh AS (SELECT pc.id, kind, part, n.id AS nid, p.root, count(*) AS cells, arg_max(p.c, struct_pack(h := g.h, c := -p.c)) AS top FROM pc JOIN s ON s.id = pc.id JOIN s n ON n.series = s.series AND n.day = s.day + 1 JOIN piece p ON p.id = n.id AND p.c = pc.c JOIN g ON g.id = p.id AND g.c = p.c GROUP BY ALL),
+    nx AS (SELECT sh.id, kind, part, nid, max(top) FILTER (sh.root = m.root) AS top, arg_max(sh.root, struct_pack(n := cells, r := -sh.root)) AS most FROM sh LEFT JOIN main m ON m.id = nid GROUP BY ALL),
+    born AS (SELECT DISTINCT s.series, n.day, n.days, n.id, p.root FROM s JOIN s n ON n.series = s.series AND n.day = s.day + 1 JOIN main m ON m.id = s.id JOIN piece b ON b.id = s.id AND b.root = m.root JOIN piece p ON p.id = n.id AND p.c = b.c LEFT JOIN main o ON o.id = n.id WHERE p.root IS DISTINCT FROM o.root),
+    path AS (SELECT series, day AS born, root, 0 AS k, id, 'piece' AS kind, root AS part, NULL::DOUBLE AS level FROM born
+      UNION ALL SELECT path.series, path.born, path.root, k + 1, nx.nid, CASE WHEN nx.top IS NULL THEN 'piece' ELSE 'lobe' END, coalesce(nx.top, nx.most), lv.level FROM path JOIN nx ON nx.id = path.id AND nx.kind = path.kind AND nx.part = path.part LEFT JOIN lv ON lv.id = nx.nid AND lv.c = nx.top),
+    deep AS (SELECT *, k - row_number() OVER (PARTITION BY series, born, root ORDER BY k) AS run FROM path WHERE level - {RULE.level} >= {RULE.least_depth}),
+    long_ AS (SELECT series, born, root, min(k) AS back FROM deep GROUP BY series, born, root, run HAVING count(*) > {RULE.days}),
+    fate AS (SELECT b.*, last, back, CASE WHEN back IS NOT NULL THEN 'reattached' WHEN b.day + last + 1 = days THEN 'record_end' ELSE 'dissipated' END AS fate FROM born b JOIN (SELECT series, born, root, max(k) AS last FROM path GROUP BY ALL) p ON p.series = b.series AND p.born = b.day AND p.root = b.root LEFT JOIN (SELECT series, born, root, min(back) AS back FROM long_ GROUP BY ALL) l ON l.series = b.series AND l.born = b.day AND l.root = b.root),
+    touch AS (SELECT path.series, path.born, path.root, path.born + k AS day, path.id, path.part, path.level FROM path JOIN fate f ON f.series = path.series AND f.day = path.born AND f.root = path.root WHERE path.kind = 'lobe' AND k < coalesce(back, last + 1)),
+    bars AS (SELECT DISTINCT b.series, b.day, b.root, t.born AS by_day, t.root AS by_root FROM born b JOIN touch t ON t.series = b.series AND t.day = b.day - 1 JOIN lobe l ON l.id = t.id AND l.top = t.part JOIN piece p ON p.id = b.id AND p.root = b.root AND p.c = l.c),
+    taken AS (SELECT series, 0::BIGINT AS day, CAST([] AS BIGINT[]) AS keys FROM s WHERE day = 0
+      UNION ALL SELECT t.series, t.day + 1, list_concat(t.keys, coalesce(n.more, [])) FROM taken t JOIN s ON s.series = t.series AND s.day = t.day + 1,
+        LATERAL (SELECT (SELECT list(b.day*64 + b.root) FROM born b WHERE b.series = t.series AND b.day = t.day + 1 AND NOT EXISTS (SELECT 1 FROM bars x WHERE x.series = b.series AND x.day = b.day AND x.root = b.root AND list_contains(t.keys, x.by_day*64 + x.by_root))) AS more) n),
+    found AS (SELECT f.series, f.day, f.id, f.root AS first_cell, fate, f.day + CASE WHEN back IS NOT NULL THEN back WHEN fate = 'record_end' THEN last ELSE last + 1 END AS fate_day FROM fate f JOIN taken t ON t.series = f.series AND t.day = f.day AND list_contains(t.keys, f.day*64 + f.root)),
+    detached AS (SELECT series, day, first_cell, fate, fate_day, CASE WHEN fate_day - day > {RULE.window} THEN 'separated' WHEN fate = 'record_end' THEN 'censored' ELSE fate END AS outcome, outcome = 'separated' AND fate <> 'reattached' AS final,
+      (SELECT arg_max(g.c, struct_pack(h := g.h, c := -g.c)) FROM piece p JOIN g ON g.id = p.id AND g.c = p.c WHERE p.id = found.id AND p.root = first_cell) AS cell, (SELECT count(*) FROM piece p WHERE p.id = found.id AND p.root = first_cell) AS pixels,
+      (SELECT count(*) FROM touch t WHERE t.series = found.series AND t.born = found.day AND t.root = first_cell) AS touches, (SELECT round(max(level) - {RULE.level}, 8) FROM touch t WHERE t.series = found.series AND t.born = found.day AND t.root = first_cell) AS deepest_touch FROM found)"""
+
+
+@query("l07_detachments", f"WITH {DETACHED} SELECT * FROM detached")
+def detachments(spark, sf):
     """Fields of a label as a series of days; one group is one series."""
     seed = np.zeros((8, 8), bool)
     seed[:2, 3:6] = True
+    names = "series day cell first_cell pixels fate fate_day outcome final touches deepest_touch".split()
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
         found = top.detachments([np.asarray(v, float).reshape(8, 8) for v in p["v"]], seed, RULE)
-        return pd.DataFrame([(int(p["label"].iloc[0]), d["day"], d["cell"], d["pixels"], d["fate"], d["fate_day"], d["outcome"], d["final"]) for d in found], columns=["series", "day", "cell", "pixels", "fate", "fate_day", "outcome", "final"])
-
-    series = fields(spark, sf).select((F.col("label") * 1000 + F.expr("id div 100")).cast("int").alias("label"), "id", "v")
-    return series.groupBy("label").applyInPandas(run, "series int, day long, cell long, pixels long, fate string, fate_day long, outcome string, final boolean")
+        return pd.DataFrame([d | {"series": int(p["series"].iloc[0])} for d in found], columns=names)
 
-
-@query("l07_detachments")
-def detachments(spark, sf):
-    return series_detachments(spark, sf)
+    series = fields(spark, sf).selectExpr(SERIES, "id", "v")
+    rows = series.groupBy("series").applyInPandas(run, "series int, day long, cell long, first_cell long, pixels long, fate string, fate_day long, outcome string, final boolean, touches long, deepest_touch double")
+    return tidy(rows, 8)
 
 
-@query("l08_separation_events")
+@query("l08_separation_events", f"""WITH {DETACHED}, o AS (SELECT *, fate <> 'reattached' AND outcome IN ('separated', 'censored') AS closes FROM detached WHERE cell >= 16),
+    n AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY series ORDER BY day, first_cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM o WHERE closes OR fate = 'reattached')
+    SELECT series, max(day) FILTER (closes) AS day, max(first_cell) FILTER (closes) AS first_cell, NOT bool_or(final) AS censored, max(pixels) FILTER (closes) AS pixels, max(cell) FILTER (closes) AS cell, any_value(fate) FILTER (closes) AS fate, max(fate_day) FILTER (closes) AS fate_day, min(day) AS first_day, count_if(NOT closes) AS reattachments, count_if(NOT closes AND outcome = 'separated') AS late_reattachments FROM n GROUP BY series, span HAVING bool_or(closes)""")
 def separations(spark, sf):
     """Final or censored separations in the region, with the reattachments before them."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        found = top.events(p.to_dict("records"), lambda d: d["cell"] >= 16)
-        return pd.DataFrame([(int(p["series"].iloc[0]), e["day"], e["censored"], e["pixels"], e["first_day"], e["reattachments"]) for e in found], columns=["series", "day", "censored", "pixels", "first_day", "reattachments"])
+    found = top.separation_events(detachments(spark, sf), ["series"], F.col("cell") >= 16, ["day", "first_cell"])
+    return found.select("series", "day", "first_cell", "censored", "pixels", "cell", "fate", "fate_day", "first_day", "reattachments", "late_reattachments")
 
-    return series_detachments(spark, sf).groupBy("series").applyInPandas(run, "series int, day long, censored boolean, pixels long, first_day long, reattachments long")
 
-
-@query("l09_event_report")
+@query("l09_event_report", f"""WITH {DETACHED}, b AS (SELECT id, c, max(w) AS saddle FROM w GROUP BY id, c), k AS (SELECT *, NOT coalesce(lag(h) OVER r >= h, false) AND NOT coalesce(lead(h) OVER r > h, false) AND NOT coalesce(lag(h) OVER d >= h, false) AND NOT coalesce(lead(h) OVER d > h, false) AS peak FROM g WINDOW r AS (PARTITION BY id, y ORDER BY x), d AS (PARTITION BY id, x ORDER BY y)),
+    m AS (SELECT id, c, h, saddle FROM k JOIN b USING (id, c) WHERE peak), sp AS (SELECT m.id, m.c, max(g.h) AS peak FROM m JOIN b o ON o.id = m.id AND o.saddle > m.saddle JOIN g ON g.id = o.id AND g.c = o.c GROUP BY ALL),
+    neck AS (SELECT series, max(round(greatest(0, least(m.h, coalesce(sp.peak, m.saddle)) - m.saddle), 8)) AS deepest_neck FROM m JOIN s USING (id) LEFT JOIN sp ON sp.id = m.id AND sp.c = m.c GROUP BY series)
+    SELECT series, count(*) AS detachments, count_if(final) AS final, max(pixels) AS largest, any_value(deepest_neck) AS deepest_neck FROM detached JOIN neck USING (series) GROUP BY series""")
 def event_report(spark, sf):
     """Detachments of a series beside its events and the deepest neck of each day."""
-    found = series_detachments(spark, sf).groupBy("series").agg(F.count("*").alias("detachments"), F.count_if("final").alias("final"), F.max("pixels").alias("largest"))
-    neck = necks(spark, sf).join(fields(spark, sf).select("id", (F.col("label") * 1000 + F.expr("id div 100")).cast("int").alias("series")), "id").groupBy("series").agg(F.max("depth").alias("deepest_neck"))
+    found = detachments(spark, sf).groupBy("series").agg(F.count("*").alias("detachments"), F.count_if("final").alias("final"), F.max("pixels").alias("largest"))
+    neck = necks(spark, sf).join(fields(spark, sf).selectExpr("id", SERIES), "id").groupBy("series").agg(F.max("depth").alias("deepest_neck"))
     return found.join(neck, "series")
 
 
@@ -201,7 +223,7 @@ def basin_mask(spark, sf):
     """The piece of ocean that holds the seed."""
     def run(i, f):
         if f[3, 3] >= -0.05:
-            yield i, int(top.component_of(f >= -0.05, 27).sum())
+            yield i, int(top.piece_around(f >= -0.05, 27).sum())
 
     return mapped(fields(spark, sf), run, "id long, cells long")
 
@@ -241,37 +263,30 @@ def matched(spark, sf):
     return greedy_matches(rows, ["cell"], "d", "true", 2)
 
 
-@query("d08_radius_and_knn_edges", """WITH p AS (SELECT p_partkey AS a, (p_partkey % 40) + p_size/100.0 AS x, p_partkey // 40 + p_retailprice/10000 AS y FROM part), m AS (SELECT c_custkey AS b, (c_custkey % 13)*3.0 AS x, (c_custkey // 13 % 17)*3.0 AS y FROM customer WHERE c_custkey < 221),
-    d AS (SELECT a, b, sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) AS d FROM p, m) SELECT b AS mesh, count(*) AS edges, round(max(d), 6) AS longest FROM d WHERE d <= 2.01 GROUP BY b""")
-def radius_edges(spark, sf):
-    """Mesh points with the grid points within two thirds of their spacing."""
-    from ..operators.joins import within_radius
+#: Grid points, and as a mesh the distinct coordinates of all customers.
+POINTS = """p AS (SELECT p_partkey AS a, (p_partkey % 40) + p_size/100.0 AS x, p_partkey // 40 + p_retailprice/10000 AS y FROM part), m AS (SELECT min(c_custkey) AS b, (c_custkey % 13)*3.0 AS x, (c_custkey // 13 % 17)*3.0 AS y FROM customer GROUP BY ALL),
+    d AS (SELECT a, b, sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) AS d, p.x - m.x AS dx, p.y - m.y AS dy FROM p, m)"""
 
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") % 40) + F.col("p_size") / 100.0).alias("x"), (F.expr("p_partkey div 40") + F.col("p_retailprice") / 10000).alias("y"))
-    m = table(spark, sf, "customer").where("c_custkey < 221").select(F.col("c_custkey").alias("b"), ((F.col("c_custkey") % 13) * 3.0).alias("x"), (F.expr("c_custkey div 13") % 17 * 3.0).alias("y"))
-    return tidy(within_radius(p, m, 2.01).groupBy(F.col("b").alias("mesh")).agg(F.count("*").alias("edges"), F.max("distance").alias("longest")), 6)
 
+def points(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") % 40) + F.col("p_size") / 100.0).alias("x"), (F.expr("p_partkey div 40") + F.col("p_retailprice") / 10000).alias("y"))
+    m = table(spark, sf, "customer").groupBy(((F.col("c_custkey") % 13) * 3.0).alias("x"), (F.expr("c_custkey div 13") % 17 * 3.0).alias("y")).agg(F.min("c_custkey").alias("b"))
+    return p, m
 
-@query("d08_nearest_neighbours", """WITH p AS (SELECT p_partkey AS a, (p_partkey % 40) + p_size/100.0 AS x, p_partkey // 40 + p_retailprice/10000 AS y FROM part), m AS (SELECT c_custkey AS b, (c_custkey % 13)*3.0 AS x, (c_custkey // 13 % 17)*3.0 AS y FROM customer WHERE c_custkey < 221),
-    d AS (SELECT a, b, sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) AS d FROM p, m), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d WHERE d <= 6) SELECT a AS cell, count(*) AS n, sum(b)::BIGINT AS neighbours, round(max(d), 6) AS farthest FROM r WHERE k <= 4 GROUP BY a""")
-def nearest_neighbours(spark, sf):
-    """The four nearest mesh points of each grid point, looked for within two spacings."""
-    from pyspark.sql import Window
 
+@query("d08_radius_and_knn_edges", f"WITH {POINTS} SELECT b AS mesh, count(*) AS edges, round(max(d), 6) AS longest, round(sum(dx), 6) AS dx, round(sum(dy), 6) AS dy FROM d WHERE d <= 2.01 GROUP BY b")
+def radius_edges(spark, sf):
+    """Mesh points with the grid points within two thirds of their spacing: edges with their length and offset."""
     from ..operators.joins import within_radius
 
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") % 40) + F.col("p_size") / 100.0).alias("x"), (F.expr("p_partkey div 40") + F.col("p_retailprice") / 10000).alias("y"))
-    m = table(spark, sf, "customer").where("c_custkey < 221").select(F.col("c_custkey").alias("b"), ((F.col("c_custkey") % 13) * 3.0).alias("x"), (F.expr("c_custkey div 13") % 17 * 3.0).alias("y"))
-    rows = within_radius(p, m, 6.0).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where("k <= 4")
-    return tidy(rows.groupBy(F.col("a").alias("cell")).agg(F.count("*").alias("n"), F.sum("b").alias("neighbours"), F.max("distance").alias("farthest")), 6)
+    edges = within_radius(*points(spark, sf), 2.01)
+    return tidy(edges.groupBy(F.col("b").alias("mesh")).agg(F.count("*").alias("edges"), F.max("distance").alias("longest"), F.sum("dx").alias("dx"), F.sum("dy").alias("dy")), 6)
 
 
-@query("d08_nearest_neighbours_all", """WITH p AS (SELECT p_partkey AS a, (p_partkey % 40) + p_size/100.0 AS x, p_partkey // 40 + p_retailprice/10000 AS y FROM part), m AS (SELECT min(c_custkey) AS b, (c_custkey % 13)*3.0 AS x, (c_custkey // 13 % 17)*3.0 AS y FROM customer GROUP BY ALL),
-    d AS (SELECT a, b, sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) AS d FROM p, m), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d) SELECT a AS cell, count(*) AS n, sum(b)::BIGINT AS neighbours, round(max(d), 6) AS farthest FROM r WHERE k <= 4 GROUP BY a""")
-def nearest_neighbours_all(spark, sf):
-    """The same of every grid point, however far they lie; the mesh is the distinct coordinates of all customers."""
+@query("d08_nearest_neighbours", f"WITH {POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d) SELECT a AS cell, count(*) AS n, sum(b)::BIGINT AS neighbours, round(max(d), 6) AS farthest, round(sum(-dx), 6) AS dx, round(sum(-dy), 6) AS dy FROM r WHERE k <= 4 GROUP BY a")
+def nearest_neighbours(spark, sf):
+    """The four nearest mesh points of every grid point, however far they lie, with the offsets to them."""
     from ..operators.joins import nearest
 
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") % 40) + F.col("p_size") / 100.0).alias("x"), (F.expr("p_partkey div 40") + F.col("p_retailprice") / 10000).alias("y"))
-    m = table(spark, sf, "customer").groupBy(((F.col("c_custkey") % 13) * 3.0).alias("x"), (F.expr("c_custkey div 13") % 17 * 3.0).alias("y")).agg(F.min("c_custkey").alias("b"))
-    return tidy(nearest(p, m, 4, 6.0).groupBy(F.col("a").alias("cell")).agg(F.count("*").alias("n"), F.sum("b").alias("neighbours"), F.max("distance").alias("farthest")), 6)
+    edges = nearest(*points(spark, sf), 4, 6.0)
+    return tidy(edges.groupBy(F.col("a").alias("cell")).agg(F.count("*").alias("n"), F.sum("b").alias("neighbours"), F.max("distance").alias("farthest"), F.sum(-F.col("dx")).alias("dx"), F.sum(-F.col("dy")).alias("dy")), 6)

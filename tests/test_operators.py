@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import time
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -390,8 +391,45 @@ def test_detachment_fates():
         f[1:4, 6:9] = -1
     (lost,) = top.detachments(gone, seed, rule)
     assert (lost["fate"], lost["fate_day"]) == ("dissipated", 4)
-    found = top.events([back | {"day": 1}, late | {"day": 7}], lambda d: True)
-    assert found == [{"day": 7, "censored": False, "pixels": 9, "first_day": 1, "reattachments": 1}]
+
+
+def test_a_shallow_touch_is_no_rejoin_and_no_new_detachment():
+    seed = np.zeros((6, 12), bool)
+    seed[1:4, 0:2] = True
+    rule = top.Rule(level=0.5, least_depth=0.1, days=2, window=5)
+    days = moving(12, 2)
+    days[4][2, 4:6] = 0.55  # touches for a day, not deep enough
+    (only,) = top.detachments(days, seed, rule)
+    assert (only["day"], only["fate"], only["touches"], round(only["deepest_touch"], 6)) == (2, "record_end", 1, 0.05)
+    days = moving(12, 2, 5)
+    days[7][2, 4:6] = -1.0  # deep on two days only, apart for one, then for good
+    first, *_ = top.detachments(days, seed, rule)
+    assert (first["day"], first["fate"], first["fate_day"], first["outcome"], first["touches"]) == (2, "reattached", 8, "separated", 2) and not first["final"]
+
+
+def test_events_close_spans_of_reattachments(spark):
+    rows = [
+        (1, 1, "reattached", "reattached", False, 9), (1, 3, "reattached", "separated", False, 9), (1, 4, "dissipated", "dissipated", False, 9), (1, 5, "dissipated", "separated", True, 9),
+        (1, 6, "record_end", "censored", False, 9), (1, 8, "reattached", "reattached", False, 9), (2, 2, "record_end", "separated", True, 9), (2, 1, "reattached", "reattached", False, 1),
+    ]
+    found = spark.createDataFrame(rows, "series int, day long, fate string, outcome string, final boolean, cell long")
+    got = top.separation_events(found, ["series"], F.col("cell") > 4, ["day"]).orderBy("series", "day")
+    assert [tuple(r) for r in got.select("series", "day", "censored", "first_day", "reattachments", "late_reattachments").collect()] == [(1, 5, False, 1, 2, 1), (1, 6, True, 6, 0, 0), (2, 2, False, 2, 0, 0)]
+
+
+def test_images_of_full_size():
+    """385 by 525 cells, in seconds."""
+    y, x = np.mgrid[:385, :525]
+    f = np.sin(y / 31) * np.cos(x / 23) + 0.2 * np.sin(x / 7 + y / 5) + 1e-9 * (y * 525 + x)
+    f[300:, 400:] = np.nan
+    started = time.monotonic()
+    found = top.persistence(f, open_edge=True)
+    assert all(np.isfinite(d) for _, d, _ in found)
+    a, b = 193 * 525 + 20, 20 * 525 + 500
+    level = top.connection_level(f, a, b)
+    parts = top.labels(np.nan_to_num(f, nan=-np.inf) >= level).ravel(), top.labels(np.nan_to_num(f, nan=-np.inf) > level).ravel()
+    assert parts[0][a] == parts[0][b] and (parts[1][a] == 0 or parts[1][a] != parts[1][b])
+    assert time.monotonic() - started < 30
 
 
 def test_distances_against_all_matchings():

@@ -26,7 +26,7 @@ def test_losses_after_the_fortieth_step_count(spark, tmp_path):
 
 def test_every_field_has_a_connection_level(spark, sf_dir):
     want = {r.vec_id: round(float(top.connection_level(r.embedding.astype(float).reshape(8, 8), 0, 63)), 8) for r in read(sf_dir, "embeddings").itertuples()}
-    assert dict(map(tuple, QUERIES["l05_connection_levels_all"](spark, sf_dir).select("id", "level").collect())) == want and len(want) > 8
+    assert dict(map(tuple, QUERIES["l05_connection_levels"](spark, sf_dir).select("id", "level").collect())) == want and len(want) > 8
 
 
 def test_far_points_have_their_nearest_too(spark):
@@ -45,13 +45,13 @@ def test_far_points_have_their_nearest_too(spark):
 def test_every_cell_has_four_neighbours(spark, tmp_path):
     pd.DataFrame({"p_partkey": [0, 100, 4000], "p_size": [1, 2, 3], "p_retailprice": [900.0, 950.0, 990.0]}).to_parquet(tmp_path / "part.parquet")
     pd.DataFrame({"c_custkey": range(1000, 1300)}).to_parquet(tmp_path / "customer.parquet")
-    got = QUERIES["d08_nearest_neighbours_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["d08_nearest_neighbours"](spark, str(tmp_path)).collect()
     assert sorted((r["cell"], r["n"]) for r in got) == [(0, 4), (100, 4), (4000, 4)]
 
 
 def test_every_start_is_written_as_parts(spark, sf_dir):
     lines = read(sf_dir, "lineitem")
-    got = QUERIES["b10_rollout_parts_all"](spark, sf_dir)
+    got = QUERIES["b10_rollout_parts"](spark, sf_dir)
     assert got.count() == len(lines[["l_orderkey", "l_linenumber"]].drop_duplicates())
     assert got.select("start").distinct().count() == lines["l_orderkey"].nunique()
 
@@ -59,8 +59,8 @@ def test_every_start_is_written_as_parts(spark, sf_dir):
 def test_every_row_of_the_image_is_archived(spark, sf_dir):
     part = read(sf_dir, "part")
     rows = set(part["p_partkey"] // 40)
-    assert QUERIES["a06_bottom_depths_all"](spark, sf_dir).first()["cells"] == 40 * len(rows)
-    got = QUERIES["a07_mean_archive_all"](spark, sf_dir).collect()
+    assert QUERIES["a06_bottom_depths"](spark, sf_dir).first()["cells"] == 40 * len(rows)
+    got = QUERIES["a07_mean_archive"](spark, sf_dir).collect()
     assert {(r["name"], r["y"]) for r in got} == {(n, y) for n in ("thickness", "surface") for y in rows}
 
 
@@ -70,17 +70,17 @@ def test_every_order_is_a_file(spark, sf_dir):
     every = set().union(*days)
     have = {"start": ("F", -1), "applied": ("P", -1), "mean": ("O", 0), "end": ("F", 0), "observed": ("O", 1)}
     want = {role: sum(d + pd.Timedelta(days=o) not in days[p] for d in every) for role, (p, o) in have.items()}
-    assert {r["role"]: r["missing"] for r in QUERIES["d02_missing_roles_all"](spark, sf_dir).collect()} == {k: n for k, n in want.items() if n}
-    assert QUERIES["d01_cycles_all"](spark, sf_dir).where("path IS NOT NULL").count() == sum(len(every) - n for n in want.values())
+    assert {r["role"]: r["missing"] for r in QUERIES["d02_missing_roles"](spark, sf_dir).collect()} == {k: n for k, n in want.items() if n}
+    assert QUERIES["d01_cycles"](spark, sf_dir).where("path IS NOT NULL").count() == sum(len(every) - n for n in want.values())
     paths = set(zip(orders["o_orderstatus"], pd.to_datetime(orders["o_orderdate"]).dt.date, orders["o_orderkey"] % 2, strict=True))
-    assert sum(r["n"] for r in QUERIES["a02_catalog_index_all"](spark, sf_dir).collect()) == len(paths)
+    assert sum(r["n"] for r in QUERIES["a02_catalog_index"](spark, sf_dir).collect()) == len(paths)
     both = pd.Series([p[:2] for p in paths]).value_counts()
-    assert QUERIES["a02_clashes_all"](spark, sf_dir).count() == (both > 1).sum()
+    assert QUERIES["a02_clashes"](spark, sf_dir).count() == (both > 1).sum()
 
 
 def test_all_events_take_part_in_the_blocks(spark, sf_dir):
     events = read(sf_dir, "events").sort_values("ts")
     odd = events["user_id"] % 2 != 0
     want = pd.merge_asof(events[odd], events.loc[~odd, ["event_type", "ts", "event_id"]].rename(columns={"event_id": "epoch"}), on="ts", by="event_type")
-    got = {r["event_id"]: r["epoch"] for r in QUERIES["d13_as_of_blocks_all"](spark, sf_dir).collect()}
+    got = {r["event_id"]: r["epoch"] for r in QUERIES["d13_as_of_blocks"](spark, sf_dir).collect()}
     assert got == {i: None if pd.isna(e) else int(e) for i, e in zip(want["event_id"], want["epoch"], strict=True)}
