@@ -1,10 +1,16 @@
 """Main text of web pages by removing site templates.
 
-Each page is parsed leniently into a tree; every element subtree outside the
-article gets a hash of its tags and text. Spark counts, per host, the pages on
-which each hash occurs; a subtree that recurs on many pages of its host is that
-site's template and is deleted, as are the elements that never hold an article's
-text: navigation, forms, scripts, adverts, comments and the like.
+Each page is parsed leniently into a tree, and each block element that holds text
+gets a hash of its place (the tags and classes around it), its tags and its text.
+Spark counts, per host, the pages of different articles on which each hash occurs.
+A subtree that recurs at a place where most of what stands there recurs, on many
+pages of the host, is that site's template and is deleted; text that merely repeats
+among articles stands at places where most does not. Within the element that holds
+most of the text, where copies of an article look like that too, only boxes go that
+are on most pages. Of what is left, the article is the marked element (article,
+main) that holds enough of the text, else everything. Menus, forms, footers, scripts
+and the like also go by their tags and roles, adverts, comments and notices by class
+names that say nothing else.
 """
 
 from __future__ import annotations
@@ -20,27 +26,39 @@ from xxhash import xxh3_64_intdigest
 
 from ._shared import ROW, cut, map_rows, numbered
 
-#: A subtree is a template if it occurs on at least so many pages of its host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 4, 0.1
-#: The same inside the element that holds the article.
-INNER_PAGES, INNER_SHARE = 20, 0.5
+#: A subtree is a template at a place where at least this share of what stands there recurs, if it occurs on at least so
+#: many pages of its host, or recurs at all and what recurs there does so on COMMON_PAGES ...
+LEAST_PAGES, LEAST_SHARE = 4, 0.5
+#: ... or if it occurs on so many pages that are at least this share of the host's.
+COMMON_PAGES, COMMON_SHARE = 20, 0.5
+#: What holds more than this share of a page's text is its heart, unless marked elements are.
+MOST_TEXT = 0.5
+#: Marked elements are the heart, or the article, if they hold at least this share of the text, or of what is left.
+LEAST_TEXT = 0.25
 
 #: Hashes of all hosts' templates that are broadcast; more are joined.
 BROADCAST = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video map nav aside footer form button select textarea input menu dialog fieldset title datalist".split())
+#: Elements without text of the page, and those that by their tags are no part of an article.
+SILENT = frozenset("head script style noscript template iframe object svg canvas audio video map select textarea input title datalist".split())
+DROPPED = SILENT | frozenset("nav aside footer form button menu dialog fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr li dd dt summary".split()) | {"hr"}
 #: What an opening tag closes first, and where that search stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 INLINE_SCOPE = frozenset("html body div section article main aside nav header footer table td th li ul ol form blockquote button".split())
-#: Words of a class, id or role that mark an element as no part of the article.
-UNWANTED = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comment-list commentlist consent cookie cookies disclaimer discussion disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup popular promo promoted promotion recommended related related-posts replies share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo search alert alertdialog".split()
-)
-WORD = re.compile(r"[A-Za-z][A-Za-z0-9]*")
+#: Elements that are never templates by themselves: parts of a text, list or table.
+PARTS = frozenset("html body head h1 h2 h3 h4 h5 h6 li dd dt tr td th tbody thead tfoot caption figcaption summary".split())
+#: Elements that class names and ids can mark as no part of the article.
+MARKABLE = frozenset("div section ul ol dl details figure p span".split())
+#: Words of class names that mark an element as no part of the article; those that an article may use for its own
+#: boxes count outside it only; and words that may stand beside them in a name ("comment-list", "ad_box").
+UNWANTED = frozenset("ad ads adv advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies consent gdpr disqus footer navbar navigation newsletter pager pagination promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe subscription".split())
+OUTER = frozenset("alert alerts banner disclaimer header masthead menu menubar modal nav notice notices notification notifications popup recommended search signup skip toolbar topbar widget widgets".split())
+NEUTRAL = frozenset("area articles bar block box buttons container content form group inner item items links list main module panel posts section site thread top bottom left right wrap wrapper".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.S)
 HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -49,10 +67,14 @@ HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 @dataclass(slots=True, eq=False)
 class Node:
     tag: str
-    marks: str = ""
+    names: str = ""
+    id: str = ""
+    role: str = ""
     hidden: bool = False
     children: list = field(default_factory=list)
+    slot: int = 0
     hash: int = 0
+    text: int = 0
 
 
 class Stack(list):
@@ -101,7 +123,7 @@ def parse(source: str) -> Node:
             for name, value in ATTRIBUTE.findall(m[3]):
                 name = name.lower()
                 if name in ("class", "id", "role"):
-                    node.marks += " " + html.unescape(value.strip("\"'")).lower()
+                    setattr(node, {"class": "names"}.get(name, name), html.unescape(value.strip("\"'")).lower())
                 elif name == "hidden" or name == "aria-hidden" and "true" in value.lower() or name == "style" and re.search(r"display\s*:\s*none", value.lower()):
                     node.hidden = True
         stack[-1].children.append(node)
@@ -127,39 +149,141 @@ def _close(stack: Stack, tags: set, stop) -> None:
             return
 
 
+def marked(name: str, inside: bool) -> bool:
+    """Whether a class name or id says that the element is no part of the article, and nothing else."""
+    words = [w for w in re.split("[^a-z0-9]+", name) if w]
+    known = [w in UNWANTED or w in OUTER and not inside for w in words]
+    return any(known) and all(k or w in NEUTRAL or w in OUTER for k, w in zip(known, words, strict=True))
+
+
 def unwanted(node: Node, inside: bool) -> bool:
-    """Whether the element never holds an article's text. inside: within the article, where a header is the article's own."""
+    """Whether the element never holds an article's text. inside: within the article, where headers and notices are the article's own."""
     if node.hidden or node.tag in DROPPED or node.tag == "header" and not inside:
         return True
-    if node.marks and node.tag not in ("html", "body", "main", "article"):
-        for name in node.marks.split():
-            if name in UNWANTED and not (inside and name == "header"):
-                return True
-            parts = WORD.findall(name.replace("_", "-"))
-            if any(p in UNWANTED for p in (parts[:1] + parts[-1:] if len(parts) > 1 else ())) and not (inside and "header" in parts):
-                return True
-    return False
-
-
-def _holds(node: Node) -> list[Node]:
-    """The elements that hold the article: outermost article or main elements with text, where there are any."""
-    for tag in ("article", "main"):
-        found, todo = [], [node]
+    if node.role and not inside and node.tag not in ("html", "body", "main", "article") and node.role in ROLES or node.role in ("complementary", "navigation"):
+        return True
+    if node.tag not in MARKABLE or not (node.names or node.id):
+        return False
+    return any(marked(name, inside) for name in node.names.split()) or node.tag in ("div", "section", "ol", "ul") and node.id not in OUTER and marked(node.id, inside)
+
+
+def measured(root: Node) -> int:
+    """Sets the place, hash and length of text of the elements that hold text, menus and the like too; returns the page's length."""
+    order, todo = [], [(root, 0)]
+    while todo:
+        x, around = todo.pop()
+        if x.hidden or x.tag in SILENT:
+            continue
+        x.slot = xxh3_64_intdigest(f"{around} {x.tag} {x.names}".encode("utf-8", "surrogatepass")) if x.tag in BLOCKS else around
+        order.append(x)
+        todo += [(c, x.slot) for c in x.children if not isinstance(c, str)]
+    for x in reversed(order):
+        parts = [c.strip() if isinstance(c, str) else str(c.hash) if c.hash else "" for c in x.children]
+        x.text = sum(len(p) if isinstance(c, str) else c.text for p, c in zip(parts, x.children, strict=True))
+        if x.text:
+            content = "\x00".join(parts)
+            x.hash = xxh3_64_intdigest(f"{x.slot} {x.tag} {content}".encode("utf-8", "surrogatepass")) >> 1 | 1
+    return root.text
+
+
+def kind_of(x: Node) -> str:
+    return "article" if x.tag == "article" else "main" if x.tag == "main" or x.role == "main" and x.tag != "body" else ""
+
+
+def hearts(root: Node) -> tuple[list[Node], bool]:
+    """The marked elements that hold enough of the text, else the innermost element that holds most of it; and whether they are marked."""
+    for kind in ("article", "main"):
+        found, todo = [], [root]
         while todo:
             x = todo.pop()
-            if isinstance(x, str) or unwanted(x, False):
-                continue
-            if (x.tag == tag or tag == "main" and "main" in x.marks.split() and x.tag != "body") and texts([x]):
+            if kind_of(x) == kind and x.hash:
                 found.append(x)
             else:
-                todo += reversed(x.children)
-        if found:
+                todo += [c for c in x.children if not isinstance(c, str) and c.hash]
+        if found and sum(x.text for x in found) >= LEAST_TEXT * root.text:
+            return found, True
+    x = root
+    while deeper := [c for c in x.children if not isinstance(c, str) and c.hash and c.tag in BLOCKS and c.text > MOST_TEXT * root.text]:
+        x = deeper[0]
+    return [x], False
+
+
+#: How often an element must occur to be a template: at a place where most recurs, on half of a few pages, on half of many.
+FREE, LARGE, STRICT = 0, 1, 2
+
+
+def removable(root: Node) -> list[tuple[Node, int]]:
+    """The elements of a measured page that may be templates, and how often each must occur to be one.
+
+    What holds marked elements is none; what holds most of a page's text is LARGE. Boxes inside a heart are STRICT and
+    paragraphs are none; but if a page's body is its heart, paragraphs are STRICT and boxes FREE, as they are outside.
+    """
+    found, named = hearts(root)
+    heart, holds, out = {id(x) for x in found}, set(), []
+    whole = not named and found[0].tag in ("#root", "html", "body")
+    todo: list = [(root, False, ())]
+    while todo:
+        x, inside, path = todo.pop()
+        box = x.tag in BLOCKS and x.tag not in PARTS
+        if id(x) in heart:
+            for y in (x, *_up(path)):
+                holds.add(id(y))
+            inside = True
+            if box and not named:
+                out.append((x, LARGE))
+        elif box and not (inside and not whole and x.tag == "p"):
+            large = not inside and x.text > MOST_TEXT * root.text
+            out.append((x, LARGE if large else STRICT if inside and (not whole or x.tag == "p") else FREE))
+        todo += [(c, inside, path if inside else (x, path)) for c in x.children if not isinstance(c, str) and c.hash]
+    return [(x, how) for x, how in out if not (named and id(x) in holds)]
+
+
+def _up(path: tuple):
+    while path:
+        x, path = path
+        yield x
+
+
+def subtrees(source: str | None) -> tuple[int, list[tuple[int, int, int]]]:
+    """A hash of the page's article as marked, else of the page; and (hash, place, how often it must occur) of the subtrees that may be templates, each once."""
+    root = parse(source or "")
+    measured(root)
+    found, named = hearts(root)
+    article = xxh3_64_intdigest(" ".join(str(x.hash) for x in (found if named else [root])).encode()) >> 1
+    return article, sorted({x.hash: (x.hash, x.slot >> 1, how) for x, how in removable(root)}.values())
+
+
+def left(root: Node, template: frozenset) -> list[tuple[Node, str]]:
+    """Deletes the templates, then what is unwanted; sets the length of the text that is left. Returns the elements marked as article or main that are in no other of their kind, with the kind."""
+    measured(root)
+    gone = {id(x) for x, _ in removable(root) if x.hash in template} if template else set()
+    order, outermost, todo = [], [], [(root, frozenset())]
+    while todo:
+        x, within = todo.pop()
+        order.append(x)
+        kind = kind_of(x)
+        if kind and kind not in within:
+            outermost.append((x, kind))
+            within |= {kind}
+        x.children = [c for c in x.children if isinstance(c, str) or not (id(c) in gone or unwanted(c, bool(within)))]
+        todo += [(c, within) for c in reversed(x.children) if not isinstance(c, str)]
+    for x in reversed(order):
+        x.text = sum(len(c.strip()) if isinstance(c, str) else c.text for c in x.children)
+    return outermost
+
+
+def main_nodes(root: Node, template: frozenset = frozenset()) -> list[Node]:
+    """The elements that hold the article once templates are deleted; none where that is the whole page."""
+    outermost = left(root, template)
+    for kind in ("article", "main"):
+        found = [x for x, k in outermost if k == kind and x.text]
+        if found and sum(x.text for x in found) >= LEAST_TEXT * root.text:
             return found
     return []
 
 
-def texts(nodes: list[Node], template=frozenset(), inside: bool = True) -> list[str]:
-    """The blocks of text in page order, without unwanted elements and templates."""
+def texts(nodes: list[Node]) -> list[str]:
+    """The blocks of text in page order."""
     blocks: list[str] = []
     held: list[str] = []
 
@@ -169,100 +293,77 @@ def texts(nodes: list[Node], template=frozenset(), inside: bool = True) -> list[
         held.clear()
 
     # depth first without recursion: trees of broken pages may be deep
-    todo: list = [(x, inside) for x in reversed(nodes)]
+    todo: list = list(reversed(nodes))
     while todo:
-        x, within = todo.pop()
+        x = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             held.append(x)
         elif x.tag == "br":
             held.append(" ")
-        elif not unwanted(x, within) and not (x.hash and x.hash in template):
-            within = within or x.tag in ("article", "main")
+        else:
             if x.tag in BLOCKS or x.tag == "hr":
                 flush()
-                todo.append((None, False))
-            todo += [(c, within) for c in reversed(x.children)]
+                todo.append(None)
+            todo += reversed(x.children)
     flush()
     return blocks
 
 
-def hashed(root: Node, article: list[Node]) -> tuple[set[int], set[int]]:
-    """Sets the hash of each subtree that holds text; returns those outside and inside the article."""
-    order, todo = [], [(root, False)]
-    roots = {id(x) for x in article}
-    while todo:
-        x, inside = todo.pop()
-        order.append((x, inside))
-        todo += [(c, inside or id(x) in roots) for c in x.children if not isinstance(c, str)]
-    outer, inner, around = set(), set(), set()
-    for x, inside in reversed(order):
-        content = "\x00".join(c.strip() if isinstance(c, str) else str(c.hash) for c in x.children)
-        if any(c.strip() if isinstance(c, str) else c.hash for c in x.children):
-            x.hash = xxh3_64_intdigest(f"{x.tag}\x01{content}".encode("utf-8", "surrogatepass")) >> 1 | 1
-        holds = id(x) in roots or any(id(c) in around for c in x.children)
-        if holds:
-            around.add(id(x))  # an element around the article is never a template
-        elif x.hash and x.tag not in ("#root", "html", "body", "head"):
-            (inner if inside else outer).add(x.hash)
-    for x, _ in order:
-        if id(x) in around:
-            x.hash = 0
-    return outer, inner
-
-
-def subtrees(source: str | None) -> tuple[list[int], list[int]]:
-    """Hashes of the page's subtrees: outside the article, inside it."""
+def main_text(source: str | None, template: frozenset = frozenset()) -> str:
+    """The page's main text, without the subtrees whose hashes are given."""
     root = parse(source or "")
-    outer, inner = hashed(root, _holds(root))
-    return sorted(outer), sorted(inner - outer)
+    return " ".join(texts(main_nodes(root, template) or [root]))
 
 
-def main_text(source: str | None, outer=frozenset(), inner=frozenset()) -> str:
-    """The page's main text, without the subtrees whose hashes are given, those of ``inner`` if the page marks its article, else those of ``outer``."""
-    root = parse(source or "")
-    article = _holds(root)
-    template = inner if article else outer
-    if template:
-        hashed(root, article)
-    return " ".join(texts(article or [root], template, bool(article)))
+def templates(trees: DataFrame) -> DataFrame:
+    """(host, hash) of the templates among ``trees`` (host, article, found: the subtrees of a page of each article)."""
+    many = trees.groupBy("host").agg(F.count("*").alias("pages"))
+    each = trees.select("host", F.inline("found"))
+    counts = each.groupBy("host", "slot", "how", "hash").agg(F.count("*").alias("n"))
+    again = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    slots = counts.groupBy("host", "slot", "how").agg(again.alias("again"), (again / F.sum("n")).alias("share"))
+    counts = counts.where("n > 1").join(slots, ["host", "slot", "how"]).join(many.hint("rebalance"), "host")  # rebalanced, so that both sides are shuffled and a host can be split
+    n, half = F.col("n"), F.col("n") >= COMMON_SHARE * F.col("pages")
+    free = (F.col("how") == FREE) & (F.col("share") >= LEAST_SHARE) & ((n >= LEAST_PAGES) | (F.col("again") >= COMMON_PAGES))
+    return counts.where(free | half & (n >= COMMON_PAGES) | half & (n >= LEAST_PAGES) & (F.col("how") == LARGE)).select("host", "hash").distinct()
 
 
 def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """For each row of ``pages``: its row number, id, url, text and n_chars.
 
     Null or empty pages have empty text. Pages whose url has no host are of the
-    host "". Only different pages count toward a template, so copies of one page
+    host "". Only pages of different articles count toward a template, so copies of one
     delete nothing. Ids may be null or repeat; an empty table gives no rows; other
-    columns are not read.
+    columns are not read. Pages of any length and depth are read whole; one tree is
+    held at a time. Marked elements that hold equally much count alike: all of them
+    are the article, in page order.
     """
     rows = numbered(pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.col(source).alias("html")))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
-    rows = rows.withColumn("host", host)
+    rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
 
     def parts(columns):
-        hosts, sources = columns
-        found = [subtrees(s) for s in sources]
-        return [hosts, [xxh3_64_intdigest((s or "").encode("utf-8", "surrogatepass")) >> 1 for s in sources], [f[0] for f in found], [f[1] for f in found]]
-
-    trees = map_rows(rows.select("host", "html"), "host string, page long, outer array<long>, inner array<long>", parts)
-    trees = cut(trees.groupBy("host", "page").agg(F.first("outer").alias("outer"), F.first("inner").alias("inner")))  # copies of a page are one
-    many = trees.groupBy("host").agg(F.count("*").alias("pages")).hint("rebalance")  # so that the join shuffles both sides and can split a host
-    part = lambda name, inner: F.transform(name, lambda x: F.struct(x.alias("hash"), F.lit(inner).alias("inner")))
-    each = trees.select("host", F.explode(F.concat(part("outer", False), part("inner", True))).alias("part")).select("host", "part.hash", "part.inner")
-    counts = each.groupBy("host", "hash", "inner").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    often = F.when(F.col("inner"), (F.col("n") >= INNER_PAGES) & (F.col("n") >= INNER_SHARE * F.col("pages"))).otherwise(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    # of a host, at most a few times as many as a page has subtrees, since each is on a tenth of its pages
-    lists = counts.join(many, "host").where(often).groupBy("host").agg(*(F.collect_list(F.when(F.col("inner") == k, F.col("hash"))).alias(name) for name, k in (("outer", False), ("inner", True))))
-    lists = cut(lists)
-    held = lists.agg(F.sum(F.size("outer") + F.size("inner") + 8)).first()[0] or 0
-    rows = rows.join(F.broadcast(lists) if held <= BROADCAST else lists, "host", "left").select(ROW, "id", "url", "html", "outer", "inner")
+        number, hosts, sources = columns
+        pages = [subtrees(s) for s in sources]
+        return [number, hosts, [article for article, _ in pages], [[{"hash": h, "slot": p, "how": k} for h, p, k in found] for _, found in pages]]
+
+    trees = cut(map_rows(rows.select(ROW, "host", "html"), f"{ROW} long, host string, article long, found array<struct<hash: long, slot: long, how: int>>", parts))
+    found = cut(templates(trees.groupBy("host", "article").agg(F.min_by("found", ROW).alias("found"))))  # of pages of one article, the first counts
+    if found.count() <= BROADCAST:
+        lists = found.groupBy("host").agg(F.collect_list("hash").alias("template"))
+        rows = rows.join(F.broadcast(lists), "host", "left")
+    else:  # each page gets those of its own subtrees that are templates
+        each = trees.select(ROW, "host", F.explode("found.hash").alias("hash"))
+        own = each.join(found.hint("rebalance"), ["host", "hash"]).groupBy(ROW).agg(F.collect_list("hash").alias("template"))
+        rows = rows.join(own, ROW, "left")
     kind = f"{ROW} long, id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def read(columns):
-        number, ids, urls, sources, outer, inner = columns
-        out = [main_text(s, frozenset(o or ()), frozenset(i or ())) for s, o, i in zip(sources, outer, inner, strict=True)]
+        number, ids, urls, sources, template = columns
+        known: dict[tuple, frozenset] = {}  # a host's list comes with each of its pages
+        sets = [known.setdefault(t := tuple(x or ()), frozenset(t)) for x in template]
+        out = [main_text(s, t) for s, t in zip(sources, sets, strict=True)]
         return [number, ids, urls, out, [len(t) for t in out]]
 
-    return map_rows(rows, kind, read).withColumnRenamed("id", id).withColumnRenamed("url", url)
+    return map_rows(rows.select(ROW, "id", "url", "html", "template"), kind, read).withColumnRenamed("id", id).withColumnRenamed("url", url)

@@ -253,3 +253,75 @@ def test_templates_are_counted_per_host(spark):
         want[i, url, text, len(text)] += 1
     assert Counter(tuple(r) for r in got) == want
     assert template.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        '<h2 id="discussion">Discussion</h2>', '<section id="advertising-history"><p>Posters came first.</p></section>', '<p class="ad-hoc">An ad hoc group.</p>', '<table id="search"><tr><td>binary</td></tr></table>',
+        '<section id="search">Search trees</section>', '<div class="notice">Mind the step.</div>', '<h2 class="comments">Comments on the text</h2>', '<p id="share">Shares rose.</p>', '<div class="related-work">Others did so before.</div>',
+    ],
+)
+def test_an_articles_own_parts_stay(inner):
+    text = re.sub("<[^>]*>", "", inner)
+    assert template.main_text(f"<article><p>Before it.</p>{inner}<p>After it.</p></article>") == f"Before it. {text} After it."
+
+
+@pytest.mark.parametrize("box", ['<div class="ad">x y</div>', '<section class="comment-list">x y</section>', '<div id="comments">x y</div>', "<div class='cookie_banner top'>x y</div>", "<div role=dialog>x y</div>", "<aside>x y</aside>", "<ul class=breadcrumbs><li>x y</ul>"])
+def test_marked_boxes_go(box):
+    assert template.main_text(f"{box}<p>The text.</p>{box}") == "The text."
+
+
+def test_a_teaser_hides_no_story():
+    story = "".join(f"<p>Sentence {k} of the main story, which stands outside.</p>" for k in range(9))
+    assert "Sentence 8" in template.main_text(f"<article><p>Teaser.</p></article><div>{story}</div>")
+
+
+def pages_of_hosts():
+    """Hosts whose menus, adverts and bottom lines say nothing by tag or class, in a few turns; stories share paragraphs."""
+    rng, rows, want = random.Random(4), [], {}
+    for host, n, marked in (("many.example", 60, False), ("marks.example", 40, True), ("few.example", 3, False), ("copies.example", 30, True)):
+        for k in range(n):
+            menu = f"<div><p>Home</p><p>Topics {rng.randrange(6)}</p></div>"
+            advert, bottom = f"<div class=x{k % 2}><span>Buy {rng.randrange(5)} now</span></div>", "<div><p>All rights reserved</p></div>"
+            story = [f"Story {k} begins here, at length and in its own words.", "This passage stands in many stories.", f"And {k} ends."]
+            if host == "copies.example":
+                story = [f"The same story was sent to all, near copy {k // 28}.", "It goes on.", "And on."]
+            body = "<h2>Part</h2>".join(f"<p>{x}</p>" for x in story)
+            tag = "article" if marked else "section"
+            rows.append((len(rows), f"http://{host}/{k}", f"<html><body>{menu}{advert}<{tag}>{body}</{tag}>{bottom}</body></html>"))
+            if host != "few.example":
+                want[len(rows) - 1] = " Part ".join(story)
+    return rows, want
+
+
+@pytest.mark.parametrize("broadcast", [template.BROADCAST, 0])
+def test_templates_decide_where_nothing_is_marked(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(template, "BROADCAST", broadcast)
+    rows, want = pages_of_hosts()
+    got = {r["page_id"]: r["text"] for r in template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in want} == want
+    assert all("Buy" in got[r[0]] for r in rows if "few.example" in r[1])  # too few pages to tell
+    assert all(template.main_text(r[2]) != want[r[0]] for r in rows if "many.example" in r[1])  # they depend on the templates
+
+
+def test_templates_against_a_plain_count(spark):
+    rows, _ = pages_of_hosts()
+    rows += [(900 + k, f"http://marks.example/{k}", r[2]) for k, r in enumerate(rows[60:70])]  # copies count once
+    found = [(r[1].split("/")[2], *template.subtrees(r[2])) for r in rows]
+    trees = spark.createDataFrame([(h, a, [tuple(x) for x in f]) for h, a, f in found], "host string, article long, found array<struct<hash: long, slot: long, how: int>>")
+    first = {}
+    for host, article, trees_of in found:
+        first.setdefault((host, article), trees_of)
+    want = set()
+    for host in {h for h, _ in first}:
+        pages = [f for (h, _), f in first.items() if h == host]
+        n = Counter(x for f in pages for x in f)
+        for (h, slot, how), k in n.items():
+            same = {x: c for x, c in n.items() if x[1:] == (slot, how)}
+            again = sum(c for c in same.values() if c > 1)
+            half = 2 * k >= len(pages)
+            if half and k >= 20 or how == template.LARGE and half and k >= 4 or how == template.FREE and k > 1 and 2 * again >= sum(same.values()) and (k >= 4 or again >= 20):
+                want.add((host, h))
+    one = trees.groupBy("host", "article").agg({"found": "first"}).toDF("host", "article", "found")
+    assert {tuple(r) for r in template.templates(one).collect()} == want and len(want) > 10
