@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from array import array
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Container
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -36,7 +39,7 @@ MOST_TEXT = 0.5
 #: Marked elements are the heart, or the article, if they hold at least this share of the text, or of what is left.
 LEAST_TEXT = 0.25
 
-#: Hashes of all hosts' templates that are broadcast; more are joined.
+#: Templates of all hosts that are broadcast (8 bytes each); more are joined.
 BROADCAST = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -82,11 +85,11 @@ class Stack(list):
 
     def __init__(self, nodes: list[Node]):
         super().__init__(nodes)
-        self.open: Counter[str] = Counter()
+        self.open: dict[str, int] = defaultdict(int)
 
     def cut(self, k: int) -> None:
-        self.open.subtract(x.tag for x in self[k:])
-        del self[k:]
+        while len(self) > k:
+            self.open[self.pop().tag] -= 1
 
 
 def parse(source: str) -> Node:
@@ -141,7 +144,7 @@ def parse(source: str) -> Node:
 
 
 def _close(stack: Stack, tags: set, stop) -> None:
-    for k in range(len(stack) - 1, 0, -1) if any(stack.open[t] for t in tags) else ():
+    for k in range(len(stack) - 1, 0, -1) if any(map(stack.open.get, tags)) else ():
         if stack[k].tag in tags:
             stack.cut(k)
             return
@@ -253,10 +256,30 @@ def subtrees(source: str | None) -> tuple[int, list[tuple[int, int, int]]]:
     return article, sorted({x.hash: (x.hash, x.slot >> 1, how) for x, how in removable(root)}.values())
 
 
-def left(root: Node, template: frozenset) -> list[tuple[Node, str]]:
+class Known:
+    """The templates of a host among those of all, which are sorted and hold the host in their hash."""
+
+    def __init__(self, keys: array, host: int):
+        self.keys, self.host = keys, host
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __contains__(self, hash: int) -> bool:
+        k = bisect_left(self.keys, hash ^ self.host)
+        return k < len(self.keys) and self.keys[k] == hash ^ self.host
+
+
+def host_hash(host: str) -> int:
+    return xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")) >> 1
+
+
+def left(root: Node, template: Container[int]) -> list[tuple[Node, str]]:
     """Deletes the templates, then what is unwanted; sets the length of the text that is left. Returns the elements marked as article or main that are in no other of their kind, with the kind."""
-    measured(root)
-    gone = {id(x) for x, _ in removable(root) if x.hash in template} if template else set()
+    gone = set()
+    if template:
+        measured(root)
+        gone.update(id(x) for x, _ in removable(root) if x.hash in template)
     order, outermost, todo = [], [], [(root, frozenset())]
     while todo:
         x, within = todo.pop()
@@ -272,7 +295,7 @@ def left(root: Node, template: frozenset) -> list[tuple[Node, str]]:
     return outermost
 
 
-def main_nodes(root: Node, template: frozenset = frozenset()) -> list[Node]:
+def main_nodes(root: Node, template: Container[int] = frozenset()) -> list[Node]:
     """The elements that hold the article once templates are deleted; none where that is the whole page."""
     outermost = left(root, template)
     for kind in ("article", "main"):
@@ -311,7 +334,7 @@ def texts(nodes: list[Node]) -> list[str]:
     return blocks
 
 
-def main_text(source: str | None, template: frozenset = frozenset()) -> str:
+def main_text(source: str | None, template: Container[int] = frozenset()) -> str:
     """The page's main text, without the subtrees whose hashes are given."""
     root = parse(source or "")
     return " ".join(texts(main_nodes(root, template) or [root]))
@@ -346,24 +369,24 @@ def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: s
     def parts(columns):
         number, hosts, sources = columns
         pages = [subtrees(s) for s in sources]
-        return [number, hosts, [article for article, _ in pages], [[{"hash": h, "slot": p, "how": k} for h, p, k in found] for _, found in pages]]
+        found = [[{"hash": h ^ mix, "slot": p, "how": k} for h, p, k in found] for mix, (_, found) in zip(map(host_hash, hosts), pages, strict=True)]
+        return [number, hosts, [article for article, _ in pages], found]
 
     trees = cut(map_rows(rows.select(ROW, "host", "html"), f"{ROW} long, host string, article long, found array<struct<hash: long, slot: long, how: int>>", parts))
     found = cut(templates(trees.groupBy("host", "article").agg(F.min_by("found", ROW).alias("found"))))  # of pages of one article, the first counts
+    kind = f"{ROW} long, id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
     if found.count() <= BROADCAST:
-        lists = found.groupBy("host").agg(F.collect_list("hash").alias("template"))
-        rows = rows.join(F.broadcast(lists), "host", "left")
+        keys = rows.sparkSession.sparkContext.broadcast(array("q", sorted(r[0] for r in found.select("hash").distinct().collect())))
+        rows = rows.withColumn("own", F.lit(None).cast("array<long>"))
     else:  # each page gets those of its own subtrees that are templates
         each = trees.select(ROW, "host", F.explode("found.hash").alias("hash"))
-        own = each.join(found.hint("rebalance"), ["host", "hash"]).groupBy(ROW).agg(F.collect_list("hash").alias("template"))
-        rows = rows.join(own, ROW, "left")
-    kind = f"{ROW} long, id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
+        own = each.join(found.hint("rebalance"), ["host", "hash"]).groupBy(ROW).agg(F.collect_list("hash").alias("own"))
+        keys, rows = None, rows.join(own, ROW, "left")
 
     def read(columns):
-        number, ids, urls, sources, template = columns
-        known: dict[tuple, frozenset] = {}  # a host's list comes with each of its pages
-        sets = [known.setdefault(t := tuple(x or ()), frozenset(t)) for x in template]
-        out = [main_text(s, t) for s, t in zip(sources, sets, strict=True)]
+        number, ids, urls, sources, hosts, own = columns
+        known = [Known(keys.value if keys else array("q", sorted(x or ())), host_hash(h)) for x, h in zip(own, hosts, strict=True)]
+        out = [main_text(s, t) for s, t in zip(sources, known, strict=True)]
         return [number, ids, urls, out, [len(t) for t in out]]
 
-    return map_rows(rows.select(ROW, "id", "url", "html", "template"), kind, read).withColumnRenamed("id", id).withColumnRenamed("url", url)
+    return map_rows(rows.select(ROW, "id", "url", "html", "host", "own"), kind, read).withColumnRenamed("id", id).withColumnRenamed("url", url)
