@@ -80,7 +80,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
     Null texts count as empty; texts without words have fingerprint 0 and link
     like any other. Null ids sort last. Of equal least ids the first row stays.
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns are not read, so their names may
+    clash. A text of any length is hashed whole, 65,536 shingles at a time.
     """
     kind = StructType([StructField(ROW, LongType()), StructField("id", docs.schema[id].dataType), StructField("fp", LongType())])
 
@@ -89,15 +90,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         return [number, ids, [f - (1 << 64) if (f := fingerprint(t)) >> 63 else f for t in texts]]
 
     prints = cut(map_rows(numbered(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select(ROW, "id", "text"), kind, rows))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW).alias("row")))
-    nodes = prints.groupBy("fp").agg(first.alias("best"))
-    roots = cut(components(links(nodes.select("fp"))))
-    # what is rebalanced is shuffled again by the join that takes it, so both of its sides are, and Spark can split hot keys
-    linked = nodes.join(roots, F.col("fp") == F.col("node"))
-    least = linked.groupBy("root").agg(F.min("best").alias("least")).hint("rebalance")
-    whole = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
-    nodes = nodes.join(whole, "fp", "left").select("fp", F.coalesce("least", "best").alias("best")).hint("rebalance")
+    # a fingerprint's node is its least row, so that the least node that a node reaches is the answer
+    node = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW).alias("row")))
+    nodes = cut(prints.groupBy("fp").agg(node.alias("node")))
+    # what is joined to edges or rows, of which one fingerprint may have many, is shuffled by itself, so that Spark can split both sides
+    ends = links(nodes.select("fp")).join(nodes.withColumnsRenamed({"fp": "u", "node": "a"}), "u").select("a", "v").join(nodes.withColumnsRenamed({"fp": "v", "node": "b"}), "v")
+    roots = cut(components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    nodes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")).hint("rebalance")
     return prints.join(nodes, "fp").select(
         ROW, F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.col("best.id").alias("component_id"), (F.col("best.row") == F.col(ROW)).alias("stays"),
+        F.col("root.id").alias("component_id"), (F.col("root.row") == F.col(ROW)).alias("stays"),
     )
