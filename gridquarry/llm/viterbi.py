@@ -1,11 +1,13 @@
 """Token counts by count-only Viterbi over a unigram vocabulary.
 
 The pieces and scores of a sentencepiece vocabulary are read as a unigram model;
-scores that only mark a piece as last resort become the next below the others. An Aho-Corasick automaton enumerates the pieces that end at each character; for
-each character the best score of a segmentation up to it and its number of pieces
-are kept, nothing else. As in the tokenizer, of equally good segmentations the
-one whose last piece is longest wins, a character that is no piece counts as the
-lowest score less 10 and, with byte fallback, as many pieces as it has bytes.
+scores that only mark a piece as last resort become the next below the others. An
+Aho-Corasick automaton enumerates the pieces that end at each character; for each
+character the best score of a segmentation up to it and its number of pieces are
+kept, nothing else. As in the tokenizer, of equally good segmentations the one
+whose last piece is longest wins; a character that is no piece counts as the lowest
+score less 10 and, with byte fallback, as many pieces as it has bytes, else with
+all unknown characters beside it as one.
 
 Apart from runs of the space mark, that mark only begins pieces, so no piece
 crosses into the next run of marks: each such word is segmented by itself and
@@ -54,11 +56,13 @@ class Counter(dict):
         self.unknown = min(normal) - UNKNOWN_PENALTY
         self.fallback = model.trainer_spec.byte_fallback
         self.prefix = model.normalizer_spec.add_dummy_prefix
-        inner = [p.piece for p in pieces if MARK in p.piece.lstrip(MARK)]
-        self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if not inner else ".+", re.S).findall
+        whole = any(MARK in p.piece.lstrip(MARK) for p in pieces) or not self.fallback and all(p.piece != MARK for p in pieces)
+        self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if not whole else ".+", re.S).findall
         self.automaton = ahocorasick.Automaton()
+        most = max(0.0, *normal)
         for p in pieces:
-            self.automaton.add_word(p.piece, (len(p.piece), p.score))
+            # pieces that the user defined are always taken: they score by their length, as the tokenizer has it
+            self.automaton.add_word(p.piece, (len(p.piece), p.score if p.type == kinds.NORMAL else len(p.piece.encode()) * most - 0.1))
         self.automaton.make_automaton()
 
     def __missing__(self, word: str) -> int:
@@ -77,12 +81,12 @@ class Counter(dict):
 
 
 def segmented(automaton: ahocorasick.Automaton, word: str, unknown: float, fallback: bool) -> int:
-    """Pieces in the best segmentation of ``word``."""
+    """Pieces in the best segmentation of ``word``; without byte fallback a run of unknown characters is one."""
     size = len(word)
     ending: list[list[tuple[int, float]]] = [[] for _ in range(size)]
     for end, piece in automaton.iter(word):
         ending[end].append(piece)
-    score, pieces = [0.0] * (size + 1), [0] * (size + 1)
+    score, pieces, last_unknown = [0.0] * (size + 1), [0] * (size + 1), [False] * (size + 1)
     for end in range(1, size + 1):
         best, at, cost, single = None, 0, 0, False
         for length, gain in sorted(ending[end - 1], reverse=True):  # the earliest start first: it wins ties
@@ -90,7 +94,8 @@ def segmented(automaton: ahocorasick.Automaton, word: str, unknown: float, fallb
             if best is None or score[end - length] + gain > best:
                 best, at, cost = score[end - length] + gain, end - length, 1
         if not single and (best is None or score[end - 1] + unknown > best):
-            best, at, cost = score[end - 1] + unknown, end - 1, len(word[end - 1].encode("utf-8", "surrogatepass")) if fallback else 1
+            best, at, last_unknown[end] = score[end - 1] + unknown, end - 1, True
+            cost = len(word[end - 1].encode("utf-8", "surrogatepass")) if fallback else 0 if last_unknown[end - 1] else 1
         score[end], pieces[end] = best, pieces[at] + cost
     return pieces[size]
 
@@ -106,7 +111,9 @@ def token_counts(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
 
     ``path`` names a sentencepiece model with identity normalisation that every
     worker can read. Null and empty texts have no tokens. Ids may be null or
-    repeat; an empty table gives no rows; other columns are not read.
+    repeat; an empty table gives no rows; other columns are not read. A text of any
+    length is counted whole, a word at a time; of segmentations that score alike,
+    that with the longest last piece counts.
     """
     docs = numbered(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select(ROW, "id", "text")
     kind = f"{ROW} long, id {docs.schema['id'].dataType.simpleString()}, n_tokens long"
