@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import cut
+
 #: Rows aimed at in a cell, and the most cells into which a group is dealt.
 CELL_ROWS, MOST_CELLS = 8192, 4096
 
@@ -14,10 +16,16 @@ def cells(rows: int) -> int:
     return min(MOST_CELLS, 1 + rows // CELL_ROWS)
 
 
-def dealt(id: Column, row: Column, n: int) -> Column:
-    """The cell, of n, of a row: by a digest of its id, or of its number where it has none."""
-    name = F.coalesce(id.cast("string"), F.concat(F.lit("row "), row.cast("string")))
-    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % n
+def dealt(rows: DataFrame, id: str, row: str, n: int) -> DataFrame:
+    """``rows`` (checkpointed) with the cell, of n, of each: by a digest of its id, or of its row number where it has none or
+    more rows than a cell is to hold have it."""
+    often = cut(rows.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("__id")).agg(F.count("*").alias("__often")).where(F.col("__often") > CELL_ROWS))
+    name = F.col(id).cast("string")
+    if n > 1 and not often.isEmpty():
+        rows = rows.join(often, F.col(id) == F.col("__id"), "left")  # at most one for every CELL_ROWS rows
+        name = F.when(F.col("__often").isNull(), name)
+    name = F.coalesce(name, F.concat(F.lit("row "), F.col(row).cast("string")))
+    return rows.withColumn("cell", F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % n).drop("__id", "__often")
 
 
 def positions(df: DataFrame, by: list[str], cell: list[str], order: list[Column], name: str) -> DataFrame:

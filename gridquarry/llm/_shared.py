@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,17 +25,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session, where one machine is all, gets one of its own, which goes with it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="shared-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: it outlives executors and isn't computed again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a number for each row, the same whenever the same files are read again."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+def forget(df: DataFrame) -> None:
+    """Removes what ``cut`` wrote; nothing may read ``df`` any more."""
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder with a row number that is stored, so that it names the same row in every read."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(folder)
+    rows = df.sparkSession.read.parquet(folder)
+    return rows.withMetadata(ROW, {"pinned": True})
+
+
+def numbered(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``df`` with a row number: that of a pinned table, else one that is the same whenever the same splits are read."""
+    if ROW in df.columns and df.schema[ROW].metadata.get("pinned"):
+        return df.select(ROW, *columns)
+    return df.select(*columns).withColumn(ROW, F.monotonically_increasing_id())
 
 
 def utf8(text: str | None) -> bytes:

@@ -114,11 +114,16 @@ def sharded(docs: DataFrame, shards: int | None = 16, capacity: int | None = Non
     near the mean, but for a shard that a single larger group overfills; with
     ``capacity`` instead, as few shards are opened as best fit needs, and a group
     larger than it gets one of its own. Null texts count as
-    empty: size 1, one group. Slots are gapless; ids may be null or repeat. An
-    empty table gives no rows; other columns are not read.
+    empty: size 1, one group. Groups of one size are taken in the order of their
+    texts' SHA-256. Slots are gapless; ids may be null or repeat. An empty table
+    gives no rows; other columns are not read, so their names may clash. Texts of
+    any length count whole; only their digests are shuffled.
+
+    The driver holds a row for each size of a group, fewer than sqrt(2 T) of T
+    bytes: 250,000 for 30 GB, 14 million for 100 TB, if every size occurs.
     """
     t = F.col("text")
-    rows = numbered(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select(
+    rows = numbered(docs, F.col(id).alias("id"), F.col(text).alias("text")).select(
         ROW, "id", (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("crc"), F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256)).alias("key"),
     )
@@ -129,6 +134,6 @@ def sharded(docs: DataFrame, shards: int | None = 16, capacity: int | None = Non
     plan = docs.sparkSession.createDataFrame(pack(found, capacity or level(found, shards), None if capacity else shards), "whole long, first long, last long, shard int")
     groups = positions(groups.withColumn("cell", F.conv(F.substring(F.hex("key"), 1, 8), 16, 10).cast("long") % cells(n)), ["whole"], ["cell"], [F.col("key")], "at")
     where = groups.join(plan, "whole").where("at BETWEEN first AND last").select("key", "shard")
-    placed = rows.join(where, "key").withColumn("cell", dealt(F.col("id"), F.col(ROW), cells(n)))
-    placed = positions(cut(placed), ["shard"], ["cell"], [F.col("id").asc_nulls_last(), F.col(ROW)], "slot")
+    placed = cut(dealt(rows, "id", ROW, cells(n)).join(where, "key"))
+    placed = positions(placed, ["shard"], ["cell"], [F.col("id").asc_nulls_last(), F.col(ROW)], "slot")
     return placed.select(ROW, F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "shard", "slot")

@@ -130,9 +130,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text:
 
     ``path`` names a file of ranks that every worker can read. Null texts count
     as empty: no tokens. Text of special tokens is ordinary text. Ids may be null
-    or repeat; an empty table gives no rows; other columns are not read.
+    or repeat; an empty table gives no rows; other columns are not read, so their
+    names may clash. A text of any length is encoded whole, pre-token by pre-token;
+    of merges of equal rank the leftmost comes first, as in the tokenizer.
     """
-    docs = numbered(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select(ROW, "id", "text")
+    docs = numbered(docs, F.col(id).alias("id"), F.col(text).alias("text")).select(ROW, "id", "text")
     kind = f"{ROW} long, id {docs.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def rows(columns):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, forget
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,4 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        before, e = e, cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        forget(before)

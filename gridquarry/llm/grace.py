@@ -122,10 +122,11 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", ta
     Rows are equal when their texts are, without ASCII white space; null is
     empty. The row with the most code points stays, then the smallest id (null
     last), then the first row. Rows that repeat an id are rows like any other:
-    one of the group stays. An empty table gives no rows; other columns are not
-    read.
+    one of the group stays. Ids are integers or null. An empty table gives no
+    rows; other columns are not read, so their names may clash. Texts of any length
+    are compared whole; a task holds ``table_bytes`` of them and one more.
     """
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = numbered(docs, F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     partial = StructType([StructField("hash", LongType()), StructField("content", BinaryType()), StructField("points", LongType()), StructField("id", LongType()), StructField("alike", LongType()), StructField("rows", LongType())])
     total = StructType([StructField("sha", BinaryType()), StructField("points", LongType()), StructField("keep_id", LongType()), StructField("alike", LongType()), StructField("group_size", LongType())])
 
@@ -137,8 +138,8 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", ta
         records = ((c, tuple(v)) for b in batches for c, *v in zip(*(x.to_pylist() for x in b.columns[1:]), strict=True))
         yield from _batches(((sha256(c).digest(), *v) for c, v in fold(records, table_bytes)), arrow_schema(total))
 
-    groups = cut(docs.mapInArrow(fold_rows, partial).repartition("hash").mapInArrow(fold_partials, total))
-    members = cut(map_rows(numbered(docs).select(ROW, "id", "text"), f"{ROW} long, id long, points long, sha binary", lambda c: [c[0], c[1], [len(t or "") for t in c[2]], [sha256(normalised(t)).digest() for t in c[2]]]))
+    groups = cut(docs.select("id", "text").mapInArrow(fold_rows, partial).repartition("hash").mapInArrow(fold_partials, total))
+    members = cut(map_rows(docs.select(ROW, "id", "text"), f"{ROW} long, id long, points long, sha binary", lambda c: [c[0], c[1], [len(t or "") for t in c[2]], [sha256(normalised(t)).digest() for t in c[2]]]))
     if groups.where("alike > 1").isEmpty():
         keepers = groups.withColumn("first", F.lit(None).cast("long"))
     else:  # ids that repeat: the first of the rows alike stays

@@ -46,11 +46,12 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     Sources are ordered by code point, null last, and weigh ``weights``,
     repeating. Null texts have size 0 and take nothing, however often they are
     drawn; a source without words has target 0. Ids may be null or repeat. An
-    empty table gives no rows; other columns are not read. The same table and
-    seed give the same copies. The driver holds one row for each source, as it
-    does the weights.
+    empty table gives no rows; other columns are not read, so their names may
+    clash. Texts of any length are counted whole. Documents of one size lie in the
+    order of their ids, then of their rows. The same table and seed give the same
+    copies. The driver holds one row for each source, as it does the weights.
     """
-    rows = numbered(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")))
+    rows = numbered(docs, F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = cut(rows.select(ROW, "id", "source", size.alias("size")))
     found = sorted(rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
@@ -60,8 +61,8 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     # strata of sizes within a sixteenth, each dealt into cells by id
     bits = F.length(F.bin("size")).cast("int")
     stratum = F.when(F.col("size") < 32, F.col("size")).otherwise(bits * 16 + F.expr("shiftright(size, CAST(length(bin(size)) AS INT) - 5) & 15"))
-    cell = dealt(F.col("id"), F.col(ROW), cells(sum(r[2] for r in found)))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).withColumns({"stratum": stratum, "cell": cell})
+    rows = dealt(rows, "id", ROW, cells(sum(r[2] for r in found)))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).withColumn("stratum", stratum)
     rows = positions(rows, ["sid"], ["stratum", "cell"], [F.col("size"), F.col("id").asc_nulls_last(), F.col(ROW)], "at")
     copies = (F.floor((F.col("at") + 1) * F.col("each") + F.col("offset")) - F.floor(F.col("at") * F.col("each") + F.col("offset"))).cast("long")
     return rows.withColumn("copies", copies).select(ROW, F.col("id").alias(id), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._shared import ROW, map_rows, numbered, utf8
+from ._shared import ROW, cut, map_rows, numbered, utf8
 
 BITS = 18
 #: Labelled rows taken for training at most; those with the least hashes of their ids.
 SAMPLE = 4000
+#: And the places of n-grams that these rows have in all, at most: 4 bytes each on the driver.
+SAMPLE_PLACES = 32_000_000
 ROUNDS, COST, SMOOTH = 12, 1.0, 1.0
 
 
@@ -115,24 +117,34 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
     return np.stack([w[:-1] * ratio * slope, ratio]).astype(np.float32), float(w[-1] * slope + offset)
 
 
-def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, places: int = SAMPLE_PLACES) -> DataFrame:
     """For each row of ``docs``: its row number, id, held_out, score and predicted.
 
     held_out: crc32 of the id as text, modulo 3, is 1; such rows' labels are never
     used. Of the others, at most ``sample`` labelled ids (those with the least
-    hashes) train the model, which sees the text alone. Null labels are no labels;
-    a null id isn't held out and has no label; ids labelled or stored twice train
-    once. Null and empty texts have no n-grams and score by the offset. An empty
-    table gives no rows; other columns are not read.
+    hashes, as long as their n-grams have ``places`` places at most) train the
+    model, which sees the text alone. Null labels are no labels; a null id isn't
+    held out and has no label; an id labelled twice has the greater label, one
+    stored twice trains once, by the text with the least hash. Null and empty texts
+    have no n-grams and score by the offset. Equal texts score alike; a score of
+    one half predicts 1. An empty table gives no rows; other columns are not read,
+    so their names may clash. Texts of any length are scored whole, by at most
+    2 ** 18 places each.
     """
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = numbered(docs, F.col(id).alias("id"), F.col(text).alias("text")).select(ROW, "id", "text")
+    kind = docs.schema["id"].dataType.simpleString()
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    known = labels.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    known = labels.select(F.col(id).cast(kind).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(~held).orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = docs.where("id IS NOT NULL").join(F.broadcast(known), "id")  # at most ``sample`` rows of two numbers
-    part = map_rows(chosen, "id long, label int, places binary", lambda c: [c[0], c[2], [features(t).tobytes() for t in c[1]]])
-    seen = {r["id"]: r for r in sorted(part.collect(), key=lambda r: (r["id"], r["places"]))}
-    got = sorted(seen.values(), key=lambda r: xxh3_64_intdigest(str(r["id"])))
+    chosen = docs.where("id IS NOT NULL").join(F.broadcast(known), "id")  # at most ``sample`` rows of an id and a number
+    chosen = chosen.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))  # each task keeps one text of an id
+    part = cut(map_rows(chosen, f"id {kind}, label int, places binary", lambda c: [c[0], c[1], [features(t).tobytes() for t in c[2]]]))
+    order = F.xxhash64("id")
+    sizes = part.select("id", order.alias("hash"), F.length("places").alias("bytes")).collect()  # ``sample`` rows
+    sizes.sort(key=lambda r: (r["hash"], r["id"]))
+    fits = sum(total <= 4 * places for total in np.cumsum([r["bytes"] for r in sizes], dtype=np.int64).tolist())
+    got = part.where(order <= sizes[fits - 1]["hash"]).collect() if fits else []
+    got.sort(key=lambda r: xxh3_64_intdigest(str(r["id"])))
     weights, offset = fit([np.frombuffer(r["places"], np.int32) for r in got], np.array([r["label"] for r in got], np.int64))
     model = docs.sparkSession.sparkContext.broadcast((weights, offset))  # of a fixed size: 2 floats for each place
 
@@ -142,5 +154,5 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
         m = np.array([scaled[r].sum(dtype=np.float64) / (np.linalg.norm(ratio[r]) or 1.0) for r in found]) + bias
         return [columns[0], columns[1], (1 / (1 + np.exp(-np.clip(m, -60, 60)))).tolist()]
 
-    out = map_rows(numbered(docs).select(ROW, "id", "text"), f"{ROW} long, id long, score double", rows)
+    out = map_rows(docs, f"{ROW} long, id {kind}, score double", rows)
     return out.select(ROW, F.col("id").alias(id), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -397,7 +397,7 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text", redac
     length are searched whole, in time about linear; one text and its candidates are
     held at a time beside their batch. The trees are trained once, on the driver.
     """
-    docs = numbered(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select(ROW, "id", "text")
+    docs = numbered(docs, F.col(id).alias("id"), F.col(text).alias("text")).select(ROW, "id", "text")
     kind = f"{ROW} long, id {docs.schema['id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_spans long" + ", redacted_text string" * redact
     model = docs.sparkSession.sparkContext.broadcast(trained())  # some hundred small trees
 

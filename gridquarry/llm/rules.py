@@ -113,9 +113,11 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 
     Null texts count as empty: all counts 0, base_failed true. Ids may be null or
     repeat; each row stands for itself. An empty table gives no rows; other
-    columns are not read.
+    columns are not read, so their names may clash. Texts of any length are counted
+    whole. A posterior of exactly one half keeps the row. A single bad vote is
+    outvoted unless its rule objects to hardly any good document.
     """
-    docs = numbered(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select(ROW, "id", "text")
+    docs = numbered(docs, F.col(id).alias("id"), F.col(text).alias("text")).select(ROW, "id", "text")
     kind = f"{ROW} long, id {docs.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS)
     rows = cut(map_rows(docs, kind, lambda c: [c[0], c[1], *(map(list, zip(*map(measure, c[2]), strict=True)) if c[2] else [[]] * len(COUNTS))]))
     rules = votes()

@@ -89,7 +89,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         number, ids, texts = columns
         return [number, ids, [f - (1 << 64) if (f := fingerprint(t)) >> 63 else f for t in texts]]
 
-    prints = cut(map_rows(numbered(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select(ROW, "id", "text"), kind, rows))
+    prints = cut(map_rows(numbered(docs, F.col(id).alias("id"), F.col(text).alias("text")).select(ROW, "id", "text"), kind, rows))
     # a fingerprint's node is its least row, so that the least node that a node reaches is the answer
     node = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW).alias("row")))
     nodes = cut(prints.groupBy("fp").agg(node.alias("node")))

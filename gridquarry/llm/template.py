@@ -363,25 +363,26 @@ def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: s
     held at a time. Marked elements that hold equally much count alike: all of them
     are the article, in page order.
     """
-    rows = numbered(pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.col(source).alias("html")))
+    rows = numbered(pages, F.col(id).alias("id"), F.col(url).alias("url"), F.col(source).alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
+    rows = rows.withColumn("page", F.md5(F.concat_ws("\n", "host", F.coalesce("html", F.lit("")))))
 
     def parts(columns):
-        number, hosts, sources = columns
+        number, names, hosts, sources = columns
         pages = [subtrees(s) for s in sources]
         found = [[{"hash": h ^ mix, "slot": p, "how": k} for h, p, k in found] for mix, (_, found) in zip(map(host_hash, hosts), pages, strict=True)]
-        return [number, hosts, [article for article, _ in pages], found]
+        return [number, names, hosts, [article for article, _ in pages], found]
 
-    trees = cut(map_rows(rows.select(ROW, "host", "html"), f"{ROW} long, host string, article long, found array<struct<hash: long, slot: long, how: int>>", parts))
+    trees = cut(map_rows(rows.select(ROW, "page", "host", "html"), f"{ROW} long, page string, host string, article long, found array<struct<hash: long, slot: long, how: int>>", parts))
     found = cut(templates(trees.groupBy("host", "article").agg(F.min_by("found", ROW).alias("found"))))  # of pages of one article, the first counts
     kind = f"{ROW} long, id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
     if found.count() <= BROADCAST:
         keys = rows.sparkSession.sparkContext.broadcast(array("q", sorted(r[0] for r in found.select("hash").distinct().collect())))
         rows = rows.withColumn("own", F.lit(None).cast("array<long>"))
     else:  # each page gets those of its own subtrees that are templates
-        each = trees.select(ROW, "host", F.explode("found.hash").alias("hash"))
-        own = each.join(found.hint("rebalance"), ["host", "hash"]).groupBy(ROW).agg(F.collect_list("hash").alias("own"))
-        keys, rows = None, rows.join(own, ROW, "left")
+        each = trees.groupBy("page").agg(F.first("host").alias("host"), F.first("found").alias("found")).select("page", "host", F.explode("found.hash").alias("hash"))
+        own = each.join(found.hint("rebalance"), ["host", "hash"]).groupBy("page").agg(F.collect_list("hash").alias("own"))
+        keys, rows = None, rows.join(own.hint("rebalance"), "page", "left")
 
     def read(columns):
         number, ids, urls, sources, hosts, own = columns

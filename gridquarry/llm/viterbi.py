@@ -115,7 +115,7 @@ def token_counts(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     length is counted whole, a word at a time; of segmentations that score alike,
     that with the longest last piece counts.
     """
-    docs = numbered(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select(ROW, "id", "text")
+    docs = numbered(docs, F.col(id).alias("id"), F.col(text).alias("text")).select(ROW, "id", "text")
     kind = f"{ROW} long, id {docs.schema['id'].dataType.simpleString()}, n_tokens long"
 
     def rows(columns):

@@ -7,9 +7,11 @@ import duckdb
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridquarry.llm import mixing, rules, simhash
+from gridquarry.llm._shared import numbered, pinned
 from gridquarry.llm.queries import MULTI_RANKS, ORACLE_SQL, PATTERN, QUERIES
 
 
@@ -45,13 +47,35 @@ def test_pipeline(spark, sf_dir, tmp_path):
 
 
 def test_pipeline_bears_odd_rows(spark, frame, corpus, sf_dir):
-    docs = frame(corpus).select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema) if stage is not corpus_pipeline.tokens else stage(spark, docs, sf_dir)
-    assert docs.count() > 0
-    empty = frame([]).select("doc_id", "text", "lang", "source", "n_chars")
+    """All stages on null, empty, long and repeated texts, with columns that clash; then on an empty table."""
+    docs = frame(corpus).withColumns({"__row": F.lit("own"), "__copies": F.lit("own"), "__docs": F.lit(1), "a.b c": F.lit(2)})
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, sf_dir).count() == 0
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        if stage is not corpus_pipeline.tokens:
+            assert out.columns == docs.columns
+            whole = {tuple(r) for r in docs.collect()}
+            assert all(tuple(r) in whole for r in rows)
+            if stage is not corpus_pipeline.quality_rules:  # which keeps little of this corpus
+                docs = spark.createDataFrame(rows, docs.schema)
+    assert len(rows) > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0
+
+
+def test_rows_keep_their_numbers(spark, sf_dir):
+    """However the reads of a pinned table are split."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = pinned(docs)
+    want = {r[0]: r[1] for r in rows.select("__row", "doc_id").collect()}
+    size, parts = spark.conf.get("spark.sql.files.maxPartitionBytes"), rows.rdd.getNumPartitions()
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        again = numbered(rows.sparkSession.read.parquet(rows.inputFiles()[0].rsplit("/", 1)[0]).withMetadata("__row", {"pinned": True}), "doc_id")
+        assert again.rdd.getNumPartitions() > parts
+        assert {r["__row"]: r["doc_id"] for r in again.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 def plain_rules(docs):

@@ -80,6 +80,15 @@ def test_shards_with_cells(frame, corpus, monkeypatch):
     assert max(load.values()) <= 30_000 and len(load) >= sum(load.values()) / 30_000
 
 
+def test_rows_of_a_hot_id_are_dealt_to_all_cells(spark, monkeypatch):
+    from gridquarry.llm import _positions
+
+    monkeypatch.setattr(_positions, "CELL_ROWS", 16)
+    rows = spark.range(300).selectExpr("id AS __row", "CASE WHEN id % 3 = 0 THEN 7L ELSE id END AS id")
+    load = Counter(r["cell"] for r in _positions.dealt(rows, "id", "__row", 10).collect())
+    assert len(load) == 10 and max(load.values()) < 60
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
     assert mixing.targets([10, 100, 100], [5, 2, 1]) == [30.0, 120.0, 60.0]

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -174,6 +175,59 @@ def test_rules_keep_prose_and_drop_junk(frame):
     assert kept == set(range(80))
 
 
+def test_one_bad_vote_is_outvoted(frame):
+    """Shouted texts object to one rule of nine; they stay where most texts are good and others bad by several rules."""
+    rng = random.Random(5)
+    prose = [(k, random_text(rng, 120).lower(), None, None, 0) for k in range(80)]
+    shouted = [(100 + k, random_text(rng, 120).upper(), None, None, 0) for k in range(6)]
+    junk = [(200 + k, " ".join(w.upper() + "!!###" for w in random_text(rng, 120).split()), None, None, 0) for k in range(12)]
+    got = {r["doc_id"]: r for r in rules.judged(frame(prose + shouted + junk)).collect()}
+    assert all(got[i]["kept"] for i, *_ in prose + shouted) and not any(got[i]["kept"] for i, *_ in junk)
+    assert max(got[i]["posterior"] for i, *_ in shouted) < min(got[i]["posterior"] for i, *_ in prose)
+
+
+def plain_score(train, text):
+    """Features, ratios and the machine again, without numpy's help but for the descent itself."""
+    places = lambda t: sorted(set(nbsvm.features(t).tolist()))
+    found, labels = [places(t) for t, _ in train], [y for _, y in train]
+    counts = [Counter(p for f, y in zip(found, labels, strict=True) if y == k for p in f) for k in (0, 1)]
+    total = [sum(c.values()) + (1 << nbsvm.BITS) for c in counts]
+    return {p: math.log((counts[1][p] + 1) / total[1]) - math.log((counts[0][p] + 1) / total[0]) for p in places(text)}
+
+
+def test_ratios_against_plain_counts():
+    rng = random.Random(3)
+    train = [(random_text(rng, rng.randint(1, 30)), k % 2) for k in range(40)]
+    ratio = nbsvm.log_ratios([nbsvm.features(t) for t, _ in train], np.array([y for _, y in train]))
+    for text in [random_text(rng, 20), train[0][0], "", "é 中文 🙂"]:
+        for place, r in plain_score(train, text).items():
+            assert ratio[place] == pytest.approx(r)
+
+
+def plain_features(text):
+    """N-grams as sets of strings: as many as there are places, but for the few that share one."""
+    b = (text or "").encode()
+    words = b.split()
+    runs = sum(x == y for x, y in zip(words, words[1:], strict=False))
+    return len(set(words)) + len(set(zip(words, words[1:], strict=False))) + len({b[i : i + 3] for i in range(len(b) - 2)}) + (3 + runs.bit_length()) * bool(words)
+
+
+def test_features_are_n_grams():
+    rng = random.Random(12)
+    for n in (0, 1, 2, 5, 40, 300):
+        text = random_text(rng, n)
+        assert plain_features(text) * 0.98 - 1 <= len(nbsvm.features(text)) <= plain_features(text)
+
+
+def test_the_sample_is_bounded(frame, spark):
+    rng = random.Random(7)
+    rows = [(k, random_text(rng, 30), None, None, 0) for k in range(90)] + [(3, "x " * k, None, None, 0) for k in range(50)]
+    table = spark.createDataFrame([(k, k % 2) for k in range(90)], "doc_id long, quality int")
+    scores = lambda **kw: {r["doc_id"]: r["score"] for r in nbsvm.scored(frame(rows), table, **kw).where("doc_id <> 3").collect()}
+    whole, some, none = scores(), scores(places=5000), scores(places=0)
+    assert whole != some and len(set(none.values())) == 1
+
+
 def test_classifier(frame, spark):
     import zlib
 
