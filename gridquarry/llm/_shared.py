@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,18 +53,27 @@ def forget(df: DataFrame) -> None:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder with a row number that is stored, so that it names the same row in every read."""
-    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(folder)
-    rows = df.sparkSession.read.parquet(folder)
-    return rows.withMetadata(ROW, {"pinned": True})
+    """``df`` with a row number that the operators take over, so that what they say of a row can be joined to it."""
+    return _counted(df).withMetadata(ROW, {"pinned": True})
 
 
 def numbered(df: DataFrame, *columns: Column | str) -> DataFrame:
-    """``columns`` of ``df`` with a row number: that of a pinned table, else one that is the same whenever the same splits are read."""
+    """``columns`` of ``df`` with a row number: that of a pinned table, else its own."""
     if ROW in df.columns and df.schema[ROW].metadata.get("pinned"):
         return df.select(ROW, *columns)
-    return df.select(*columns).withColumn(ROW, F.monotonically_increasing_id())
+    return _counted(df.select(*columns))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """``df`` with the place of each row: its split's number and its place therein.
+
+    Files are split alike in every scan, whatever executors come and go: the one thing
+    in which splits depend on those at hand, the least number of splits, is fixed.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def utf8(text: str | None) -> bytes:

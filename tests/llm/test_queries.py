@@ -63,19 +63,20 @@ def test_pipeline_bears_odd_rows(spark, frame, corpus, sf_dir):
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
 
 
-def test_rows_keep_their_numbers(spark, sf_dir):
-    """However the reads of a pinned table are split."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = pinned(docs)
-    want = {r[0]: r[1] for r in rows.select("__row", "doc_id").collect()}
-    size, parts = spark.conf.get("spark.sql.files.maxPartitionBytes"), rows.rdd.getNumPartitions()
+def test_rows_keep_their_numbers(spark, sf_dir, tmp_path):
+    """However many cores there are when a table is read."""
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5).write.parquet(str(tmp_path / "docs"))
+    read = lambda: {r[0]: r[1] for r in numbered(pinned(spark.read.parquet(str(tmp_path / "docs"))), "doc_id").collect()}
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-        again = numbered(rows.sparkSession.read.parquet(rows.inputFiles()[0].rsplit("/", 1)[0]).withMetadata("__row", {"pinned": True}), "doc_id")
-        assert again.rdd.getNumPartitions() > parts
-        assert {r["__row"]: r["doc_id"] for r in again.collect()} == want
+        spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        want = read()
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "64")
+        assert read() == want
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert spark.read.parquet(str(tmp_path / "docs")).rdd.getNumPartitions() > len({k >> 33 for k in want})  # else they would be split anew
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def plain_rules(docs):
