@@ -1,9 +1,9 @@
 """Raw documents to token digests: quality rules, exact and near duplicates, mixing, byte-level BPE.
 
 Stages take null, repeated and empty values in any column, very long texts, empty
-tables and columns of any names: each row is named by a number stored with it when
-the stage begins, decisions are made and applied by that number alone, and all
-columns are returned as they came.
+tables and columns of any names: each row is named by its place in the stored table
+or checkpoint that the stage reads, decisions are made and applied by that place
+alone, and all columns are returned as they came.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm._shared import ROW, pinned, table
+from gridquarry.llm._shared import ROW, cut, pinned, table
 from gridquarry.llm.bpe import encoded
 from gridquarry.llm.grace import exact_duplicates
 from gridquarry.llm.mixing import mixed
@@ -73,8 +73,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage stores what the one before it returns, and so computes it once."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
