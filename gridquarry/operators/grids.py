@@ -6,10 +6,15 @@ with sums combined before the shuffle; nothing is paired with every other cell.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Earth's radius in m, its rotation in 1/s, gravity in m/s².
 RADIUS, OMEGA, GRAVITY = 6371e3, 7.2921e-5, 9.81
@@ -79,20 +84,67 @@ def front_edges(df: DataFrame, by: list[str], speed: str, region: str, threshold
     return rows.withColumn("edge", F.col("__fast") & ~inner & F.col(region)).drop("__fast")
 
 
-def distance_to(df: DataFrame, by: list[str], member: str) -> DataFrame:
-    """``df`` (by..., y, x, member) with ``distance`` in cells to the nearest member of its field, exactly; null if it has none.
+def _along_rows(xs: list[np.ndarray], above: list[np.ndarray]) -> list[np.ndarray]:
+    """For each row of an image (its columns, and each column's distance to a member within it): the distance to the nearest member.
 
-    First the nearest member within each column, by windows; then, of each row, the least of
-    sqrt(dx² + column distance²) over the row's cells: a row of the image is the most that is held.
+    Rows of one extent are worked on together. A member dx columns off is at least dx away, so
+    dx grows only up to the largest distance that is left.
+    """
+    out: list = [None] * len(xs)
+    extents: dict[tuple[int, int], list[int]] = {}
+    for k, x in enumerate(xs):
+        extents.setdefault((int(x.min()), int(x.max())), []).append(k)
+    for (first, last), rows in extents.items():
+        d = np.full((len(rows), last - first + 1), np.inf)
+        for r, k in enumerate(rows):
+            d[r, xs[k] - first] = np.square(above[k])
+        g = d.copy()
+        some = np.isfinite(g).any(1)
+        for dx in range(1, g.shape[1]):
+            if not some.any() or dx * dx >= d[some].max():
+                break
+            np.minimum(d[:, dx:], g[:, :-dx] + dx * dx, out=d[:, dx:])
+            np.minimum(d[:, :-dx], g[:, dx:] + dx * dx, out=d[:, :-dx])
+        for r, k in enumerate(rows):
+            out[k] = np.sqrt(d[r, xs[k] - first])
+    return out
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _row_distances(xs: pd.Series, above: pd.Series) -> pd.Series:
+    return pd.Series(_along_rows([np.asarray(x, int) for x in xs], [np.asarray(g, float) for g in above]), dtype=object)
+
+
+def distance_to(df: DataFrame, by: list[str], member: str, none: float | None = None) -> DataFrame:
+    """``df`` (by..., y, x, member; every row of a field has all its columns) with ``distance`` in cells to the nearest member of its field, exactly; ``none`` if it has none.
+
+    First the nearest member within each column, by windows; then each row, held once as arrays, takes the least of
+    sqrt(dx² + column distance²): a row or a column of an image is the most that is held, and there are three shuffles.
     """
     up, down = Window.partitionBy(*by, "x").orderBy("y"), Window.partitionBy(*by, "x").orderBy(F.desc("y"))
     at = F.when(F.col(member), F.col("y"))
     above, below = F.last(at, True).over(up), F.last(at, True).over(down)
-    rows = df.withColumn("__g", F.least(F.col("y") - above, below - F.col("y")))
-    line = rows.groupBy(*by, "y").agg(F.collect_list(F.when(F.col("__g").isNotNull(), F.struct("x", "__g"))).alias("__line"))
-    rows = rows.join(line, [*by, "y"])
-    square = lambda c: (F.col("x") - c["x"]) * (F.col("x") - c["x"]) + c["__g"] * c["__g"]
-    return rows.withColumn("distance", F.sqrt(F.array_min(F.transform("__line", square)).cast("double"))).drop("__g", "__line")
+    rest = [c for c in df.columns if c not in (*by, "y")]
+    rows = df.withColumn("__g", F.coalesce(F.least(F.col("y") - above, below - F.col("y")).cast("double"), F.lit(math.inf)))
+    lines = rows.groupBy(*by, "y").agg(F.collect_list(F.struct("__g", *rest)).alias("__line"))
+    lines = lines.withColumn("__d", _row_distances(F.col("__line.x").cast("array<long>"), F.col("__line.__g")))
+    cells = lines.select(*by, "y", F.explode(F.arrays_zip("__line", "__d")).alias("__cell"))
+    far = F.col("__cell.__d") == math.inf
+    return cells.select(*by, "y", *(F.col(f"__cell.__line.{c}").alias(c) for c in rest), F.when(far, F.lit(none).cast("double")).otherwise(F.col("__cell.__d")).alias("distance")).select(*df.columns, "distance")
+
+
+def front_loss(df: DataFrame, by: list[str], pred: str, truth: str, region: str, cell_km: str, threshold: float, tau: float = 0.05, alpha: float = 2.0) -> DataFrame:
+    """(by..., loss): the mean over the region of (p - q)² (d_q^alpha + d_p^alpha).
+
+    q: whether the true speed reaches the threshold, p: the sigmoid of the predicted one's excess over ``tau``; d_q and
+    d_p: km to the true and to the predicted front, 0 where there is no front.
+    """
+    slow = lambda c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(-math.inf))
+    rows = df.select(*by, "y", "x", F.col(region).alias("region"), F.col(cell_km).alias("km"), F.col(pred).alias("s"), F.col(truth).alias("t"))
+    for speed in ("t", "s"):
+        rows = distance_to(front_edges(rows, by, speed, "region", threshold), by, "edge", 0.0).withColumn(f"d{speed}", F.col("distance") * F.col("km")).drop("edge", "distance")
+    p, q = 1 / (1 + F.exp(-(F.col("s") - threshold) / tau)), (slow("t") >= threshold).cast("double")
+    return rows.where("region").groupBy(*by).agg(F.avg((p - q) ** 2 * (F.col("dt") ** alpha + F.col("ds") ** alpha)).alias("loss"))
 
 
 def directed_distances(df: DataFrame, by: list[str], a: str, b: str, cell_km: str) -> DataFrame:
@@ -119,19 +171,24 @@ def tiled(df: DataFrame, tile: int, halo: int) -> DataFrame:
     return rows.withColumn("inner", (F.floor(F.col("y") / tile) == F.col("ty")) & (F.floor(F.col("x") / tile) == F.col("tx")))
 
 
-def bilinear(points: DataFrame, grid: DataFrame, spacing: float, lat: str = "lat", lon: str = "lon", value: str = "v") -> DataFrame:
-    """``points`` with the bilinear value of a regular global-longitude grid (i, j, value) whose node (i, j) lies at (i, j) * spacing; null outside.
+def bilinear(points: DataFrame, grid: DataFrame, spacing: float, lat: str = "lat", lon: str = "lon", value: str = "v", outside: str = "raise") -> DataFrame:
+    """``points`` with ``got``, the bilinear value of a regular global-longitude grid (i, j, value) whose node (i, j) lies at (i, j) * spacing.
 
-    Longitudes wrap by 360; each point joins its four corners by equality.
+    Longitudes wrap by 360. Each node goes to the four squares that it is a corner of, so a point joins its square once;
+    points may repeat. A corner without weight doesn't matter; a null corner makes null; a missing one raises, or makes
+    null with ``outside`` "null".
     """
     around = round(360 / spacing)
     fy, fx = F.col(lat) / spacing, F.pmod(F.col(lon), F.lit(360.0)) / spacing
-    rows = points.withColumns({"__y": F.floor(fy), "__x": F.floor(fx), "__a": fy - F.floor(fy), "__b": fx - F.floor(fx)})
+    corners = F.array(*(F.struct((F.col("i") - dy).cast("long").alias("__y"), F.pmod(F.col("j") - dx, F.lit(around)).cast("long").alias("__x"), F.lit(2 * dy + dx).alias("__c")) for dy in (0, 1) for dx in (0, 1)))
+    squares = grid.select(F.inline(corners), F.struct(F.col(value).alias("v")).alias("__v"))
+    squares = squares.groupBy("__y", "__x").agg(*(F.first(F.when(F.col("__c") == k, F.col("__v")), True).alias(f"__v{k}") for k in range(4)))
+    rows = points.withColumns({"__y": F.floor(fy), "__x": F.pmod(F.floor(fx), F.lit(around)).cast("long"), "__a": fy - F.floor(fy), "__b": fx - F.floor(fx)})
     a, b = F.col("__a"), F.col("__b")
-    corners = F.array(*(
-        F.struct((F.col("__y") + dy).alias("i"), F.pmod(F.col("__x") + dx, F.lit(around)).alias("j"), ((a if dy else 1 - a) * (b if dx else 1 - b)).alias("__k"))
-        for dy in (0, 1) for dx in (0, 1)
-    ))
-    each = rows.select(*points.columns, F.inline(corners)).where("__k > 0")
-    got = each.join(grid, ["i", "j"], "left").groupBy(*points.columns).agg(F.sum(F.col("__k") * F.col(value)).alias("got"), F.count_if(F.col(value).isNull()).alias("__none"))
-    return got.select(*points.columns, F.when(F.col("__none") == 0, F.col("got")).alias("got"))
+    weights = [(a if dy else 1 - a) * (b if dx else 1 - b) for dy in (0, 1) for dx in (0, 1)]
+    rows = rows.join(squares, ["__y", "__x"], "left")
+    got = sum((F.when(w > 0, w * F.col(f"__v{k}.v")).otherwise(0.0) for k, w in enumerate(weights)), F.lit(0.0))
+    missing = functools.reduce(operator.or_, ((w > 0) & F.col(f"__v{k}").isNull() for k, w in enumerate(weights)))
+    if outside == "raise":
+        got = F.when(missing, F.raise_error(F.concat(F.lit("outside the grid: "), F.col(lat).cast("string"), F.lit(", "), F.col(lon).cast("string"))).cast("double")).otherwise(got)
+    return rows.select(*points.columns, got.alias("got"))

@@ -20,21 +20,28 @@ def unrolled(starts: DataFrame, model: DataFrame, by: list[str], x0: str, horizo
     """(..., lead, pred): the model applied lead after lead from ``x0``, a run ending at its horizon.
 
     The steps of a run are folded inside its row, so there is one join and no loop of jobs. With ``chunk`` the
-    fold stops after so many leads and the state is carried on: the same numbers.
+    fold runs over chunks of so many leads, the state carried from one to the next: the same numbers.
     """
     rows = starts.join(model, by)
     step = lambda x: F.col("base") + F.col("slope") * x
 
-    def fold(first: Column, n: Column) -> Column:
-        empty = F.struct(first.alias("last"), F.array().cast("array<double>").alias("all"))
-        return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), empty, lambda a, _: F.struct(step(a["last"]).alias("last"), F.concat(a["all"], F.array(step(a["last"]))).alias("all")))
+    def fold(state: Column, n: Column) -> Column:
+        count = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(count, state, lambda a, _: F.struct(step(a["last"]).alias("last"), F.concat(a["all"], F.array(step(a["last"]))).alias("all")))
 
-    n = horizon.cast("int")
+    n, empty = horizon.cast("int"), F.array().cast("array<double>")
+    start = F.struct(F.col(x0).cast("double").alias("last"), empty.alias("all"))
     if chunk is None:
-        rows = rows.withColumn("__all", fold(F.col(x0), n)["all"])
+        rows = rows.withColumn("__all", fold(start, n)["all"])
     else:
-        rows = rows.withColumn("__a", fold(F.col(x0), F.least(n, F.lit(chunk))))
-        rows = rows.withColumn("__all", F.concat("__a.all", fold(F.col("__a.last"), n - chunk)["all"])).drop("__a")
+        # the leads of each chunk, folded from the state that the chunk before it left; a chunk's leads join the others when it is done
+        sizes = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / chunk).cast("int") - 1, F.lit(0))), lambda c: F.least(F.lit(chunk), n - c * chunk))
+
+        def follow(a: Column, size: Column) -> Column:
+            part = fold(F.struct(a["last"].alias("last"), empty.alias("all")), size)
+            return F.struct(part["last"].alias("last"), F.concat(a["all"], part["all"]).alias("all"))
+
+        rows = rows.withColumn("__all", F.aggregate(sizes, start, follow)["all"])
     return rows.select(*starts.columns, F.posexplode("__all").alias("lead", "pred")).withColumn("lead", F.col("lead") + 1)
 
 

@@ -21,11 +21,13 @@ def wavelength_bands(shape: tuple[int, int], dx_km: float) -> np.ndarray:
 
 def tapered(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Anomalies of fields (n, y, x) from their weighted mean, times the weight."""
+    x = np.nan_to_num(x)
     return (x - (x * w).sum((1, 2), keepdims=True) / w.sum()) * w
 
 
-def hann(shape: tuple[int, int]) -> np.ndarray:
-    return np.outer(*(np.hanning(n) for n in shape))
+def hann(shape: tuple[int, int], mask: np.ndarray | None = None) -> np.ndarray:
+    """A window over the box, and 0 outside the mask."""
+    return np.outer(*(np.hanning(n) for n in shape)) * (1 if mask is None else mask)
 
 
 def cross_power(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -42,9 +44,9 @@ def stacked(column: pd.Series, shape: tuple[int, int]) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float).reshape(-1, *shape) if len(column) else np.zeros((0, *shape))
 
 
-def band_variances(df: DataFrame, keys: str, shape: tuple[int, int], dx_km: float, a: str = "v", b: str | None = None) -> DataFrame:
-    """``df`` (one field a row; ``keys`` as DDL) with the variance, or with ``b`` the covariance, of each wavelength band."""
-    names, w, bands = [k.split()[0] for k in keys.split(",")], hann(shape), wavelength_bands(shape, dx_km)
+def band_variances(df: DataFrame, keys: str, shape: tuple[int, int], dx_km: float, a: str = "v", b: str | None = None, mask: np.ndarray | None = None) -> DataFrame:
+    """``df`` (one field a row; ``keys`` as DDL) with the variance, or with ``b`` the covariance, of each wavelength band within the mask."""
+    names, w, bands = [k.split()[0] for k in keys.split(",")], hann(shape, mask), wavelength_bands(shape, dx_km)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -63,38 +65,43 @@ def rings(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return ring, np.broadcast_to(1.0 + twice, ring.shape)
 
 
-def adjusted_excess(df: DataFrame, keys: str, shape: tuple[int, int], pred: str, truth: str, scale: float, eps: float = 1e-12) -> DataFrame:
-    """``df`` with the excess of the adjusted over the plain mean square error: rings that lost coherence cost their full power."""
-    names = [k.split()[0] for k in keys.split(",")]
+def adjusted_excess(df: DataFrame, keys: str, shape: tuple[int, int], pred: str, truth: str, scale: float, eps: float = 1e-12, mask: np.ndarray | None = None) -> DataFrame:
+    """``df`` with the excess of the adjusted over the plain mean square error within the mask: rings that lost coherence cost their full power."""
+    names, inside = [k.split()[0] for k in keys.split(",")], np.ones(shape) if mask is None else mask.astype(float)
     ring, weight = rings(shape)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            x, y = (np.fft.rfft2(stacked(p[c], shape) / scale, norm="ortho") for c in (pred, truth))
+            x, y = (np.fft.rfft2(np.nan_to_num(stacked(p[c], shape)) / scale * inside, norm="ortho") for c in (pred, truth))
             ring_sum = lambda z: np.stack([(z * weight)[:, ring == k].sum(1) for k in range(ring.max() + 1)], 1)  # noqa: B023, E731
             px, py, c = ring_sum(abs(x) ** 2), ring_sum(abs(y) ** 2), ring_sum((x * y.conj()).real)
             g = np.sqrt(px * py + eps)
-            excess = (2 * (np.maximum(px, py) - g) * (1 - c / g)).sum(1) / (shape[0] * shape[1])
+            excess = (2 * (np.maximum(px, py) - g) * (1 - c / g)).sum(1) / inside.sum()
             yield p[names].assign(excess=excess)
 
     return df.mapInPandas(run, keys + ", excess double")
 
 
-def alias_share(df: DataFrame, keys: str, shape: tuple[int, int], stride: int, value: str = "v") -> DataFrame:
-    """``df`` with, below the coarse grid's Nyquist square, the relative gain of power by taking every ``stride``-th cell."""
-    names, coarse = [k.split()[0] for k in keys.split(",")], tuple(n // stride for n in shape)
-    inside = np.logical_and.outer(*(np.abs(np.fft.fftfreq(n)) < 0.5 / stride for n in shape)).copy()
-    inside[0, 0] = False
-    low = np.logical_and.outer(*(np.abs(np.fft.fftfreq(n)) < 0.5 for n in coarse)).copy()
-    low[0, 0] = False
+def alias_share(df: DataFrame, keys: str, shape: tuple[int, int], stride: int, dx_km: float, bands: tuple[str, ...], mask: np.ndarray | None = None, value: str = "v") -> DataFrame:
+    """``df`` with the share of power in wavelength bands that taking every ``stride``-th cell folds into them.
+
+    That is (P_sub - P_full) / P_sub: P_full over the same wavenumbers, those within the coarse grid's Nyquist square,
+    its edge included. Both fields are tapered over their mask; null where P_sub is 0.
+    """
+    names, whole = [k.split()[0] for k in keys.split(",")], np.ones(shape, bool) if mask is None else mask
+    part = whole[::stride, ::stride]
+    chosen = [list(BANDS).index(b) for b in bands]
+    square = np.logical_and.outer(*(np.abs(np.fft.fftfreq(n)) <= 0.5 / stride for n in shape))
+    inside = np.isin(wavelength_bands(shape, dx_km), chosen) & square
+    low = np.isin(wavelength_bands(part.shape, dx_km * stride), chosen)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             x = stacked(p[value], shape)
-            full = cross_power(x, x, np.ones(shape))[:, inside].sum(1)
+            full = cross_power(x, x, hann(shape, whole))[:, inside].sum(1)
             x = x[:, ::stride, ::stride]
-            sub = cross_power(x, x, np.ones(coarse))[:, low].sum(1)
-            yield p[names].assign(share=(sub - full) / np.where(full > 0, full, np.nan))
+            sub = cross_power(x, x, hann(part.shape, part))[:, low].sum(1)
+            yield p[names].assign(share=np.where(sub > 0, (sub - full) / np.where(sub > 0, sub, 1), np.nan))
 
     return df.mapInPandas(run, keys + ", share double")
 

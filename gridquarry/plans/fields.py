@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -67,10 +68,10 @@ REFLECT = """{n}x AS (SELECT y, t.x, sum(coalesce(v, 0)*k) AS num, sum(CASE WHEN
 def band_pass(spark, sf):
     """The difference of two smooths, reflected at the edges and cut at four sigmas."""
     rows = image(spark, sf)
-    height = rows.agg(F.max("y")).first()[0]
-    size = (F.lit((height if height is not None else -1) + 1), F.lit(40))
-    a, b = (ops.smoothed(rows, [], "v", s, 4.0, 0.0, size).withColumnRenamed("v", n) for s, n in ((0.5, "a"), (1.5, "b")))
-    return tidy(a.join(b, ["y", "x"]).select("y", "x", (F.col("a") - F.col("b")).alias("v")), 6)
+    rows = rows.crossJoin(F.broadcast(rows.agg((F.max("y") + 1).alias("rows"))))  # one row
+    size = (F.col("rows"), F.lit(40))
+    a, b = (ops.smoothed(rows, ["rows"], "v", s, 4.0, 0.0, size).withColumnRenamed("v", n) for s, n in ((0.5, "a"), (1.5, "b")))
+    return tidy(a.join(b, ["rows", "y", "x"]).select("y", "x", (F.col("a") - F.col("b")).alias("v")), 6)
 
 
 FLOW = "flow AS (SELECT p_partkey // 40 AS y, p_partkey % 40 AS x, p_retailprice/1000 AS u, p_size/10.0 AS v, 20 + (p_partkey // 40)*0.1 AS lat FROM part)"
@@ -146,10 +147,11 @@ def front_edges(spark, sf):
     return edges(spark, sf, F.col("v"), 3.0).groupBy("y").agg(F.count_if("edge").alias("edges"))
 
 
-@query("j10_distance_to_front", f"WITH {EDGE.format(c='v', t=4.9)}, e AS (SELECT y AS ey, x AS ex FROM edges WHERE edge) SELECT y, x, round(min(sqrt((x-ex)*(x-ex) + (y-ey)*(y-ey)))*any_value({phys.RADIUS_KM}*radians(0.04)*cos(radians(lat))), 6) AS km FROM edges, e GROUP BY y, x")
+@query("j10_distance_to_front", f"WITH {EDGE.format(c='v', t=4.9)}, e AS (SELECT y AS ey, x AS ex FROM edges WHERE edge) SELECT y, x, round(coalesce(min(sqrt((x-ex)*(x-ex) + (y-ey)*(y-ey))), 0)*any_value({phys.RADIUS_KM}*radians(0.04)*cos(radians(lat))), 6) AS km FROM edges LEFT JOIN e ON true GROUP BY y, x")
 def distance(spark, sf):
-    rows = ops.distance_to(edges(spark, sf, F.col("v"), 4.9), [], "edge")
-    return tidy(rows.where("distance IS NOT NULL").select("y", "x", (F.col("distance") * phys.cell_km(F.col("lat"))).alias("km")), 6)
+    """Km to the nearest edge of the front; 0 everywhere if there is none."""
+    rows = ops.distance_to(edges(spark, sf, F.col("v"), 4.9), [], "edge", 0.0)
+    return tidy(rows.select("y", "x", (F.col("distance") * phys.cell_km(F.col("lat"))).alias("km")), 6)
 
 
 @query("j11_front_distance", f"""WITH {EDGE.format(c='v', t=4.7)}, p AS (SELECT y, x, edge AS a, lag(edge, 3) OVER (PARTITION BY y ORDER BY x) AS b, {phys.RADIUS_KM}*radians(0.04)*cos(radians(lat)) AS km FROM edges),
@@ -161,21 +163,25 @@ def front_distance(spark, sf):
     return tidy(ops.front_distance(rows, ["field"], "a", "b", "km").drop("field"), 6)
 
 
-@query("n05_front_loss", f"""WITH {EDGE.format(c='v', t=4.9)}, s AS (SELECT y, x, u, v FROM flow), e AS (SELECT y AS ey, x AS ex FROM edges WHERE edge), d AS (SELECT y, x, min(sqrt((x-ex)*(x-ex) + (y-ey)*(y-ey))) AS d FROM edges, e GROUP BY y, x)
-    SELECT round(avg(pow(1/(1+exp(-(u - 0.7717)/0.05)) - CASE WHEN v >= 4.9 THEN 1 ELSE 0 END, 2)*(d*d)), 6) AS loss FROM d JOIN s USING (y, x)""")
+#: The predicted speed of the front's loss, beside the true one, v.
+GUESS = "(v*0.9 + u*0.3)"
+EDGES_OF_BOTH = EDGE.format(c="v", t=4.5) + EDGE.format(c=GUESS, t=4.5).removeprefix(FLOW).replace(", f AS", ", f2 AS").replace("nb AS", "nb2 AS").replace("FROM f WINDOW", "FROM f2 WINDOW").replace("edges AS", "edges2 AS").replace("FROM nb)", "FROM nb2)")
+
+
+@query("n05_front_loss", f"""WITH {EDGES_OF_BOTH}, d AS (SELECT a.y, a.x, coalesce(min(sqrt((a.x-e.x)*(a.x-e.x) + (a.y-e.y)*(a.y-e.y))), 0) AS d FROM edges a LEFT JOIN edges e ON e.edge GROUP BY ALL), d2 AS (SELECT a.y, a.x, coalesce(min(sqrt((a.x-e.x)*(a.x-e.x) + (a.y-e.y)*(a.y-e.y))), 0) AS d FROM edges a LEFT JOIN edges2 e ON e.edge GROUP BY ALL)
+    SELECT round(avg(pow(1/(1+exp(-({GUESS} - 4.5)/0.5)) - CASE WHEN v >= 4.5 THEN 1 ELSE 0 END, 2)*(d.d*d.d + d2.d*d2.d)*pow({phys.RADIUS_KM}*radians(0.04)*cos(radians(lat)), 2)), 6) AS loss FROM flow s JOIN d ON d.y = s.y AND d.x = s.x JOIN d2 ON d2.y = s.y AND d2.x = s.x WHERE s.x < 38""")
 def front_loss(spark, sf):
-    """Squared difference of soft masks times the squared distance to the true front."""
-    rows = ops.distance_to(edges(spark, sf, F.col("v"), 4.9), [], "edge").where("distance IS NOT NULL")
-    p, q = 1 / (1 + F.exp(-(F.col("u") - 0.7717) / 0.05)), (F.col("v") >= 4.9).cast("double")
-    return tidy(rows.agg(F.avg((p - q) ** 2 * F.col("distance") ** 2).alias("loss")), 6)
+    """Squared difference of soft masks times the squared distances to both fronts, over the region."""
+    rows = flow(spark, sf).select("y", "x", "v", (F.col("v") * 0.9 + F.col("u") * 0.3).alias("guess"), (F.col("x") < 38).alias("region"), phys.cell_km(F.col("lat")).alias("km"))
+    return tidy(ops.front_loss(rows.withColumn("one", F.lit(1)), ["one"], "guess", "v", "region", "km", 4.5, 0.5).drop("one"), 6)
 
 
 @query("j12_boundary_mask", f"WITH {IMAGE}, m AS (SELECT max(y) AS h FROM image), e AS (SELECT y AS ey, x AS ex FROM image, m WHERE v IS NOT NULL AND (x < 2 OR y < 2 OR x > 37 OR y > h - 2)), d AS (SELECT y, x, v, min(sqrt((x-ex)*(x-ex) + (y-ey)*(y-ey))) AS d FROM image, e GROUP BY ALL) SELECT y, count_if(v IS NULL OR d <= 4) AS boundary FROM d GROUP BY y")
 def boundary_mask(spark, sf):
     """Land, and ocean within a band of the open edge's ocean (the outer two rows and columns)."""
     rows = image(spark, sf)
-    height = rows.agg(F.max("y")).first()[0] or 0
-    outer = (F.col("x") < 2) | (F.col("y") < 2) | (F.col("x") > 37) | (F.col("y") > height - 2)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("y").alias("height"))))  # one row
+    outer = (F.col("x") < 2) | (F.col("y") < 2) | (F.col("x") > 37) | (F.col("y") > F.col("height") - 2)
     rows = ops.distance_to(rows.withColumn("open", F.col("v").isNotNull() & outer), [], "open")
     return rows.groupBy("y").agg(F.count_if(F.col("v").isNull() | (F.col("distance") <= 4)).alias("boundary"))
 
@@ -184,7 +190,7 @@ def boundary_mask(spark, sf):
     f AS (SELECT key, lat/72 AS fy, (((lon % 360) + 360) % 360)/72 AS fx FROM p), c AS (SELECT key, CAST(floor(fy) AS INT) + dy AS i, (CAST(floor(fx) AS INT) + dx) % 5 AS j, (CASE WHEN dy = 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END)*(CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) AS k FROM f, range(0, 2) a(dy), range(0, 2) b(dx))
     SELECT key, CASE WHEN count_if(v IS NULL) = 0 THEN round(sum(k*v), 6) END AS value FROM c LEFT JOIN g USING (i, j) WHERE k > 0 GROUP BY key""")
 def bilinear(spark, sf):
-    """Points on a coarse global grid; longitude wraps, outside is null."""
+    """Points on a coarse global grid; longitude wraps, a point outside raises."""
     grid = table(spark, sf, "nation").select((F.col("n_nationkey") % 5).cast("long").alias("i"), F.expr("n_nationkey div 5").alias("j"), (F.col("n_regionkey") + 1.0).alias("v"))
     points = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), ((F.col("c_custkey") % 40) * 0.1 * 72).alias("lat"), ((F.col("c_custkey") % 97) * 11.0 - 360).alias("lon"))
     return tidy(ops.bilinear(points, grid, 72.0).select("key", F.col("got").alias("value")), 6)
@@ -291,12 +297,17 @@ def group_weights(spark, sf):
 # Spectra
 
 
-DX = 20.0
+DX = 30.0
+#: The corner of each field that is land.
+LAND = (4, 3)
+OCEAN = np.ones((8, 8), bool)
+OCEAN[: LAND[0], : LAND[1]] = False
+WET = f"(CASE WHEN y < {LAND[0]} AND x < {LAND[1]} THEN 0.0::DOUBLE ELSE 1.0 END)"
 HANN = [0.5 - 0.5 * math.cos(2 * math.pi * n / 7) for n in range(8)]
 HANNS = "[" + ", ".join(map(repr, HANN)) + "]"
-W2 = sum(a * a for a in HANN) ** 2
+W2 = float(np.square(spec.hann((8, 8), OCEAN)).sum())
 BAND = " ".join(f"WHEN 1/sqrt(k2) >= {lo} AND 1/sqrt(k2) < {hi if hi < 1e9 else 1e9} THEN {k}" for k, (lo, hi) in enumerate(spec.BANDS.values()))
-DFT = CELLS + f""", w AS (SELECT *, {HANNS}[y + 1]*{HANNS}[x + 1] AS w FROM cells), m AS (SELECT id, sum(h*w)/sum(w) AS m FROM w GROUP BY id), a AS (SELECT w.id, label, y, x, (h - m)*w AS a FROM w JOIN m USING (id)),
+DFT = CELLS + f""", w AS (SELECT *, {HANNS}[y + 1]*{HANNS}[x + 1]*{WET} AS w FROM cells), m AS (SELECT id, sum(h*w)/sum(w) AS m FROM w GROUP BY id), a AS (SELECT w.id, label, y, x, (h - m)*w AS a FROM w JOIN m USING (id)),
     f AS (SELECT id, label, ky, kx, sum(a*cos(2*pi()*(ky*y + kx*x)/8)) AS re, sum(a*sin(2*pi()*(ky*y + kx*x)/8)) AS im FROM a, range(0, 8) p(ky), range(0, 8) q(kx) GROUP BY ALL),
     p AS (SELECT id, label, (re*re + im*im)/(64*{W2!r}) AS p, (pow(CASE WHEN ky > 3 THEN ky - 8 ELSE ky END, 2) + pow(CASE WHEN kx > 3 THEN kx - 8 ELSE kx END, 2))/(64*{DX}*{DX}) AS k2 FROM f),
     b AS (SELECT id, label, p, CASE {BAND} END AS band FROM p WHERE k2 > 0)"""
@@ -304,14 +315,14 @@ DFT = CELLS + f""", w AS (SELECT *, {HANNS}[y + 1]*{HANNS}[x + 1] AS w FROM cell
 
 @query("k01_band_variance", f"WITH {DFT} SELECT id, band, round(sum(p)*1e3, 6) AS power FROM b GROUP BY ALL")
 def band_variance(spark, sf):
-    rows = spec.band_variances(fields(spark, sf), "id long, label int", (8, 8), DX)
+    rows = spec.band_variances(fields(spark, sf), "id long, label int", (8, 8), DX, mask=OCEAN)
     out = rows.unpivot("id", ["b0", "b1", "b2", "b3"], "name", "power").select("id", F.substring("name", 2, 1).cast("int").alias("band"), (F.col("power") * 1e3).alias("power"))
-    return tidy(out.where("band < 3"), 6)
+    return tidy(out, 6)
 
 
 @query("k05_spectral_ratio", f"WITH {DFT}, s AS (SELECT label, band, sum(p) AS p FROM b GROUP BY ALL) SELECT label, round(max(CASE WHEN band = 0 THEN p END)/sum(p), 6) AS small, round(max(CASE WHEN band = 2 THEN p END)/sum(p), 6) AS large FROM s GROUP BY label")
 def spectral_ratio(spark, sf):
-    rows = spec.band_variances(fields(spark, sf), "id long, label int", (8, 8), DX).groupBy("label").agg(*(F.sum(f"b{k}").alias(f"b{k}") for k in range(4)))
+    rows = spec.band_variances(fields(spark, sf), "id long, label int", (8, 8), DX, mask=OCEAN).groupBy("label").agg(*(F.sum(f"b{k}").alias(f"b{k}") for k in range(4)))
     total = F.col("b0") + F.col("b1") + F.col("b2") + F.col("b3")
     return tidy(rows.select("label", (F.col("b0") / total).alias("small"), (F.col("b2") / total).alias("large")), 6)
 
@@ -320,30 +331,35 @@ def spectral_ratio(spark, sf):
 def cross_spectrum(spark, sf):
     """Cross power of a field and itself, over all bands."""
     rows = fields(spark, sf).withColumn("u", F.col("v"))
-    out = spec.band_variances(rows, "id long, label int", (8, 8), DX, "v", "u")
+    out = spec.band_variances(rows, "id long, label int", (8, 8), DX, "v", "u", OCEAN)
     return tidy(out.groupBy("label").agg((1e3 * F.sum(F.col("b0") + F.col("b1") + F.col("b2") + F.col("b3"))).alias("covariance")), 6)
 
 
-ALIAS = CELLS + """, s AS (SELECT id, y, x, h FROM cells), m AS (SELECT id, avg(h) AS m, avg(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN h END) AS c FROM s GROUP BY id),
-    f AS (SELECT s.id, ky, kx, sum((h-m)*cos(2*pi()*(ky*y + kx*x)/8)) AS re, sum((h-m)*sin(2*pi()*(ky*y + kx*x)/8)) AS im, sum(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN (h-c)*cos(2*pi()*(ky*y + kx*x)/8) ELSE 0 END) AS cr, sum(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN (h-c)*sin(2*pi()*(ky*y + kx*x)/8) ELSE 0 END) AS ci
-      FROM s JOIN m USING (id), range(-1, 2) p(ky), range(-1, 2) q(kx) WHERE ky <> 0 OR kx <> 0 GROUP BY ALL)"""
+HANN4 = "[" + ", ".join(repr(0.5 - 0.5 * math.cos(2 * math.pi * n / 3)) for n in range(4)) + "]"
+W4 = float(np.square(spec.hann((4, 4), OCEAN[::2, ::2])).sum())
+ALIAS = CELLS + f""", w AS (SELECT *, {HANNS}[y + 1]*{HANNS}[x + 1]*{WET} AS w, CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN {HANN4}[y // 2 + 1]*{HANN4}[x // 2 + 1]*{WET} ELSE 0 END AS ws FROM cells),
+    m AS (SELECT id, sum(h*w)/sum(w) AS m, sum(h*ws)/sum(ws) AS ms FROM w GROUP BY id), a AS (SELECT w.id, y, x, (h - m)*w AS a, (h - ms)*ws AS s FROM w JOIN m USING (id)),
+    f AS (SELECT id, ky, kx, sum(a*cos(2*pi()*(ky*y + kx*x)/8)) AS re, sum(a*sin(2*pi()*(ky*y + kx*x)/8)) AS im, sum(s*cos(2*pi()*(ky*y + kx*x)/8)) AS sr, sum(s*sin(2*pi()*(ky*y + kx*x)/8)) AS si FROM a, range(-4, 4) p(ky), range(-4, 4) q(kx) GROUP BY ALL),
+    p AS (SELECT id, ky, kx, (re*re + im*im)/(64*{W2!r}) AS pf, (sr*sr + si*si)/(16*{W4!r}) AS ps FROM f WHERE ky*ky + kx*kx > 0 AND 8*{DX}/sqrt(ky*ky + kx*kx) >= 100),
+    t AS (SELECT id, sum(ps) FILTER (ky BETWEEN -2 AND 1 AND kx BETWEEN -2 AND 1) AS sub, sum(pf) FILTER (ky BETWEEN -2 AND 2 AND kx BETWEEN -2 AND 2) AS whole FROM p GROUP BY id)"""
 
 
-@query("k03_alias_share", f"WITH {ALIAS} SELECT id, round((sum(cr*cr + ci*ci)/256 - sum(re*re + im*im)/4096)/(sum(re*re + im*im)/4096), 5) AS share FROM f GROUP BY id")
+@query("k03_alias_share", f"WITH {ALIAS} SELECT id, round((sub - whole)/sub, 5) AS share FROM t")
 def alias_share(spark, sf):
-    return tidy(spec.alias_share(fields(spark, sf), "id long", (8, 8), 2), 5)
+    """The share of power at long wavelengths that taking every second cell folds there."""
+    return tidy(spec.alias_share(fields(spark, sf), "id long", (8, 8), 2, DX, ("100to200km", "gt200km"), OCEAN), 5)
 
 
-EXCESS = CELLS + """, s AS (SELECT id, y, x, h/0.1 AS t, 0.7*v[64 - y*8 - x]/0.1 AS p FROM cells JOIN fields USING (id)),
+EXCESS = CELLS + f""", s AS (SELECT id, y, x, h/0.1*{WET} AS t, 0.7*v[64 - y*8 - x]/0.1*{WET} AS p FROM cells JOIN fields USING (id)),
     f AS (SELECT id, ky, kx, sum(p*cos(2*pi()*(ky*y + kx*x)/8)) AS pr, sum(p*sin(2*pi()*(ky*y + kx*x)/8)) AS pi_, sum(t*cos(2*pi()*(ky*y + kx*x)/8)) AS tr, sum(t*sin(2*pi()*(ky*y + kx*x)/8)) AS ti FROM s, range(0, 8) a(ky), range(0, 8) b(kx) GROUP BY ALL),
     r AS (SELECT id, round_even(sqrt(pow(CASE WHEN ky > 3 THEN ky - 8 ELSE ky END, 2) + pow(CASE WHEN kx > 4 THEN kx - 8 ELSE kx END, 2)), 0) AS ring, sum(pr*pr + pi_*pi_)/64 AS px, sum(tr*tr + ti*ti)/64 AS py, sum(pr*tr + pi_*ti)/64 AS c FROM f GROUP BY ALL)"""
 
 
-@query("k04_adjusted_excess", f"WITH {EXCESS} SELECT id, round(sum(2*(greatest(px, py) - sqrt(px*py + 1e-12))*(1 - c/sqrt(px*py + 1e-12)))/64, 6) AS excess FROM r GROUP BY id")
+@query("k04_adjusted_excess", f"WITH {EXCESS} SELECT id, round(sum(2*(greatest(px, py) - sqrt(px*py + 1e-12))*(1 - c/sqrt(px*py + 1e-12)))/{int(OCEAN.sum())}, 6) AS excess FROM r GROUP BY id")
 def adjusted_excess(spark, sf):
     """The excess of each field's forecast by its own mirror image."""
     rows = fields(spark, sf).withColumn("p", F.transform("v", lambda x: 0.7 * x)).withColumn("p", F.reverse("p"))
-    return tidy(spec.adjusted_excess(rows.select("id", "p", "v"), "id long", (8, 8), "p", "v", 0.1), 6)
+    return tidy(spec.adjusted_excess(rows.select("id", "p", "v"), "id long", (8, 8), "p", "v", 0.1, mask=OCEAN), 6)
 
 
 @query("k06_correlated_noise")
