@@ -232,6 +232,22 @@ def test_fronts_three_cells_apart(spark):
     assert empty["status"] == "true_empty" and empty["mean_km"] is None
 
 
+def test_an_empty_front_adds_no_loss(spark):
+    y, x = np.mgrid[:6, :8]
+    km, tau = 3.0, 0.05
+
+    def loss(pred, truth):
+        rows = [(1, int(a), int(b), float(pred[a, b]), float(truth[a, b]), True, km) for a, b in np.ndindex(6, 8)]
+        return grids.front_loss(spark.createDataFrame(rows, "f int, y long, x long, p double, t double, r boolean, km double"), ["f"], "p", "t", "r", "km", 0.75, tau).first()["loss"]
+
+    still, fast = np.zeros((6, 8)), np.where(x < 4, 1.5, 0.0)
+    assert loss(still, still) == 0.0
+    edge = (x == 3) | (x < 4) & ((x == 0) | (y == 0) | (y == 5))
+    away = np.array([[min(math.hypot(a - c, b - d) for c, d in zip(*np.nonzero(edge), strict=True)) for b in range(8)] for a in range(6)]) * km
+    p = 1 / (1 + np.exp(-(still - 0.75) / tau))
+    assert loss(still, fast) == pytest.approx(((p - (fast > 0.75)) ** 2 * away**2).mean())  # only the true front's distance counts
+
+
 def test_nan_speed_is_slow_and_outside_too(spark):
     a = np.ones((4, 4))
     a[1, 1] = np.nan
@@ -242,8 +258,13 @@ def test_nan_speed_is_slow_and_outside_too(spark):
 
 def test_bilinear_is_exact_for_linear_fields_and_wraps(spark):
     grid = spark.createDataFrame([(i, j, 2.0 * i) for i in range(5) for j in range(8)], "i long, j long, v double")
-    points = spark.createDataFrame([(1, 45.0, 10.0), (2, 67.5, -5.0), (3, 400.0, 3.0), (4, 90.0, 359.0)], "k int, lat double, lon double")
-    assert {r["k"]: r["got"] for r in grids.bilinear(points, grid, 45.0).collect()} == {1: 2.0, 2: 3.0, 3: None, 4: 4.0}
+    points = spark.createDataFrame([(1, 45.0, 10.0), (2, 67.5, -5.0), (3, 400.0, 3.0), (4, 90.0, 359.0), (5, 180.0, 0.0)], "k int, lat double, lon double")
+    assert {r["k"]: r["got"] for r in grids.bilinear(points, grid, 45.0, outside="null").collect()} == {1: 2.0, 2: 3.0, 3: None, 4: 4.0, 5: 8.0}
+    with pytest.raises(Exception, match="outside the grid"):
+        grids.bilinear(points, grid, 45.0).collect()
+    assert [r["got"] for r in grids.bilinear(points.where("k = 1").union(points.where("k = 1")), grid, 45.0).collect()] == [2.0, 2.0]  # points may repeat
+    holes = grid.withColumn("v", F.when((F.col("i") != 2) | (F.col("j") != 0), F.col("v")))
+    assert [r["got"] for r in grids.bilinear(points.where("k IN (1, 4)"), holes, 45.0).orderBy("k").collect()] == [2.0, None]
 
 
 # spectra
@@ -268,6 +289,22 @@ def test_adjusted_excess_is_zero_for_a_perfect_forecast(spark):
     assert abs(got[1]) < 1e-6 and got[2] > -1e-9
 
 
+def test_folded_share_is_of_the_coarse_power(spark):
+    """A wave too short for the coarse grid is all folded; a long one hardly is."""
+    y, x = np.mgrid[:48, :48]
+    mask = np.ones((48, 48), bool)
+    mask[:10, :10] = False
+    waves = {1: np.cos(2 * np.pi * x / 3.2), 2: np.cos(2 * np.pi * x / 16), 3: np.zeros((48, 48))}
+    df = spark.createDataFrame([(k, np.where(mask, v, np.nan).ravel().tolist()) for k, v in waves.items()], "id long, v array<double>")
+    got = {r["id"]: r["share"] for r in spectra.alias_share(df, "id long", (48, 48), 2, 8.0, ("50to100km", "100to200km", "gt200km"), mask).collect()}
+    assert got[1] > 0.99 and abs(got[2]) < 0.02 and (got[3] is None or math.isnan(got[3]))
+
+
+def test_error_function():
+    x = np.concatenate([np.linspace(-7, 7, 4001), [np.inf, -np.inf]])
+    np.testing.assert_allclose(scores.erf_of(x), [math.erf(v) for v in x], rtol=0, atol=4e-15)
+
+
 def test_rings_keep_parseval():
     for shape in ((8, 8), (6, 9), (7, 10)):
         x = np.random.default_rng(4).normal(size=shape)
@@ -462,7 +499,8 @@ def test_chunks_change_nothing_and_runs_end_at_their_horizon(spark):
     starts = spark.createDataFrame([("a", 1.0, 5), ("b", -2.0, 2), ("c", 0.0, 0)], "k string, x0 double, h int")
     model = spark.createDataFrame([(k, 0.5, 1.0) for k in "abc"], "k string, slope double, base double")
     whole = values(rollouts.unrolled(starts, model, ["k"], "x0", F.col("h")), "k", "lead", "pred")
-    assert whole == values(rollouts.unrolled(starts, model, ["k"], "x0", F.col("h"), chunk=2), "k", "lead", "pred")
+    for chunk in (1, 2, 3, 5, 9):  # up to five chunks
+        assert whole == values(rollouts.unrolled(starts, model, ["k"], "x0", F.col("h"), chunk=chunk), "k", "lead", "pred")
     assert [r[:2] for r in whole] == [("a", k) for k in range(1, 6)] + [("b", 1), ("b", 2)] and whole[0][2] == 1.5
 
 
