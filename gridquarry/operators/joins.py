@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, name: str, block: Column | None = None) -> DataFrame:
     """``left`` with the latest ``value`` of ``right`` whose ``at`` is not after its own; null if none.
@@ -55,9 +57,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int, radius: float) -> DataFrame:
 
     Points with k within ``radius`` have theirs; for the others it doubles. Points without a finite place have none.
     """
-    spark = a.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    shared_folder(a.sparkSession)
     placed = "abs(x) < double('infinity') AND abs(y) < double('infinity')"
     b = b.where(placed).checkpoint()
     k, out, left = min(k, b.count()), None, a.where(placed)

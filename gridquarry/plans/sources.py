@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
 from ..sources import listing as lists
 from ..sources import metrics as met
 from ..sources import packs, reports
@@ -17,8 +18,7 @@ from .tables import DAILY, IMAGE, SAMPLES, daily, image, samples, table
 
 def shared(spark) -> str:
     """A new folder under the one that driver and executors share."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 NAMES = "files AS (SELECT o_orderstatus AS product, '/arch/' || o_orderstatus || '/a.' || strftime(o_orderdate, '%Y_%j') || '_18.' || (o_orderkey % 2) AS path, o_orderdate + INTERVAL 18 HOUR AS valid FROM orders)"
