@@ -83,10 +83,10 @@ def adjusted_excess(df: DataFrame, keys: str, shape: tuple[int, int], pred: str,
 
 
 def alias_share(df: DataFrame, keys: str, shape: tuple[int, int], stride: int, dx_km: float, bands: tuple[str, ...], mask: np.ndarray | None = None, value: str = "v") -> DataFrame:
-    """``df`` with the share of power in wavelength bands that taking every ``stride``-th cell folds into them.
+    """``df`` with how much of the coarse field's power in some bands is not its own but came from shorter waves.
 
-    That is (P_sub - P_full) / P_sub: P_full over the same wavenumbers, those within the coarse grid's Nyquist square,
-    its edge included. Both fields are tapered over their mask; null where P_sub is 0.
+    The coarse field holds every ``stride``-th cell; what the whole field has in these bands, where the coarse one can
+    show it, is its own. Null where the coarse field has no power there. Masked fields are tapered.
     """
     names, whole = [k.split()[0] for k in keys.split(",")], np.ones(shape, bool) if mask is None else mask
     part = whole[::stride, ::stride]

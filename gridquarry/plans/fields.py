@@ -260,7 +260,7 @@ def regions(spark, sf):
     """Two different predicates for the basin, and the region of eddies."""
     part = table(spark, sf, "part")
     lon, lat = -98 + (F.col("p_partkey") % 40) * 0.5, 18 + F.expr("p_partkey div 40") * 0.25
-    return part.select(F.col("p_partkey").alias("key"), phys.deep_gulf(lon, lat, F.col("p_retailprice") - 800).alias("deep"), phys.basin(lon, lat).alias("basin"), phys.eddy_region(lon, lat).alias("eddy"))
+    return part.select(F.col("p_partkey").alias("key"), ((F.col("p_retailprice") - 800 > 500) & phys.in_region("west of the straits", lon, lat)).alias("deep"), phys.in_region("basin", lon, lat).alias("basin"), phys.in_region("eddies", lon, lat).alias("eddy"))
 
 
 @query("i07_safe_std", "SELECT p_size AS size, round(CASE WHEN stddev_pop(p_size) > 0 THEN stddev_pop(p_size) ELSE 1 END, 6) AS std FROM part GROUP BY p_size")
