@@ -44,6 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` such that each reading of it, of whatever columns, finds its rows at the same places: stored, unless it is but a scan."""
+    plans, names = [df._jdf.queryExecution().optimizedPlan()], set()
+    while plans:
+        plan = plans.pop()
+        names.add(plan.nodeName())
+        plans += [plan.children().apply(k) for k in range(plan.children().size())]
+    return df if names <= {"Project", "Filter", "LogicalRelation", "LogicalRDD"} else cut(df)
+
+
 def forget(df: DataFrame) -> None:
     """Removes what ``cut`` wrote; nothing may read ``df`` any more."""
     file = df._jdf.logicalPlan().rdd().getCheckpointFile()

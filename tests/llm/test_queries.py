@@ -17,7 +17,7 @@ from gridquarry.llm.queries import MULTI_RANKS, ORACLE_SQL, PATTERN, QUERIES
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_runs_over_its_whole_table(spark, sf_dir, name):
-    table = "pages" if name.startswith("op8") else "documents"
+    table = {"op8": "pages", "op13": "embeddings"}.get(name.split("_")[0], "documents")
     got = QUERIES[name](spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
@@ -25,7 +25,8 @@ def test_query_runs_over_its_whole_table(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_sql_agrees(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, sf_dir).select(want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
