@@ -1,7 +1,7 @@
 """Stencils, smoothing, fronts and distances on images in long form (by..., y, x, value); invalid is null.
 
-Neighbours come from windows along a row or a column; smoothing scatters each cell along one axis, then the other,
-with sums combined before the shuffle; nothing is paired with every other cell.
+Neighbours come from windows along a row or a column; smoothing takes rows, then columns, each once as arrays;
+nothing is paired with every other cell.
 """
 
 from __future__ import annotations
@@ -9,12 +9,17 @@ from __future__ import annotations
 import functools
 import math
 import operator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from .selection import quantiles
 
 #: Earth's radius in m, its rotation in 1/s, gravity in m/s².
 RADIUS, OMEGA, GRAVITY = 6371e3, 7.2921e-5, 9.81
@@ -49,30 +54,93 @@ def kernel(sigma: float, truncate: float = 3.0) -> dict[int, float]:
     return {o: x / total for o, x in w.items()}
 
 
-def _spread(df: DataFrame, by: list[str], axis: str, other: str, weights: dict[int, float], size: Column | None) -> DataFrame:
-    """Sums of num, den and of the cell's own mark after spreading along an axis; with ``size`` images are reflected at the edges."""
-    taps = F.array(*(F.struct(F.lit(o).cast("long").alias("o"), F.lit(w).alias("k")) for o, w in weights.items()))
-    at = F.col(axis)
-    if size is None:
-        rows = df.select(*by, other, axis, "num", "den", "own", F.inline(taps)).withColumn("t", at - F.col("o"))
-        own = F.when(F.col("o") == 0, F.col("own"))
+def _lines(lists: list[pa.ListArray], at: pa.ListArray, from_zero: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Lines of cells as rows of matrices: each cell's line, its column, and each list's values there, NaN where there is none.
+
+    A line's first cell, or the cell at 0, is in column 0.
+    """
+    sizes = np.diff(at.offsets.to_numpy())
+    line, place = np.repeat(np.arange(len(at)), sizes), at.flatten().to_numpy()
+    column = place if from_zero else place - np.repeat(place[np.cumsum(sizes) - sizes], sizes)
+    out = []
+    for values in lists:
+        grid = np.full((len(at), int(column.max()) + 1), np.nan)
+        grid[line, column] = values.flatten().to_numpy(zero_copy_only=False).astype(float)
+        out.append(grid)
+    return line, column, out
+
+
+def _convolved(a: np.ndarray, weights: dict[int, float], size: int | None) -> np.ndarray:
+    """Each row's weighted sums; with ``size`` rows go on mirrored at their edges, else as zeros."""
+    r, n = max(weights), a.shape[1]
+    if size is not None:
+        there = np.arange(-r, size + r) % (2 * size)
+        padded = np.concatenate([a, np.zeros((len(a), size - n))], 1)[:, np.minimum(there, 2 * size - 1 - there)]
+        n = size
     else:
-        images = F.array(F.struct(at.alias("i"), F.lit(True).alias("self")), F.struct((-1 - at).alias("i"), F.lit(False).alias("self")), F.struct((2 * size - 1 - at).alias("i"), F.lit(False).alias("self")))
-        rows = df.withColumn("n", size).select(*by, other, axis, "num", "den", "own", "n", F.inline(images)).select("*", F.inline(taps)).withColumn("t", F.col("i") - F.col("o")).where("t >= 0 AND t < n")
-        own = F.when(F.col("self") & (F.col("o") == 0), F.col("own"))
-    return rows.groupBy(*by, other, "t").agg(F.sum(F.col("num") * F.col("k")).alias("num"), F.sum(F.col("den") * F.col("k")).alias("den"), F.max(own).alias("own")).withColumnRenamed("t", axis)
+        padded = np.pad(a, ((0, 0), (r, r)))
+    return sum(w * padded[:, r + o : r + o + n] for o, w in weights.items())[:, : a.shape[1]]
+
+
+def _along(df: DataFrame, by: list[str], axis: str, other: str, columns: list[str], made: dict[str, Callable[[dict], np.ndarray]], kept: list[str], from_zero: bool) -> DataFrame:
+    """(by..., other, axis, kept..., made...): each line of an image once, as arrays; a line is the most that is held."""
+    lines = df.groupBy(*by, other).agg(F.array_sort(F.collect_list(F.struct(axis, *columns))).alias("__line"))
+    lines = lines.select(*by, other, *(F.col(f"__line.{c}").alias(f"__{k}") for k, c in enumerate([axis, *columns])))
+    keys = [*by, other]
+    out = StructType([*(lines.schema[k] for k in keys), StructField(axis, df.schema[axis].dataType), *(StructField(c, DoubleType()) for c in (*kept, *made))])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, *lists = (batch.column(len(keys) + k) for k in range(1 + len(columns)))
+            if not len(at):
+                continue
+            line, column, grids = _lines(lists, at, from_zero)
+            named = dict(zip(columns, grids, strict=True))
+            index = pa.array(line)
+            results = [named[c][line, column] for c in kept] + [f(named)[line, column] for f in made.values()]
+            doubles = [pa.array(v, mask=np.isnan(v)) for v in results]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in range(len(keys))), at.flatten(), *doubles], schema=schema)
+
+    return lines.mapInArrow(run, out)
+
+
+def smoothed_by(df: DataFrame, by: list[str], values: dict[str, str], sigmas: dict[str, float], truncate: float = 3.0, least: float = 0.5, size: tuple[int, int] | None = None) -> DataFrame:
+    """(by..., y, x, value_scale...): Gaussian means of many values at many scales, over the cells where the value's mask holds.
+
+    values: each value's mask, the name of a boolean column. Null where the mask doesn't hold or the weight in reach is
+    below ``least``. With ``size`` (rows, columns) fields are mirrored at their edges, else there is nothing beyond.
+    Two shuffles of the data itself: rows as arrays, then columns as arrays.
+    """
+    masks, weights = sorted(set(values.values())), {s: kernel(sigma, truncate) for s, sigma in sigmas.items()}
+    valid = {m: F.col(m).cast("double").alias(m) for m in masks}
+    cells = df.select(*by, "y", "x", *(F.coalesce(F.when(F.col(m), F.col(v).cast("double")), F.lit(0.0)).alias(v) for v, m in values.items()), *valid.values())
+    rows, columns = size if size else (None, None)
 
+    def smooth(name: str, w: dict[int, float], n: int | None):
+        return lambda grids: _convolved(np.nan_to_num(grids[name]), w, n)
 
-def smoothed(df: DataFrame, by: list[str], value: str, sigma: float, truncate: float = 3.0, least: float = 0.5, size: tuple[Column, Column] | None = None) -> DataFrame:
-    """(by..., y, x, value): Gaussian means over valid cells, null where the cell is invalid or the weight in reach below ``least``.
+    across = {f"{c}__{s}": smooth(c, w, columns) for c in (*values, *masks) for s, w in weights.items()}
+    lines = _along(cells, by, "x", "y", [*values, *masks], across, masks, size is not None)
 
-    With ``size`` (rows, columns) the field is reflected at its edges, else there is nothing beyond.
-    """
-    v, weights = F.col(value), kernel(sigma, truncate)
-    rows = df.select(*by, "y", "x", F.coalesce(v, F.lit(0.0)).alias("num"), v.isNotNull().cast("double").alias("den"), v.isNotNull().alias("own"))
-    rows = _spread(rows, by, "x", "y", weights, size and size[1])
-    rows = _spread(rows, by, "y", "x", weights, size and size[0])
-    return rows.where("own IS NOT NULL").select(*by, "y", "x", F.when(F.col("own") & (F.col("den") >= least), F.col("num") / F.col("den")).alias(value))
+    def mean(value: str, mask: str, s: str):
+        def f(grids: dict) -> np.ndarray:
+            num = smooth(f"{value}__{s}", weights[s], rows)(grids)
+            if (mask, s) not in grids:
+                grids[mask, s] = smooth(f"{mask}__{s}", weights[s], rows)(grids)
+            den = grids[mask, s]
+            return np.where((grids[mask] > 0) & (den >= least) & (den > 0), num / np.where(den > 0, den, 1), np.nan)
+
+        return f
+
+    down = {f"{v}_{s}": mean(v, m, s) for v, m in values.items() for s in weights}
+    return _along(lines, by, "y", "x", [*masks, *across], down, [], size is not None)
+
+
+def smoothed(df: DataFrame, by: list[str], value: str, sigma: float, truncate: float = 3.0, least: float = 0.5, size: tuple[int, int] | None = None) -> DataFrame:
+    """(by..., y, x, value): ``smoothed_by`` of one value at one scale, over its valid cells."""
+    rows = df.select(*by, "y", "x", value, F.col(value).isNotNull().alias("__valid"))
+    return smoothed_by(rows, by, {value: "__valid"}, {"s": sigma}, truncate, least, size).withColumnRenamed(f"{value}_s", value)
 
 
 def front_edges(df: DataFrame, by: list[str], speed: str, region: str, threshold: float) -> DataFrame:
@@ -152,14 +220,16 @@ def directed_distances(df: DataFrame, by: list[str], a: str, b: str, cell_km: st
     return distance_to(df, by, b).where(a).select(*by, (F.col("distance") * F.col(cell_km)).alias("km"))
 
 
-def front_distance(df: DataFrame, by: list[str], a: str, b: str, cell_km: str) -> DataFrame:
-    """(by..., status, mean_km, hausdorff_km, p95_km) of two sets of edges; both directions pooled."""
+def front_distance(df: DataFrame, by: list[str], a: str, b: str, cell_km: str, tail: bool = True) -> DataFrame:
+    """(by..., status, mean_km, hausdorff_km, p95_km) of two sets of edges; both directions pooled. Without ``tail`` there is no p95_km."""
     both = directed_distances(df, by, a, b, cell_km).union(directed_distances(df, by, b, a, cell_km))
-    got = both.groupBy(*by).agg(F.avg("km").alias("mean_km"), F.max("km").alias("hausdorff_km"), F.expr("percentile(km, 0.95)").alias("p95_km"))
+    got = both.groupBy(*by).agg(F.avg("km").alias("mean_km"), F.max("km").alias("hausdorff_km"))
+    if tail:
+        got = got.join(quantiles(both, by, {"p95_km": (F.col("km"), 0.95)}), by)
     n = df.groupBy(*by).agg(F.count_if(a).alias("na"), F.count_if(b).alias("nb"))
     status = F.when((F.col("na") == 0) & (F.col("nb") == 0), "both_empty").when(F.col("na") == 0, "pred_empty").when(F.col("nb") == 0, "true_empty").otherwise("ok")
     ok = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
-    return n.join(got, by, "left").withColumn("status", status).select(*by, "status", ok("mean_km"), ok("hausdorff_km"), ok("p95_km"))
+    return n.join(got, by, "left").withColumn("status", status).select(*by, "status", *(ok(c) for c in got.columns if c not in by))
 
 
 def tiled(df: DataFrame, tile: int, halo: int) -> DataFrame:

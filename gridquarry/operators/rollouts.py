@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import departure
+from ..shared import cut
 
 
 def fitted(pairs: DataFrame, by: list[str], value: str, before: str) -> DataFrame:
@@ -45,6 +47,65 @@ def unrolled(starts: DataFrame, model: DataFrame, by: list[str], x0: str, horizo
     return rows.select(*starts.columns, F.posexplode("__all").alias("lead", "pred")).withColumn("lead", F.col("lead") + 1)
 
 
+#: The next value from the last one, the one before it and the lead's inputs.
+Step = Callable[[Column, Column, Column], Column]
+
+
+def unrolled_pairs(starts: DataFrame, inputs: DataFrame, on: list[str], day: str, step: Step, boundary: str, chunk: int) -> DataFrame:
+    """(columns of starts..., lead, pred): runs that carry two states, with inputs at each lead and the truth on the boundary.
+
+    starts: a row for each run, with ``on``, its day, ``horizon``, the values ``x0`` at its day and ``x1`` the day before,
+    and whatever ``step`` uses. inputs: a row for each ``on`` and day, with what drives the model that day and
+    ``boundary``, the truth where the run takes it, else null. Within a run no other truth is seen after its day.
+
+    Leads go in chunks: the runs whose horizon reaches into a chunk meet its days' inputs, fold them within their
+    row, and are stored with their last two states, from which the next chunk goes on. So a run's length and the number
+    of runs are free, a chunk's inputs are the most that a row holds, and what is lost is a chunk at most.
+    """
+    columns = starts.columns
+    driven = inputs.select(*on, F.col(day).alias("__day"), F.struct(*(c for c in inputs.columns if c not in (*on, day))).alias("__in"))
+    most = starts.agg(F.max("horizon")).first()[0] or 0
+    alive = starts.withColumns({"__last": F.col("x0").cast("double"), "__before": F.col("x1").cast("double")})
+    done = []
+    for first in range(0, max(most, 1), chunk):
+        alive = alive.where(F.col("horizon") > first)
+        leads = alive.select(*columns, "__last", "__before", F.explode(F.sequence(F.lit(first + 1), F.least(F.lit(first + chunk), F.col("horizon").cast("int")))).alias("lead"))
+        met = leads.withColumn("__day", F.date_add(day, F.col("lead"))).join(driven, [*on, "__day"], "left")
+        by = [*columns, "__last", "__before"]
+        lines = met.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("lead", "__in"))).alias("__ins"))
+
+        def follow(state: Column, i: Column) -> Column:
+            given = i["__in"]
+            value = F.coalesce(given[boundary], step(state["last"], state["before"], given)).cast("double")
+            return F.struct(value.alias("last"), state["last"].alias("before"), F.concat(state["all"], F.array(value)).alias("all"))
+
+        state = F.struct(F.col("__last").alias("last"), F.col("__before").alias("before"), F.array().cast("array<double>").alias("all"))
+        lines = cut(lines.withColumn("__out", F.aggregate("__ins", state, follow)).select(*columns, "__out"))
+        done.append(lines.select(*columns, F.posexplode("__out.all").alias("__at", "pred")).select(*columns, (F.col("__at") + first + 1).alias("lead"), "pred"))
+        alive = lines.select(*columns, F.col("__out.last").alias("__last"), F.col("__out.before").alias("__before"))
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def uniform(seed: int, *keys: Column, salt: int = 0) -> Column:
+    """A number in (0, 1) that the seed and the keys alone decide, wherever and in whatever order rows are."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(salt)), *(k.cast("string") for k in keys)))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+
+
+def normal(seed: int, *keys: Column) -> Column:
+    """A standard normal number decided by the seed and the keys, from two uniform ones."""
+    return F.sqrt(-2 * F.log(uniform(seed, *keys, salt=1))) * F.cos(2 * math.pi * uniform(seed, *keys, salt=2))
+
+
+def ensemble(forecasts: DataFrame, keys: list[str], members: int, sigma: Column, seed: int, pred: str = "pred") -> DataFrame:
+    """``forecasts`` once for each member, from 0, with ``member``, ``sigma`` and the mean forecast disturbed by as many sigmas as the keys' and member's number.
+
+    The numbers are counted, not drawn: a member's forecast is the same however rows are partitioned, and a lost task makes the same again.
+    """
+    rows = forecasts.withColumn("sigma", sigma).withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    return rows.withColumn(pred, F.col(pred) + F.col("sigma") * normal(seed, *(F.col(k) for k in keys), F.col("member")))
+
+
 @dataclass(frozen=True)
 class Statistic:
     """A number of a (start, lead) group, by its name in the registry."""
@@ -69,29 +130,6 @@ def statistics(df: DataFrame, by: list[str], chosen: dict[str, Statistic]) -> Da
     return df.groupBy(*by).agg(*(s.value.alias(name) for name, s in chosen.items()))
 
 
-@dataclass(frozen=True)
-class Diagnostic:
-    """A row of a scorecard: a series from the statistics, the band it should stay in, and how starts are reduced."""
-
-    name: str
-    series: Column
-    band: tuple[float, float]
-    reduce: str = "median"
-
-
-def scorecard(stats: DataFrame, rows: list[Diagnostic], test: Column) -> DataFrame:
-    """(name, value at each lead reduced over test starts..., departs_test, departs_all), by departure, never last, then name."""
-    each = stats.select("lead", test.alias("test"), F.inline(F.array(*(F.struct(F.lit(d.name).alias("name"), d.series.cast("double").alias("v"), F.lit(d.band[0]).alias("low"), F.lit(d.band[1]).alias("high"), F.lit(d.reduce).alias("how")) for d in rows))))
-    value = lambda c: F.when(F.first("how") == "mean", F.avg(c)).otherwise(F.expr(f"percentile({c}, 0.5)"))
-    each = each.withColumn("vt", F.when(F.col("test"), F.col("v")))
-    curves = each.groupBy("name", "lead").agg(value("vt").alias("test"), value("v").alias("all"), F.first("low").alias("low"), F.first("high").alias("high"))
-    centred = lambda c: F.when(F.col(c) < F.col("low"), -1.0).when(F.col(c) > F.col("high"), 1.0).otherwise(0.0)
-    curves = curves.withColumns({"t": centred("test"), "a": centred("all")})
-    out = departure(curves, ["name"], "lead", F.col("t"), -0.5, 0.5).withColumnRenamed("departs", "departs_test")
-    out = out.join(departure(curves, ["name"], "lead", F.col("a"), -0.5, 0.5).withColumnRenamed("departs", "departs_all"), "name")
-    return out.join(curves.where("lead = 1").select("name", F.col("test").alias("first")), "name", "left").orderBy(F.asc_nulls_last("departs_test"), "name")
-
-
 Provider = Callable[[DataFrame], DataFrame]
 #: Forecast providers by name; others may be added.
 PROVIDERS: dict[str, Provider] = {

@@ -44,14 +44,18 @@ def stacked(column: pd.Series, shape: tuple[int, int]) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float).reshape(-1, *shape) if len(column) else np.zeros((0, *shape))
 
 
-def band_variances(df: DataFrame, keys: str, shape: tuple[int, int], dx_km: float, a: str = "v", b: str | None = None, mask: np.ndarray | None = None) -> DataFrame:
-    """``df`` (one field a row; ``keys`` as DDL) with the variance, or with ``b`` the covariance, of each wavelength band within the mask."""
-    names, w, bands = [k.split()[0] for k in keys.split(",")], hann(shape, mask), wavelength_bands(shape, dx_km)
+def band_variances(df: DataFrame, keys: str, shape: tuple[int, int], dx_km: float, a: str = "v", b: str | None = None, mask: np.ndarray | None = None, box: tuple[slice, slice] = (slice(None), slice(None))) -> DataFrame:
+    """``df`` (one field a row; ``keys`` as DDL) with the variance, or with ``b`` the covariance, of each wavelength band within the mask.
+
+    With ``box`` only that part of the fields is transformed, and the taper falls off at its edges.
+    """
+    part = np.empty(shape)[box].shape
+    names, w, bands = [k.split()[0] for k in keys.split(",")], hann(part, None if mask is None else mask[box]), wavelength_bands(part, dx_km)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            x = stacked(p[a], shape)
-            out = banded(cross_power(x, stacked(p[b], shape) if b else x, w), bands, len(BANDS))
+            x = stacked(p[a], shape)[:, *box]
+            out = banded(cross_power(x, stacked(p[b], shape)[:, *box] if b else x, w), bands, len(BANDS))
             yield pd.concat([p[names].reset_index(drop=True), pd.DataFrame(out, columns=[f"b{k}" for k in range(len(BANDS))])], axis=1)
 
     return df.mapInPandas(run, keys + "".join(f", b{k} double" for k in range(len(BANDS))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, fields, joins, projections, rollouts, scores, series, sources, streams, topology
+from . import aggregates, fields, joins, projections, rollouts, scores, series, sources, statistics, streams, topology
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "fields", "joins", "projections", "rollouts", "scores", "series", "sources", "streams", "topology"]
+__all__ = ["QUERIES", "SQL", "aggregates", "fields", "joins", "projections", "rollouts", "scores", "series", "sources", "statistics", "streams", "topology"]

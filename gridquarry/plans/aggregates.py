@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import moments as mom
-from ..operators.selection import at_rank
+from ..operators.selection import at_rank, quantiles
 from .registry import query
 from .scores import tidy
 from .tables import CELLS, DAILY, FIELDS, IMAGE, SAMPLES, TRUTH, cells, daily, fields, image, samples, table
@@ -128,14 +128,13 @@ def largest_anomaly(spark, sf):
 def median_over_starts(spark, sf):
     e = F.col("pred") - F.col("truth")
     rows = samples(spark, sf).groupBy("lead", "start").agg(F.sqrt(F.sum(F.col("w") * e * e) / F.sum("w")).alias("e"))
-    return tidy(rows.groupBy("lead").agg(F.expr("percentile(e, 0.5)").alias("median"), F.avg("e").alias("mean")))
+    return tidy(quantiles(rows, ["lead"], {"median": (F.col("e"), 0.5)}).join(rows.groupBy("lead").agg(F.avg("e").alias("mean")), "lead"))
 
 
 @query("e23_quantile_bands", f"WITH {SAMPLES}, r AS (SELECT lead, start, CASE WHEN count(*) > 0 THEN sum(pred)/sum(truth) END AS r FROM samples GROUP BY ALL) SELECT lead, round(quantile_cont(r, 0.1), 6) AS q10, round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.9), 6) AS q90 FROM r GROUP BY lead")
 def quantile_bands(spark, sf):
     rows = samples(spark, sf).groupBy("lead", "start").agg((F.sum("pred") / F.sum("truth")).alias("r"))
-    q = rows.groupBy("lead").agg(F.expr("percentile(r, array(0.1, 0.5, 0.9))").alias("q"))
-    return tidy(q.select("lead", *(F.col("q")[k].alias(n) for k, n in enumerate(("q10", "q50", "q90")))), 6)
+    return tidy(quantiles(rows, ["lead"], {n: (F.col("r"), f) for n, f in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))}), 6)
 
 
 @query("e24_grouping_sets", "SELECT l_returnflag AS variable, l_linenumber AS level, grouping_id(l_returnflag, l_linenumber) AS grouping, count(*) AS n, round(sum(l_quantity), 4) AS total FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linenumber), (l_returnflag), (l_linenumber), ())")
@@ -222,20 +221,20 @@ def pack_profile(spark, sf):
 @query("e19_census", f"WITH {CELLS} SELECT label, count(h) AS n, round(quantile_cont(h, 0.5), 8) AS median, round(quantile_cont(h, 0.9), 8) AS p90, round(sum(h), 6) AS total FROM cells WHERE h >= 0.1 GROUP BY label")
 def census(spark, sf):
     """Count, median, 90th percentile and sum of what reaches a floor."""
-    q = F.expr("percentile(h, array(0.5, 0.9))")
-    rows = cells(spark, sf).where("h >= 0.1").groupBy("label").agg(F.count("h").alias("n"), q.alias("q"), F.sum("h").alias("total"))
-    return tidy(rows.select("label", "n", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), "total"), 8, total=6)
+    rows = cells(spark, sf).where("h >= 0.1")
+    q = quantiles(rows, ["label"], {"median": (F.col("h"), 0.5), "p90": (F.col("h"), 0.9)})
+    return tidy(rows.groupBy("label").agg(F.count("h").alias("n"), F.sum("h").alias("total")).join(q, "label"), 8, total=6)
 
 
-@query("e20_front_medians", f"WITH {SAMPLES}, f AS (SELECT lead, start % 100 AS start, max(CASE WHEN pred > 60000 THEN pred END) AS p, max(CASE WHEN truth > 60000 THEN truth END) AS t FROM samples GROUP BY ALL), s AS (SELECT lead, CASE WHEN p IS NULL AND t IS NULL THEN 'both_empty' WHEN p IS NULL THEN 'pred_empty' WHEN t IS NULL THEN 'true_empty' ELSE 'ok' END AS status, abs(p - t) AS d FROM f) SELECT lead, round(quantile_cont(CASE WHEN status = 'ok' THEN d END, 0.5), 4) AS median, count_if(status = 'ok') AS ok, count_if(status = 'pred_empty') AS pred_empty, count_if(status <> 'ok' AND status <> 'pred_empty') AS other FROM s GROUP BY lead")
+@query("e20_front_medians", f"WITH {SAMPLES}, f AS (SELECT lead, start, max(CASE WHEN pred > 60000 THEN pred END) AS p, max(CASE WHEN truth > 60000 THEN truth END) AS t FROM samples GROUP BY ALL), s AS (SELECT lead, CASE WHEN p IS NULL AND t IS NULL THEN 'both_empty' WHEN p IS NULL THEN 'pred_empty' WHEN t IS NULL THEN 'true_empty' ELSE 'ok' END AS status, abs(p - t) AS d FROM f) SELECT lead, round(quantile_cont(CASE WHEN status = 'ok' THEN d END, 0.5), 4) AS median, count_if(status = 'ok') AS ok, count_if(status = 'pred_empty') AS pred_empty, count_if(status <> 'ok' AND status <> 'pred_empty') AS other FROM s GROUP BY lead")
 def front_medians(spark, sf):
     """Medians over the samples whose status is ok, and the counts by status."""
-    rows = samples(spark, sf).groupBy("lead", (F.col("start") % 100).alias("start")).agg(F.max(F.when(F.col("pred") > 60000, F.col("pred"))).alias("p"), F.max(F.when(F.col("truth") > 60000, F.col("truth"))).alias("t"))
+    rows = samples(spark, sf).groupBy("lead", "start").agg(F.max(F.when(F.col("pred") > 60000, F.col("pred"))).alias("p"), F.max(F.when(F.col("truth") > 60000, F.col("truth"))).alias("t"))
     p, t = F.col("p").isNull(), F.col("t").isNull()
     rows = rows.select("lead", F.when(p & t, "both_empty").when(p, "pred_empty").when(t, "true_empty").otherwise("ok").alias("status"), F.abs(F.col("p") - F.col("t")).alias("d"))
     ok = F.col("status") == "ok"
-    out = rows.withColumn("d", F.when(ok, F.col("d"))).groupBy("lead").agg(F.expr("percentile(d, 0.5)").alias("median"), F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "pred_empty").alias("pred_empty"), F.count_if(~ok & (F.col("status") != "pred_empty")).alias("other"))
-    return tidy(out)
+    counts = rows.groupBy("lead").agg(F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "pred_empty").alias("pred_empty"), F.count_if(~ok & (F.col("status") != "pred_empty")).alias("other"))
+    return tidy(quantiles(rows, ["lead"], {"median": (F.when(ok, F.col("d")), 0.5)}).join(counts, "lead"))
 
 
 # Selections
@@ -277,14 +276,14 @@ def strided_sample(spark, sf):
 @query("g05_limits", f"WITH {SAMPLES} SELECT field, round(quantile_cont(abs(pred - truth), 0.99), 4) AS symmetric, round(quantile_cont(pred - truth, 0.01), 4) AS low, round(quantile_cont(pred - truth, 0.99), 4) AS high FROM samples GROUP BY field")
 def limits(spark, sf):
     rows = samples(spark, sf).withColumn("e", F.col("pred") - F.col("truth"))
-    q = rows.groupBy("field").agg(F.expr("percentile(abs(e), 0.99)").alias("symmetric"), F.expr("percentile(e, 0.01)").alias("low"), F.expr("percentile(e, 0.99)").alias("high"))
-    return tidy(q)
+    e = F.col("e")
+    return tidy(quantiles(rows, ["field"], {"symmetric": (F.abs(e), 0.99), "low": (e, 0.01), "high": (e, 0.99)}))
 
 
 @query("g06_exact_quantiles", "SELECT event_type AS feature, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY ALL")
 def exact_quantiles(spark, sf):
-    q = table(spark, sf, "events").groupBy(F.col("event_type").alias("feature")).agg(F.expr("percentile(value, array(0.05, 0.25, 0.75, 0.95))").alias("q"))
-    return tidy(q.select("feature", *(F.col("q")[k].alias(n) for k, n in enumerate(("q05", "q25", "q75", "q95")))), 6)
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("feature"), "value")
+    return tidy(quantiles(rows, ["feature"], {n: (F.col("value"), f) for n, f in (("q05", 0.05), ("q25", 0.25), ("q75", 0.75), ("q95", 0.95))}), 6)
 
 
 @query("g07_argmax_mode", """WITH m AS (SELECT c_nationkey AS n, c_mktsegment AS s, count(*) AS k FROM customer GROUP BY ALL), a AS (SELECT c_nationkey AS n, arg_max(c_custkey, struct_pack(a := c_acctbal, b := -c_custkey)) AS richest FROM customer GROUP BY ALL)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import physics as phys
 from ..operators import grids as ops
 from ..operators import spectra as spec
+from ..operators.selection import quantiles
 from .registry import query
 from .scores import tidy
 from .tables import CELLS, FIELDS, IMAGE, cells, fields, image, table
@@ -68,10 +69,9 @@ REFLECT = """{n}x AS (SELECT y, t.x, sum(coalesce(v, 0)*k) AS num, sum(CASE WHEN
 def band_pass(spark, sf):
     """The difference of two smooths, reflected at the edges and cut at four sigmas."""
     rows = image(spark, sf)
-    rows = rows.crossJoin(F.broadcast(rows.agg((F.max("y") + 1).alias("rows"))))  # one row
-    size = (F.col("rows"), F.lit(40))
-    a, b = (ops.smoothed(rows, ["rows"], "v", s, 4.0, 0.0, size).withColumnRenamed("v", n) for s, n in ((0.5, "a"), (1.5, "b")))
-    return tidy(a.join(b, ["rows", "y", "x"]).select("y", "x", (F.col("a") - F.col("b")).alias("v")), 6)
+    size = ((rows.agg(F.max("y")).first()[0] or 0) + 1, 40)
+    both = ops.smoothed_by(rows.withColumn("valid", F.col("v").isNotNull()), [], {"v": "valid"}, {"a": 0.5, "b": 1.5}, 4.0, 0.0, size)
+    return tidy(both.select("y", "x", (F.col("v_a") - F.col("v_b")).alias("v")), 6)
 
 
 FLOW = "flow AS (SELECT p_partkey // 40 AS y, p_partkey % 40 AS x, p_retailprice/1000 AS u, p_size/10.0 AS v, 20 + (p_partkey // 40)*0.1 AS lat FROM part)"
@@ -275,7 +275,7 @@ def grid_spacing(spark, sf):
     """The median distance of neighbouring coordinates."""
     d = F.abs(F.col("c_acctbal") - F.lag("c_acctbal").over(Window.partitionBy("c_nationkey").orderBy("c_acctbal")))
     rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("line"), d.alias("d")).where("d IS NOT NULL")
-    return tidy(rows.groupBy("line").agg(F.expr("percentile(d, 0.5)").alias("spacing")), 6)
+    return tidy(quantiles(rows, ["line"], {"spacing": (F.col("d"), 0.5)}), 6)
 
 
 @query("i09_metric_grid", f"WITH {PLACES} SELECT key, round(radians(0.5)*6371000*cos(radians(lat)), 4) AS dx, round(2*7.2921e-5*sin(radians(lat))*1e5, 8) AS f, round(tan(radians(lat))/6371000*1e8, 8) AS tan_r FROM places")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scores as ops
+from ..operators.selection import quantiles
 from .registry import query
 from .tables import DAILY, MEMBERS, SAMPLES, daily, members, samples, table
 
@@ -240,7 +241,7 @@ def mean_skipping_nan(spark, sf):
     SELECT segment, round(CASE WHEN count(*) > 2 THEN corr(ra, rb) END, 6) AS rank_corr, round(quantile_cont(a, 0.5), 4) AS median FROM r GROUP BY segment""")
 def rank_correlation(spark, sf):
     rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"))
-    middle = rows.groupBy("segment").agg(F.expr("percentile(a, 0.5)").alias("median"))
+    middle = quantiles(rows, ["segment"], {"median": (F.col("a"), 0.5)})
     return tidy(ops.spearman(rows, ["segment"], "a", "b").join(middle, "segment").select("segment", "rank_corr", "median"), 6, median=4)
 
 

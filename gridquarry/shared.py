@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that it outlives executors and isn't computed again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+class Stored:
+    """Rows in a table of their own in the shared folder. Unlike a checkpoint it doesn't carry its plan's estimated size on, which joins in a loop multiply."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark).rstrip('/')}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def forget(self) -> None:
+        """Removes the table; nothing may read its rows any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

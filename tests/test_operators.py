@@ -504,12 +504,81 @@ def test_chunks_change_nothing_and_runs_end_at_their_horizon(spark):
     assert [r[:2] for r in whole] == [("a", k) for k in range(1, 6)] + [("b", 1), ("b", 2)] and whole[0][2] == 1.5
 
 
-def test_scorecard_orders_by_departure_then_name(spark):
-    rows = [(s, lead, 1.0 if lead < 4 else 0.5) for s in range(4) for lead in range(1, 9)]
-    stats = spark.createDataFrame(rows, "start int, lead int, r double")
-    card = [rollouts.Diagnostic("z", F.col("r"), (0.9, 1.1)), rollouts.Diagnostic("a", F.col("r") * 0 + 1, (0.9, 1.1), "mean"), rollouts.Diagnostic("b", F.col("r"), (0.4, 1.1))]
-    got = rollouts.scorecard(stats, card, F.col("start") > 1).collect()
-    assert [(r["name"], r["departs_test"]) for r in got] == [("z", 4), ("a", None), ("b", None)]
+def test_pairs_of_states_in_chunks_are_one_recurrence(spark):
+    """Thirty days, two states, forcing, boundary cells that take the truth, horizons that end early."""
+    rng = random.Random(21)
+    days = [DAY + timedelta(k) for k in range(31)]
+    truth = {(c, d): rng.uniform(-2, 2) for c in range(6) for d in days}
+    drive = {(c, d): rng.uniform(0, 1) for c in range(6) for d in days if rng.random() < 0.9}  # some days lack it
+    starts = [(c, days[s], truth[c, days[s]], truth[c, days[s - 1]], h) for c in range(6) for s, h in ((1, 29), (5, 3), (9, 0), (20, 10))]
+    inputs = [(c, d, f, truth[c, d] if c % 3 == 0 else None) for (c, d), f in drive.items()]
+    want = []
+    for c, day, last, before, h in starts:
+        for lead in range(1, h + 1):
+            at = (c, day + timedelta(lead))
+            value = truth[at] if c % 3 == 0 and at in drive else 0.8 * last + 0.15 * before + 0.3 * drive.get(at, 0.0)
+            last, before = value, last
+            want.append((c, day, lead, value))
+    step = lambda last, before, given: 0.8 * last + 0.15 * before + 0.3 * F.coalesce(given["f"], F.lit(0.0))
+    runs, given = spark.createDataFrame(starts, "c int, day date, x0 double, x1 double, horizon int"), spark.createDataFrame(inputs, "c int, day date, f double, edge double")
+    for chunk in (1, 4, 30):
+        got = [tuple(r) for r in rollouts.unrolled_pairs(runs, given, ["c"], "day", step, "edge", chunk).select("c", "day", "lead", "pred").collect()]
+        assert [r[:3] for r in sorted(got)] == [r[:3] for r in sorted(want)]
+        np.testing.assert_allclose([r[3] for r in sorted(got)], [r[3] for r in sorted(want)], rtol=1e-12)
+    assert rollouts.unrolled_pairs(runs.where("horizon = 0"), given, ["c"], "day", step, "edge", 4).count() == 0
+
+
+def test_members_don_t_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(k, lead, 1.0) for k in range(500) for lead in (1, 2)], "k int, lead int, pred double")
+    made = [{(r["k"], r["lead"], r["member"]): r["pred"] for r in rollouts.ensemble(rows.repartition(n), ["k", "lead"], 4, F.col("lead") * 0.5, 3).collect()} for n in (2, 16)]
+    assert made[0] == made[1] and len(made[0]) == 4000
+    z = np.array([(v - 1.0) / (0.5 * lead) for (_, lead, _), v in made[0].items()])
+    assert abs(z.mean()) < 0.06 and abs(z.std() - 1) < 0.05 and len(set(z)) == 4000
+    other = rollouts.ensemble(rows, ["k", "lead"], 4, F.col("lead") * 0.5, 4).first()["pred"]
+    assert other not in made[0].values()
+
+
+def test_registry_names_every_statistic():
+    from gridquarry.operators import statistics
+
+    names = statistics.registry()
+    assert len(names) == 126 and set(s.family for s in names.values()) == set(statistics.FAMILIES)
+    for some in ("rmse_pers_temp", "corr_change_ssh", "mean_salin_0m_truth", "maxspeed_model", "spec_temp_100m_gt200km_ratio", "lc_lce_truth", "lc_north_error", "op_tw_100m_200m_s50_error", "op_cont_s15_lhs_truth", "front_hausdorff_km_pers", "op_inversions_model"):
+        assert some in names
+
+
+def test_main_piece_and_eddies():
+    from gridquarry.operators.statistics import pieces
+
+    deep, strip, km2 = np.ones((6, 6), bool), np.zeros((6, 6), bool), np.full((6, 6), 600.0)
+    lat = np.repeat(np.arange(20.0, 26.0)[:, None], 6, 1)
+    strip[0, :3] = True
+    ssh = np.zeros((6, 6))
+    ssh[0:3, 1] = 5.0  # on the strip
+    ssh[4:6, 4] = 5.0  # two cells: an eddy
+    ssh[0, 5] = 5.0  # one cell: too small
+    assert pieces(ssh, deep, strip, lat, km2) == (22.0, 1, 1800.0)
+    assert pieces(-ssh * 0, deep, strip, lat, km2) == (None, 0, 0.0)
+    assert pieces(ssh, deep, np.zeros((6, 6), bool), lat, km2) == (None, 2, 0.0)
+
+
+def test_scorecard_of_32(spark):
+    """Runs every 60 days; energy is half the truth's from lead 12 on, eddies never exist in the truth."""
+    from gridquarry.operators import scorecard, statistics
+
+    names = list(statistics.registry())
+    days = [date(2020, 1, 1) + timedelta(60 * k) for k in range(28)]
+    rows = [(d, lead, *[0.5 if n == "ke_model" and lead >= 12 else 0.0 if n == "lc_lce_truth" else 0.1 * lead * (k + 1) if n in ("mean_ssh_truth", "mean_ssh_model") else 1.0 for n in names]) for k, d in enumerate(days) for lead in range(1, 21)]
+    stats = spark.createDataFrame(rows, f"start date, lead int, {', '.join(f'{n} double' for n in names)}")
+    got = scorecard.full_scorecard(stats, F.col("start") >= F.lit(date(2024, 2, 2)), F.col("start") < F.lit(date(2022, 1, 1)), (1, 14)).collect()
+    assert len(got) == 32 and got[0]["diagnostic"] == "ke" and (got[0]["departs_test"], got[0]["departs_in_sample"], got[0]["d1"], got[0]["d14"]) == (12, 12, 1.0, 0.5)
+    rest = {r["diagnostic"]: r for r in got}
+    assert [r["diagnostic"] for r in got if r["departs_test"] is None] == sorted(r["diagnostic"] for r in got if r["departs_test"] is None)
+    assert rest["lc_lce"]["d1"] is None and rest["lc_lce"]["departs_test"] is None  # infinite
+    change = np.std([0.7 * (k + 1) for k in range(28) for _ in range(13)])
+    assert math.isclose(rest["mean_ssh"]["high"], change) and rest["mean_ssh"]["low"] == -rest["mean_ssh"]["high"]
+    assert rest["geo_s15"]["truth_residual_share"] == 1.0 and rest["geo_s15"]["usable_as_loss"] is False and rest["ke"]["truth_residual_share"] is None
+    assert rest["ke"]["n_test"] == sum(d >= date(2024, 2, 2) for d in days)
 
 
 def test_json_is_sorted(spark):
@@ -538,3 +607,34 @@ def test_as_of_by_blocks_is_as_of(spark):
     right = spark.createDataFrame([(rng.randint(1, 2), t, None if t % 5 == 0 else t * 10) for t in rng.sample(range(100), 25)], "k int, t int, v int")
     whole = values(joins.as_of(left, right, ["k"], "t", "v", "got"), "k", "t", "id", "got")
     assert whole == values(joins.as_of(left, right, ["k"], "t", "v", "got", F.floor(F.col("t") / 7)), "k", "t", "id", "got")
+
+
+def test_quantiles_of_many_ranks(spark):
+    from gridquarry.operators.selection import quantiles
+
+    rng = random.Random(12)
+    draws = {
+        "even": lambda: rng.uniform(-5, 5), "ties": lambda: float(rng.choice([1, 1, 1, 2, 7])), "tail": lambda: rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300),
+        "same": lambda: 4.25, "ends": lambda: rng.choice([-math.inf, math.inf, rng.gauss(0, 1)]), "one": lambda: 3.0, None: lambda: rng.gauss(0, 1), "odd": lambda: rng.choice([None, math.nan, 2.0, 3.0]), "none": lambda: None,
+    }
+    rows = [(g, draw()) for g, draw in draws.items() for _ in range(1 if g == "one" else 700)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    fractions = {"q0": 0.0, "q1": 0.013, "q50": 0.5, "q99": 0.99, "q100": 1.0}
+    for few in (1, 30, 10_000):
+        got = {r["g"]: r for r in quantiles(df, ["g"], {n: (F.col("v"), f) for n, f in fractions.items()} | {"other": (-F.col("v"), 0.25)}, few).collect()}
+        assert got.keys() == draws.keys()
+        for g in draws:
+            v = np.sort([x for k, x in rows if k == g and x is not None and not math.isnan(x)])
+            for n, f in fractions.items():
+                if not len(v):
+                    assert got[g][n] is None
+                elif g != "ends":
+                    low, high = v[math.floor(f * (len(v) - 1))], v[math.ceil(f * (len(v) - 1))]
+                    assert math.isclose(got[g][n], low + (high - low) * (f * (len(v) - 1) % 1), rel_tol=1e-9), (g, n, few)
+            if g == "even":
+                assert math.isclose(got[g]["other"], np.quantile(-v, 0.25))
+        assert got["ends"]["q0"] == -math.inf and got["ends"]["q100"] == math.inf
+    whole = quantiles(df.where("g = 'even'"), [], {"m": (F.col("v"), 0.5)}, 10).first()
+    assert math.isclose(whole["m"], np.median([x for k, x in rows if k == "even"]))
+    assert quantiles(df.where("false"), ["g"], {"m": (F.col("v"), 0.5)}).count() == 0
