@@ -9,8 +9,11 @@ among articles stands at places where most does not. Within the element that hol
 most of the text, where copies of an article look like that too, only boxes go that
 are on most pages. Of what is left, the article is the marked element (article,
 main) that holds enough of the text, else everything. Menus, forms, footers, scripts
-and the like also go by their tags and roles, adverts, comments and notices by class
-names that say nothing else.
+and the like also go by their tags and roles, unless they hold most of the page's
+text, as a form around a whole page does. Adverts, comments and notices go by class
+names that say nothing else, but in an article only where that place, whatever
+its text, is a fixture of the host: it stands on half of its pages, and on
+``LEAST_PAGES`` at least. A header outside the article is the site's, one inside is the article's.
 """
 
 from __future__ import annotations
@@ -159,17 +162,34 @@ def marked(name: str, inside: bool) -> bool:
     return any(known) and all(k or w in NEUTRAL or w in OUTER for k, w in zip(known, words, strict=True))
 
 
-def unwanted(node: Node, inside: bool) -> bool:
-    """Whether the element never holds an article's text. inside: within the article, where headers and notices are the article's own."""
-    if node.hidden or node.tag in DROPPED or node.tag == "header" and not inside:
-        return True
-    if node.role and not inside and node.tag not in ("html", "body", "main", "article") and node.role in ROLES or node.role in ("complementary", "navigation"):
-        return True
+def named(node: Node, inside: bool) -> bool:
+    """Whether the element's class names, or a box's id, mark it."""
     if node.tag not in MARKABLE or not (node.names or node.id):
         return False
     return any(marked(name, inside) for name in node.names.split()) or node.tag in ("div", "section", "ol", "ul") and node.id not in OUTER and marked(node.id, inside)
 
 
+def unwanted(node: Node, inside: bool, most: float, fixtures: Container[int]) -> bool:
+    """Whether the element never holds an article's text.
+
+    inside: within the article, where headers and notices are the article's own. most: the length of text beyond which
+    an element that shows is kept whatever its tag and role. fixtures: hashes of the marked places that are fixtures.
+    """
+    if node.hidden or node.tag in SILENT:
+        return True
+    if node.text <= most:
+        if node.tag in DROPPED or node.tag == "header" and not inside:
+            return True
+        if node.role and not inside and node.tag not in ("html", "body", "main", "article") and node.role in ROLES or node.role in ("complementary", "navigation"):
+            return True
+    return named(node, inside) and (not inside or fixture_hash(node) in fixtures)
+
+
+def fixture_hash(node: Node) -> int:
+    """Of the place and the names of an element, without its text."""
+    return xxh3_64_intdigest(f"fixture {node.slot} {node.tag} {node.names} {node.id}".encode("utf-8", "surrogatepass")) >> 1 | 1
+
+
 def measured(root: Node) -> int:
     """Sets the place, hash and length of text of the elements that hold text, menus and the like too; returns the page's length."""
     order, todo = [], [(root, 0)]
@@ -211,8 +231,9 @@ def hearts(root: Node) -> tuple[list[Node], bool]:
     return [x], False
 
 
-#: How often an element must occur to be a template: at a place where most recurs, on half of a few pages, on half of many.
-FREE, LARGE, STRICT = 0, 1, 2
+#: How often an element must occur to be a template: at a place where most recurs, on half of a few pages, on half of
+#: many; and a marked place within an article, on half of a few.
+FREE, LARGE, STRICT, FIXTURE = 0, 1, 2, 3
 
 
 def removable(root: Node) -> list[tuple[Node, int]]:
@@ -241,6 +262,24 @@ def removable(root: Node) -> list[tuple[Node, int]]:
     return [(x, how) for x, how in out if not (named and id(x) in holds)]
 
 
+def hearth(found: list[Node], by_mark: bool) -> set[int]:
+    """The hearts in which names alone decide nothing: marked ones, or one that is not the whole page."""
+    return set() if not by_mark and found[0].tag in ("#root", "html", "body") else {id(x) for x in found}
+
+
+def marked_inside(root: Node) -> list[Node]:
+    """The elements of a measured page whose names mark them and that lie within its hearts."""
+    within, out = hearth(*hearts(root)), []
+    todo = [(root, False)]
+    while todo:
+        x, inside = todo.pop()
+        inside = inside or id(x) in within
+        if inside and x.hash and named(x, True):
+            out.append(x)
+        todo += [(c, inside) for c in x.children if not isinstance(c, str) and c.hash]
+    return out
+
+
 def _up(path: tuple):
     while path:
         x, path = path
@@ -253,7 +292,9 @@ def subtrees(source: str | None) -> tuple[int, list[tuple[int, int, int]]]:
     measured(root)
     found, named = hearts(root)
     article = xxh3_64_intdigest(" ".join(str(x.hash) for x in (found if named else [root])).encode()) >> 1
-    return article, sorted({x.hash: (x.hash, x.slot >> 1, how) for x, how in removable(root)}.values())
+    elements = {x.hash: (x.hash, x.slot >> 1, how) for x, how in removable(root)}
+    places = {h: (h, h, FIXTURE) for h in map(fixture_hash, marked_inside(root))}
+    return article, sorted((elements | places).values())
 
 
 class Known:
@@ -276,20 +317,20 @@ def host_hash(host: str) -> int:
 
 def left(root: Node, template: Container[int]) -> list[tuple[Node, str]]:
     """Deletes the templates, then what is unwanted; sets the length of the text that is left. Returns the elements marked as article or main that are in no other of their kind, with the kind."""
-    gone = set()
-    if template:
-        measured(root)
-        gone.update(id(x) for x, _ in removable(root) if x.hash in template)
-    order, outermost, todo = [], [], [(root, frozenset())]
+    whole = measured(root)
+    gone = {id(x) for x, _ in removable(root) if x.hash in template} if template else set()
+    within_heart = hearth(*hearts(root))
+    order, outermost, todo = [], [], [(root, frozenset(), False)]
     while todo:
-        x, within = todo.pop()
+        x, within, inside = todo.pop()
         order.append(x)
         kind = kind_of(x)
         if kind and kind not in within:
             outermost.append((x, kind))
             within |= {kind}
-        x.children = [c for c in x.children if isinstance(c, str) or not (id(c) in gone or unwanted(c, bool(within)))]
-        todo += [(c, within) for c in reversed(x.children) if not isinstance(c, str)]
+        inside = inside or bool(kind) or id(x) in within_heart
+        x.children = [c for c in x.children if isinstance(c, str) or not (id(c) in gone or unwanted(c, inside, MOST_TEXT * whole, template))]
+        todo += [(c, within, inside) for c in reversed(x.children) if not isinstance(c, str)]
     for x in reversed(order):
         x.text = sum(len(c.strip()) if isinstance(c, str) else c.text for c in x.children)
     return outermost
@@ -340,8 +381,8 @@ def main_text(source: str | None, template: Container[int] = frozenset()) -> str
     return " ".join(texts(main_nodes(root, template) or [root]))
 
 
-def templates(trees: DataFrame) -> DataFrame:
-    """(host, hash) of the templates among ``trees`` (host, article, found: the subtrees of a page of each article)."""
+def templates(trees: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, hash) of the templates and fixtures among ``trees`` (host, article, found: the subtrees of a page of each article)."""
     many = trees.groupBy("host").agg(F.count("*").alias("pages"))
     each = trees.select("host", F.inline("found"))
     counts = each.groupBy("host", "slot", "how", "hash").agg(F.count("*").alias("n"))
@@ -349,11 +390,11 @@ def templates(trees: DataFrame) -> DataFrame:
     slots = counts.groupBy("host", "slot", "how").agg(again.alias("again"), (again / F.sum("n")).alias("share"))
     counts = counts.where("n > 1").join(slots, ["host", "slot", "how"]).join(many.hint("rebalance"), "host")  # rebalanced, so that both sides are shuffled and a host can be split
     n, half = F.col("n"), F.col("n") >= COMMON_SHARE * F.col("pages")
-    free = (F.col("how") == FREE) & (F.col("share") >= LEAST_SHARE) & ((n >= LEAST_PAGES) | (F.col("again") >= COMMON_PAGES))
-    return counts.where(free | half & (n >= COMMON_PAGES) | half & (n >= LEAST_PAGES) & (F.col("how") == LARGE)).select("host", "hash").distinct()
+    free = (F.col("how") == FREE) & (F.col("share") >= LEAST_SHARE) & ((n >= least_pages) | (F.col("again") >= COMMON_PAGES))
+    return counts.where(free | half & (n >= COMMON_PAGES) | half & (n >= least_pages) & F.col("how").isin(LARGE, FIXTURE)).select("host", "hash").distinct()
 
 
-def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
+def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
     """For each row of ``pages``: its row number, id, url, text and n_chars.
 
     Null or empty pages have empty text. Pages whose url has no host are of the
@@ -361,7 +402,8 @@ def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: s
     delete nothing. Ids may be null or repeat; an empty table gives no rows; other
     columns are not read. Pages of any length and depth are read whole; one tree is
     held at a time. Marked elements that hold equally much count alike: all of them
-    are the article, in page order.
+    are the article, in page order. Hosts with fewer than ``least_pages`` pages of
+    different articles have no templates.
     """
     rows = numbered(pages, F.col(id).alias("id"), F.col(url).alias("url"), F.col(source).alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
@@ -374,7 +416,7 @@ def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: s
         return [number, names, hosts, [article for article, _ in pages], found]
 
     trees = cut(map_rows(rows.select(ROW, "page", "host", "html"), f"{ROW} long, page string, host string, article long, found array<struct<hash: long, slot: long, how: int>>", parts))
-    found = cut(templates(trees.groupBy("host", "article").agg(F.min_by("found", ROW).alias("found"))))  # of pages of one article, the first counts
+    found = cut(templates(trees.groupBy("host", "article").agg(F.min_by("found", ROW).alias("found")), least_pages))  # of pages of one article, the first counts
     kind = f"{ROW} long, id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
     if found.count() <= BROADCAST:
         keys = rows.sparkSession.sparkContext.broadcast(array("q", sorted(r[0] for r in found.select("hash").distinct().collect())))
