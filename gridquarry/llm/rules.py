@@ -72,11 +72,11 @@ def votes() -> dict[str, Column]:
         "word_length": F.when((length < 2) | (length > 14), -1).when((length >= 3) & (length <= 10), 1).otherwise(0),
         "symbols": between(c["n_symbols"] / words, 0.2, 0.05),
         "marked": between(c["n_marked"] / words, 0.2, 0.05),
-        "lines": between(c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1.0)), 0.4, 0.2),
-        "repeats": between(c["n_repeat_words"] / words, 0.5, 0.25),
+        "lines": between(c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1.0)), 0.3, 0.1),
+        "repeats": between(c["n_repeat_words"] / words, 0.2, 0.1),
         "capitals": F.when(c["n_letters"] == 0, 0).otherwise(between(c["n_upper"] / F.greatest(c["n_letters"], F.lit(1.0)), 0.5, 0.2)),
         "marks": between(c["n_marks"] / words, 0.3, 0.1),
-        "letters": F.when(c["n_letters"] == 0, 0).otherwise(F.when(c["n_letters"] / F.greatest(c["word_chars"], F.lit(1.0)) < 0.4, -1).otherwise(1)),
+        "letters": F.when(c["n_letters"] == 0, 0).otherwise(-between(c["n_letters"] / F.greatest(c["word_chars"], F.lit(1.0)), 0.9, 0.8)),
     }
 
 

@@ -93,8 +93,8 @@ def plain_rules(docs):
         length = c["word_chars"] / n
         votes[i] = [
             -1 if c["n_words"] < 10 else 1 if c["n_words"] >= 50 else 0, -1 if length < 2 or length > 14 else 1 if 3 <= length <= 10 else 0,
-            vote(c["n_symbols"] / n, 0.2, 0.05), vote(c["n_marked"] / n, 0.2, 0.05), vote(c["n_dup_lines"] / max(c["n_lines"], 1), 0.4, 0.2), vote(c["n_repeat_words"] / n, 0.5, 0.25),
-            vote(c["n_upper"] / letters, 0.5, 0.2) if letters else 0, vote(c["n_marks"] / n, 0.3, 0.1), 0 if not letters else -1 if letters / max(c["word_chars"], 1) < 0.4 else 1,
+            vote(c["n_symbols"] / n, 0.2, 0.05), vote(c["n_marked"] / n, 0.2, 0.05), vote(c["n_dup_lines"] / max(c["n_lines"], 1), 0.3, 0.1), vote(c["n_repeat_words"] / n, 0.2, 0.1),
+            vote(c["n_upper"] / letters, 0.5, 0.2) if letters else 0, vote(c["n_marks"] / n, 0.3, 0.1), 0 if not letters else -vote(letters / max(c["word_chars"], 1), 0.9, 0.8),
         ]
     good = {i: 0.05 if -1 in v else 0.95 for i, v in votes.items()}
     for _ in range(500):
