@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -147,3 +149,45 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Rank correlation per group; null with 2 rows or fewer."""
     rows = ranked(ranked(df, by, a, "__ra"), by, b, "__rb")
     return rows.groupBy(*by).agg(F.when(F.count("*") > 2, F.corr("__ra", "__rb")).alias("rank_corr"))
+
+
+#: Starts of a cell, and draws that are made of it at once.
+CELL_STARTS, DRAWS_AT_ONCE = 4096, 64
+
+
+def bootstrap_sums(sums: DataFrame, by: str, start: str, columns: list[str], draws: int, seed: int) -> DataFrame:
+    """(by, draw, columns...): sums of ``sums`` (one row for each by and start) over starts drawn with repetition, as many as there are, so often.
+
+    Starts are dealt to cells by a digest. How many of a draw's picks fall into each cell follows from the cells' sizes,
+    cell after cell: given what is left, a binomial number. Within a cell they are spread evenly over its starts. So the counts of
+    a draw are exactly multinomial and sum to the number of starts; no task sees more than a cell, and a
+    draw's random numbers depend on seed, group, cell and draw only. A cell's draws are one matrix product.
+    """
+    n = sums.groupBy(by).agg(F.count("*").alias("__n"))
+    cells = sums.join(n, by).withColumn("__cells", F.ceil(F.col("__n") / CELL_STARTS).cast("int"))
+    cells = cells.withColumn("__cell", F.pmod(F.conv(F.substring(F.md5(F.col(start).cast("string")), 1, 8), 16, 10).cast("long"), F.col("__cells")).cast("int"))
+    sizes = cells.groupBy(by, "__cell").agg(F.count("*").alias("size")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("__cell", "size"))).alias("__sizes"))
+    kind = sums.schema[by].dataType.simpleString()
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for group, sizes, draw in zip(p[by], p["__sizes"], p["draw"], strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(str(group).encode()), int(draw)])
+                counts = rng.multinomial(sum(s["size"] for s in sizes), np.array([s["size"] for s in sizes], float) / sum(s["size"] for s in sizes))
+                yield pd.DataFrame({by: group, "__cell": [s["__cell"] for s in sizes], "draw": int(draw), "picks": counts})
+
+    dealt = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).mapInPandas(split, f"{by} {kind}, __cell int, draw int, picks long")
+
+    def draw_cell(key: tuple, p: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
+        values, group, cell = p.sort_values(start, kind="stable")[columns].to_numpy(float), zlib.crc32(str(key[0]).encode()), int(key[1])
+        picks = picks.sort_values("draw")
+        out = []
+        for at in range(0, len(picks), DRAWS_AT_ONCE):
+            some = picks.iloc[at : at + DRAWS_AT_ONCE]
+            counts = np.stack([np.random.default_rng([seed + 1, group, cell, d]).multinomial(n, np.full(len(p), 1 / len(p))) for d, n in zip(some["draw"].tolist(), some["picks"].tolist(), strict=True)])
+            out.append(counts @ values)
+        return pd.DataFrame({by: key[0], "draw": picks["draw"].to_numpy(), **dict(zip(columns, np.concatenate(out).T, strict=True))})
+
+    schema = f"{by} {kind}, draw int, " + ", ".join(f"{c} double" for c in columns)
+    whole = cells.select(by, "__cell", start, *columns).groupBy(by, "__cell").cogroup(dealt.groupBy(by, "__cell")).applyInPandas(draw_cell, schema)
+    return whole.groupBy(by, "draw").agg(*(F.sum(c).alias(c) for c in columns))

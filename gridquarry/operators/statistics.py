@@ -211,7 +211,7 @@ def fronts_family(steps: Steps, chosen: list[str]) -> DataFrame:
 
 
 def _balances(steps: Steps) -> DataFrame:
-    """Each cell's operators of the smoothed states: at each scale and for each state vorticity, divergence, and both sides of each tie; null where they don't hold."""
+    """(start, lead, scale, region, ...): each cell's operators of the smoothed states, vorticity, divergence, and both sides of each tie; null where they don't hold."""
     values: dict[str, tuple[str, Column]] = {}
     for x in WHO.values():
         c, before = functools.partial(state, x), functools.partial(state, f"{x}_prev")
@@ -226,12 +226,12 @@ def _balances(steps: Steps) -> DataFrame:
     rows = steps.cells.withColumns({f"both_{a}": F.col(f"sea_{a}m") & F.col(f"sea_{b}m") for a, b in SHEAR})
     masks = sorted({m for m, _ in values.values()})
     smooth = grids.smoothed_by(rows.select(*KEYS, "y", "x", *masks, *(v.alias(n) for n, (_, v) in values.items())), KEYS, {n: m for n, (m, _) in values.items()}, steps.sigmas)
-    place = steps.grid.select("y", "x", "lat", "region")
-    names = [c for c in smooth.columns if c not in (*KEYS, "y", "x")]
-    rows = smooth.join(place, ["y", "x"])
-    all_ = F.struct("y", "x", *names)
+    place, by = steps.grid.select("y", "x", "lat", "region"), [*KEYS, "scale"]
+    scales = F.array(*(F.struct(F.lit(s).alias("scale"), *(F.col(f"{n}_{s}").alias(n) for n in values)) for s in SCALES_KM))
+    rows = smooth.select(*KEYS, "y", "x", F.inline(scales)).join(place, ["y", "x"])
+    all_ = F.struct("y", "x", *values)
     for axis, other in (("x", "y"), ("y", "x")):
-        w = Window.partitionBy(*KEYS, other).orderBy(axis)
+        w = Window.partitionBy(*by, other).orderBy(axis)
         rows = rows.withColumns({f"before_{axis}": F.lag(all_).over(w), f"after_{axis}": F.lead(all_).over(w)})
     step = 2 * np.radians(steps.spacing) * grids.RADIUS
     sides = {"x": step * F.cos(F.radians("lat")), "y": F.lit(float(step))}
@@ -244,8 +244,8 @@ def _balances(steps: Steps) -> DataFrame:
 
     f, tan_r = 2 * grids.OMEGA * F.sin(F.radians("lat")), F.tan(F.radians("lat")) / grids.RADIUS
     out = {}
-    for x, s in product(WHO.values(), SCALES_KM):
-        n = lambda v: f"{x}_{v}_{s}"  # noqa: B023, E731
+    for x in WHO.values():
+        n = lambda v: f"{x}_{v}"  # noqa: B023, E731
         divergence = lambda u, v: d(n(u), "x") + d(n(v), "y") - F.col(n(v)) * tan_r  # noqa: B023, E731
         for z in VORTICITY:
             out[n(f"zeta_{z}m")] = (d(n(f"v{z}"), "x") - d(n(f"u{z}"), "y") + F.col(n(f"u{z}")) * tan_r) / f
@@ -259,7 +259,7 @@ def _balances(steps: Steps) -> DataFrame:
             rest = F.array(*(a - b for a, b in zip(left, right, strict=True)))
             whole = functools.reduce(Column.__and__, (a.isNotNull() & b.isNotNull() for a, b in zip(left, right, strict=True)))
             out[n(f"{tie}_lhs")], out[n(f"{tie}_residual")] = F.when(whole, F.array(*left)), F.when(whole, rest)
-    return rows.select(*KEYS, "region", *(v.alias(k) for k, v in out.items()))
+    return rows.select(*by, "region", *(v.alias(k) for k, v in out.items()))
 
 
 def _rms(values: list[Column]) -> Column:
@@ -270,15 +270,17 @@ def _rms(values: list[Column]) -> Column:
 def operators_family(steps: Steps, chosen: list[str]) -> DataFrame:
     """Root mean squares of vorticity, divergence and of both sides of each tie; and of the model's minus the true residual."""
     parts = lambda name, tie: [F.col(name)[k] for k in range(1 if tie == "cont" else 2)]
+    single = (*(f"zeta_{z}m" for z in VORTICITY), "div_0m")
     values = {}
-    for s in SCALES_KM:
-        for who, x in WHO.items():
-            values |= {f"op_{k}_{s}_{who}": _rms([F.col(f"{x}_{k}_{s}")]) for k in (*(f"zeta_{z}m" for z in VORTICITY), "div_0m")}
-            values |= {f"op_{t}_{s}_{part}_{who}": _rms(parts(f"{x}_{t}_{part}_{s}", t)) for t in TIES for part in ("residual", "lhs")}
-        for t in TIES:
-            both = zip(*(parts(f"{x}_{t}_residual_{s}", t) for x in WHO.values()), strict=True)
-            values[f"op_{t}_{s}_error"] = _rms([a - b for a, b in both])
-    return _balances(steps).groupBy(*KEYS).agg(*(values[n].alias(n) for n in chosen))
+    for who, x in WHO.items():
+        values |= {(k, who): _rms([F.col(f"{x}_{k}")]) for k in single}
+        values |= {(t, f"{part}_{who}"): _rms(parts(f"{x}_{t}_{part}", t)) for t in TIES for part in ("residual", "lhs")}
+    for t in TIES:
+        both = zip(*(parts(f"{x}_{t}_residual", t) for x in WHO.values()), strict=True)
+        values[t, "error"] = _rms([a - b for a, b in both])
+    each = _balances(steps).groupBy(*KEYS, "scale").agg(*(v.alias("_".join(k)) for k, v in values.items()))
+    at = {f"op_{k}_{s}_{part}": F.max(F.when(F.col("scale") == s, F.col(f"{k}_{part}"))) for k, part in values for s in SCALES_KM}
+    return each.groupBy(*KEYS).agg(*(at[n].alias(n) for n in chosen))
 
 
 def inversions_family(steps: Steps, chosen: list[str]) -> DataFrame:
@@ -349,6 +351,12 @@ def registry() -> dict[str, Statistic]:
     return out
 
 
+def stored_cells(steps: Steps, needs: set[tuple[str, str]]) -> None:
+    """Reads the channels that are needed of each state once, beside the grid, and stores them as the step that all others share."""
+    channels = [F.col(f"{who}.{c}").cast("double").alias(f"{who}_{c}") for who, c in sorted(needs)]
+    steps.shared["cells"] = cut(steps.rows.select(*KEYS, "y", "x", *channels).join(steps.grid, ["y", "x"]))
+
+
 def statistics(steps: Steps, chosen: list[str] | None = None, known: dict[str, Statistic] | None = None) -> DataFrame:
     """(start, lead, name...): the chosen statistics, or all, of every step.
 
@@ -357,8 +365,6 @@ def statistics(steps: Steps, chosen: list[str] | None = None, known: dict[str, S
     known = known or registry()
     chosen = list(known) if chosen is None else chosen
     families = {f: [n for n in chosen if known[n].family == f] for f in FAMILIES}
-    needs = set().union(*(FAMILIES[f].needs(steps) for f, names in families.items() if names))
-    channels = [F.col(f"{who}.{c}").cast("double").alias(f"{who}_{c}") for who, c in sorted(needs)]
-    steps.shared["cells"] = cut(steps.rows.select(*KEYS, "y", "x", *channels).join(steps.grid, ["y", "x"]))
+    stored_cells(steps, set().union(*(FAMILIES[f].needs(steps) for f, names in families.items() if names)))
     parts = [FAMILIES[f].plan(steps, names) for f, names in families.items() if names]
     return functools.reduce(lambda a, b: a.join(b, KEYS, "left"), parts, steps.cells.select(*KEYS).distinct()).select(*KEYS, *chosen)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import moments as mom
+from ..operators import scores as sco
 from ..operators.selection import at_rank, quantiles
+from ..shared import cut
 from .registry import query
 from .scores import tidy
 from .tables import CELLS, DAILY, FIELDS, IMAGE, SAMPLES, TRUTH, cells, daily, fields, image, samples, table
@@ -157,14 +160,14 @@ def band_slope(spark, sf):
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
 
-@query("e27_bootstrap_slope", f"""WITH {SAMPLES}, r AS (SELECT field, start % 500 AS start, sum(pred*pred) AS ff, sum(pred*truth) AS fy FROM samples GROUP BY ALL),
+@query("e27_bootstrap_slope", f"""WITH {SAMPLES}, r AS (SELECT field, start, sum(pred*pred) AS ff, sum(pred*truth) AS fy FROM samples GROUP BY ALL),
     e AS (SELECT *, CAST('0x' || substr(md5(start || ':' || draw), 1, 8) AS BIGINT)/4294967296.0 AS u FROM r, range(1, 201) d(draw)),
     s AS (SELECT field, draw, sum(n*fy)/sum(n*ff) AS slope FROM (SELECT *, {" + ".join(f"CASE WHEN u >= {p!r} THEN 1 ELSE 0 END" for p in POISSON)} AS n FROM e) GROUP BY ALL)
     SELECT field, round(quantile_cont(slope, 0.05), 6) AS low, round(quantile_cont(slope, 0.95), 6) AS high FROM s GROUP BY field""")
 def bootstrap_slope(spark, sf):
     """Quantiles of the pooled slope over resampled starts: each start counts a hashed, Poisson-distributed number of times in each draw, so no draw gathers the rows."""
     draws = 200
-    rows = samples(spark, sf).groupBy("field", (F.col("start") % 500).alias("start")).agg(F.sum(F.col("pred") * F.col("pred")).alias("ff"), F.sum(F.col("pred") * F.col("truth")).alias("fy"))
+    rows = samples(spark, sf).groupBy("field", "start").agg(F.sum(F.col("pred") * F.col("pred")).alias("ff"), F.sum(F.col("pred") * F.col("truth")).alias("fy"))
     each = rows.select("field", "start", "ff", "fy", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("start").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
     n = sum(((u >= b).cast("int") for b in POISSON), F.lit(0))
@@ -173,6 +176,16 @@ def bootstrap_slope(spark, sf):
     return tidy(q.select("field", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")), 6)
 
 
+@query("e27_resampled_slope")
+def resampled_slope(spark, sf):
+    """Quantiles of the pooled slope over 1,000 draws of as many starts as there are, with repetition: counts are exactly multinomial."""
+    rows = samples(spark, sf).groupBy("field", "start").agg(F.sum(F.col("pred") * F.col("pred")).alias("ff"), F.sum(F.col("pred") * F.col("truth")).alias("fy"), F.lit(1.0).alias("n"))
+    drawn = cut(sco.bootstrap_sums(rows, "field", "start", ["ff", "fy", "n"], 1000, 5))
+    slope = F.col("fy") / F.col("ff")
+    q = quantiles(drawn, ["field"], {"low": (slope, 0.05), "median": (slope, 0.5), "high": (slope, 0.95)})
+    return tidy(drawn.groupBy("field").agg(F.count("*").alias("draws"), F.min("n").alias("least"), F.max("n").alias("most")).join(q, "field"), 6)
+
+
 @query("e28_ensemble_limit", "WITH m AS (SELECT l_linenumber AS m, avg(pow(l_discount - 0.05, 2)) AS mse FROM lineitem GROUP BY l_linenumber) SELECT round(regr_intercept(mse, 1.0/m), 8) AS bound, round(regr_slope(mse, 1.0/m), 8) AS slope FROM m")
 def ensemble_limit(spark, sf):
     """The error of an endless ensemble: the intercept of the mean square error against 1 / M."""
@@ -382,6 +395,18 @@ def noise_quantile(spark, sf):
     return tidy(fields(spark, sf).select(F.explode("v").alias("u")).agg(F.expr("percentile(abs(u), 0.95)").alias("q95")), 8)
 
 
+@query("g02_noise_floor")
+def noise_floor(spark, sf):
+    """What features of pure noise persist at most, but for a twentieth, on the ocean of an image: 200 fields of correlated noise."""
+    from ..operators import topology as top
+
+    size = image(spark, sf).agg(F.max("y")).first()[0] + 1
+    ocean = np.zeros((size, 40), bool)
+    for y, x in image(spark, sf).where("v IS NOT NULL").select("y", "x").collect():  # one image's mask, which each task holds
+        ocean[y, x] = True
+    return tidy(top.noise_floor(spark, ocean, (8.0, 8.0)), 8)
+
+
 @query("g08_daily_maxima", f"WITH {DAILY}, r AS (SELECT day, feature, cell, value, row_number() OVER (PARTITION BY day, feature ORDER BY value DESC, cell) AS r FROM daily) SELECT day, feature, cell, round(value, 6) AS value, r AS rank FROM r WHERE r <= 3")
 def daily_maxima(spark, sf):
     """The three largest of each day, in one table."""

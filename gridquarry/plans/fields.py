@@ -60,8 +60,9 @@ def smoothed(spark, sf):
     return tidy(ops.smoothed(image(spark, sf), [], "v", 1.2), 6)
 
 
-REFLECT = """{n}x AS (SELECT y, t.x, sum(coalesce(v, 0)*k) AS num, sum(CASE WHEN v IS NULL THEN 0 ELSE k END) AS den FROM range(0, 40) t(x), (VALUES {taps}) w(o, k), image i WHERE i.x = (CASE WHEN t.x + o < 0 THEN -1 - t.x - o WHEN t.x + o > 39 THEN 79 - t.x - o ELSE t.x + o END) GROUP BY ALL),
-    {n}y AS (SELECT t.y, g.x, sum(num*k) AS num, sum(den*k) AS den FROM (SELECT DISTINCT y FROM image) t, (VALUES {taps}) w(o, k), {n}x g, (SELECT max(y) + 1 AS n FROM image) m WHERE g.y = (CASE WHEN t.y + o < 0 THEN -1 - t.y - o WHEN t.y + o >= m.n THEN 2*m.n - 1 - t.y - o ELSE t.y + o END) GROUP BY ALL),
+#: Fields go on mirrored at their edges, again and again where a kernel reaches beyond the mirror image.
+REFLECT = """{n}x AS (SELECT y, t.x, sum(coalesce(v, 0)*k) AS num, sum(CASE WHEN v IS NULL THEN 0 ELSE k END) AS den FROM range(0, 40) t(x), (VALUES {taps}) w(o, k), image i WHERE i.x = least(((t.x + o) % 80 + 80) % 80, 79 - ((t.x + o) % 80 + 80) % 80) GROUP BY ALL),
+    {n}y AS (SELECT t.y, g.x, sum(num*k) AS num, sum(den*k) AS den FROM (SELECT DISTINCT y FROM image) t, (VALUES {taps}) w(o, k), {n}x g, (SELECT max(y) + 1 AS n FROM image) m WHERE g.y = least(((t.y + o) % (2*m.n) + 2*m.n) % (2*m.n), 2*m.n - 1 - ((t.y + o) % (2*m.n) + 2*m.n) % (2*m.n)) GROUP BY ALL),
     {n} AS (SELECT s.y, s.x, CASE WHEN s.v IS NOT NULL THEN num/den END AS v FROM image s JOIN {n}y g ON s.y = g.y AND s.x = g.x)"""
 
 

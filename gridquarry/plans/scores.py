@@ -44,13 +44,13 @@ def pooled_scores(spark, sf):
     return tidy(ops.scored(ops.weighted_sums(rows, ["field"]), ["field"]), corr_change=6)
 
 
-@query("e21_step_scores", f"""WITH {SAMPLES}, s AS (SELECT start % 100 AS start, lead, w, pred, truth, x0 FROM samples),
+@query("e21_step_scores", f"""WITH {SAMPLES}, s AS (SELECT start, lead, w, pred, truth, x0 FROM samples),
     m AS (SELECT start, lead, sum(w) w, sum(w*(pred-truth)*(pred-truth)) e2, sum(w*(pred-truth)) e, sum(w*pred) p, max(sqrt(pred*pred+truth*truth)) ms, sum(w*pred*pred)/2 ke FROM s GROUP BY ALL)
     SELECT start, lead, round(sqrt(e2/w), 4) AS rmse, round(e/w, 4) AS bias, round(p/w, 4) AS mean, round(ke/w, 2) AS ke, round(ms, 4) AS maxspeed FROM m""")
 def step_scores(spark, sf):
     """Per start and lead: rmse, bias, mean, kinetic energy over area, largest speed."""
     w, e = F.col("w"), F.col("pred") - F.col("truth")
-    rows = samples(spark, sf).withColumn("start", F.col("start") % 100).groupBy("start", "lead").agg(
+    rows = samples(spark, sf).groupBy("start", "lead").agg(
         F.sqrt(F.sum(w * e * e) / F.sum(w)).alias("rmse"), (F.sum(w * e) / F.sum(w)).alias("bias"), (F.sum(w * F.col("pred")) / F.sum(w)).alias("mean"),
         (F.sum(w * F.col("pred") * F.col("pred")) / 2 / F.sum(w)).alias("ke"), F.max(F.sqrt(F.col("pred") * F.col("pred") + F.col("truth") * F.col("truth"))).alias("maxspeed"),
     )
@@ -163,13 +163,13 @@ def functionals(spark, sf):
     return tidy(out.withColumn("total", F.col("total") / 1e6))
 
 
-TOTAL = f"""WITH {SAMPLES}, t AS (SELECT start % 50 AS start, lead, sum(truth) AS truth, sum(pred) AS pred, sum(x0) AS x0 FROM samples GROUP BY ALL)"""
+TOTAL = f"""WITH {SAMPLES}, t AS (SELECT start, lead, sum(truth) AS truth, sum(pred) AS pred, sum(x0) AS x0 FROM samples GROUP BY ALL)"""
 
 
 @query("e13_conservation", TOTAL + """, s AS (SELECT lead, pred - truth AS e, truth - coalesce(lag(truth) OVER o, x0) AS ts, pred - coalesce(lag(pred) OVER o, x0) AS ps FROM t WINDOW o AS (PARTITION BY start ORDER BY lead))
     SELECT lead, round(avg(e), 3) AS error_mean, round(stddev_pop(e), 3) AS error_std, round(avg(CASE WHEN e > 0 THEN 1.0 ELSE 0 END), 6) AS positive, round(avg(ts), 3) AS truth_step, round(avg(ps), 3) AS model_step FROM s GROUP BY lead""")
 def conservation(spark, sf):
-    rows = samples(spark, sf).withColumn("start", F.col("start") % 50).groupBy("start", "lead").agg(F.sum("truth").alias("truth"), F.sum("pred").alias("pred"), F.sum("x0").alias("x0"))
+    rows = samples(spark, sf).groupBy("start", "lead").agg(F.sum("truth").alias("truth"), F.sum("pred").alias("pred"), F.sum("x0").alias("x0"))
     return tidy(ops.conservation(rows, [], "start", "lead", "truth", "pred", "x0"), 3, positive=6)
 
 
@@ -186,7 +186,7 @@ def mean_penalty(spark, sf):
     std = rows.groupBy("field").agg(F.stddev_pop("truth").alias("std"))
     z = (F.col("pred") - F.col("truth")) / F.col("std")
     base = rows.join(std, "field").agg(F.lit(1).alias("one"), (F.sum(F.col("w") * z * z) / F.sum("w")).alias("base"))
-    totals = rows.withColumn("start", F.col("start") % 50).groupBy("start", "lead").agg(F.sum("truth").alias("truth"), F.sum("pred").alias("pred"))
+    totals = rows.groupBy("start", "lead").agg(F.sum("truth").alias("truth"), F.sum("pred").alias("pred"))
     scale = totals.groupBy("lead").agg(F.stddev_pop("truth").alias("s"))
     q = (F.col("pred") - F.col("truth")) / F.col("s")
     penalty = totals.join(scale, "lead").agg(F.lit(1).alias("one"), F.avg(q * q).alias("penalty"))

@@ -85,10 +85,10 @@ def day_spans(spark, sf):
     return ops.spans(daily(spark, sf).where("feature = 'view'"), ["cell"], "day")
 
 
-@query("f09_lagged_band", f"WITH {SAMPLES}, t AS (SELECT start % 100 AS start, lead, sum(truth) AS v FROM samples GROUP BY ALL), c AS (SELECT lead, v - lag(v, 3) OVER (PARTITION BY start ORDER BY lead) AS c FROM t) SELECT count(c) AS n, round(stddev_pop(c), 3) AS half_width FROM c")
+@query("f09_lagged_band", f"WITH {SAMPLES}, t AS (SELECT start, lead, sum(truth) AS v FROM samples GROUP BY ALL), c AS (SELECT lead, v - lag(v, 3) OVER (PARTITION BY start ORDER BY lead) AS c FROM t) SELECT count(c) AS n, round(stddev_pop(c), 3) AS half_width FROM c")
 def lagged_band(spark, sf):
     """Half-width of a band: the population std of the truth's own change over some leads, pooled over starts."""
-    rows = samples(spark, sf).withColumn("start", F.col("start") % 100).groupBy("start", "lead").agg(F.sum("truth").alias("v"))
+    rows = samples(spark, sf).groupBy("start", "lead").agg(F.sum("truth").alias("v"))
     change = F.col("v") - F.lag("v", 3).over(Window.partitionBy("start").orderBy("lead"))
     return tidy(rows.select(change.alias("c")).agg(F.count("c").alias("n"), F.stddev_pop("c").alias("half_width")), 3)
 

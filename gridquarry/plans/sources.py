@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..shared import shared_folder
+from ..sources import archive
 from ..sources import listing as lists
 from ..sources import metrics as met
 from ..sources import packs, reports
 from .registry import query
 from .scores import tidy
-from .tables import DAILY, IMAGE, SAMPLES, daily, image, samples, table
+from .tables import DAILY, FIELDS, IMAGE, SAMPLES, daily, fields, image, samples, table
 
 
 def shared(spark) -> str:
@@ -45,10 +47,25 @@ def inventory(spark, sf):
     return lists.inventory(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("kind"), F.to_date("o_orderdate").alias("day")), ["kind"])
 
 
-@query("a05_level_pick", f"WITH {SAMPLES} SELECT start, lead, field, round(truth, 4) AS value FROM samples WHERE lead IN (1, 3, 7) AND start % 4 = 0")
+#: The channels of a day's file: layers at levels, then the surface; a day has a field for each.
+DAY_LEVELS = (0, 100, 200, 500)
+DAY_RECORDS = [(v, z) for v in ("temp", "salin", "u", "v") for z in DAY_LEVELS] + [("ssh", None), ("ubaro", None), ("vbaro", None)]
+DAY_FILES = FIELDS + f""", channel AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{n}', {'NULL' if z is None else f'{z}::DOUBLE'})" for k, (n, z) in enumerate(DAY_RECORDS))}) c(c, name, level)),
+    stored AS (SELECT DATE '2024-01-01' + CAST(id // {len(DAY_RECORDS)} AS INTEGER) AS day, name, level, (i - 1) // 8 AS y, (i - 1) % 8 AS x, v[i] AS value FROM fields JOIN channel ON c = id % {len(DAY_RECORDS)}, range(1, 65) t(i))"""
+
+
+@query("a05_level_pick", f"WITH {DAY_FILES} SELECT day, name, level, y, x, value FROM stored WHERE name IN ('temp', 'salin') AND level >= 100 AND level < 500 AND day >= DATE '2024-01-05' AND y % 2 = 0 AND x % 2 = 0")
 def level_pick(spark, sf):
-    """A pick of levels and every fourth cell; the filters reach the scan."""
-    return tidy(samples(spark, sf).where("lead IN (1, 3, 7) AND start % 4 = 0").select("start", "lead", "field", F.col("truth").alias("value")))
+    """Levels, names and days picked from an archive of daily files, every second cell: other files aren't opened, of these only the records asked for are read."""
+    n = len(DAY_RECORDS)
+    names = F.create_map(*(F.lit(v) for k, (name, _) in enumerate(DAY_RECORDS) for v in (k, name)))
+    levels = F.create_map(*(F.lit(v).cast("double") if j else F.lit(v) for k, (_, z) in enumerate(DAY_RECORDS) for j, v in enumerate((k, z))))
+    rows = fields(spark, sf).select(F.expr(f"date_add(DATE '2024-01-01', int(id div {n}))").alias("day"), (F.col("id") % n).cast("int").alias("c"), F.posexplode("v").alias("at", "value"))
+    rows = rows.select("day", names[F.col("c")].alias("name"), levels[F.col("c")].alias("level"), F.expr("bigint(at div 8)").alias("y"), (F.col("at") % 8).cast("long").alias("x"), "value")
+    folder, records = shared(spark), [archive.Record(name, None if z is None else float(z)) for name, z in DAY_RECORDS]
+    archive.write_archive(rows, folder, (8, 8), records).agg(F.sum("bytes")).collect()
+    days = archive.read_archive(spark, folder, (8, 8), ",".join(r.name if r.level is None else f"{r.name}:{r.level:g}" for r in records), 2, archive.Picks(("temp", "salin"), (100.0, 200.0), (date(2024, 1, 5), None)))
+    return days.where("value IS NOT NULL").select("day", "name", "level", "y", "x", "value")
 
 
 @query("a08_hourly_records", "WITH r AS (SELECT date_trunc('hour', ts + INTERVAL 30 MINUTE) AS hour, event_id, value FROM events) SELECT hour, arg_min(event_id, event_id) AS file, round(arg_min(value, event_id), 6) AS value FROM r GROUP BY hour")
@@ -117,24 +134,17 @@ def bottom_depths(spark, sf):
     return tidy(rows.agg(F.count("*").alias("cells"), F.sum(F.coalesce("value", F.lit(0.0))).alias("total")), 1)
 
 
-@query("a07_mean_archive", f"WITH {IMAGE} SELECT name, y, count(*) AS records, round(sum(coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), 0)*k), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) GROUP BY ALL")
+@query("a07_mean_archive", f"WITH {IMAGE} SELECT name, y, (12 * k)::BIGINT AS parts, count(*) AS cells, round(sum(CAST(CAST(coalesce(v, 0)*k AS FLOAT) AS DOUBLE)), 1) AS total FROM image, (VALUES ('thickness', 1), ('surface', 2)) n(name, k) GROUP BY ALL")
 def mean_archive(spark, sf):
-    """Archives of two records each, told apart by name."""
-    import numpy as np
-    import pandas as pd
-
-    from ..sources.binary import decoded, record_words
-
-    words, folder = record_words((1, 40)), shared(spark)
-
-    def pack(p: pd.DataFrame) -> pd.DataFrame:
-        lines = np.zeros((2, words), ">f4")
-        lines[:, p["x"].to_numpy()] = np.outer([1, 2], p["v"].fillna(0).to_numpy())
-        return pd.DataFrame({"path": [str(p["y"].iloc[0])], "content": [lines.tobytes()]})
-
-    image(spark, sf).groupBy("y").applyInPandas(pack, "path string, content binary").write.parquet(folder)
-    rows = decoded(spark.read.parquet(folder), (1, 40), ["thickness", "surface"])
-    return tidy(rows.groupBy("name", F.col("path").cast("long").alias("y")).agg(F.count("*").alias("records"), F.sum("value").alias("total")), 1)
+    """Archives of two records, which the text files beside them name and say of how many times each is the mean."""
+    lines = image(spark, sf).select(F.expr("date_add(DATE '2000-01-01', int(y))").alias("day"), F.lit(0).cast("long").alias("y"), "x", F.coalesce("v", F.lit(0.0)).alias("v"))
+    kinds = F.array(F.struct(F.lit("thickness").alias("name"), F.lit(1).alias("k")), F.struct(F.lit("surface").alias("name"), F.lit(2).alias("k")))
+    rows = lines.select("day", "y", "x", "v", F.inline(kinds)).select("day", "name", F.lit(1.0).alias("level"), "y", "x", (F.col("v") * F.col("k")).alias("value"))
+    folder = shared(spark)
+    archive.write_archive(rows, folder, (1, 40), [archive.Record("thickness", 1.0, 12), archive.Record("surface", 1.0, 24)]).agg(F.sum("bytes")).collect()
+    got = archive.read_archive(spark, folder, (1, 40)).withColumn("line", F.datediff("day", F.lit("2000-01-01")).cast("long"))
+    cells = image(spark, sf).groupBy(F.col("y").alias("line")).agg(F.max("x").alias("last"))  # the last line of the image may be short
+    return tidy(got.join(cells, "line").where("x <= last").groupBy("name", F.col("line").alias("y"), "parts").agg(F.count("*").alias("cells"), F.sum("value").alias("total")), 1)
 
 
 SYSTEM = """
@@ -177,6 +187,24 @@ def file_of_year(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.concat(F.when(y < 1998, "old/").otherwise("new/"), y.cast("string"), F.when(y < 1998, ".tar").otherwise(".zip")).alias("path"))
 
 
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("a13_unpacked", f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, list_position({list(PRIORITIES)}, o_orderpriority) - 1 AS x, count(*) AS n, max(o_totalprice) AS largest FROM orders GROUP BY ALL)
+    SELECT day, x::BIGINT AS x, CASE WHEN year(day) < 1998 THEN 'old/' ELSE 'new/' END || year(day) || CASE WHEN year(day) < 1998 THEN '.tar' ELSE '.zip' END AS file, round(CAST(CAST(largest AS FLOAT) AS DOUBLE), 4) AS value FROM d WHERE year(day) IN (1996, 1998, 1999)""")
+def unpacked(spark, sf):
+    """Years of daily records packed into tar files of one era and zip files of the other; of chosen years one variable is read from the members."""
+    place = F.array_position(F.array(*(F.lit(p) for p in PRIORITIES)), F.col("o_orderpriority")) - 1
+    rows = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day"), place.cast("long").alias("x")).agg(F.count("*").cast("double").alias("n"), F.max("o_totalprice").alias("largest"))
+    rows = rows.unpivot(["day", "x"], ["n", "largest"], "name", "value").select(F.year("day").alias("year"), "day", "name", F.lit(None).cast("double").alias("level"), F.lit(0).cast("long").alias("y"), "x", "value")
+    folder = shared(spark)
+    archive.write_archive(rows, folder, (1, 5), [archive.Record("n"), archive.Record("largest")], lambda key: f"old/{key[0]}.tar" if key[0] < 1998 else f"new/{key[0]}.zip", ["year"]).agg(F.sum("files")).collect()
+    picks = archive.Picks(("largest",), days=(date(1996, 1, 1), date(1999, 12, 31)))
+    found = archive.read_archive(spark, folder, (1, 5), "n,largest", picks=picks).where("year(day) <> 1997 AND value > 0")
+    file = F.regexp_extract("path", "((?:old|new)/[^/!]*)!", 1)
+    return tidy(found.select("day", "x", file.alias("file"), "value"))
+
+
 @query("a14_rows_of_year", "SELECT month(o_orderdate)::INT AS month, count(*) AS n FROM orders WHERE year(o_orderdate) = 1999 GROUP BY ALL")
 def rows_of_year(spark, sf):
     """One year of a pack, by a range of days that prunes what is read."""

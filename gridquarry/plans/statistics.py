@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import physics as phys
-from ..operators import grids, spectra
+from ..operators import consistency, grids, losses, spectra
 from ..operators import scorecard as card
 from ..operators import statistics as ops
 from ..shared import cut
@@ -256,3 +256,114 @@ def diagnostic_series(spark, sf):
     stats = cut(ops.statistics(steps(spark, sf), needed))
     rows = [card.Diagnostic("ke", "blur", card.over("ke_model", "ke_truth")), card.Diagnostic("maxspeed", "blur", card.over("maxspeed_model", "maxspeed_truth")), card.Diagnostic("lc_area", "eddies", card.over("lc_area_model", "lc_area_truth")), card.Diagnostic("front_vs_persistence", "eddies", card.over("front_mean_km_model", "front_mean_km_pers"), card.FRONTS)]
     return tidy(card.curves(stats, rows, of_test()), 8)
+
+
+# Losses
+
+
+#: Weights of the terms that are added to the square error.
+TERMS = {"means": 0.1, "excess": 0.5, "stability": 0.2}
+ALL_CHANNELS = [name for name, *_ in CHANNELS]
+FULL_LOSS = f"""{LONG}, {STATES}, scale AS (SELECT name, stddev_pop(truth) AS s FROM long GROUP BY name), inside AS (SELECT count(*) AS n FROM place WHERE region),
+    wmse AS (SELECT start, lead, sum(pow((pred - truth)/s, 2))/any_value(inside.n) AS wmse FROM long JOIN scale USING (name) JOIN place USING (y, x), inside WHERE region GROUP BY ALL),
+    mean AS (SELECT start, lead, name, sum(area*pred)/sum(area) AS p, sum(area*truth)/sum(area) AS t, sum(area*truth_prev)/sum(area) AS b FROM long JOIN place USING (y, x) WHERE region AND depth > coalesce(z, 0) AND name IN {ops.MEANS} GROUP BY ALL),
+    own_change AS (SELECT name, stddev_pop(d) AS s FROM (SELECT DISTINCT ON (name, start + lead) name, t - b AS d FROM mean WHERE start < {IN_SAMPLE}) GROUP BY name),
+    means AS (SELECT start, lead, sum(pow((p - t)/s, 2)) AS means FROM mean JOIN own_change USING (name) GROUP BY ALL),
+    scaled AS MATERIALIZED (SELECT start, lead, name, y, x, CASE WHEN region THEN pred/s ELSE 0 END AS p, CASE WHEN region THEN truth/s ELSE 0 END AS t FROM long JOIN scale USING (name) JOIN place USING (y, x)),
+    wave AS (SELECT start, lead, name, ky, kx, sum(p*cos(2*pi()*(ky*y + kx*x)/8)) AS pr, sum(p*sin(2*pi()*(ky*y + kx*x)/8)) AS pj, sum(t*cos(2*pi()*(ky*y + kx*x)/8)) AS tr, sum(t*sin(2*pi()*(ky*y + kx*x)/8)) AS tj FROM scaled, range(-4, 4) a(ky), range(-4, 4) b(kx) GROUP BY ALL),
+    ring AS (SELECT start, lead, name, round_even(sqrt(ky*ky + kx*kx), 0) AS ring, sum(pr*pr + pj*pj)/64 AS px, sum(tr*tr + tj*tj)/64 AS py, sum(pr*tr + pj*tj)/64 AS c FROM wave GROUP BY ALL),
+    excess AS (SELECT start, lead, sum(2*(greatest(px, py) - sqrt(px*py + 1e-12))*(1 - c/sqrt(px*py + 1e-12)))/any_value(inside.n) AS excess FROM ring, inside GROUP BY ALL),
+    column_of AS (SELECT start, lead, y, x, z, depth, {SIGMA("max(v) FILTER (name LIKE 'temp%')", "max(v) FILTER (name LIKE 'salin%')")} AS rho FROM states JOIN place USING (y, x) WHERE region AND z IS NOT NULL AND who = 'model' GROUP BY ALL),
+    stability AS (SELECT start, lead, avg(pow(greatest(rho - below, 0)/{losses.INVERSION_SCALE}, 2)) AS stability FROM (SELECT *, lead(rho) OVER w AS below, lead(z) OVER w AS under FROM column_of WINDOW w AS (PARTITION BY start, lead, y, x ORDER BY z)) WHERE depth > under GROUP BY ALL)
+    SELECT CAST(start AS BIGINT) AS start, lead, round(wmse, 6) AS wmse, round(means, 6) AS means, round(excess, 6) AS excess, round(stability, 5) AS stability, round(wmse + {TERMS['means']}*means + {TERMS['excess']}*excess + {TERMS['stability']}*stability, 5) AS loss
+    FROM wmse JOIN means USING (start, lead) JOIN excess USING (start, lead) JOIN stability USING (start, lead)"""
+
+
+@query("n03_step_loss", f"WITH {FULL_LOSS}")
+def step_loss(spark, sf):
+    """The square error of every step with the penalty of means, the adjusted spectral error and the stability of levels."""
+    of = steps(spark, sf)
+    ops.stored_cells(of, {(who, c) for who in ("pred", "truth", "truth_prev") for c in ALL_CHANNELS})
+    return tidy(losses.step_loss(of, ALL_CHANNELS, TERMS, F.col("start") < IN_SAMPLE), 6, stability=5, loss=5)
+
+
+LAYER_STATES = """one AS (SELECT l_orderkey AS col, l_linenumber AS k, avg(l_quantity) - 8 AS dp, avg(l_quantity)/2 AS temp_truth, avg(l_quantity*(1 - l_discount/9))/2 AS temp_pred, 30 + avg(l_discount)*60 AS salin_truth, 30 + avg(l_tax)*60 AS salin_pred FROM lineitem GROUP BY ALL)"""
+WEIGHTS = {"density": 1e-6, "stability": 1e-5}
+
+
+@query("n01_layer_loss", f"""WITH {LAYER_STATES}, scale AS (SELECT stddev_pop(temp_truth) AS st, stddev_pop(salin_truth) AS ss FROM one),
+    r AS (SELECT *, greatest(dp, 0)/greatest(avg(greatest(dp, 0)) OVER w, 1e-6) AS rel, {SIGMA('temp_pred', 'salin_pred')} AS p, {SIGMA('temp_truth', 'salin_truth')} AS t FROM one WINDOW w AS (PARTITION BY col)),
+    b AS (SELECT *, lead(p) OVER d AS below, least(rel, lead(rel) OVER d) AS both_ FROM r WINDOW d AS (PARTITION BY col ORDER BY k)),
+    c AS (SELECT col, sum(rel*(pow((temp_pred - temp_truth)/st, 2) + pow((salin_pred - salin_truth)/ss, 2))) AS wmse, avg(rel*pow((p - t)/{losses.RHO_REF}, 2)) AS density, coalesce(avg(CASE WHEN below IS NOT NULL THEN both_*pow(greatest(p - below, 0)/{losses.RHO_REF}, 2) END), 0) AS stability FROM b, scale GROUP BY col)
+    SELECT CAST(col % 64 AS BIGINT) AS part, count(*) AS columns, round(avg(wmse), 6) AS wmse, round(avg(density), 2) AS density, round(avg(stability), 2) AS stability, round(avg(wmse + {WEIGHTS['density']!r}::DOUBLE*density + {WEIGHTS['stability']!r}::DOUBLE*stability), 5) AS loss FROM c GROUP BY ALL""")
+def layer_loss(spark, sf):
+    """Errors of layers weighted by their thickness, with the terms of density and of stability, of every column, by part of the domain."""
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    one = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("col"), F.col("l_linenumber").alias("k")).agg(
+        (F.avg(q) - 8).alias("dp"), (F.avg(q) / 2).alias("temp_truth"), (F.avg(q * (1 - d / 9)) / 2).alias("temp_pred"), (30 + F.avg(d) * 60).alias("salin_truth"), (30 + F.avg("l_tax") * 60).alias("salin_pred"))
+    scale = one.agg(F.stddev_pop("temp_truth").alias("temp"), F.stddev_pop("salin_truth").alias("salin")).first().asDict()
+    columns = losses.layer_loss(one, "col", "k", scale, WEIGHTS)
+    out = columns.groupBy((F.col("col") % 64).alias("part")).agg(F.count("*").alias("columns"), *(F.avg(c).alias(c) for c in ("wmse", "density", "stability", "loss")))
+    return tidy(out, 6, density=2, stability=2, loss=5)
+
+
+# Consistency of states
+
+
+def thickness(who, z):
+    """A layer's thickness in m, from the level's velocity."""
+    return 6 + 8 * F.col(f"{who}_v_{z}m")
+
+
+#: Fields of a state: sea surface, temperature, salinity and velocity of the first layer, thickness of the third, surface speed.
+CHECKED = {
+    "ssh": lambda x: F.col(f"{x}_ssh"), "t01": lambda x: F.col(f"{x}_temp_0m"), "s01": lambda x: F.col(f"{x}_salin_0m"), "u01": lambda x: F.col(f"{x}_u_0m") + F.col(f"{x}_ubaro"), "thk20": lambda x: thickness(x, 200),
+    "spd": lambda x: F.hypot(F.col(f"{x}_u_0m") + F.col(f"{x}_ubaro"), F.col(f"{x}_v_0m") + F.col(f"{x}_vbaro")),
+}
+LAPLACIANS, SLOPES, BANDED, LEAST_CELLS = ["ssh", "t01", "u01", "thk20"], ["t01", "s01"], ["t01", "spd"], 10
+#: The same in SQL, of the columns p_<channel> of a state.
+CHECKED_SQL = {"ssh": "ssh", "t01": "temp_0m", "s01": "salin_0m", "u01": "(u_0m + ubaro)", "thk20": "(6 + 8*v_200m)", "spd": "sqrt(pow(u_0m + ubaro, 2) + pow(v_0m + vbaro, 2))"}
+
+
+def mirrored(sigma: float) -> dict[tuple[int, int], float]:
+    """The weight of each cell for each in smoothing eight cells in a row that go on mirrored at their edges, as often as it takes."""
+    out: dict[tuple[int, int], float] = {}
+    for cell in range(8):
+        for o, w in grids.kernel(sigma, 4.0).items():
+            k = (cell + o) % 16
+            at = (cell, k if k < 8 else 15 - k)
+            out[at] = out.get(at, 0.0) + w
+    return out
+
+
+MIRRORS = ", ".join(f"('{s}', {c}, {k}, {w!r}::DOUBLE)" for s, sigma in (("fine", 0.5), ("coarse", 2.5)) for (c, k), w in mirrored(sigma).items())
+DP = {z: f"(6 + 8*v_{z}m)" for z in LEVELS}
+NEXT = list(zip(LEVELS, LEVELS[1:], strict=False))
+RHO = {z: SIGMA(f"temp_{z}m", f"salin_{z}m") for z in LEVELS}
+CHECKS = f"""{LONG}, wide AS (SELECT start, lead, y, x, who, {', '.join(f"max(v) FILTER (name = '{n}') AS {n}" for n in ALL_CHANNELS)} FROM (SELECT start, lead, y, x, name, 'model' AS who, pred AS v FROM long UNION ALL SELECT start, lead, y, x, name, 'truth', truth FROM long UNION ALL SELECT start, lead, y, x, name, 'x0', x0 FROM long) GROUP BY ALL),
+    state AS MATERIALIZED (SELECT * FROM wide JOIN (SELECT y, x, region FROM place) USING (y, x)),
+    columns AS (SELECT start, lead, y, x, who, {' + '.join(DP.values())} AS total FROM state WHERE region),
+    column_error AS (SELECT a.start, a.lead, a.who, sqrt(avg(pow(a.total - b.total, 2))) AS col_err_m FROM columns a JOIN columns b USING (start, lead, y, x) WHERE b.who = 'truth' AND a.who <> 'x0' GROUP BY a.start, a.lead, a.who),
+    layer AS (SELECT start, lead, who, avg(({' + '.join(f'CASE WHEN {d} < -0.01 THEN 1.0::DOUBLE ELSE 0 END' for d in DP.values())})/4) AS neg_thk_frac, min(least({', '.join(DP.values())})) AS neg_thk_min,
+        sum({' + '.join(f'CASE WHEN {DP[a]} > 1 AND {DP[b]} > 1 AND {RHO[b]} < {RHO[a]} - 0.02 THEN 1 ELSE 0 END' for a, b in NEXT)})/greatest(sum({' + '.join(f'CASE WHEN {DP[a]} > 1 AND {DP[b]} > 1 THEN 1 ELSE 0 END' for a, b in NEXT)}), 1)::DOUBLE AS inversion_frac,
+        sqrt(avg({' + '.join(f"pow(({' + '.join(f'{v}_{z}m*greatest({DP[z]}, 0)' for z in LEVELS)})/greatest({' + '.join(f'greatest({d}, 0)' for d in DP.values())}, 1e-6), 2)" for v in 'uv')})) AS baro_resid, avg(pow(u_0m + ubaro, 2) + pow(v_0m + vbaro, 2)) AS ke FROM state WHERE region AND who <> 'x0' GROUP BY start, lead, who),
+    spread AS (SELECT start, lead, who, quantile_cont(d, 0.5) AS iso_spread FROM (SELECT start, lead, who, z, quantile_cont(rho, 0.75) - quantile_cont(rho, 0.25) AS d FROM ({' UNION ALL '.join(f'SELECT start, lead, who, {z} AS z, {RHO[z]} AS rho FROM state WHERE region AND {DP[z]} > 5' for z in LEVELS)}) GROUP BY start, lead, who, z HAVING count(*) > {LEAST_CELLS}) GROUP BY ALL),
+    of_field AS (SELECT start, lead, y, x, who, region, {', '.join(f'{e} AS {f}' for f, e in CHECKED_SQL.items())} FROM state),
+    moved AS MATERIALIZED (SELECT a.start, a.lead, a.y, a.x, a.who, a.t01, a.s01, {', '.join(f'a.{f} - b.{f} AS d_{f}' for f in dict.fromkeys((*LAPLACIANS, *BANDED)))} FROM of_field a JOIN of_field b USING (start, lead, y, x) WHERE a.region AND a.who <> 'x0' AND b.who = 'x0'),
+    mirror AS (SELECT * FROM (VALUES {MIRRORS}) m(s, c, k, w)),
+    blur_x AS MATERIALIZED (SELECT start, lead, who, s, y, c AS x, {', '.join(f'sum(w*d_{f}) AS n_{f}' for f in BANDED)}, sum(w) AS den FROM moved JOIN mirror ON k = x GROUP BY ALL),
+    blur AS (SELECT start, lead, who, b.s, c AS y, x, {', '.join(f'sum(w*n_{f})/sum(w*den) AS b_{f}' for f in BANDED)} FROM blur_x b JOIN mirror m ON m.s = b.s AND k = y GROUP BY ALL),
+    band AS (SELECT a.start, a.lead, a.who, a.y, a.x, {', '.join(f'a.b_{f} - c.b_{f} AS band_{f}' for f in BANDED)} FROM blur a JOIN blur c USING (start, lead, who, y, x) WHERE a.s = 'fine' AND c.s = 'coarse'),
+    field AS (SELECT m.start, m.lead, m.who, {', '.join(f'sqrt(avg(pow(e.d_{f} + w.d_{f} + n.d_{f} + s.d_{f} - 4*m.d_{f}, 2))) AS lap_{f}' for f in LAPLACIANS)}, {', '.join(f'avg(sqrt(pow(e.{f} - w.{f}, 2) + pow(n.{f} - s.{f}, 2))/2) AS grad_{f}' for f in SLOPES)}, {', '.join(f'sqrt(avg(pow(band_{f}, 2))) AS band_{f}' for f in BANDED)}
+        FROM moved m {' '.join(f'JOIN moved {j} ON {j}.start = m.start AND {j}.lead = m.lead AND {j}.who = m.who AND {j}.y = m.y{dy} AND {j}.x = m.x{dx}' for j, dy, dx in (('e', '', ' + 1'), ('w', '', ' - 1'), ('n', ' + 1', ''), ('s', ' - 1', '')))} JOIN band g ON g.start = m.start AND g.lead = m.lead AND g.who = m.who AND g.y = m.y AND g.x = m.x GROUP BY m.start, m.lead, m.who)"""
+NUMBERS = ["neg_thk_frac", "neg_thk_min", "col_err_m", "inversion_frac", "iso_spread", "baro_resid", "ke", *(f"lap_{f}" for f in LAPLACIANS), *(f"grad_{f}" for f in SLOPES), *(f"band_{f}" for f in BANDED)]
+
+
+@query("j15_step_checks", f"WITH {CHECKS} SELECT CAST(start AS BIGINT) AS start, lead, who, {', '.join(f'round({n}, 8) AS {n}' for n in NUMBERS)} FROM layer JOIN column_error USING (start, lead, who) JOIN field USING (start, lead, who) LEFT JOIN spread USING (start, lead, who)")
+def step_checks(spark, sf):
+    """Fifteen numbers that say whether a state is consistent, of the model's and of the true state of every step."""
+    of = steps(spark, sf)
+    ops.stored_cells(of, {(who, c) for who in ("pred", "truth", "x0") for c in ALL_CHANNELS})
+    layers = consistency.layer_numbers(of, thickness, LEAST_CELLS)
+    fields_ = consistency.field_numbers(of, CHECKED, LAPLACIANS, SLOPES, BANDED)
+    return tidy(layers.join(fields_, [*ops.KEYS, "who"]).select(*ops.KEYS, "who", *NUMBERS), 8)

@@ -19,10 +19,10 @@ def events(spark, sf):
 
 @query("p01_append_only_build", "SELECT event_type AS feature, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL")
 def append_only(spark, sf):
-    """Events appended by batch; a second run finds nothing new."""
-    folder = shared(spark)
-    ops.append_new(events(spark, sf), folder, ["event_id"])
-    rows = ops.append_new(events(spark, sf), folder, ["event_id"])
+    """Events appended by batch, in folders of 4,096 ids; a second run, and another stream of the same events, find nothing new."""
+    folder, part = shared(spark), F.expr("event_id div 4096")
+    ops.append_new(events(spark, sf), folder, ["event_id"], part)
+    rows = ops.append_new(events(spark, sf), folder, ["event_id"], part)
     return rows.groupBy(F.col("event_type").alias("feature")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 

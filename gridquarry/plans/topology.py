@@ -218,14 +218,23 @@ def score_pairs(spark, sf):
     return tidy(mapped(fields(spark, sf), run, "id long, kind string, n_model long, n_truth long, amp_model double, amp_truth double, w1 double"), 8)
 
 
-@query("j13_basin_mask", f"WITH {FLOOD.format(t=-0.05)}, cut AS (SELECT id, c, y, x, root FROM comp), seed AS (SELECT id, root FROM cut WHERE c = 27) SELECT id, count(*) AS cells FROM cut JOIN seed USING (id, root) GROUP BY id")
+#: A grid in degrees, the seed and the sections that close the basin off: from shore to shore, at any slant.
+LON, LAT, SEED = [-90.0 + 0.25 * x for x in range(8)], [22.0 + 0.2 * y for y in range(8)], (-89.3, 22.62)
+SECTIONS = [((-90.1, 23.03), (-88.61, 23.42)), ((-88.45, 21.93), (-88.72, 23.11))]
+RASTER = "near AS (" + " UNION ALL ".join(
+    f"SELECT t, ceil(({y0}::DOUBLE + ({y1} - {y0})*t/n - 22.0)/0.2 - 0.5) AS y, ceil(({x0}::DOUBLE + ({x1} - {x0})*t/n + 90.0)/0.25 - 0.5) AS x FROM (SELECT t, greatest(2, ceil(4*sqrt(pow({x1} - {x0}, 2) + pow({y1} - {y0}, 2))/0.2)::INT + 1) - 1 AS n FROM range(0, 200) r(t)) WHERE t <= n" for (x0, y0), (x1, y1) in SECTIONS
+) + "), drawn AS (SELECT DISTINCT least(greatest(y, 0), 7) AS y, least(greatest(x, 0), 7) AS x FROM near), wide AS (SELECT DISTINCT d.y + a.dy AS y, d.x + a.dx AS x FROM drawn d, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) a(dy, dx))"
+
+
+@query("j13_basin_mask", f"WITH RECURSIVE {CELLS}, {RASTER}, on_ AS (SELECT id, y*8 + x AS c, y, x FROM cells LEFT JOIN wide USING (y, x) WHERE h >= -0.05 AND wide.y IS NULL), r AS (SELECT id, c, y, x FROM on_ WHERE y = 3 AND x = 3 UNION SELECT o.id, o.c, o.y, o.x FROM r JOIN on_ o ON o.id = r.id AND abs(o.y - r.y) + abs(o.x - r.x) = 1) SELECT id, count(*) AS cells, sum(c)::BIGINT AS places FROM r GROUP BY id")
 def basin_mask(spark, sf):
-    """The piece of ocean that holds the seed."""
+    """The ocean around a seed that two slanted sections close off; nothing where the seed isn't open ocean."""
     def run(i, f):
-        if f[3, 3] >= -0.05:
-            yield i, int(top.piece_around(f >= -0.05, 27).sum())
+        found = top.basin(f >= -0.05, LON, LAT, SECTIONS, SEED)
+        if found is not None:
+            yield i, int(found.sum()), int(np.flatnonzero(found).sum())
 
-    return mapped(fields(spark, sf), run, "id long, cells long")
+    return mapped(fields(spark, sf), run, "id long, cells long, places long")
 
 
 def tracks(spark, sf):

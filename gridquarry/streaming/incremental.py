@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -31,19 +31,33 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out") if exists(spark, f"{folder}/out") else spark.createDataFrame([], stream.schema)
 
 
-def append_new(stream: DataFrame, folder: str, key: list[str]) -> DataFrame:
-    """Appends rows whose key isn't there yet, batch by batch; a batch that comes twice changes nothing."""
+def append_new(stream: DataFrame, folder: str, key: list[str], part: Column | None = None) -> DataFrame:
+    """Appends rows whose key isn't there yet, batch by batch; a batch that comes twice changes nothing.
+
+    Rows lie in folders by ``part``, a range or digest of the key (by default one of 64 digests). A batch reads the keys
+    of the folders that it touches and no others, so what it reads doesn't grow with what is written where keys
+    come in ranges. Its rows go to folders of its own number, which a second try overwrites and doesn't compare with.
+    """
     spark = stream.sparkSession
     path = f"{folder}/rows"
-
-    def batch(rows: DataFrame, _: int) -> None:
-        new = rows.dropDuplicates(key)
-        if exists(rows.sparkSession, f"{path}/_SUCCESS"):
-            new = new.join(rows.sparkSession.read.parquet(path).select(*key), key, "left_anti")
-        new.write.mode("append").parquet(path)
+    place = F.pmod(F.xxhash64(*key), F.lit(64)) if part is None else part
+
+    def batch(rows: DataFrame, number: int) -> None:
+        session = rows.sparkSession
+        new = rows.dropDuplicates(key).withColumn("__part", place.cast("long")).persist()
+        held = [p for r in new.select("__part").distinct().collect() if exists(session, p := f"{path}/__part={r[0]}")]
+        if held:
+            there = session.read.option("basePath", path).schema(new.schema.add("__batch", "long")).parquet(*held)
+            fresh = new.join(there.where(F.col("__batch") != number).select(*key), key, "left_anti")
+        else:
+            fresh = new
+        fresh.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__part", "__batch").parquet(path)
+        new.unpersist()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    if not exists(spark, path):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.option("basePath", path).schema(stream.schema).parquet(path)
 
 
 def window_means(stream: DataFrame, ts: str, value: str, by: list[str], length: str, late: str) -> DataFrame:

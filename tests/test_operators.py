@@ -172,6 +172,24 @@ def test_nearest_ties_go_to_the_first(spark):
     assert [r["i"] for r in joins.nearest_on_axis(df, "z", [0, 10, 25], "i").collect()] == [0, 0, 1, 2]
 
 
+def test_greedy_matches_are_plain(spark):
+    rng, rows, want = random.Random(31), [], []
+    for g in range(25):
+        truth, model = ([rng.randrange(30) for _ in range(rng.randrange(14))] for _ in range(2))
+        rows += [(f"g{g}", d, True) for d in truth] + [(f"g{g}", d, False) for d in model]
+        left = sorted(model)
+        for t in sorted(truth):
+            near = min(left, key=lambda m: (abs(m - t), m), default=None)  # noqa: B023
+            hit = near if near is not None and abs(near - t) <= 4 else None
+            if hit is not None:
+                left.remove(hit)
+            want.append((f"g{g}", t, hit))
+        want += [(f"g{g}", None, m) for m in left]
+    got = joins.greedy_matches(spark.createDataFrame(rows, "k string, d long, true boolean"), ["k"], "d", "true", 4).collect()
+    order = lambda r: tuple((x is None, x) if not isinstance(x, str) else x for x in r)
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
 def test_greedy_matches_use_each_event_once(spark):
     rows = [("a", 10, True), ("a", 12, True), ("a", 11, False), ("a", 40, False), ("b", 5, False)]
     got = values(joins.greedy_matches(spark.createDataFrame(rows, "k string, d long, true boolean"), ["k"], "d", "true", 3), "k", "truth", "model")
@@ -638,3 +656,70 @@ def test_quantiles_of_many_ranks(spark):
     whole = quantiles(df.where("g = 'even'"), [], {"m": (F.col("v"), 0.5)}, 10).first()
     assert math.isclose(whole["m"], np.median([x for k, x in rows if k == "even"]))
     assert quantiles(df.where("false"), ["g"], {"m": (F.col("v"), 0.5)}).count() == 0
+
+
+# drawn sections, noise, resampling
+
+
+def plain_drawn(lon, lat, sections, per_cell=4):
+    """Point by point, then the four neighbours of each cell."""
+    side = min(min(abs(b - a) for a, b in zip(lon, lon[1:], strict=False)), min(abs(b - a) for a, b in zip(lat, lat[1:], strict=False)))
+    cells = set()
+    for (x0, y0), (x1, y1) in sections:
+        n = max(2, math.ceil(per_cell * math.hypot(x1 - x0, y1 - y0) / side) + 1)
+        for k in range(n):
+            x, y = x0 + (x1 - x0) * k / (n - 1), y0 + (y1 - y0) * k / (n - 1)
+            cells.add((min(range(len(lat)), key=lambda i: (abs(lat[i] - y), i)), min(range(len(lon)), key=lambda i: (abs(lon[i] - x), i))))  # noqa: B023
+    return {(y + dy, x + dx) for y, x in cells for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) if 0 <= y + dy < len(lat) and 0 <= x + dx < len(lon)}
+
+
+def test_sections_close_a_basin():
+    rng = random.Random(15)
+    for ny, nx in ((8, 8), (30, 47)):
+        lon, lat = [-98 + 0.25 * x for x in range(nx)], [18 + 0.2 * y for y in range(ny)]
+        for _ in range(30):
+            sections = [tuple((rng.uniform(lon[0] - 0.3, lon[-1] + 0.3), rng.uniform(lat[0], lat[-1])) for _ in range(2)) for _ in range(2)]
+            ocean = np.array([[rng.random() < 0.8 for _ in lon] for _ in lat])
+            cells = plain_drawn(lon, lat, sections)
+            assert {tuple(c) for c in np.argwhere(top.drawn(np.array(lon), np.array(lat), sections))} == cells
+            seed = (rng.choice(lon), rng.choice(lat))
+            start, seen = (lat.index(seed[1]), lon.index(seed[0])), set()
+            todo = [start] if ocean[start] and start not in cells else []
+            while todo:
+                y, x = todo.pop()
+                if (y, x) not in seen and 0 <= y < ny and 0 <= x < nx and ocean[y, x] and (y, x) not in cells:
+                    seen.add((y, x))
+                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+            found = top.basin(ocean, np.array(lon), np.array(lat), sections, seed)
+            assert (set() if found is None else {tuple(c) for c in np.argwhere(found)}) == seen
+    # a slanted section from shore to shore parts the two sides, and without it they are one
+    whole, lon, lat = np.ones((20, 20), bool), np.arange(20.0), np.arange(20.0)
+    part = top.basin(whole, lon, lat, [((-1.0, 4.2), (20.0, 11.7))], (3.0, 15.0))
+    assert part[19].all() and not part[0].any() and top.basin(whole, lon, lat, [], (3.0, 15.0)).all()
+
+
+def test_noise_floor_is_a_plain_run(spark):
+    valid = np.ones((16, 20), bool)
+    valid[:4, :5] = False
+    got = top.noise_floor(spark, valid, (8.0, 8.0), n=24, seed=3).first()
+    plain = []
+    for k in range(24):
+        noise = 0.035 * spectra.correlated_noise((16, 20), (8.0, 8.0), 50.0, 3 * 1_000_003 + k)
+        plain += [abs(b - d) for _, b, d, _ in top.both_signs(np.where(valid, noise, np.nan), open_edge=True) if math.isfinite(b - d)]
+    assert got["features"] == len(plain) and got["fields"] == 24 and math.isclose(got["floor"], np.quantile(plain, 0.95))
+    other = top.noise_floor(spark, valid, (8.0, 8.0), n=24, seed=4).first()
+    assert other["floor"] != got["floor"] and abs(other["floor"] / got["floor"] - 1) < 0.25
+
+
+def test_draws_of_starts_are_multinomial(spark, monkeypatch):
+    monkeypatch.setattr(scores, "CELL_STARTS", 16)  # many cells
+    rng = np.random.default_rng(8)
+    rows = [(f, s, float(rng.normal(2, 1)), float(rng.normal(5, 2)), 1.0) for f, n in (("a", 100), ("b", 3)) for s in range(n)]
+    df = spark.createDataFrame(rows, "f string, s int, x double, y double, n double")
+    got = scores.bootstrap_sums(df.repartition(5), "f", "s", ["x", "y", "n"], 300, 11).collect()
+    assert len(got) == 600 and all(r["n"] == {"a": 100, "b": 3}[r["f"]] for r in got)  # counts sum to the starts
+    again = {(r["f"], r["draw"]): r["x"] for r in scores.bootstrap_sums(df.repartition(2), "f", "s", ["x", "y", "n"], 300, 11).collect()}
+    assert all(math.isclose(again[r["f"], r["draw"]], r["x"]) for r in got)
+    x = np.array([r[2] for r in rows if r[0] == "a"])
+    sums = np.array([r["x"] for r in got if r["f"] == "a"])
+    assert abs(sums.mean() - x.sum()) < 4 * x.std() * 10 / math.sqrt(300) and abs(sums.std() / (x.std() * 10) - 1) < 0.2

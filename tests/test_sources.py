@@ -1,12 +1,12 @@
 """Listings, binary archives, packs, metrics and reports."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridquarry.sources import binary, config, listing, metrics, packs, reports
+from gridquarry.sources import archive, binary, config, listing, metrics, packs, reports
 from gridquarry.streaming import incremental
 
 
@@ -115,3 +115,62 @@ def test_streaks_are_kept_between_batches(spark, tmp_path):
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     out = incremental.run_once(incremental.streaks(incremental.stream_of(spark, str(tmp_path / "in"), schema, files=100), "k", "ts", "on", "0 seconds"), str(tmp_path / "out"))
     assert sorted(r["n"] for r in out.collect()) == [1, 2, 3]
+
+
+# archives as a data source
+
+
+def days_frame(spark):
+    rows = [(date(2010, 12, 29) + timedelta(d), n, z, y, x, None if (y, x) == (0, 1) else d + (z or 0) + y / 8 + x) for d in range(6) for n, z in (("temp", 0.0), ("temp", 100.0), ("ssh", None)) for y in range(4) for x in range(6)]
+    return rows, spark.createDataFrame(rows, "day date, name string, level double, y long, x long, value double")
+
+
+def test_archive_reads_what_is_asked_for(spark, tmp_path):
+    rows, df = days_frame(spark)
+    records = archive.records_of("temp:0, temp:100, ssh")
+    wrote = archive.write_archive(df, str(tmp_path), (4, 6), records).collect()
+    assert len(wrote) == 6 and {r["bytes"] for r in wrote} == {3 * 4 * binary.PAD} and (tmp_path / "a.2010_363_00.a").exists()
+    read = lambda **kw: archive.read_archive(spark, str(tmp_path), (4, 6), "temp:0,temp:100,ssh", **kw)
+    plain = lambda df: sorted(map(repr, (tuple(r) for r in df.select("day", "name", "level", "y", "x", "value").collect())))
+    assert plain(read()) == sorted(map(repr, rows))
+    assert plain(read(stride=3)) == sorted(repr(r) for r in rows if r[3] % 3 == 0 and r[4] % 3 == 0)
+    picks = archive.Picks(("temp",), (50.0, None), (date(2011, 1, 1), None))
+    some = read(picks=picks).where("x < 3")
+    assert plain(some) == sorted(repr(r) for r in rows if r[1] == "temp" and r[2] == 100 and r[0] >= date(2011, 1, 1) and r[4] < 3)
+    assert some.rdd.getNumPartitions() == 3  # the other days' files aren't opened
+    plan = some._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(name,temp)" in plan and "GreaterThanOrEqual(day,2011-01-01)" in plan and "GreaterThanOrEqual(level,50.0)" in plan
+    condition = next(line for line in plan.splitlines() if line.startswith("Condition"))
+    assert "x#" in condition and "temp" not in condition  # what is left to Spark
+    assert read(picks=archive.Picks(("ssh", "none"))).count() == 6 * 24 and read().where("level IS NULL").count() == 6 * 24
+    # one table used twice: what one use asks for doesn't reach the other
+    whole = read()
+    both = whole.where("name = 'ssh'").union(whole.where("name = 'temp' AND level = 0"))
+    assert {r["name"]: r["count"] for r in both.groupBy("name").count().collect()} == {"ssh": 144, "temp": 144} and whole.count() == 432
+    twice = some.union(some.where("y = 0")).union(read(picks=archive.Picks(("ssh",))))
+    assert {r["name"]: r["count"] for r in twice.groupBy("name").count().collect()} == {"temp": 3 * 12 + 3 * 3, "ssh": 144}
+    (tmp_path / "a.2011_005_00.a").write_bytes(b"\x00" * 100)
+    with pytest.raises(Exception, match="100 bytes"):
+        read(picks=archive.Picks(days=(date(2011, 1, 5), None))).count()
+    assert read(picks=archive.Picks(days=(None, date(2011, 1, 4)))).count() == 6 * 72
+
+
+def test_archive_of_members_and_text_files(spark, tmp_path):
+    rows, df = days_frame(spark)
+    records = [archive.Record("temp", 0.0, 8), archive.Record("temp", 100.0, 8), archive.Record("ssh", None, 4)]
+    years = df.withColumn("year", F.year("day"))
+    wrote = archive.write_archive(years, str(tmp_path), (4, 6), records, lambda key: f"old/{key[0]}.tar" if key[0] < 2011 else f"new/{key[0]}.zip", ["year"]).collect()
+    assert sorted((r["path"].split("/")[-2:], r["files"]) for r in wrote) == [(["new", "2011.zip"], 3), (["old", "2010.tar"], 3)]
+    whole = archive.read_archive(spark, str(tmp_path), (4, 6))
+    assert sorted(map(repr, (tuple(r) for r in whole.select("day", "name", "level", "y", "x", "value").collect()))) == sorted(map(repr, rows))
+    assert {tuple(r) for r in whole.select("name", "parts").distinct().collect()} == {("temp", 8), ("ssh", 4)}
+    one = archive.read_archive(spark, str(tmp_path), (4, 6), picks=archive.Picks(("ssh",), days=(date(2011, 1, 1), None)))
+    assert one.rdd.getNumPartitions() == 1 and one.count() == 72
+    assert archive.expected(whole, ["a.2010_363_00.a"]) is whole
+    with pytest.raises(FileNotFoundError, match="2012"):
+        archive.expected(whole, ["a.2010_363_00.a", "2012.zip"])
+
+
+def test_days_and_records_from_text():
+    assert archive.day_in("a.2011_002_18.a") == date(2011, 1, 2) and archive.day_in("x_2011010312.a") == date(2011, 1, 3) and archive.day_in("depth.a") is None
+    assert archive.described("a header\nthknss  =  12  1\nsalin = 12 1.5\nmontg1 = 6\n") == [archive.Record("thknss", 1.0, 12), archive.Record("salin", 1.5, 12), archive.Record("montg1", None, 6)]
