@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import physics as phys
 from ..operators import consistency, grids, losses, spectra
 from ..operators import scorecard as card
 from ..operators import statistics as ops
+from ..operators import topology as top
 from ..shared import cut
 from .registry import query
 from .scores import tidy
@@ -367,3 +369,28 @@ def step_checks(spark, sf):
     layers = consistency.layer_numbers(of, thickness, LEAST_CELLS)
     fields_ = consistency.field_numbers(of, CHECKED, LAPLACIANS, SLOPES, BANDED)
     return tidy(layers.join(fields_, [*ops.KEYS, "who"]).select(*ops.KEYS, "who", *NUMBERS), 8)
+
+
+# Structure of steps
+
+
+@query("l11_step_pairs")
+def step_pairs(spark, sf):
+    """Each step's sea surface: maxima and minima of model and truth, and how far the model's diagram and the start's lie from the true one."""
+    of = steps(spark, sf)
+    ops.stored_cells(of, {(who, "ssh") for who in ("pred", "truth", "x0")})
+    inside = of.image(of.place.region)
+    held = F.array_sort(F.collect_list(F.struct("y", "x", "pred_ssh", "truth_ssh", "x0_ssh")))
+    images = of.cells.groupBy(*ops.KEYS).agg(held.alias("v")).select(*ops.KEYS, *(F.col(f"v.{who}_ssh").alias(who) for who in ("pred", "truth", "x0")))
+
+    def run(parts):
+        for p in parts:
+            rows = []
+            for start, lead, *states in zip(p["start"], p["lead"], p["pred"], p["truth"], p["x0"], strict=True):
+                model, truth, first = (np.where(inside, np.asarray(x, float).reshape(inside.shape), np.nan) for x in states)
+                rows += [(start, lead, *r) for r in top.pair_scores(*(x - np.nanmean(x) for x in (model, truth, first)), 0.05)]
+            yield pd.DataFrame(rows, columns=["start", "lead", "kind", *top.PAIR_SCORES])
+
+    numbers = ", ".join(f"{n} {'long' if n.startswith('count') else 'double'}" for n in top.PAIR_SCORES)
+    out = images.mapInPandas(run, f"start long, lead int, kind string, {numbers}")
+    return tidy(out.select("start", "lead", "kind", *(F.when(~F.isnan(n), F.col(n)).alias(n) if not n.startswith("count") else F.col(n) for n in top.PAIR_SCORES)), 8)

@@ -723,3 +723,23 @@ def test_draws_of_starts_are_multinomial(spark, monkeypatch):
     x = np.array([r[2] for r in rows if r[0] == "a"])
     sums = np.array([r["x"] for r in got if r["f"] == "a"])
     assert abs(sums.mean() - x.sum()) < 4 * x.std() * 10 / math.sqrt(300) and abs(sums.std() / (x.std() * 10) - 1) < 0.2
+
+
+def test_pairs_of_model_truth_and_start():
+    rng = np.random.default_rng(4)
+    smooth = lambda: spectra.correlated_noise((12, 14), (8.0, 8.0), 20.0, int(rng.integers(1 << 30)))
+    truth, start = smooth(), smooth()
+    truth[:3, :4] = start[:3, :4] = np.nan
+    exact, still = top.pair_scores(truth, truth, start, 0.1), top.pair_scores(start, truth, start, 0.1)
+    for kind, *numbers in exact:
+        r = dict(zip(top.PAIR_SCORES, numbers, strict=True))
+        sign = 1 if kind == "max" else -1
+        amplitudes = [b - d for b, d, _ in top.persistence(sign * truth, open_edge=True) if b - d >= 0.1]
+        assert r["count_model"] == r["count_truth"] == len(amplitudes) and math.isclose(r["amp_sum_truth"], sum(amplitudes))
+        assert math.isclose(r["amp_median_truth"], np.median(amplitudes)) and math.isclose(r["amp_p90_truth"], np.quantile(amplitudes, 0.9))
+        assert r["w1_model"] == r["bottleneck_model"] == 0 and r["w1_pers"] >= r["bottleneck_pers"] > 0
+    for kind, *numbers in still:
+        r = dict(zip(top.PAIR_SCORES, numbers, strict=True))
+        assert r["w1_model"] == r["w1_pers"] and r["bottleneck_model"] == r["bottleneck_pers"]
+    flat = dict(zip(top.PAIR_SCORES, top.pair_scores(truth * 0, truth, start, 0.1)[0][1:], strict=True))
+    assert flat["count_model"] == 0 and math.isnan(flat["amp_median_model"]) and flat["amp_sum_model"] == 0
