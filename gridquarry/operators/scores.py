@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .selection import placed
+
 #: Sea water density and heat capacity.
 RHO0, CP = 1025.0, 3990.0
 
@@ -140,9 +142,16 @@ def offset_pattern(df: DataFrame, by: list[str], e: Column, w: Column) -> DataFr
 
 
 def ranked(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the average rank of ``value`` within ``by``, ties sharing theirs."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    """``df`` with the average rank of ``value`` within ``by``, ties sharing theirs; groups may be of any size."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("__ties"))
+    places = placed(counts, by, [value], "__value")  # values in order, each once
+    upto = Window.partitionBy(*by, "__block").orderBy("__value")
+    blocks = places.withColumn("__block", F.floor(F.col("__value") / BLOCK))
+    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy(*by, "__block").agg(F.sum("__ties").alias("__all")).withColumn("__start", F.coalesce(F.sum("__all").over(before), F.lit(0))).drop("__all")
+    ranks = blocks.withColumn("__here", F.sum("__ties").over(upto)).join(starts, [*by, "__block"])
+    ranks = ranks.select(*by, value, (F.col("__start") + F.col("__here") - (F.col("__ties") - 1) / 2).alias(name))
+    return df.join(ranks, [*by, value])
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -151,6 +160,8 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.when(F.count("*") > 2, F.corr("__ra", "__rb")).alias("rank_corr"))
 
 
+#: Distinct values whose ranks are summed up by one window.
+BLOCK = 8192
 #: Starts of a cell, and draws that are made of it at once.
 CELL_STARTS, DRAWS_AT_ONCE = 4096, 64
 

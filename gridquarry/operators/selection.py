@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import Stored
+from ..shared import Stored, cut
 
 #: Rows that are sorted at once when a bracket is narrow enough.
 FEW = 10_000
@@ -101,3 +101,23 @@ def _within(rows: DataFrame, brackets: DataFrame) -> DataFrame:
     """Each value of ``rows`` (g, k, v) with each bracket of its group that holds it."""
     b = brackets.alias("b")
     return rows.alias("r").join(b, (F.col("r.g") == F.col("b.g")) & (F.col("r.k") == F.col("b.k")) & F.col("r.v").between(F.col("b.low"), F.col("b.high"))).select("b.*", "r.v")
+
+
+#: Bits of a row's number below its partition's.
+PARTITION_BITS = 33
+
+
+def placed(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of some columns within its group.
+
+    Rows are sorted in ranges of group and order, and stored; how many rows of its group lie in the ranges before says
+    where each begins. So a group may be larger than a task holds, and no window has more than a row for each range.
+    """
+    n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    keys = [*by, *order]
+    rows = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__number", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__range", F.shiftright("__number", PARTITION_BITS))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "__range").agg(F.count("*").alias("__n"), F.min("__number").alias("__first"))
+    starts = starts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return rows.join(starts, [*by, "__range"]).withColumn(name, F.col("__start") + F.col("__number") - F.col("__first")).drop("__number", "__range", "__n", "__first", "__start")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import moments as mom
 from ..operators import scores as sco
-from ..operators.selection import at_rank, quantiles
+from ..operators.selection import at_rank, placed, quantiles
 from ..shared import cut
 from .registry import query
 from .scores import tidy
@@ -280,8 +280,8 @@ def limited_starts(spark, sf):
     SELECT DISTINCT seg, key FROM r, range(0, 5) t(k) WHERE i = CAST(floor(k*(n - 1)/4.0) AS BIGINT)""")
 def strided_sample(spark, sf):
     """Five rows of each segment, evenly spread, both ends included."""
-    w = Window.partitionBy("c_mktsegment")
-    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("key"), (F.row_number().over(w.orderBy("c_custkey")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("key"))
+    rows = placed(rows, ["seg"], ["key"], "i").join(rows.groupBy("seg").agg(F.count("*").alias("n")), "seg")
     picks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.floor(k * (F.col("n") - 1) / 4.0))
     return rows.where(F.array_contains(picks, F.col("i").cast("long"))).select("seg", "key")
 

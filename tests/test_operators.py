@@ -743,3 +743,19 @@ def test_pairs_of_model_truth_and_start():
         assert r["w1_model"] == r["w1_pers"] and r["bottleneck_model"] == r["bottleneck_pers"]
     flat = dict(zip(top.PAIR_SCORES, top.pair_scores(truth * 0, truth, start, 0.1)[0][1:], strict=True))
     assert flat["count_model"] == 0 and math.isnan(flat["amp_median_model"]) and flat["amp_sum_model"] == 0
+
+
+def test_places_and_ranks_of_large_groups(spark, monkeypatch):
+    from gridquarry.operators.selection import placed
+
+    monkeypatch.setattr(scores, "BLOCK", 4)
+    rng = random.Random(17)
+    rows = [(rng.choice("aaaab"), k, float(rng.randrange(40))) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, k long, v double").repartition(4)
+    got = {r["k"]: r["at"] for r in placed(df, ["g"], ["v", "k"], "at").collect()}
+    ranks = {r["k"]: r["rank"] for r in scores.ranked(df, ["g"], "v", "rank").collect()}
+    for g in "ab":
+        mine = sorted((v, k) for x, k, v in rows if x == g)
+        assert [got[k] for _, k in mine] == list(range(len(mine)))
+        values = [v for v, _ in mine]
+        assert all(ranks[k] == values.index(v) + (values.count(v) + 1) / 2 for v, k in mine)
