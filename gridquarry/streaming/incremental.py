@@ -37,6 +37,7 @@ def append_new(stream: DataFrame, folder: str, key: list[str], part: Column | No
     Rows lie in folders by ``part``, a range or digest of the key (by default one of 64 digests). A batch reads the keys
     of the folders that it touches and no others, so what it reads doesn't grow with what is written where keys
     come in ranges. Its rows go to folders of its own number, which a second try overwrites and doesn't compare with.
+    A folder's rows meet in one task before they are written (in several if they are many), so that a batch writes one file to it and not one of every task.
     """
     spark = stream.sparkSession
     path = f"{folder}/rows"
@@ -51,7 +52,8 @@ def append_new(stream: DataFrame, folder: str, key: list[str], part: Column | No
             fresh = new.join(there.where(F.col("__batch") != number).select(*key), key, "left_anti")
         else:
             fresh = new
-        fresh.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__part", "__batch").parquet(path)
+        whole = fresh.withColumn("__batch", F.lit(number).cast("long")).hint("rebalance", "__part")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__part", "__batch").parquet(path)
         new.unpersist()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -108,6 +108,17 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r["n"] for r in out.collect()) == [6, 7, 12] or out.count() == 3
 
 
+def test_a_batch_writes_one_file_to_a_folder(spark, tmp_path):
+    spark.range(4000).select("id").repartition(4).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stream = incremental.stream_of(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files=4)
+        assert incremental.append_new(stream, str(tmp_path / "state"), ["id"], F.expr("id div 100")).count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "state" / "rows").glob("*/*/*.parquet"))) == 40
+
+
 def test_streaks_are_kept_between_batches(spark, tmp_path):
     flags = [1, 1, 0, 1, 1, 1, 0, 0, 1, 0]
     for k, f in enumerate(flags):
