@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics as phys
 from . import spectra
+from .moments import std_pop
 from .statistics import KEYS, MEANS, Steps, state
 
 #: Density that scales layers' errors and inversions, and inversions of levels, in kg/m³; pressure below which a layer is empty.
@@ -17,7 +18,7 @@ RHO_REF, INVERSION_SCALE, EMPTY = 0.01, 0.01, 1e-6
 
 def channel_scales(steps: Steps, channels: list[str]) -> dict[str, float]:
     """The population standard deviation of each channel of the true states; 1 where it is 0. One row comes to the driver."""
-    row = steps.cells.agg(*(F.stddev_pop(state("truth", c)).alias(c) for c in channels)).first()
+    row = steps.cells.agg(*(std_pop(state("truth", c)).alias(c) for c in channels)).first()
     return {c: row[c] or 1.0 for c in channels}
 
 
@@ -36,7 +37,7 @@ def mean_errors(steps: Steps, train: Column) -> DataFrame:
     values = {f"{who}_{c}": mean(who, c) for who in ("pred", "truth", "truth_prev") for c in MEANS}
     rows = steps.cells.groupBy(*KEYS).agg(*(v.alias(n) for n, v in values.items()))
     days = rows.where(train).withColumn("day", F.col("start") + F.col("lead")).groupBy("day").agg(*(F.first(F.col(f"truth_{c}") - F.col(f"truth_prev_{c}")).alias(c) for c in MEANS))
-    found = days.agg(*(F.stddev_pop(c).alias(c) for c in MEANS)).first()
+    found = days.agg(*(std_pop(c).alias(c) for c in MEANS)).first()
     error = sum((((F.col(f"pred_{c}") - F.col(f"truth_{c}")) / (found[c] or 1.0)) ** 2 for c in MEANS), F.lit(0.0))
     return rows.select(*KEYS, error.alias("means"))
 

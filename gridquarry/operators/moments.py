@@ -14,9 +14,15 @@ def safe(std: Column) -> Column:
     return F.when(std > 0, std).otherwise(1.0)
 
 
+def std_pop(value: str | Column) -> Column:
+    """Population standard deviation, exactly 0 where all values are equal: there merged partial results may leave a rounding error."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(F.max(v) - F.min(v) == 0, 0.0).otherwise(F.stddev_pop(v))
+
+
 def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean and population std of the non-null values, std 0 made 1; partial sums merge before the shuffle."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), safe(F.stddev_pop(value)).alias("std"))
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), safe(std_pop(value)).alias("std"))
 
 
 def with_change(df: DataFrame, chain: list[str], day: str, value: str, used: Column | None = None) -> DataFrame:
@@ -33,8 +39,8 @@ def train_statistics(df: DataFrame, by: list[str], chain: list[str], day: str, v
     rows = with_change(df, chain, day, value, used)
     kept = rows if used is None else rows.where(used)
     s = kept.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("raw"),
-        F.count("change").alias("n_diff"), F.avg("change").alias("diff_mean"), F.stddev_pop("change").alias("raw_diff"),
+        F.count(value).alias("n"), F.avg(value).alias("mean"), std_pop(value).alias("raw"),
+        F.count("change").alias("n_diff"), F.avg("change").alias("diff_mean"), std_pop("change").alias("raw_diff"),
     )
     floored = F.greatest(F.coalesce("raw_diff", F.lit(0.0)), CHANGE_FLOOR * F.col("raw"))
     return s.select(*by, "n", "mean", safe(F.col("raw")).alias("std"), "n_diff", "diff_mean", safe(floored).alias("diff_std"))

@@ -266,9 +266,9 @@ def regions(spark, sf):
 
 @query("i07_safe_std", "SELECT p_size AS size, round(CASE WHEN stddev_pop(p_size) > 0 THEN stddev_pop(p_size) ELSE 1 END, 6) AS std FROM part GROUP BY p_size")
 def safe_std(spark, sf):
-    from ..operators.moments import safe
+    from ..operators.moments import safe, std_pop
 
-    return tidy(table(spark, sf, "part").groupBy(F.col("p_size").alias("size")).agg(safe(F.stddev_pop("p_size")).alias("std")), 6)
+    return tidy(table(spark, sf, "part").groupBy(F.col("p_size").alias("size")).agg(safe(std_pop("p_size")).alias("std")), 6)
 
 
 @query("i08_grid_spacing", "WITH s AS (SELECT c_nationkey AS line, c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS d FROM customer) SELECT line, round(quantile_cont(abs(d), 0.5), 6) AS spacing FROM s WHERE d IS NOT NULL GROUP BY line")

@@ -34,6 +34,15 @@ def test_constant_features_have_std_one_and_change_floor(spark):
     assert got["space"]["std"] == 0.5 and got["space"]["diff_std"] == 0.05 * 0.5
 
 
+def test_constant_groups_of_many_partitions_have_std_one(spark):
+    df = spark.range(0, 40_000, 1, 7).select((F.col("id") % 50 + 1).cast("int").alias("k"), ((F.col("id") % 50 + 1) / 10).alias("v"))
+    assert {r["std"] for r in moments.moments(df, ["k"], "v").collect()} == {1.0}
+    assert {r["std"] for r in df.groupBy("k").agg(moments.std_pop("k").alias("std")).collect()} == {0.0}
+    odd = spark.createDataFrame([("n", None), ("m", float("nan")), ("m", 1.0), ("t", 1.0), ("t", 3.0), ("t", None)], "k string, v double").groupBy("k").agg(moments.std_pop("v").alias("std"))
+    got = {r["k"]: r["std"] for r in odd.collect()}
+    assert got["n"] is None and math.isnan(got["m"]) and got["t"] == 1.0
+
+
 def test_a_missing_or_unused_day_breaks_the_chain(spark):
     rows = [(DAY + timedelta(d), float(v), u) for d, v, u in [(0, 1, True), (1, 3, True), (3, 9, True), (4, 10, False), (5, 20, True), (6, 26, True)]]
     df = spark.createDataFrame(rows, "day date, value double, used boolean").withColumn("k", F.lit(1))
