@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scores as ops
 from ..operators.selection import quantiles
+from ..shared import spread
 from .registry import query
 from .tables import DAILY, MEMBERS, SAMPLES, daily, members, samples, table
 
@@ -199,10 +200,9 @@ def thickness_weighted(spark, sf):
     """Squared error over the variance, weighted by the layer's thickness over its column's mean."""
     from pyspark.sql import Window
 
-    rows = samples(spark, sf).withColumn("col", F.avg("w").over(Window.partitionBy("start")))
-    std = rows.groupBy("field").agg(F.stddev_pop("truth").alias("std"))
-    z = (F.col("pred") - F.col("truth")) / F.col("std")
-    return tidy(rows.join(std, "field").groupBy("field").agg(F.avg(F.col("w") / F.col("col") * z * z).alias("loss")), 6)
+    rows = spread(samples(spark, sf), "start").withColumn("col", F.avg("w").over(Window.partitionBy("start")))
+    e = F.col("pred") - F.col("truth")
+    return tidy(rows.where("field IS NOT NULL").groupBy("field").agg((F.avg(F.col("w") / F.col("col") * e * e) / F.var_pop("truth")).alias("loss")), 6)
 
 
 @query("e33_verdict", f"WITH {SUMS}, r AS (SELECT sqrt(we2/w) AS rmse, sqrt(wp2/w) AS pers, {CORR} AS corr FROM sums) SELECT bool_and(coalesce(rmse < pers AND corr > 0, false)) AS passed, count(*) AS n, count_if(rmse < pers) AS better FROM r")

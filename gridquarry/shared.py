@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of files, as Spark estimates them for the columns read, whose rows a task takes when they are dealt by key.
+PART_BYTES = 4 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, columns and filters over a scan, dealt by keys into parts whose number grows with the files, so that what a task sorts or holds doesn't; at least the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-size // PART_BYTES)), *keys)
+
+
 class Stored:
     """Rows in a table of their own in the shared folder. Unlike a checkpoint it doesn't carry its plan's estimated size on, which joins in a loop multiply."""
 
