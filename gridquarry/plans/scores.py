@@ -62,9 +62,10 @@ def step_scores(spark, sf):
 def persistence_loss(spark, sf):
     """Weighted squared error over the variance, of no change, per lead."""
     rows = samples(spark, sf)
-    std = rows.groupBy("field").agg(F.stddev_pop("truth").alias("std"))
-    z = (F.col("x0") - F.col("truth")) / F.col("std")
-    return tidy(rows.join(std, "field").groupBy("lead").agg((F.sum(F.col("w") * z * z) / F.sum("w")).alias("wmse")), 6)
+    variance = rows.groupBy("field").agg(F.var_pop("truth").alias("variance"))
+    e = F.col("x0") - F.col("truth")
+    sums = rows.groupBy("field", "lead").agg(F.sum(F.col("w") * e * e).alias("we2"), F.sum("w").alias("w"))  # few rows: no sample meets its variance by a shuffle
+    return tidy(sums.join(variance, "field").groupBy("lead").agg((F.sum(F.col("we2") / F.col("variance")) / F.sum("w")).alias("wmse")), 6)
 
 
 CRPS = MEMBERS + """, sorted AS (SELECT key, grp, x, y, w, row_number() OVER (PARTITION BY key ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY key) AS m FROM members),
