@@ -185,13 +185,12 @@ def offset_pattern(spark, sf):
 def mean_penalty(spark, sf):
     """Weighted mean square error over the variance, plus a tenth of the squared error of domain totals in their scales."""
     rows = samples(spark, sf)
-    std = rows.groupBy("field").agg(F.stddev_pop("truth").alias("std"))
-    z = (F.col("pred") - F.col("truth")) / F.col("std")
-    base = rows.join(std, "field").agg(F.lit(1).alias("one"), (F.sum(F.col("w") * z * z) / F.sum("w")).alias("base"))
-    totals = rows.groupBy("start", "lead").agg(F.sum("truth").alias("truth"), F.sum("pred").alias("pred"))
-    scale = totals.groupBy("lead").agg(F.stddev_pop("truth").alias("s"))
-    q = (F.col("pred") - F.col("truth")) / F.col("s")
-    penalty = totals.join(scale, "lead").agg(F.lit(1).alias("one"), F.avg(q * q).alias("penalty"))
+    e = F.col("pred") - F.col("truth")
+    fields = rows.where("field IS NOT NULL").groupBy("field").agg((F.sum(F.col("w") * e * e) / F.var_pop("truth")).alias("z2"), F.sum("w").alias("w"))
+    base = fields.agg(F.lit(1).alias("one"), (F.sum("z2") / F.sum("w")).alias("base"))
+    totals = spread(rows.where("lead IS NOT NULL").select("start", "lead", "truth", "pred"), "start").groupBy("start", "lead").agg(F.sum("truth").alias("truth"), F.sum("pred").alias("pred"))
+    leads = totals.groupBy("lead").agg((F.sum(e * e) / F.var_pop("truth")).alias("q2"), F.count(e).alias("n"))
+    penalty = leads.agg(F.lit(1).alias("one"), (F.sum("q2") / F.sum("n")).alias("penalty"))
     return tidy(base.join(penalty, "one").select((F.col("base") + 0.1 * F.col("penalty")).alias("loss")), 6)
 
 
