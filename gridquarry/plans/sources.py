@@ -15,7 +15,7 @@ from ..sources import metrics as met
 from ..sources import packs, reports
 from .registry import query
 from .scores import tidy
-from .tables import DAILY, FIELDS, IMAGE, SAMPLES, daily, fields, image, samples, table
+from .tables import DAILY, FIELDS, IMAGE, SAMPLES, daily, fields, image, lined, samples, table
 
 
 def shared(spark) -> str:
@@ -331,7 +331,7 @@ def rollout_parts(spark, sf):
 def valid_days(spark, sf):
     """(start, lead) rows with their valid day and whether the start was trained on."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = lined(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), orders)
     return rows.groupBy(F.col("l_orderkey").alias("start"), F.col("l_linenumber").alias("lead"), F.date_add("o_orderdate", F.col("l_linenumber")).alias("valid"), (F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")).alias("in_sample")).agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import parts_of
+
 
 #: Factors that give the tables' short decimals many places, so that nothing lies halfway between two roundings.
 TRUTH, PRED, X0 = 1.00031729137, 0.99983172619, 1.00017139271
@@ -27,11 +29,17 @@ SAMPLES = f"""samples AS (SELECT l_returnflag AS field, l_linenumber AS lead, l_
     l_extendedprice * (1 - l_discount) * {PRED}::DOUBLE AS pred, l_extendedprice * (1 + l_tax) * {X0}::DOUBLE AS x0, l_quantity AS w FROM lineitem)"""
 
 
+def lined(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines, columns over a scan, with their order."""
+    n = parts_of(lines)
+    return lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ensemble members: key, member, value x, beside truth y and weight w of the key, by group."""
+    """Ensemble members: key, member, value x, beside truth y and weight w of the key, by group; dealt by key into parts that grow with the files."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return lined(lines, orders).select(
         F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("grp"), F.col("l_linenumber").alias("member"),
         (F.col("l_extendedprice") / 1000 * TRUTH).alias("x"), (F.col("o_totalprice") / 4000 * PRED).alias("y"), F.col("l_quantity").alias("w"),
     )

@@ -36,9 +36,13 @@ PART_BYTES = 4 << 20
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df``, columns and filters over a scan, dealt by keys into parts whose number grows with the files, so that what a task sorts or holds doesn't; at least the session's number."""
+    return df.repartition(parts_of(df), *keys)
+
+
+def parts_of(df: DataFrame) -> int:
+    """Into how many parts ``spread`` deals ``df``."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-size // PART_BYTES)), *keys)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
 class Stored:

@@ -44,3 +44,10 @@ def test_parts_grow_with_the_files(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(shared, "PART_BYTES", 1000)
     assert shared.spread(rows, "l_orderkey").rdd.getNumPartitions() > 16
     assert shared.spread(rows.where(F.lit(False)), "l_orderkey").count() == 0
+
+
+@pytest.mark.parametrize("name", ["b11_valid_days", "e10_ensemble_scores", "e11_calibration", "e11_gaussian_scores", "f10_projected_thickness", "i06_gaussian_crps", "n04_crps_loss"])
+def test_keys_are_dealt_to_parts_that_grow_with_the_files(spark, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(shared, "PART_BYTES", 1000)
+    by_key = [parts for key, parts, _ in dealt(plan(spark, sf_dir, name)) if key in ("l_orderkey", "o_orderkey", "col", "key")]
+    assert by_key and min(by_key) > 16
