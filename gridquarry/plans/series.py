@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import moments as mom
 from ..operators import series as ops
+from ..shared import spread
 from .registry import query
 from .scores import tidy
 from .tables import DAILY, SAMPLES, daily, samples, table
@@ -98,7 +99,8 @@ LAYERS = "layers AS (SELECT l_orderkey AS col, l_linenumber AS level, row_number
 
 def layers(spark, sf):
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    return spread(lines, "l_orderkey").select(
         F.col("l_orderkey").alias("col"), F.col("l_linenumber").alias("level"), k.alias("k"), (F.col("l_quantity") - 8).alias("dp"),
         F.when(F.col("l_discount") > 0.02, F.col("l_quantity") * 0.9).otherwise(0.0).alias("prev"), (F.col("l_tax") + 0.01).alias("cv"),
     )
