@@ -49,8 +49,8 @@ def combined(sums: DataFrame, by: list[str], weight: str) -> DataFrame:
     return sums.groupBy(*by).agg(*(F.sum(F.col(k) * F.col(weight)).alias(k) for k in names))
 
 
-def fair_crps(df: DataFrame, key: list[str], x: str = "x", y: str = "y", alpha: float | None = None) -> DataFrame:
-    """Per key: members M, ensemble mean, sample variance and CRPS of the members against the truth.
+def fair_crps(df: DataFrame, key: list[str], x: str = "x", y: str = "y", alpha: float | None = None, w: str | None = None) -> DataFrame:
+    """Per key: members M, ensemble mean, sample variance and CRPS of the members against the truth; the sum of their weights if ``w`` names them.
 
     The pair term comes from the sorted members: sum (2 i - M + 1) x_i over M (M - 1); with ``alpha`` it is
     scaled by 1 - (1 - alpha) / M. A single member scores its absolute error.
@@ -62,9 +62,9 @@ def fair_crps(df: DataFrame, key: list[str], x: str = "x", y: str = "y", alpha:
     if alpha is not None:
         pairs = pairs * (1 - (1 - alpha) / m)
     away = F.aggregate("xs", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("y"))) / m
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(x)).alias("xs"), F.first(y).alias("y"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"))
+    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(x)).alias("xs"), F.first(y).alias("y"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), *([F.sum(w).alias(w)] if w else []))
     member = F.aggregate("xs", F.lit(0.0), lambda a, v: a + (v - F.col("y")) * (v - F.col("y"))) / m
-    return rows.select(*key, F.size("xs").alias("members"), "y", "mean", "variance", member.alias("e2_member"), F.when(m > 1, away - pairs).otherwise(away).alias("crps"))
+    return rows.select(*key, F.size("xs").alias("members"), "y", "mean", "variance", member.alias("e2_member"), F.when(m > 1, away - pairs).otherwise(away).alias("crps"), *([w] if w else []))
 
 
 def spread_skill(df: DataFrame, by: list[str], w: str = "w") -> DataFrame:

@@ -86,10 +86,8 @@ def almost_fair_crps(spark, sf):
     round(sqrt(sum(w*variance*(members+1)/members)/sum(w)), 6) AS spread, round(sqrt(sum(w*variance*(members+1)/members)/sum(w*(mean-y)*(mean-y))), 6) AS spread_skill,
     round(sum(w*(away - pairs/(members*(members-1))))/sum(w), 6) AS crps FROM crps WHERE members > 1 GROUP BY grp""")
 def ensemble_scores(spark, sf):
-    rows = members(spark, sf)
-    scored = ops.fair_crps(rows, ["grp", "key"]).where("members > 1")
-    weights = rows.groupBy("key").agg(F.sum("w").alias("w"))
-    return tidy(ops.spread_skill(scored.join(weights, "key"), ["grp"]), 6)
+    scored = ops.fair_crps(members(spark, sf), ["grp", "key"], w="w").where("members > 1")
+    return tidy(ops.spread_skill(scored, ["grp"]), 6)
 
 
 @query("e31_spread_skill", f"WITH {CRPS} SELECT round(sqrt(avg(variance*(members+1)/members) / avg((mean-y)*(mean-y))), 6) AS ratio FROM crps WHERE members > 1")
