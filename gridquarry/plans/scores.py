@@ -103,9 +103,7 @@ GAUSS = f"""WITH {CRPS}, g AS (SELECT grp, w, mean, sqrt(variance) AS sigma, y,
 
 
 def gaussian(spark, sf):
-    rows = members(spark, sf)
-    weights = rows.groupBy("key").agg(F.sum("w").alias("w"))
-    return ops.fair_crps(rows, ["grp", "key"]).where("members > 1 AND variance > 0").join(weights, "key").withColumn("sigma", F.sqrt("variance"))
+    return ops.fair_crps(members(spark, sf), ["grp", "key"], w="w").where("members > 1 AND variance > 0").withColumn("sigma", F.sqrt("variance"))
 
 
 @query("e11_gaussian_scores", GAUSS + """ SELECT grp, round(sqrt(sum(w*(mean-y)*(mean-y))/sum(w)), 5) AS rmse, round(sqrt(sum(w*sigma*sigma)/sum(w)), 5) AS sigma, round(sum(w*c)/sum(w), 5) AS crps,
