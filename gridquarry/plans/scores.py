@@ -125,7 +125,7 @@ def calibrated(spark, sf):
     rows = gaussian(spark, sf)
     factor = ops.calibration(rows, ["grp"], "mean", "y", "variance", "w")
     inside = ops.covered(F.col("mean"), F.col("sigma") * F.col("factor"), F.col("y"), 1)
-    out = rows.join(factor, "grp").groupBy("grp").agg(F.first("factor").alias("factor"), (F.sum(F.col("w") * inside) / F.sum("w")).alias("within1"))
+    out = rows.join(F.broadcast(factor), "grp").groupBy("grp").agg(F.first("factor").alias("factor"), (F.sum(F.col("w") * inside) / F.sum("w")).alias("within1"))
     return tidy(out, 5, within1=6)
 
 
