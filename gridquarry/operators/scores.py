@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .digests import heads
 from .selection import placed
 
 #: Sea water density and heat capacity.
@@ -166,6 +168,56 @@ BLOCK = 8192
 CELL_STARTS, DRAWS_AT_ONCE = 4096, 64
 
 
+#: Groups whose draws a task adds up before it gives them out.
+GROUPS_HELD = 256
+
+
+def poisson_sums(sums: DataFrame, by: str, start: str, columns: list[str], draws: int, steps: list[float]) -> DataFrame:
+    """(by, draw, columns...): sums of ``sums`` (a row for each by and start) in which a start counts, in draw 1 to ``draws``, as often as its hashed share reaches one of ``steps``.
+
+    The share is of the first 8 hex digits of md5("start:draw"). Rows are in order of starts, so that the groups of a start share its
+    digests; a batch's draws are one matrix product, and a task gives out one row for each group and draw.
+    """
+    kind, bounds = sums.schema[by].dataType.simpleString(), [math.ceil(Fraction(p) * 2**32) for p in steps]
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def out() -> pd.DataFrame:
+            group = np.repeat(np.array([*held, None], object)[:-1], draws)
+            return pd.DataFrame({by: group, "draw": np.tile(np.arange(1, draws + 1), len(held)), **dict(zip(columns, np.concatenate([*held.values()]).T, strict=True))})
+
+        for p in parts:
+            group, groups = pd.factorize(p[by], use_na_sentinel=False)
+            at, starts = pd.factorize(p["__start"])  # -1: null, which has no digest and counts 0 times
+            values = np.zeros((len(starts), len(groups), len(columns)))
+            there = at >= 0
+            np.add.at(values, (at[there], group[there]), p[columns].to_numpy(float)[there])
+            texts = np.array([*(s.encode() for s in starts), None], object)[:-1]
+            counts = np.zeros((draws, len(starts)))
+            for n, head in zip(counts, heads(texts, [f":{d}" for d in range(1, draws + 1)]), strict=True):
+                for b in bounds:
+                    n += head >= b
+            total = (counts @ values.reshape(len(starts), -1)).reshape(draws, len(groups), len(columns))
+            for k, g in enumerate(groups):
+                g = None if pd.isna(g) else g
+                held[g] = held[g] + total[:, k] if g in held else total[:, k]
+            if len(held) > GROUPS_HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    ordered = sums.select(by, F.col(start).cast("string").alias("__start"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns)).sortWithinPartitions("__start")
+    each = ordered.mapInPandas(draw, f"{by} {kind}, draw int, " + ", ".join(f"{c} double" for c in columns))
+    return each.groupBy(by, "draw").agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def picked(rng: np.random.Generator, size: int, n: int) -> np.ndarray:
+    """How often each of so many starts is picked in n picks; quicker than a binomial number for each start, by the same law."""
+    return np.bincount(rng.integers(0, size, n, np.uint32), minlength=size)
+
+
 def bootstrap_sums(sums: DataFrame, by: str, start: str, columns: list[str], draws: int, seed: int) -> DataFrame:
     """(by, draw, columns...): sums of ``sums`` (one row for each by and start) over starts drawn with repetition, as many as there are, so often.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import moments as mom
 from ..operators import scores as sco
 from ..operators.selection import at_rank, placed, quantiles
-from ..shared import cut
+from ..shared import cut, spread
 from .registry import query
 from .scores import tidy
 from .tables import CELLS, DAILY, FIELDS, IMAGE, SAMPLES, TRUTH, cells, daily, fields, image, samples, table
@@ -166,12 +166,9 @@ POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
     SELECT field, round(quantile_cont(slope, 0.05), 6) AS low, round(quantile_cont(slope, 0.95), 6) AS high FROM s GROUP BY field""")
 def bootstrap_slope(spark, sf):
     """Quantiles of the pooled slope over resampled starts: each start counts a hashed, Poisson-distributed number of times in each draw, so no draw gathers the rows."""
-    draws = 200
-    rows = samples(spark, sf).groupBy("field", "start").agg(F.sum(F.col("pred") * F.col("pred")).alias("ff"), F.sum(F.col("pred") * F.col("truth")).alias("fy"))
-    each = rows.select("field", "start", "ff", "fy", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("start").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    n = sum(((u >= b).cast("int") for b in POISSON), F.lit(0))
-    s = each.withColumn("n", n).groupBy("field", "draw").agg((F.sum(F.col("n") * F.col("fy")) / F.sum(F.col("n") * F.col("ff"))).alias("slope"))
+    rows = spread(samples(spark, sf).select("field", "start", "pred", "truth"), "start").groupBy("field", "start").agg(F.sum(F.col("pred") * F.col("pred")).alias("ff"), F.sum(F.col("pred") * F.col("truth")).alias("fy"))
+    drawn = sco.poisson_sums(rows, "field", "start", ["ff", "fy"], 200, POISSON)
+    s = drawn.select("field", (F.col("fy") / F.col("ff")).alias("slope"))
     q = s.groupBy("field").agg(F.expr("percentile(slope, array(0.05, 0.95))").alias("q"))
     return tidy(q.select("field", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")), 6)
 

@@ -1,7 +1,9 @@
 """What a task reads or holds stays bounded where tables grow."""
 
+import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def dealt(lines):
     found = []
     for at, line in enumerate(lines):
         if m := re.search(r"Exchange hashpartitioning\((.*), (\d+)\)", line):
-            found.append((re.sub(r"#\d+L?", "", m[1]), int(m[2]), "Aggregate" in lines[at + 1]))
+            found.append((re.sub(r"#\d+L?", "", m[1]), int(m[2]), "Aggregate" in "".join(lines[at + 1 : at + 2])))
     return found
 
 
@@ -51,3 +53,30 @@ def test_keys_are_dealt_to_parts_that_grow_with_the_files(spark, sf_dir, name, m
     monkeypatch.setattr(shared, "PART_BYTES", 1000)
     by_key = [parts for key, parts, _ in dealt(plan(spark, sf_dir, name)) if key in ("l_orderkey", "o_orderkey", "col", "key")]
     assert by_key and min(by_key) > 16
+
+
+def test_a_start_has_one_digest_for_all_its_groups_and_draws(spark):
+    from gridquarry.operators import digests, scores
+
+    rows = [(g, s, float(len(g or "") + len(s or "")), 1.0 if g else None) for g in ("A", "bc", None) for s in ("1", "22", "", "x" * 53, "y" * 70, "é", None)]
+    df = spark.createDataFrame(rows, "g string, s string, v double, n double").repartition(1)
+    steps = [0.3, 0.7, 0.9]
+
+    def share(s, d):
+        return 0 if s is None else sum(int(hashlib.md5(f"{s}:{d}".encode()).hexdigest()[:8], 16) / 2**32 >= p for p in steps)
+
+    want = {(g, d): (sum(share(s, d) * v for k, s, v, _ in rows if k == g), sum(share(s, d) * (n or 0) for k, s, _, n in rows if k == g)) for g in ("A", "bc", None) for d in range(1, 13)}
+    assert {(r["g"], r["draw"]): (r["v"], r["n"]) for r in scores.poisson_sums(df, "g", "s", ["v", "n"], 12, steps).collect()} == want
+    texts = [b"1", b"", b"x" * 53, b"y" * 70]
+    assert [h.tolist() for h in digests.heads(np.array([*texts, None], object)[:-1], [":1", ":22"])] == [[int(hashlib.md5(t + e).hexdigest()[:8], 16) for t in texts] for e in (b":1", b":22")]
+
+
+def test_counts_of_a_cell_are_made_from_picks(spark):
+    """A number for each pick, not a binomial number for each start."""
+    from gridquarry.operators import scores
+
+    sums = spark.range(3000).select(F.lit("a").alias("g"), "id", F.lit(1.0).alias("n"), (F.col("id") % 7).cast("double").alias("v"))
+    rows = scores.bootstrap_sums(sums, "g", "id", ["n", "v"], 300, 5).agg(F.min("n"), F.max("n"), F.avg("v"), F.stddev_pop("v"), F.count("*")).first()
+    assert rows[0] == rows[1] == 3000.0 and rows[4] == 300
+    assert abs(rows[2] - 3000 * 3) < 40 and 90 < rows[3] < 130  # the std of a draw's sum is 2 times the root of 3,000
+    assert scores.picked(np.random.default_rng(1), 4, 0).tolist() == [0, 0, 0, 0] and scores.picked(np.random.default_rng(1), 1, 9).tolist() == [9]
