@@ -247,8 +247,8 @@ def bootstrap_sums(sums: DataFrame, by: str, start: str, columns: list[str], dra
         out = []
         for at in range(0, len(picks), DRAWS_AT_ONCE):
             some = picks.iloc[at : at + DRAWS_AT_ONCE]
-            counts = np.stack([np.random.default_rng([seed + 1, group, cell, d]).multinomial(n, np.full(len(p), 1 / len(p))) for d, n in zip(some["draw"].tolist(), some["picks"].tolist(), strict=True)])
-            out.append(counts @ values)
+            counts = np.stack([picked(np.random.default_rng([seed + 1, group, cell, d]), len(p), n) for d, n in zip(some["draw"].tolist(), some["picks"].tolist(), strict=True)])
+            out.append(counts.astype(float) @ values)
         return pd.DataFrame({by: key[0], "draw": picks["draw"].to_numpy(), **dict(zip(columns, np.concatenate(out).T, strict=True))})
 
     schema = f"{by} {kind}, draw int, " + ", ".join(f"{c} double" for c in columns)
