@@ -255,7 +255,8 @@ def front_medians(spark, sf):
 def best_median_worst(spark, sf):
     """The samples ranked first, in the middle and last by skill."""
     e, p = F.col("pred") - F.col("truth"), F.col("x0") - F.col("truth")
-    s = samples(spark, sf).groupBy("start").agg(F.sqrt(F.avg(e * e)).alias("e"), F.sqrt(F.avg(p * p)).alias("p")).where("p > 0").select("start", (F.col("e") / F.col("p")).alias("skill"))
+    rows = spread(samples(spark, sf).select("start", "truth", "pred", "x0"), "start")
+    s = cut(rows.groupBy("start").agg(F.sqrt(F.avg(e * e)).alias("e"), F.sqrt(F.avg(p * p)).alias("p")).where("p > 0").select("start", (F.col("e") / F.col("p")).alias("skill")))  # read by each pass
     n = s.count()
     if not n:
         return s.select(F.lit("").alias("which"), "start", "skill")

@@ -80,3 +80,8 @@ def test_counts_of_a_cell_are_made_from_picks(spark):
     assert rows[0] == rows[1] == 3000.0 and rows[4] == 300
     assert abs(rows[2] - 3000 * 3) < 40 and 90 < rows[3] < 130  # the std of a draw's sum is 2 times the root of 3,000
     assert scores.picked(np.random.default_rng(1), 4, 0).tolist() == [0, 0, 0, 0] and scores.picked(np.random.default_rng(1), 1, 9).tolist() == [9]
+
+
+def test_ranked_samples_are_scored_once(spark, sf_dir):
+    lines = plan(spark, sf_dir, "g01_best_median_worst")
+    assert any("ExistingRDD" in x for x in lines) and not any("lineitem" in x for x in lines)
