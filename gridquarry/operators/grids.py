@@ -143,6 +143,59 @@ def smoothed(df: DataFrame, by: list[str], value: str, sigma: float, truncate: f
     return smoothed_by(rows, by, {value: "__valid"}, {"s": sigma}, truncate, least, size).withColumnRenamed(f"{value}_s", value)
 
 
+#: Cells times values that an image's smoothing takes at once.
+AT_ONCE = 1 << 20
+
+
+def smoothed_images(df: DataFrame, by: list[str], values: dict[str, str], sigmas: dict[str, float], slopes: dict[str, str], truncate: float = 3.0, least: float = 0.5) -> DataFrame:
+    """``smoothed_by``, nothing being beyond the edges, with value_d<axis>_scale: the difference of a mean's two neighbours along each axis of ``slopes``; null unless the cell and both have one.
+
+    An image is a group, and the most that is held, so rows that lie by (some of) ``by`` already aren't shuffled again.
+    """
+    masks, weights = sorted(set(values.values())), {s: kernel(sigma, truncate) for s, sigma in sigmas.items()}
+    cells = df.select(*by, "y", "x", *(F.coalesce(F.when(F.col(m), F.col(v).cast("double")), F.lit(0.0)).alias(v) for v, m in values.items()), *(F.coalesce(m, F.lit(False)).cast("double").alias(m) for m in masks))
+    names = [n for s in weights for v in values for n in (f"{v}_{s}", *(f"{v}_d{a}_{s}" for a in slopes.get(v, "")))]
+    out = StructType([*(cells.schema[k] for k in (*by, "y", "x")), *(StructField(n, DoubleType()) for n in names)])
+    schema, order = to_arrow_schema(out), list(values)
+
+    def both(a: np.ndarray, w: dict[int, float]) -> np.ndarray:
+        """Images' (n, y, x) weighted sums along rows, then along columns."""
+        n, ny, nx = a.shape
+        across = _convolved(a.reshape(n * ny, nx), w, None).reshape(n, ny, nx).transpose(0, 2, 1)
+        return _convolved(across.reshape(n * nx, ny), w, None).reshape(n, nx, ny).transpose(0, 2, 1)
+
+    def run(image: pa.Table) -> pa.Table:
+        place = [image.column(c).to_numpy() for c in ("y", "x")]
+        y, x = (p - p.min() for p in place)
+
+        def grids_of(some: list[str]) -> np.ndarray:
+            a = np.zeros((len(some), int(y.max()) + 1, int(x.max()) + 1))
+            for k, c in enumerate(some):
+                a[k, y, x] = image.column(c).to_numpy()
+            return np.nan_to_num(a, copy=False)
+
+        there, found = grids_of(masks), {}
+        reach = {s: both(there, w) for s, w in weights.items()}
+        many = max(1, AT_ONCE // there[0].size)
+        for first in range(0, len(order), many):
+            some = order[first : first + many]
+            at, raw = [masks.index(values[v]) for v in some], grids_of(some)
+            for s, w in weights.items():
+                den = reach[s][at]
+                mean = np.where((there[at] > 0) & (den >= least) & (den > 0), both(raw, w) / np.where(den > 0, den, 1), np.nan)
+                found |= zip((f"{v}_{s}" for v in some), mean[:, y, x], strict=True)
+                for axis in "xy":
+                    sloped = [k for k, v in enumerate(some) if axis in slopes.get(v, "")]
+                    m = mean[sloped] if axis == "x" else mean[sloped].transpose(0, 2, 1)
+                    d = np.full(m.shape, np.nan)
+                    d[:, :, 1:-1] = np.where(np.isnan(m[:, :, 1:-1]), np.nan, m[:, :, 2:] - m[:, :, :-2])
+                    found |= zip((f"{some[k]}_d{axis}_{s}" for k in sloped), d[:, y, x] if axis == "x" else d[:, x, y], strict=True)
+        doubles = [pa.array(found[n], mask=np.isnan(found[n])) for n in names]
+        return pa.Table.from_arrays([*(image.column(c) for c in (*by, "y", "x")), *doubles], schema=schema)
+
+    return cells.groupBy(*by).applyInArrow(run, out)
+
+
 def front_edges(df: DataFrame, by: list[str], speed: str, region: str, threshold: float) -> DataFrame:
     """``df`` with ``edge``: fast, in the region and not surrounded by fast cells; null, NaN and outside are slow."""
     fast = F.coalesce((F.col(speed) >= threshold) & ~F.isnan(speed), F.lit(False))

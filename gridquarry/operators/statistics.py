@@ -57,13 +57,15 @@ class Steps:
 
     grid: for each (y, x) lon, lat, depth, area (the weight), region, whether it is sea at each level (``sea_<depth>m``),
     front and deep (regions of the front and of the main piece), strip (where the main piece is sought). It is of
-    one image's size, so masks are taken to the driver and joins are left to Spark's size check.
+    one image's size, so masks are taken to the driver and joins are left to Spark's size check. kept: the rows lie by
+    start and are made of stored days, so each plan makes them anew and they are not stored cell by cell.
     """
 
     rows: DataFrame
     grid: DataFrame
     levels: tuple[int, ...]
     spacing: float  # degrees
+    kept: bool = False
     shared: dict[str, DataFrame] = field(default_factory=dict)
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -202,7 +204,7 @@ def fronts_family(steps: Steps, chosen: list[str]) -> DataFrame:
     rows = steps.cells.select(*KEYS, "y", "x", "front", phys.cell_km(F.col("lat"), steps.spacing).alias("km"), *(_speed(x).alias(f"speed_{n}") for n, x in speeds.items()))
     for n in speeds:
         rows = grids.front_edges(rows, KEYS, f"speed_{n}", "front", FRONT_MS).withColumnRenamed("edge", n).drop(f"speed_{n}")
-    rows = cut(rows)
+    rows = cut(rows).repartition(*KEYS)
     parts = [grids.front_distance(rows, KEYS, n, "truth", "km", tail=False).select(*KEYS, F.col("mean_km").alias(f"front_mean_km_{n}"), F.col("hausdorff_km").alias(f"front_hausdorff_km_{n}")) for n in ("model", "pers")]
     return parts[0].join(parts[1], KEYS).select(*KEYS, *chosen)
 
@@ -210,6 +212,12 @@ def fronts_family(steps: Steps, chosen: list[str]) -> DataFrame:
 # Scale-space operators and balances
 
 
+def _slopes() -> dict[str, str]:
+    """The axes along which each smoothed value's derivative is taken."""
+    out = {f"{v}{z}": "xy" if z == 0 else other for v, other in (("u", "y"), ("v", "x")) for z in VORTICITY}
+    return out | {"ssh": "xy", "hu": "x", "hv": "y"} | {f"rho{a}": "xy" for a, _ in SHEAR}
+
+
 def _balances(steps: Steps) -> DataFrame:
     """(start, lead, scale, region, ...): each cell's operators of the smoothed states, vorticity, divergence, and both sides of each tie; null where they don't hold."""
     values: dict[str, tuple[str, Column]] = {}
@@ -225,22 +233,18 @@ def _balances(steps: Steps) -> DataFrame:
             values |= {f"{x}_{n}": v for n, v in (shear | {f"rho{a}": (f"both_{a}", rho)}).items()}
     rows = steps.cells.withColumns({f"both_{a}": F.col(f"sea_{a}m") & F.col(f"sea_{b}m") for a, b in SHEAR})
     masks = sorted({m for m, _ in values.values()})
-    smooth = grids.smoothed_by(rows.select(*KEYS, "y", "x", *masks, *(v.alias(n) for n, (_, v) in values.items())), KEYS, {n: m for n, (m, _) in values.items()}, steps.sigmas)
+    slopes = {f"{x}_{n}": axes for x in WHO.values() for n, axes in _slopes().items()}
+    smooth = grids.smoothed_images(rows.select(*KEYS, "y", "x", *masks, *(v.alias(n) for n, (_, v) in values.items())), KEYS, {n: m for n, (m, _) in values.items()}, steps.sigmas, slopes)
     place, by = steps.grid.select("y", "x", "lat", "region"), [*KEYS, "scale"]
-    scales = F.array(*(F.struct(F.lit(s).alias("scale"), *(F.col(f"{n}_{s}").alias(n) for n in values)) for s in SCALES_KM))
+    made = [*values, *(f"{n}_d{a}" for n, axes in slopes.items() for a in axes)]
+    scales = F.array(*(F.struct(F.lit(s).alias("scale"), *(F.col(f"{n}_{s}").alias(n) for n in made)) for s in SCALES_KM))
     rows = smooth.select(*KEYS, "y", "x", F.inline(scales)).join(place, ["y", "x"])
-    all_ = F.struct("y", "x", *values)
-    for axis, other in (("x", "y"), ("y", "x")):
-        w = Window.partitionBy(*by, other).orderBy(axis)
-        rows = rows.withColumns({f"before_{axis}": F.lag(all_).over(w), f"after_{axis}": F.lead(all_).over(w)})
     step = 2 * np.radians(steps.spacing) * grids.RADIUS
     sides = {"x": step * F.cos(F.radians("lat")), "y": F.lit(float(step))}
 
     def d(name: str, axis: str) -> Column:
         """The centred derivative; null unless the cell and both neighbours are valid."""
-        before, after = F.col(f"before_{axis}"), F.col(f"after_{axis}")
-        beside = (after[axis] - F.col(axis) == 1) & (F.col(axis) - before[axis] == 1) & F.col(name).isNotNull()
-        return F.when(beside, (after[name] - before[name]) / sides[axis])
+        return F.col(f"{name}_d{axis}") / sides[axis]
 
     f, tan_r = 2 * grids.OMEGA * F.sin(F.radians("lat")), F.tan(F.radians("lat")) / grids.RADIUS
     out = {}
@@ -352,9 +356,10 @@ def registry() -> dict[str, Statistic]:
 
 
 def stored_cells(steps: Steps, needs: set[tuple[str, str]]) -> None:
-    """Reads the channels that are needed of each state once, beside the grid, and stores them as the step that all others share."""
+    """The channels that are needed of each state beside the grid, as the step that all others share: read once and stored, unless the rows are."""
     channels = [F.col(f"{who}.{c}").cast("double").alias(f"{who}_{c}") for who, c in sorted(needs)]
-    steps.shared["cells"] = cut(steps.rows.select(*KEYS, "y", "x", *channels).join(steps.grid, ["y", "x"]))
+    rows = steps.rows.select(*KEYS, "y", "x", *channels).join(steps.grid, ["y", "x"])
+    steps.shared["cells"] = rows if steps.kept else cut(rows)
 
 
 def statistics(steps: Steps, chosen: list[str] | None = None, known: dict[str, Statistic] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import consistency, grids, losses, spectra
 from ..operators import scorecard as card
 from ..operators import statistics as ops
 from ..operators import topology as top
-from ..shared import cut
+from ..shared import cut, parts_of
 from .registry import query
 from .scores import tidy
 from .tables import FIELDS, table
@@ -23,6 +23,8 @@ LEVELS, SPACING, MOST_LEADS = (0, 100, 200, 500), 0.25, 10
 CHANNELS = [(f"{v}_{z}m", *of(z)) for v, of in {"temp": lambda z: (25 - z / 40, 6.0), "salin": lambda z: (35.5 + z / 1000, 1.0), "u": lambda z: (0.0, 4 - z / 250), "v": lambda z: (0.0, 4 - z / 250)}.items() for z in LEVELS]
 CHANNELS += [("ssh", 0.0, 1.5), ("ubaro", 0.0, 0.5), ("vbaro", 0.0, 0.5)]
 N = len(CHANNELS)
+#: Bytes of the files whose runs a task makes.
+RUN_BYTES = 1 << 20
 #: The model: 0.7 of a day and 0.2 of the day before make the next; by lead, what it takes of the last two true days.
 LAST, BEFORE = [1.0, 0.7], [0.0, 0.2]
 for _ in range(MOST_LEADS):
@@ -42,30 +44,40 @@ def grid(spark):
 
 
 def forecast(spark, sf):
-    """Runs of the model from every day that has one before it, up to ten days or the end of the record but one."""
-    rows = table(spark, sf, "embeddings").select(F.expr(f"int(vec_id div {N})").alias("day"), (F.col("vec_id") % N).alias("c"), F.col("embedding").cast("array<double>").alias("v"))
-    days = rows.groupBy("day").agg(F.count("*").alias("n"), *(F.first(F.when(F.col("c") == k, F.col("v")), True).alias(name) for k, (name, *_) in enumerate(CHANNELS))).where(F.col("n") == N)
-    cells = days.select("day", F.posexplode(F.arrays_zip(*(name for name, *_ in CHANNELS))).alias("at", "s"))
-    cells = cut(cells.select("day", F.expr("bigint(at div 8)").alias("y"), (F.col("at") % 8).cast("long").alias("x"), "s"))
-    t = (cells.agg(F.max("day")).first()[0] or 0) + 1
-    leads = F.sequence(F.lit(1), F.least(F.lit(MOST_LEADS), t - 2 - F.col("start")))
-    of = lambda day, name: cells.select(F.col("day").alias(day), "y", "x", F.col("s").alias(name))
-    runs = of("start", "x0").where(f"start >= 1 AND start <= {t - 3}").join(of("start", "x1").withColumn("start", F.col("start") + 1), ["start", "y", "x"]).withColumn("lead", F.explode(leads))
-    runs = runs.withColumns({"day": F.col("start") + F.col("lead"), "eve": F.col("start") + F.col("lead") - 1}).join(of("day", "t"), ["day", "y", "x"]).join(of("eve", "tp"), ["eve", "y", "x"])
+    """Runs of the model from every day that has one before it, up to ten days or the end of the record but one.
+
+    Whole days are stored. In a plan each start is sent those that its run takes, once, and its leads and cells are made of
+    them where they lie, so whatever is grouped by start needs no other shuffle.
+    """
+    rows = table(spark, sf, "embeddings").select(F.expr(f"int(vec_id div {N})").alias("day"), (F.col("vec_id") % N).alias("c"), F.col("embedding").alias("v"))
+    parts, names = parts_of(rows, RUN_BYTES), [name for name, *_ in CHANNELS]
+    days = rows.groupBy("day").agg(F.count("*").alias("n"), *(F.first(F.when(F.col("c") == k, F.col("v")), True).alias(name) for k, name in enumerate(names))).where(F.col("n") == N)
+    days = cut(days.select("day", F.size(F.arrays_zip(*names)).alias("cells"), *names).where("cells > 0"))  # not of a day that lacks a field
+    t = (days.agg(F.max("day")).first()[0] or 0) + 1
+    sent = days.select(F.struct("cells", *names).alias("s"), "day", F.explode(F.sequence(F.lit(-1), F.lit(MOST_LEADS))).alias("ahead"))
+    sent = sent.select((F.col("day") - F.col("ahead")).cast("long").alias("start"), "ahead", "s").where(f"start BETWEEN 1 AND {t - 3}")
+    runs = sent.repartition(parts, "start").groupBy("start").agg(F.map_from_entries(F.collect_list(F.struct("ahead", "s"))).alias("days"))
+
+    of = {"x0": F.lit(0), "x1": F.lit(-1), "t": F.col("lead"), "tp": F.col("lead") - 1}
+    leads = F.sequence(F.lit(1), F.least(F.lit(MOST_LEADS), (t - 2 - F.col("start")).cast("int")))
+    steps = runs.select("start", "days", F.explode(leads).alias("lead")).select("start", "lead", *(F.try_element_at("days", at).alias(k) for k, at in of.items()))
+    steps = steps.select("start", "lead", F.least(*(F.coalesce(f"{k}.cells", F.lit(0)) for k in of)).alias("cells"), *(F.col(f"{k}.{name}").alias(f"{k}_{name}") for k in of for name in names))
+    cells = steps.select("start", "lead", "cells", F.posexplode(F.arrays_zip(*(f"{k}_{name}" for k in of for name in names))).alias("at", "s")).where("at < cells")
     factor = lambda of, ahead: F.element_at(F.array(*(F.lit(k) for k in of)), F.col("lead") + ahead)
+    field, x = (lambda day, name: F.col(f"s.{day}_{name}").cast("double")), (F.col("at") % 8).cast("long")
 
     def channels(raw):
         return F.struct(*((a + b * raw(name)).alias(name) for name, a, b in CHANNELS))
 
     def predicted(truth, ahead):
-        return channels(lambda name: F.when(F.col("x") == 7, F.col(f"{truth}.{name}")).otherwise(factor(LAST, ahead) * F.col(f"x0.{name}") + factor(BEFORE, ahead) * F.col(f"x1.{name}")))
+        return channels(lambda name: F.when(x == 7, field(truth, name)).otherwise(factor(LAST, ahead) * field("x0", name) + factor(BEFORE, ahead) * field("x1", name)))
 
-    plain = lambda s: channels(lambda name: F.col(f"{s}.{name}"))
-    return runs.select(F.col("start").cast("long").alias("start"), "lead", "y", "x", predicted("t", 1).alias("pred"), plain("t").alias("truth"), plain("x0").alias("x0"), predicted("tp", 0).alias("pred_prev"), plain("tp").alias("truth_prev"))
+    plain = lambda day: channels(lambda name: field(day, name))
+    return cells.select("start", "lead", F.expr("bigint(at div 8)").alias("y"), x.alias("x"), predicted("t", 1).alias("pred"), plain("t").alias("truth"), plain("x0").alias("x0"), predicted("tp", 0).alias("pred_prev"), plain("tp").alias("truth_prev"))
 
 
 def steps(spark, sf):
-    return ops.Steps(forecast(spark, sf), grid(spark), LEVELS, SPACING)
+    return ops.Steps(forecast(spark, sf), grid(spark), LEVELS, SPACING, kept=True)
 
 
 # The same in SQL: channels one below the other

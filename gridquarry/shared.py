@@ -39,10 +39,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts_of(df), *keys)
 
 
-def parts_of(df: DataFrame) -> int:
-    """Into how many parts ``spread`` deals ``df``."""
+def parts_of(df: DataFrame, each: int | None = None) -> int:
+    """Into how many parts ``spread`` deals ``df``, or so many of ``each`` bytes."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (each or PART_BYTES)))
 
 
 class Stored:

@@ -85,3 +85,38 @@ def test_counts_of_a_cell_are_made_from_picks(spark):
 def test_ranked_samples_are_scored_once(spark, sf_dir):
     lines = plan(spark, sf_dir, "g01_best_median_worst")
     assert any("ExistingRDD" in x for x in lines) and not any("lineitem" in x for x in lines)
+
+
+@pytest.mark.parametrize("name", ["n03_step_loss", "m04_statistics", "j15_step_checks"])
+def test_starts_are_sent_their_days_and_no_cells(spark, sf_dir, name):
+    """In the whole plan of the steps only whole days go to their start; what is summed of them is dealt after."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    found = [(key, summed, " ".join(lines[at : at + 2])) for at, line in enumerate(lines) for key, _, summed in dealt(lines[at : at + 2]) if line]
+    assert any(key == "start" for key, *_ in found)
+    assert not any(re.search(r"\b[yx]\b", key) for key, *_ in found if name != "j15_step_checks")
+
+
+def test_an_image_is_smoothed_once_with_its_slopes(spark):
+    """As rows and columns are, null beyond the mask, a missing cell being as one beyond it, for images of any extent; where rows lie by their image without a shuffle."""
+    from gridquarry.operators import grids
+
+    rng = np.random.default_rng(3)
+    rows = [(k, 1, int(y), int(x), float(v) if v > 0.1 else None, bool(v < 0.9 and (y, x) != (2, 2)), bool(v > 0.3 and (y, x) != (2, 2))) for k, (ny, nx) in enumerate([(5, 7), (1, 1), (9, 4)]) for (y, x), v in np.ndenumerate(rng.random((ny, nx)))]
+    df = spark.createDataFrame(rows, "start long, lead int, y long, x long, a double, m boolean, n boolean").withColumn("y", F.col("y") + 3).withColumn("b", F.col("a") ** 2)
+    sigmas, by = {"s": 0.6, "t": 1.7}, ["start", "lead"]
+    there = "NOT (y = 5 AND x = 2)"
+    names = [f"{v}_{s}" for v in "ab" for s in sigmas]
+    want = {tuple(r[:4]): r for r in grids.smoothed_by(df, by, {"a": "m", "b": "n"}, sigmas).where(there).select(*by, "y", "x", *names).collect()}
+    images = grids.smoothed_images(df.where(there).repartition(3, "start"), by, {"a": "m", "b": "n"}, sigmas, {"a": "xy", "b": "y"})
+    got = {tuple(r[:4]): r for r in images.collect()}
+    assert got.keys() == want.keys() == {r[:2] + (r[2] + 3, r[3]) for r in rows if r[2:4] != (2, 2)}
+    assert all(got[k][n] == want[k][n] for k in want for n in names)
+    slope = lambda k, n, dy, dx: None if None in (p := [want[q][n] if (q := (k[0], k[1], k[2] + s * dy, k[3] + s * dx)) in want else None for s in (-1, 0, 1)]) else p[2] - p[0]
+    for v, axis, dy, dx in (("a", "x", 0, 1), ("a", "y", 1, 0), ("b", "y", 1, 0)):
+        assert all(got[k][f"{v}_d{axis}_{s}"] == slope(k, f"{v}_{s}", dy, dx) for k in want for s in sigmas)
+    assert any(got[k]["a_dx_s"] is not None for k in got) and "b_dx_s" not in images.columns
+    assert sum("Exchange" in line for line in images._jdf.queryExecution().sparkPlan().toString().splitlines()) == 1
