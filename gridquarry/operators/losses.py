@@ -45,9 +45,10 @@ def mean_errors(steps: Steps, train: Column) -> DataFrame:
 def spectral_excess(steps: Steps, channels: list[str], scales: dict[str, float]) -> DataFrame:
     """(start, lead, excess): how much more the adjusted square error is than the plain one, summed over channels."""
     mask = steps.image(steps.place.region)
-    cells = steps.cells.select(*KEYS, "y", "x", F.inline(F.array(*(F.struct(F.lit(c).alias("channel"), (state("pred", c) / scales[c]).alias("p"), (state("truth", c) / scales[c]).alias("t")) for c in channels))))
-    in_order = F.array_sort(F.collect_list(F.struct("y", "x", "p", "t")))
-    images = cells.groupBy(*KEYS, "channel").agg(in_order.alias("v")).select(*KEYS, "channel", F.col("v.p").alias("p"), F.col("v.t").alias("t"))
+    both = {f"{x}_{c}": (state(who, c) / scales[c]).alias(f"{x}_{c}") for x, who in (("p", "pred"), ("t", "truth")) for c in channels}
+    cells = steps.cells.select(*KEYS, "y", "x", *both.values())
+    whole = cells.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("y", "x", *both))).alias("v"))
+    images = whole.select(*KEYS, F.inline(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(f"v.p_{c}").alias("p"), F.col(f"v.t_{c}").alias("t")) for c in channels))))
     each = spectra.adjusted_excess(images, "start long, lead int, channel string", mask.shape, "p", "t", 1.0, mask=mask)
     return each.groupBy(*KEYS).agg(F.sum("excess").alias("excess"))
 
