@@ -125,12 +125,35 @@ def store(path: str) -> tuple[files.FileSystem, str]:
     return files.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
 
 
-@dataclass
-class File(InputPartition):
-    """A file or an archive of files to read, and its day."""
+@dataclass(frozen=True)
+class File:
+    """A file or an archive of files to read, its day and its size."""
 
     path: str
     day: date | None
+    size: int
+
+
+@dataclass
+class Files(InputPartition):
+    """What a task reads, one after the other."""
+
+    files: list[File]
+
+
+#: So many files have a task each; of more, a task takes neighbours of so many bytes, an open file counting as some.
+ALONE, TASK_BYTES, OPEN_BYTES = 256, 8 << 20, 1 << 16
+
+
+def dealt(files: list[File]) -> list[Files]:
+    """Files as tasks, whose number grows with the bytes, not with how many files hold them."""
+    if len(files) <= ALONE:
+        return [Files([f]) for f in files]
+    weight = np.array([f.size + OPEN_BYTES for f in files], float)
+    tasks = min(len(files), max(ALONE, -(-int(weight.sum()) // TASK_BYTES)))
+    task = np.floor((weight.cumsum() - weight / 2) / weight.sum() * tasks).astype(int)
+    ends = [*(np.flatnonzero(np.diff(task)) + 1).tolist(), len(files)]
+    return [Files(files[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class ArchiveReader(DataSourceReader):
@@ -147,37 +170,41 @@ class ArchiveReader(DataSourceReader):
             if not any(f == p or isinstance(f, In) and isinstance(p, In) and f.attribute == p.attribute and set(f.value) == set(p.value) for p in own):
                 yield f
 
-    def partitions(self) -> list[File]:
-        """A partition for each file that may hold what is asked for, from names alone."""
+    def partitions(self) -> list[Files]:
+        """The files that may hold what is asked for, from names alone, dealt to tasks."""
         system, path = store(self.path)
         found = system.get_file_info(files.FileSelector(path, recursive=True)) if system.get_file_info(path).type == files.FileType.Directory else system.get_file_info([path])
         out = []
-        for name in sorted(i.path for i in found if i.type == files.FileType.File):
+        for name, size in sorted((i.path, i.size or 0) for i in found if i.type == files.FileType.File):
             last = name.rpartition("/")[2]
             if is_archive(last):
                 if not (m := YEAR.search(last)) or self.picks.year(int(m[1])):
-                    out.append(File(name, None))
+                    out.append(File(name, None, size))
             elif last.endswith(".a") and self.picks.day(day_in(last)) and (self.records is None or any(self.picks.record(r.name, r.level) for r in self.records)):
-                out.append(File(name, day_in(last)))
-        return out
+                out.append(File(name, day_in(last), size))
+        return dealt(out)
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        for file in partition.files:
+            yield from self.read_file(file)
 
-    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+    def read_file(self, file: File) -> Iterator[pa.RecordBatch]:
         system, _ = store(self.path)
-        with system.open_input_file(partition.path) as f:
-            if not is_archive(partition.path):
+        with system.open_input_file(file.path) as f:
+            if not is_archive(file.path):
                 text = None
                 if self.records is None:
-                    with system.open_input_stream(partition.path.removesuffix(".a") + ".b") as b:
+                    with system.open_input_stream(file.path.removesuffix(".a") + ".b") as b:
                         text = b.read().decode()
-                yield from self.decoded(partition.path, partition.day, f, f.size(), text)
+                yield from self.decoded(file.path, file.day, f, f.size(), text)
                 return
-            with members(partition.path, f) as (names, opened):
+            with members(file.path, f) as (names, opened):
                 for name in names:
                     day = day_in(name.rpartition("/")[2])
                     if name.endswith(".a") and self.picks.day(day):
                         beside = name.removesuffix(".a") + ".b"
                         content = opened(name)
-                        yield from self.decoded(f"{partition.path}!{name}", day, io.BytesIO(content), len(content), opened(beside).decode() if self.records is None else None)
+                        yield from self.decoded(f"{file.path}!{name}", day, io.BytesIO(content), len(content), opened(beside).decode() if self.records is None else None)
 
     def decoded(self, path: str, day: date | None, f, size: int, text: str | None) -> Iterator[pa.RecordBatch]:
         """A batch for each record asked for; only its bytes are read. A file of another length is an error."""

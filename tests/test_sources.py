@@ -182,6 +182,21 @@ def test_archive_of_members_and_text_files(spark, tmp_path):
         archive.expected(whole, ["a.2010_363_00.a", "2012.zip"])
 
 
+def test_many_files_share_tasks(spark, tmp_path):
+    """A task for each of thousands of small files sends the driver more than the files hold."""
+    image = np.zeros(binary.PAD, ">f4")
+    for k in range(600):
+        image[1] = k
+        (tmp_path / f"a.{2000 + k // 300}_{1 + k % 300:03d}_00.a").write_bytes(image.tobytes())
+    read = archive.read_archive(spark, str(tmp_path), (1, 2), "v")
+    assert archive.ALONE / 2 < read.rdd.getNumPartitions() <= archive.ALONE
+    assert sorted(r["value"] for r in read.where("x = 1").collect()) == list(range(600)) and read.select("path").distinct().count() == 600
+    files = [archive.File(str(k), None, size) for k, size in enumerate([1 << 28, *[10] * 1000, 1 << 28])]
+    tasks = archive.dealt(files)
+    assert [f for t in tasks for f in t.files] == files and all(len(t.files) for t in tasks)
+    assert len(tasks[0].files) == len(tasks[-1].files) == 1 and len(archive.dealt(files[:9])) == 9 and archive.dealt([]) == []
+
+
 def test_days_and_records_from_text():
     assert archive.day_in("a.2011_002_18.a") == date(2011, 1, 2) and archive.day_in("x_2011010312.a") == date(2011, 1, 3) and archive.day_in("depth.a") is None
     assert archive.described("a header\nthknss  =  12  1\nsalin = 12 1.5\nmontg1 = 6\n") == [archive.Record("thknss", 1.0, 12), archive.Record("salin", 1.5, 12), archive.Record("montg1", None, 6)]
