@@ -120,3 +120,31 @@ def test_an_image_is_smoothed_once_with_its_slopes(spark):
         assert all(got[k][f"{v}_d{axis}_{s}"] == slope(k, f"{v}_{s}", dy, dx) for k in want for s in sigmas)
     assert any(got[k]["a_dx_s"] is not None for k in got) and "b_dx_s" not in images.columns
     assert sum("Exchange" in line for line in images._jdf.queryExecution().sparkPlan().toString().splitlines()) == 1
+
+
+def test_a_field_of_noise_and_its_maxima_take_little_beside_it(monkeypatch):
+    """Some rows at a time, with the same result."""
+    import tracemalloc
+
+    from gridquarry.operators import spectra
+    from gridquarry.operators import topology as top
+
+    valid = np.random.default_rng(1).random((40, 21)) > 0.1
+    noise = spectra.correlated_noise(valid.shape, (8.0, 8.0), 30.0, 5)
+    size, full = [n + 24 for n in valid.shape], [np.fft.fftfreq(n + 24, 8.0) for n in valid.shape]
+    gain = np.exp(-np.add.outer(*(np.square(2 * np.pi * k) for k in full)) * 900 / 4)
+    plain = np.fft.ifft2(np.fft.fft2(np.random.default_rng(5).standard_normal(size)) * gain / np.sqrt(np.square(gain).mean())).real[12:-12, 12:-12]
+    assert np.allclose(noise, plain, rtol=0, atol=1e-12)
+    whole = [top.both_signs(np.where(valid, noise, np.nan), open_edge=o, connectivity=c) for o in (True, False) for c in (4, 8)]
+    for m in (spectra, top):
+        monkeypatch.setattr(m, "AT_ONCE", 50)
+    assert (spectra.correlated_noise(valid.shape, (8.0, 8.0), 30.0, 5) == noise).all()
+    assert [top.both_signs(np.where(valid, noise, np.nan), open_edge=o, connectivity=c) for o in (True, False) for c in (4, 8)] == whole
+    monkeypatch.undo()
+    n, held = 40 * 25_000, []
+    for make in (lambda: spectra.correlated_noise((25_000, 40), (8.0, 8.0), 50.0, 1), lambda: top.persistence(np.sin(np.arange(n) / 1000).reshape(25_000, 40))):
+        tracemalloc.start()
+        make()
+        held.append(tracemalloc.get_traced_memory()[1] / n)
+        tracemalloc.stop()
+    assert held[0] < 50 and held[1] < 80, held  # bytes a cell
