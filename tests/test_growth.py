@@ -100,6 +100,33 @@ def test_starts_are_sent_their_days_and_no_cells(spark, sf_dir, name):
     assert not any(re.search(r"\b[yx]\b", key) for key, *_ in found if name != "j15_step_checks")
 
 
+def test_the_scorecard_is_made_of_starts_that_are_sent_their_days(spark, sf_dir, monkeypatch):
+    """In the plan of the statistics that a scorecard stores only whole days go to their start, and no cell by its row or column."""
+    from gridquarry.plans import statistics as steps
+
+    class Planned(Exception):
+        pass
+
+    made, whole, store = [], steps.ops.statistics, steps.cut
+
+    def cut(df):  # the steps' days are stored as ever; of the statistics the plan is looked at
+        if any(df is m for m in made):
+            raise Planned(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(steps, "cut", cut)
+    monkeypatch.setattr(steps.ops, "statistics", lambda *args: made.append(whole(*args)) or made[-1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with pytest.raises(Planned) as found:
+            QUERIES["e22_scorecard"](spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    keys = [key for key, *_ in dealt(str(found.value).splitlines())]
+    assert "start" in keys
+    assert not any(re.search(r"\b[yx]\b", key) for key in keys)
+
+
 def test_an_image_is_smoothed_once_with_its_slopes(spark):
     """As rows and columns are, null beyond the mask, a missing cell being as one beyond it, for images of any extent; where rows lie by their image without a shuffle."""
     from gridquarry.operators import grids
