@@ -58,7 +58,8 @@ class Steps:
     grid: for each (y, x) lon, lat, depth, area (the weight), region, whether it is sea at each level (``sea_<depth>m``),
     front and deep (regions of the front and of the main piece), strip (where the main piece is sought). It is of
     one image's size, so masks are taken to the driver and joins are left to Spark's size check. kept: the rows lie by
-    start and are made of stored days, so each plan makes them anew and they are not stored cell by cell.
+    start and are made of stored days, so each plan makes them anew and they are not stored cell by cell; their channels
+    are columns <state>_<channel> in place of structs, so that a plan makes only those that it needs.
     """
 
     rows: DataFrame
@@ -357,7 +358,7 @@ def registry() -> dict[str, Statistic]:
 
 def stored_cells(steps: Steps, needs: set[tuple[str, str]]) -> None:
     """The channels that are needed of each state beside the grid, as the step that all others share: read once and stored, unless the rows are."""
-    channels = [F.col(f"{who}.{c}").cast("double").alias(f"{who}_{c}") for who, c in sorted(needs)]
+    channels = [F.col(f"{who}_{c}" if steps.kept else f"{who}.{c}").cast("double").alias(f"{who}_{c}") for who, c in sorted(needs)]
     rows = steps.rows.select(*KEYS, "y", "x", *channels).join(steps.grid, ["y", "x"])
     steps.shared["cells"] = rows if steps.kept else cut(rows)
 

@@ -47,7 +47,8 @@ def forecast(spark, sf):
     """Runs of the model from every day that has one before it, up to ten days or the end of the record but one.
 
     Whole days are stored. In a plan each start is sent those that its run takes, once, and its leads and cells are made of
-    them where they lie, so whatever is grouped by start needs no other shuffle.
+    them where they lie, so whatever is grouped by start needs no other shuffle. A state's channels are columns of their own,
+    as a plan makes all of a struct for each cell or none.
     """
     rows = table(spark, sf, "embeddings").select(F.expr(f"int(vec_id div {N})").alias("day"), (F.col("vec_id") % N).alias("c"), F.col("embedding").alias("v"))
     parts, names = parts_of(rows, RUN_BYTES), [name for name, *_ in CHANNELS]
@@ -62,18 +63,18 @@ def forecast(spark, sf):
     leads = F.sequence(F.lit(1), F.least(F.lit(MOST_LEADS), (t - 2 - F.col("start")).cast("int")))
     steps = runs.select("start", "days", F.explode(leads).alias("lead")).select("start", "lead", *(F.try_element_at("days", at).alias(k) for k, at in of.items()))
     steps = steps.select("start", "lead", F.least(*(F.coalesce(f"{k}.cells", F.lit(0)) for k in of)).alias("cells"), *(F.col(f"{k}.{name}").alias(f"{k}_{name}") for k in of for name in names))
-    cells = steps.select("start", "lead", "cells", F.posexplode(F.arrays_zip(*(f"{k}_{name}" for k in of for name in names))).alias("at", "s")).where("at < cells")
+    cells = steps.where("cells > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     factor = lambda of, ahead: F.element_at(F.array(*(F.lit(k) for k in of)), F.col("lead") + ahead)
-    field, x = (lambda day, name: F.col(f"s.{day}_{name}").cast("double")), (F.col("at") % 8).cast("long")
+    field, x = (lambda day, name: F.get(f"{day}_{name}", F.col("at")).cast("double")), (F.col("at") % 8).cast("long")
 
-    def channels(raw):
-        return F.struct(*((a + b * raw(name)).alias(name) for name, a, b in CHANNELS))
+    def channels(who, raw):
+        return [(a + b * raw(name)).alias(f"{who}_{name}") for name, a, b in CHANNELS]
 
-    def predicted(truth, ahead):
-        return channels(lambda name: F.when(x == 7, field(truth, name)).otherwise(factor(LAST, ahead) * field("x0", name) + factor(BEFORE, ahead) * field("x1", name)))
+    def predicted(who, truth, ahead):
+        return channels(who, lambda name: F.when(x == 7, field(truth, name)).otherwise(factor(LAST, ahead) * field("x0", name) + factor(BEFORE, ahead) * field("x1", name)))
 
-    plain = lambda day: channels(lambda name: field(day, name))
-    return cells.select("start", "lead", F.expr("bigint(at div 8)").alias("y"), x.alias("x"), predicted("t", 1).alias("pred"), plain("t").alias("truth"), plain("x0").alias("x0"), predicted("tp", 0).alias("pred_prev"), plain("tp").alias("truth_prev"))
+    plain = lambda who, day: channels(who, lambda name: field(day, name))
+    return cells.select("start", "lead", F.expr("bigint(at div 8)").alias("y"), x.alias("x"), *predicted("pred", "t", 1), *plain("truth", "t"), *plain("x0", "x0"), *predicted("pred_prev", "tp", 0), *plain("truth_prev", "tp"))
 
 
 def steps(spark, sf):

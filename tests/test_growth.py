@@ -127,6 +127,15 @@ def test_the_scorecard_is_made_of_starts_that_are_sent_their_days(spark, sf_dir,
     assert not any(re.search(r"\b[yx]\b", key) for key in keys)
 
 
+def test_a_plan_makes_only_the_channels_it_needs(spark, sf_dir):
+    """Of nineteen predicted channels a cell has the two that are asked for."""
+    from gridquarry.plans import statistics as steps
+
+    of = steps.steps(spark, sf_dir)
+    steps.ops.stored_cells(of, {("pred", "ssh"), ("pred", "temp_0m")})
+    assert of.cells._jdf.queryExecution().optimizedPlan().toString().count("[1.0,0.7,") == 2
+
+
 def test_an_image_is_smoothed_once_with_its_slopes(spark):
     """As rows and columns are, null beyond the mask, a missing cell being as one beyond it, for images of any extent; where rows lie by their image without a shuffle."""
     from gridquarry.operators import grids
